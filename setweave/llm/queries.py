@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from setweave.functions.session import table
-from setweave.llm import chat, packing, simhash, topk
+from setweave.llm import chat, packing, simhash, suffix_dedup, topk
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +19,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op7_simhash_near_dedup, op8_chat_formatting, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op3_packing, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_chat_formatting, op10_exact_top_k)}
 ORACLE_SQL: dict[str, str] = {}
