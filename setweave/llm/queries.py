@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from setweave.functions.session import table
-from setweave.llm import chat, packing, simhash, suffix_dedup, topk
+from setweave.llm import chat, packing, piece_codec, simhash, spotsigs, suffix_dedup, topk, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -15,10 +16,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -31,9 +41,14 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(table(spark, sf_dir, "conversations"))
 
 
+def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return coded.select("doc_id", "variant", "n_chars", (F.length("ids") / 2).cast("long").alias("n_pieces"), F.sha2("ids", 256).alias("ids_sha256"), "lossless")
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_chat_formatting, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_packing, op5_spotsigs, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_chat_formatting, op9_sentencepiece_codec, op10_exact_top_k)}
 ORACLE_SQL: dict[str, str] = {}
