@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.functions.session import table
-from setweave.llm import chat, packing, piece_codec, simhash, spotsigs, suffix_dedup, topk, toxicity
+from setweave.llm import chaining, chat, langid, packing, piece_codec, simhash, spotsigs, suffix_dedup, topk, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -21,10 +21,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -50,5 +58,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_packing, op5_spotsigs, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_chat_formatting, op9_sentencepiece_codec, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_packing, op4_collinear_chaining, op5_spotsigs, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_chat_formatting, op9_sentencepiece_codec, op10_exact_top_k)}
 ORACLE_SQL: dict[str, str] = {}

@@ -209,3 +209,166 @@ def simhash_components(docs: DataFrame, width: int = 3, bits: int = MAX_BITS) ->
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.select("fp", "component").join(ids, "component").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near-duplicates of the cleaning stage: words of a shingle, least Jaccard likeness, most differing bits of the
+#: word fingerprints of a candidate pair.
+STAGE_WIDTH, STAGE_LIKENESS, STAGE_BITS = 5, 0.8, 16
+
+
+def word_fingerprint(text: str) -> int:
+    """64-bit SimHash of a text's different words: an edit moves one word, not five shingles, so near copies stay close."""
+    words = list(set(text.encode("utf-8", "surrogatepass").lower().split()))
+    if not words:
+        return 0
+    raw = np.frombuffer(b"".join([_digest(w) for w in words]), np.uint8).reshape(-1, 8)
+    ones = np.unpackbits(raw, axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
+
+
+def _digest(word: bytes) -> bytes:
+    from xxhash import xxh64_digest
+
+    return xxh64_digest(word, SEED)
+
+
+def shingle_set(text: str, width: int = STAGE_WIDTH) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's different word shingles; a shorter text is one shingle."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < width:
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    return np.unique(np.array([xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(width))))], np.uint64))
+
+
+def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row): codeword indices of two of three segments (23, 23 and 18 bits), so up to two errors in each of the two are bridged."""
+    seg = [golay_keys((fps >> np.uint64(s) & np.uint64(m)).astype(np.int64)) for s, m in ((0, 0x7FFFFF), (23, 0x7FFFFF), (46, 0x3FFFF))]
+    keys, rows = [], []
+    for n, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+        both = (seg[i][:, :, None] >= 0) & (seg[j][:, None, :] >= 0)
+        key = seg[i][:, :, None] << 12 | seg[j][:, None, :] | n << 24
+        row = np.broadcast_to(np.arange(len(fps))[:, None, None], key.shape)
+        keys.append(key[both])
+        rows.append(row[both])
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _candidates(bits: int, small: int = 64):
+    """Pairs (a, b) of one bucket at most `bits` apart; in buckets over `small`, each member with the nearest already reached instead of all."""
+
+    def settle(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, seen: set) -> list[tuple[int, int]]:
+        found = []
+        if not len(keys):
+            return found
+        cut = np.flatnonzero(np.diff(keys)) + 1
+        starts, ends = np.append(0, cut), np.append(cut, len(keys))
+        size = np.repeat(ends - starts, ends - starts)
+        for step in range(1, small):
+            if step >= len(keys):
+                break
+            at = np.flatnonzero((size[:-step] > step) & (size[:-step] <= small) & (keys[:-step] == keys[step:]))
+            if not len(at):
+                break
+            at = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= bits]
+            found.extend(zip(ids[at].tolist(), ids[at + step].tolist()))
+        for s, e in zip(starts[ends - starts > small], ends[ends - starts > small]):
+            found.extend(_nearest_tree(fps[s:e], ids[s:e], bits))
+        pairs = {(min(p), max(p)) for p in found}.difference(seen)
+        seen.update(pairs)
+        return list(pairs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set = set()
+        keys, fps, ids = np.array([], np.int64), np.array([], np.uint64), np.array([], np.int64)
+        for b in batches:
+            keys = np.concatenate([keys, b["key"].to_numpy(np.int64)])
+            fps = np.concatenate([fps, b["fp"].to_numpy(np.int64).view(np.uint64)])
+            ids = np.concatenate([ids, b["id"].to_numpy(np.int64)])
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if cut:
+                out = settle(keys[:cut], fps[:cut], ids[:cut], seen)
+                keys, fps, ids = keys[cut:], fps[cut:], ids[cut:]
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(settle(keys, fps, ids, seen), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _nearest_tree(fps: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
+    """Prim's tree by differing bits, cut where the nearest is more than `bits` away: n - 1 pairs at most."""
+    far = np.full(len(fps), 255, np.int64)
+    near = np.zeros(len(fps), np.int64)
+    left = np.ones(len(fps), bool)
+    at = 0
+    for _ in range(len(fps) - 1):
+        left[at] = False
+        d = np.bitwise_count(fps ^ fps[at]).astype(np.int64)
+        closer = left & (d < far)
+        far[closer], near[closer] = d[closer], at
+        at = int(np.argmin(np.where(left, far, 999)))
+        if far[at] <= bits:
+            yield int(ids[at]), int(ids[near[at]])
+
+
+def keep_one_of_each(docs: DataFrame, likeness: float = STAGE_LIKENESS, width: int = STAGE_WIDTH, bits: int = STAGE_BITS) -> DataFrame:
+    """docs with one row, that of the least doc_id, of each group of near-duplicates.
+
+    Equal texts are one group. Others are linked when the Jaccard likeness of their sets of word shingles
+    is `likeness` or more; candidates are pairs whose word fingerprints share a pair of Golay keys and differ in
+    `bits` bits at most, and every candidate is verified on the whole texts. Null texts are empty;
+    rows with a null id stay; of rows that repeat an id one stays. Columns are unchanged.
+    """
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fps = np.array([word_fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "digest": b["digest"], "fp": fps})
+
+    text = F.coalesce("text", F.lit(""))
+    ready = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
+    marked = written(ready.mapInPandas(mark, "doc_id long, digest binary, fp long"))
+    texts = written(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            f, ids = b["fp"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
+            for lo in range(0, len(f), 4096):
+                key, row = pair_keys(f[lo : lo + 4096].view(np.uint64))
+                yield pd.DataFrame({"key": key.astype(np.int32), "fp": f[lo : lo + 4096][row], "id": ids[lo : lo + 4096][row]})
+
+    keyed = texts.select("fp", "id").mapInPandas(emit, "key int, fp long, id long")
+    pairs = written(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_candidates(bits), "a long, b long").where("a <> b").distinct())
+    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["doc_id"], "set": [shingle_set(t, width).tobytes() for t in b["text"]]})
+
+    made = written(ready.select("doc_id", "text").join(asked, "doc_id").mapInPandas(sets, "id long, set binary").groupBy("id").agg(F.min("set").alias("set")))
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b["x"], b["y"]):
+                small, large = sorted((len(x), len(y)))
+                if small < likeness * large:
+                    ok.append(False)
+                    continue
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(both >= likeness * (len(p) + len(q) - both))
+            yield b.loc[ok, ["a", "b"]]
+
+    met = pairs.join(made.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(made.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    comps = connected_components(met.mapInPandas(verify, "a long, b long"), "a", "b")
+    kept = texts.select(F.col("id").alias("node")).distinct().join(comps, "node", "left").where("component is null or component = node").select(F.col("node").alias("doc_id"))
+    counts = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    chosen = kept.join(counts, "doc_id").withColumnRenamed("doc_id", "_id")
+    rows = docs.where("doc_id is not null").join(chosen, F.col("doc_id") == F.col("_id")).drop("_id")
+    once = rows.where("_n = 1").drop("_n")
+    again = rows.where("_n > 1").drop("_n").dropDuplicates(["doc_id"])
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
