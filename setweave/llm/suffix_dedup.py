@@ -277,7 +277,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(12, math.ceil(total / BUCKET_BYTES))
+    # With no fewer buckets than shuffle partitions, joins on the key move the small side only.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_BYTES))
     name = f"setweave_texts_{uuid.uuid4().hex}"
     keyed = docs.select(text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     (keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).repartition(buckets, "key")
