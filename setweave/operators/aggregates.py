@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from setweave.operators.ranking import exact_quantile, global_rank
+
 
 def feature_stats(acts: DataFrame, n_total: int | None = None) -> DataFrame:
     """Per feature: min, max, mean, median, std, q25, q75, n_zeros, n_total, sparsity; with n_total, missing examples count as zeros in the last three only."""
@@ -129,12 +133,11 @@ def context_sweep(rows: DataFrame, by: str, least: int = 10, k: int = 20) -> Dat
 
 def high_low_enrichment(rows: DataFrame, by: str, pct: float, k: int = 30) -> DataFrame:
     """Values of by in the top and bottom pct of examples by activation: counts, shares and their ratio (null where the bottom has none), the k largest count differences."""
-    from setweave.operators.sampling import percentile_slice
-
-    one = rows.withColumn("_all", F.lit(1))
-    top = percentile_slice(one, 100 - pct, 100, ["_all"]).withColumn("_high", F.lit(1))
-    low = percentile_slice(one, 0, pct, ["_all"]).withColumn("_high", F.lit(0))
-    g = top.unionByName(low).groupBy(by).agg(F.sum("_high").alias("n_high"), F.sum(1 - F.col("_high")).alias("n_low"))
+    n = rows.count()
+    r = F.col("_rank") - 1
+    ranked = global_rank(rows, "activation", "example_id", "_rank").withColumn(
+        "_high", F.when(r >= math.floor(n * (100 - pct) / 100), 1).when(r < math.floor(n * pct / 100), 0))
+    g = ranked.where("_high is not null").groupBy(by).agg(F.sum("_high").alias("n_high"), F.sum(1 - F.col("_high")).alias("n_low"))
     th, tl = (F.sum(c).over(Window.partitionBy()) for c in ("n_high", "n_low"))
     g = g.withColumn("pct_high", F.col("n_high") / th).withColumn("pct_low", F.col("n_low") / tl)
     return g.withColumn("ratio", F.when(F.col("n_low") > 0, F.col("pct_high") / F.col("pct_low"))).orderBy(F.desc(F.col("n_high") - F.col("n_low")), by).limit(k)
@@ -149,7 +152,7 @@ def token_influence(examples: DataFrame, tokens: DataFrame, token: str = "token"
     a = F.col("activation")
     n = examples.count()
     rank = max(1, int(n * top + 1e-9))
-    cut = examples.orderBy(F.desc("activation")).limit(rank).agg(F.min("activation").alias("_cut"))
+    cut = global_rank(examples, "activation", "example_id", "_rank").where(F.col("_rank") == n - rank + 1).select(F.col("activation").alias("_cut"))
     marked = examples.select("example_id", "activation").join(F.broadcast(cut)).withColumn("high", (a >= F.col("_cut")).cast("int"))
     total = marked.agg(F.count(F.lit(1)).alias("tn"), F.sum(a).alias("ts"), F.sum(a * a).alias("tss"), F.sum("high").alias("th"))
     g = tokens.select("example_id", token).distinct().join(marked, "example_id").groupBy(token).agg(
@@ -169,7 +172,7 @@ def token_enrichment(examples: DataFrame, tokens: DataFrame, token: str = "token
     """Per token: share of its occurrences among high examples over its share among all; high is the activation of rank floor(q (n - 1)) from below or more."""
     n = examples.count()
     at = int(q * (n - 1) + 0.5)
-    cut = examples.orderBy("activation").limit(at + 1).agg(F.max("activation").alias("_cut"))
+    cut = global_rank(examples, "activation", "example_id", "_rank").where(F.col("_rank") == at + 1).select(F.col("activation").alias("_cut"))
     marked = tokens.join(examples.select("example_id", F.col("activation").alias("_a")), "example_id").join(F.broadcast(cut)).withColumn("high", (F.col("_a") >= F.col("_cut")).cast("int"))
     g = marked.groupBy(token).agg(F.count(F.lit(1)).alias("n"), F.sum("high").alias("n_high"))
     g = g.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy())).withColumn("rate_high", F.col("n_high") / F.sum("n_high").over(Window.partitionBy()))
@@ -189,7 +192,7 @@ def presence_effect(examples: DataFrame, tokens: DataFrame, token: str = "token"
 
 def core_tail(examples: DataFrame, tokens: DataFrame, token: str, core: tuple[float, float] = (0.25, 0.75), tail: float = 0.75, q: float = 0.995) -> DataFrame:
     """Per token: shares of core rows (between core[0] M and core[1] M) and of tail rows (over tail M) that hold it, M the q quantile of positive activations; enrichment is tail over core, 10 at most, 1 where neither holds it."""
-    m = examples.where("activation > 0").agg(F.expr(f"percentile(activation, {q})").alias("_m"))
+    m = exact_quantile(examples.where("activation > 0"), "activation", "example_id", q, "_m")
     a = F.col("activation")
     flags = examples.select("example_id", "activation").join(F.broadcast(m)).select(
         "example_id", ((a > core[0] * F.col("_m")) & (a <= core[1] * F.col("_m"))).cast("int").alias("core"), (a > tail * F.col("_m")).cast("int").alias("tail"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setweave.functions.tokens import TOTAL, hashed
+from setweave.operators.ranking import global_rank
 
 
 def multiset_counts(truth: DataFrame, pred: DataFrame, by: str, item: str, n: str) -> DataFrame:
@@ -125,7 +126,8 @@ def shuffle_null(examples: DataFrame, tokens: DataFrame, rounds: int, top: float
     """
     n = examples.count()
     m = max(1, int(n * top + 1e-9))
-    real = examples.orderBy(F.desc("activation"), key).limit(m).select(key, F.lit(-1).alias("round"))
+    # of equal activations the greater keys are in the top
+    real = global_rank(examples, "activation", key, "_rank").where(F.col("_rank") > n - m).select(key, F.lit(-1).alias("round"))
     # hash slots of 24 bits: an example is in a round's top when its slot lies under the share
     drawn = examples.select(key, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).where(
         F.conv(F.substring(hashed(F.col(key), F.col("round"), seed), 1, 6), 16, 10).cast("long") < int(m / n * (1 << 24)))

@@ -6,6 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def global_rank(rows: DataFrame, value: str, tie: str, name: str = "rank", slices: int = 64) -> DataFrame:
+    """rows with their rank from 1 by value, then tie, over the whole table.
+
+    Rows are dealt to slices at approximate quantiles, ranked within a slice and offset by the sizes of the
+    slices before, so no task sorts more than a slice; only the slices' sizes are summed in one place.
+    """
+    cuts = rows.agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
+    bounds = sorted(set(cuts))
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value))) if bounds else F.lit(0)
+    cut = rows.withColumn("_s", at)
+    sizes = cut.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_s", (F.sum("_n").over(Window.orderBy("_s")) - F.col("_n")).alias("_b"))
+    place = F.row_number().over(Window.partitionBy("_s").orderBy(value, tie))
+    return cut.join(F.broadcast(before), "_s").withColumn(name, F.col("_b") + place).drop("_s", "_b")
+
+
+def exact_quantile(rows: DataFrame, value: str, tie: str, q: float, name: str) -> DataFrame:
+    """One row: the q quantile of value, interpolated between its two ranks; null of an empty table."""
+    n = rows.count()
+    pos = q * max(0, n - 1)
+    lo, part = int(pos), pos - int(pos)
+    at = global_rank(rows, value, tie, "_rank").where(F.col("_rank").isin(lo + 1, lo + 1 + (part > 0)))
+    return at.agg(((1 - part) * F.min(value) + part * F.max(value)).alias(name))
+
+
 def top_per_group(rows: DataFrame, by: str, k: int, value: str = "activation", tie: str = "example_id", least: float | None = None) -> DataFrame:
     """The k highest rows of each group with rank from 1; Spark prunes to k per task before the shuffle."""
     if least is not None:

@@ -269,7 +269,7 @@ def banded(spark, d):
     from setweave.operators.sampling import band_of
 
     e = X.examples(spark, d)
-    m = e.where("activation > 0").agg(F.expr("percentile(activation, 0.995)").alias("m"))
+    m = K.exact_quantile(e.where("activation > 0"), "activation", "example_id", 0.995, "m")
     return e.join(F.broadcast(m)).withColumn("band", band_of(F.col("activation"), F.col("m")))
 
 
@@ -352,18 +352,11 @@ def f32(spark, d):
 
 @query("f33_range_summary", f"WITH {X.EXAMPLES_SQL}, x AS (SELECT * FROM examples WHERE activation BETWEEN 100000 AND 200000), r AS (SELECT *, row_number() OVER (ORDER BY activation, example_id) AS r, count(*) OVER () AS n FROM x) SELECT example_id, activation, round((SELECT quantile_cont(activation, 0.5) FROM x), 4) AS median FROM r WHERE r IN (1, 1 + n // 4, 1 + n // 2, 1 + 3 * n // 4, n)")
 def f33(spark, d):
-    from setweave.operators.sampling import percentile_slice  # noqa: F401
-    from pyspark.sql import Window
-
     x = X.examples(spark, d).where("activation between 100000 and 200000")
     n = x.count()
     picks = sorted({1, 1 + n // 4, 1 + n // 2, 1 + 3 * n // 4, n})
-    m = x.agg(F.expr("percentile(activation, 0.5)").alias("median"))
-    # ranks within slices of the range; only the slices' sizes are summed on one task
-    cut = x.withColumn("_s", F.floor(F.col("activation") / 1000))
-    sizes = cut.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.sum("_n").over(Window.orderBy("_s")) - F.col("_n"))
-    r = cut.join(F.broadcast(sizes), "_s").withColumn("r", F.col("_b") + F.row_number().over(Window.partitionBy("_s").orderBy("activation", "example_id")))
-    return r.where(F.col("r").isin(picks)).join(F.broadcast(m)).select("example_id", "activation", "median")
+    m = K.exact_quantile(x, "activation", "example_id", 0.5, "median")
+    return K.global_rank(x, "activation", "example_id").where(F.col("rank").isin(picks)).join(F.broadcast(m)).select("example_id", "activation", "median")
 
 
 @query("f35_slots_to_maps", "SELECT o_orderkey, sum(CASE WHEN l_linenumber = 1 THEN 10 ELSE 3 END) AS ap, count(DISTINCT lower(p_type)) AS n_families FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1")

@@ -56,6 +56,12 @@ def i2(spark, d):
     return B.tf_idf(b.join(F.broadcast(top), "example_id"), B.idf(b, "example_id", "token", table(spark, d, "orders").count()), "token")
 
 
+@query("e2_tf_with_idf", f"WITH {X.BRANDS_SQL}, n AS (SELECT count(*) AS n FROM orders), i AS (SELECT token, ln(n + 1) - ln(count(*) + 1) AS idf FROM brands, n WHERE ctx = 'BUILDING' GROUP BY token, n), t AS (SELECT token, count(*) AS tf FROM brands GROUP BY 1) SELECT token, tf, round(idf, 4) AS idf, round(tf * coalesce(idf, 0), 4) AS tf_idf FROM t LEFT JOIN i USING (token)")
+def e2(spark, d):
+    b = X.brands(spark, d)
+    return B.tf_idf(b, B.idf(b.where("ctx = 'BUILDING'"), "example_id", "token", table(spark, d, "orders").count()), "token")
+
+
 @query("i3_within_sample_tf_idf", f"WITH {X.BRANDS_SQL}, g AS (SELECT ctx, token, c, sum(c) OVER (PARTITION BY ctx) AS t FROM (SELECT ctx, token, count(*) AS c FROM brands GROUP BY ALL)) SELECT ctx, token, c, round(c / t, 4) AS tf, round(ln(t / c), 4) AS idf, round(c / t * ln(t / c), 4) AS tf_idf FROM g")
 def i3(spark, d):
     return B.within_tf_idf(X.brands(spark, d), "ctx", "token")
@@ -104,7 +110,7 @@ def i8(spark, d):
 
 def high_sets(spark, d, cut=0.9):
     b = X.brands(spark, d).groupBy("example_id", "activation").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    q = X.examples(spark, d).agg(F.expr(f"percentile(activation, {cut})").alias("q"))
+    q = K.exact_quantile(X.examples(spark, d), "activation", "example_id", cut, "q")
     return b.join(F.broadcast(q)).select("example_id", "tokens", (F.col("activation") >= F.col("q")).alias("high"))
 
 
@@ -239,6 +245,13 @@ def k1(spark, d):
     return M.cosine_neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 0, 20)
 
 
+@query("k2_vector_cosine", f"WITH {X.ACTS_SQL}, c AS (SELECT label, feature_id, avg(activation) AS y FROM acts GROUP BY ALL), g AS (SELECT a.label AS label, sum(a.y * b.y) / ((sqrt(sum(a.y * a.y)) + 1e-8) * (sqrt(sum(b.y * b.y)) + 1e-8)) AS c FROM c a JOIN c b USING (feature_id) WHERE b.label = 0 AND a.label <> 0 GROUP BY 1) SELECT label, round(c, 4) AS cosine FROM g ORDER BY c DESC, 1 LIMIT 5")
+def k2(spark, d):
+    c = X.acts(spark, d).groupBy("label", "feature_id").agg(F.avg("activation").alias("y")).groupBy("label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("feature_id", "y"))), lambda x: x["y"]).alias("v"))
+    return M.cosine_neighbours(c, "label", "v", 0, 5)
+
+
 @query("k3_sparse_cosine", f"WITH {X.TOKS_SQL}, t AS (SELECT ctx || ':' || tier AS k, token, count(*) AS v FROM toks GROUP BY ALL), n AS (SELECT k, sqrt(sum(v * v)) AS n FROM t GROUP BY 1) SELECT a, b, cosine FROM (SELECT x.k AS a, y.k AS b, round(sum(x.v * y.v) / (max(nx.n) * max(ny.n)), 4) AS cosine FROM t x JOIN t y USING (token) JOIN n nx ON nx.k = x.k JOIN n ny ON ny.k = y.k WHERE x.k < y.k GROUP BY ALL) WHERE cosine > 0.1")
 def k3(spark, d):
     t = X.toks(spark, d).groupBy(F.concat_ws(":", "ctx", "tier").alias("k"), "token").agg(F.count(F.lit(1)).cast("double").alias("v"))
@@ -529,7 +542,7 @@ def m13(spark, d):
     return V.split_half(X.brands(spark, d), "example_id", "token", "activation", 5, "half")
 
 
-@query("m14_shuffle_null", f"WITH {X.BRANDS_SQL}, {X.EXAMPLES_SQL}, k AS (SELECT count(*) AS n, greatest(1, CAST(floor(count(*) * 0.1 + 1e-9) AS INT)) AS m FROM examples), t AS (SELECT example_id, -1 AS round FROM (SELECT example_id FROM examples ORDER BY activation DESC, example_id LIMIT (SELECT m FROM k)) UNION ALL SELECT example_id, r FROM examples, k, (SELECT unnest(range(20)) AS r) WHERE CAST('0x' || substr(md5(example_id || ':' || r || ':null'), 1, 6) AS BIGINT) < floor(m / n * 16777216)), "
+@query("m14_shuffle_null", f"WITH {X.BRANDS_SQL}, {X.EXAMPLES_SQL}, k AS (SELECT count(*) AS n, greatest(1, CAST(floor(count(*) * 0.1 + 1e-9) AS INT)) AS m FROM examples), t AS (SELECT example_id, -1 AS round FROM (SELECT example_id FROM examples ORDER BY activation DESC, example_id DESC LIMIT (SELECT m FROM k)) UNION ALL SELECT example_id, r FROM examples, k, (SELECT unnest(range(20)) AS r) WHERE CAST('0x' || substr(md5(example_id || ':' || r || ':null'), 1, 6) AS BIGINT) < floor(m / n * 16777216)), "
        "z AS (SELECT round, count(*) AS size FROM t GROUP BY 1), c AS (SELECT round, token, count(*) AS c FROM t JOIN brands USING (example_id) GROUP BY ALL), s AS (SELECT round, max(c) / max(size) AS s FROM c JOIN z USING (round) GROUP BY 1) SELECT round((SELECT s FROM s WHERE round = -1), 4) AS observed, round(avg(CAST(s >= (SELECT s FROM s WHERE round = -1) AS INT)), 4) AS p FROM s WHERE round >= 0")
 def m14(spark, d):
     return V.shuffle_null(X.examples(spark, d), X.brands(spark, d), 20, 0.1, "null")

@@ -8,6 +8,7 @@ from setweave.functions import tokens as T
 from setweave.functions.session import table
 from setweave.operators import reshape as R
 from setweave.operators import sampling as S
+from setweave.operators.ranking import exact_quantile
 from setweave.plans import relations as X
 
 FAMILIES = ["economy", "large", "medium", "promo", "small", "standard"]
@@ -283,7 +284,7 @@ def c11(spark, d):
 @query("c12_regions", f"WITH {X.EXAMPLES_SQL}, m AS (SELECT quantile_cont(activation, 0.995) AS m FROM examples WHERE activation > 0) SELECT CASE WHEN activation > 0.75 * m THEN 'high' WHEN activation > 0.25 * m THEN 'core' ELSE 'rest' END AS region, count(*) AS n FROM examples, m GROUP BY 1")
 def c12(spark, d):
     e = X.examples(spark, d)
-    m = e.where("activation > 0").agg(F.expr("percentile(activation, 0.995)").alias("m"))
+    m = exact_quantile(e.where("activation > 0"), "activation", "example_id", 0.995, "m")
     a = F.col("activation")
     return e.join(F.broadcast(m)).groupBy(F.when(a > 0.75 * F.col("m"), "high").when(a > 0.25 * F.col("m"), "core").otherwise("rest").alias("region")).agg(F.count(F.lit(1)).alias("n"))
 
