@@ -21,13 +21,10 @@ def duck(small):
 
 def rows(df):
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if pd.isna(v):
             return None
-        if isinstance(v, bool):
-            return str(v)
-        if hasattr(v, "item"):
-            v = v.item()
-        return str(v) if isinstance(v, (bool, str)) else (float(v) if isinstance(v, (int, float)) else str(v))
+        v = v.item() if hasattr(v, "item") else v
+        return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     return sorted(([plain(v) for v in r] for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
