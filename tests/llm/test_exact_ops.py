@@ -201,3 +201,16 @@ def test_bound_drops_no_winner(n):
     s, v = topk.top_of_block(q, m, np.arange(n), -1, 5, -np.inf)
     want = sorted((-int(x), i) for i, x in enumerate(q @ m))[:5]
     assert [(-a, b) for a, b in zip(s.tolist(), v.tolist())] == want
+
+
+def test_against_sql(spark, small):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        got, want = queries.QUERIES[name](spark, small).toPandas(), con.execute(sql).df()
+        columns = sorted(want.columns)
+        assert sorted(got.columns) == columns
+        assert sorted(map(str, got[columns].to_numpy().tolist())) == sorted(map(str, want[columns].to_numpy().tolist()))
