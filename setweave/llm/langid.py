@@ -15,26 +15,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setweave.functions.session import written
+from setweave.llm.workers import give_back
 
 #: Texts fitted for each declared language, their longest length, least share of rows that makes a declared tag a language.
 SAMPLE, SAMPLE_CHARS, LEAST_SHARE = 400, 20_000, 0.005
 #: Weight of one word's likelihood (neighbouring n-grams are not independent), the most a text may weigh, smoothing counts, words a task remembers.
-TEMPER, MOST, SMOOTH, CACHE = 0.5, 40.0, 10.0, 200_000
+TEMPER, MOST, SMOOTH, CACHE = 0.5, 40.0, 10.0, 100_000
 UNKNOWN = "und"
 _EDGE = ".,;:!?\"'()[]{}<>|%$&*#@~_-+=/\\0123456789"
 
 
 def grams(word: str) -> list[str]:
-    """Character 1- to 3-grams of a word with marked ends; none without letters."""
+    """Character 2- and 3-grams of a word with marked ends; none without letters."""
     w = word.strip(_EDGE)
     if not w:
         return []
     m = f"<{w}>"
-    return [*w, *[m[i : i + 2] for i in range(len(m) - 1)], *[m[i : i + 3] for i in range(len(m) - 2)]]
+    return [*map(str.__add__, m, m[1:]), *[m[i : i + 3] for i in range(len(m) - 2)]]
 
 
 def fit(texts: list[str], tags: list[str], languages: list[str]) -> dict[str, np.ndarray]:
@@ -56,40 +57,44 @@ class TextModel:
     """Tempered log-likelihoods of whole texts; remembers the words met."""
 
     def __init__(self, table: dict[str, np.ndarray], n: int) -> None:
-        self.table, self.n = table, n
+        self.n, self.place = n, {g: i for i, g in enumerate(table)}
+        self.logs = np.array([*table.values(), np.zeros(n)]).reshape(len(table) + 1, n)  # the last row stands for unknown n-grams
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((CACHE + 1, n + 1))
-        self.used = 0
-
-    def _learn(self, w: str) -> None:
-        found = grams(w)
-        row = self.rows[self.used]
-        row[:] = 0
-        if found:
-            row[-1] = 1
-            hits = [x for g in found if (x := self.table.get(g)) is not None]
-            if hits:
-                row[:-1] = np.sum(hits, axis=0) / len(found)
-        self.known[w] = self.used
-        self.used += 1
-
-    def __call__(self, text: str) -> tuple[np.ndarray, int]:
-        """(log-likelihood by language, words with letters)."""
-        words = text.lower().split()
-        total = np.zeros(self.n + 1)
-        for lo in range(0, len(words), CACHE // 2):
-            part = words[lo : lo + CACHE // 2]
-            new = set(part).difference(self.known)
-            if self.used + len(new) > CACHE:
-                self.known.clear()
-                self.used = 0
-                new = set(part)
-            for w in new:
-                self._learn(w)
-            total += self.rows[np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))].sum(0)
-        ll = total[:-1] * TEMPER * 3
-        spread = ll.max() - ll.min() if self.n else 0.0
-        return (ll * (MOST / spread) if spread > MOST else ll), int(total[-1])
+        self.rows = np.zeros((0, n + 1))
+
+    def _learn(self, words: list[str]) -> None:
+        """Rows of new words: mean log-likelihood of their n-grams, and 1 where there are letters."""
+        found = [grams(w) for w in words]
+        sizes = np.array([len(f) for f in found])
+        get, none = self.place.get, len(self.place)
+        flat = np.array([get(g, none) for f in found for g in f], np.int64)
+        rows = np.zeros((len(words), self.n + 1))
+        some = sizes > 0
+        if some.any():
+            starts = (np.cumsum(sizes) - sizes)[some]
+            rows[some, :-1] = np.add.reduceat(self.logs[flat], starts, axis=0) / sizes[some, None]
+            rows[some, -1] = 1
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.rows = np.concatenate([self.rows[:first], rows])
+
+    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
+        """(log-likelihood by language, words with letters) of each text."""
+        split = [t.lower().split() for t in texts]
+        words = set().union(*split)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = words
+        if new:
+            self._learn(list(new))
+        out = []
+        for w in split:
+            total = self.rows[np.fromiter(map(self.known.__getitem__, w), np.int64, len(w))].sum(0) if w else np.zeros(self.n + 1)
+            ll = total[:-1] * TEMPER * 3
+            spread = ll.max() - ll.min() if self.n else 0.0
+            out.append((ll * (MOST / spread) if spread > MOST else ll, int(total[-1])))
+        return out
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], dict[str, np.ndarray]]:
@@ -101,13 +106,10 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], dict[str, n
     counts = {r.declared: r["count"] for r in rows.where("declared <> ''").groupBy("declared").count().orderBy(F.desc("count")).limit(200).collect()}
     total = sum(counts.values())
     languages = sorted(t for t, n in counts.items() if n >= LEAST_SHARE * total)
-    texts, tags = [], []
-    for lang in languages:
-        some = rows.where((F.col("declared") == lang) & (F.length("text") <= SAMPLE_CHARS)).select("text")
-        for r in some.orderBy(F.xxhash64("text"), "text").limit(sample).collect():
-            texts.append(r.text)
-            tags.append(lang)
-    return languages, fit(texts, tags, languages)
+    some = rows.where(F.col("declared").isin(languages) & (F.length("text") <= SAMPLE_CHARS)).select("declared", "text")
+    w = Window.partitionBy("declared").orderBy(F.xxhash64("text"), "text")
+    found = sorted(some.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).drop("_r").collect())
+    return languages, fit([r.text for r in found], [r.declared for r in found], languages)
 
 
 def tag_of(lang: Column) -> Column:
@@ -133,10 +135,14 @@ def with_likelihoods(rows: DataFrame, languages: list[str], table: dict[str, np.
     @F.pandas_udf("ll array<double>, words int, own int")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = TextModel(table, len(languages))
-        for t in texts:
-            made = [model(x) for x in t]
-            yield pd.DataFrame({"ll": [m[0].tolist() for m in made], "words": [m[1] for m in made],
-                                "own": [int(np.argmax(m[0])) if m[1] and len(languages) else -1 for m in made]})
+        try:
+            for t in texts:
+                made = [m for lo in range(0, len(t), 100) for m in model(t.iloc[lo : lo + 100].tolist())]
+                yield pd.DataFrame({"ll": [m[0].tolist() for m in made], "words": [m[1] for m in made],
+                                    "own": [int(np.argmax(m[0])) if m[1] and len(languages) else -1 for m in made]})
+        finally:
+            del model
+            give_back()
 
     assert set(carried) <= set(kinds)
     return rows.select(*carried, score(F.coalesce("text", F.lit(""))).alias("s")).select(*carried, "s.*")
