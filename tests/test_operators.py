@@ -144,3 +144,18 @@ def test_itemsets(spark):
 def test_empty_csv_mark(spark):
     e = frame(spark, [], "ts timestamp")
     assert files.high_water_mark(e, "ts") is None and files.newer_than(e, "ts", None).count() == 0
+
+
+def test_global_rank_and_quantile(spark):
+    df = spark.range(1000).selectExpr("id", "cast(id * 37 % 101 as double) as v")
+    want = sorted((r.v, r.id) for r in df.collect())
+    got = sorted((r["rank"], r.v, r.id) for r in ranking.global_rank(df, "v", "id").collect())
+    assert [(v, i) for _, v, i in got] == want and [r for r, _, _ in got] == list(range(1, 1001))
+    assert ranking.exact_quantile(df, "v", "id", 0.995, "q").first().q == df.agg(F.expr("percentile(v, 0.995)")).first()[0]
+    assert ranking.exact_quantile(df.limit(0), "v", "id", 0.5, "q").first().q is None
+
+
+def test_rebalance_reaches_the_target(spark):
+    df = spark.range(100).selectExpr("id", "'g' as g", "id < 30 as won")
+    rows = sampling.rebalance(df, "g", "won", "id", 0.6, "s").collect()
+    assert sum(r.won for r in rows) == 30 and len(rows) == 50
