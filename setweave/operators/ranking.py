@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _slice_of(value: Column, bounds: list, first: int = 0) -> Column:
+    """How many of the ascending bounds lie under value, plus first; a balanced tree of comparisons."""
+    if not bounds:
+        return F.lit(first)
+    m = len(bounds) // 2
+    return F.when(value > bounds[m], _slice_of(value, bounds[m + 1 :], first + m + 1)).otherwise(_slice_of(value, bounds[:m], first))
+
+
 def global_rank(rows: DataFrame, value: str, tie: str, name: str = "rank", slices: int = 64) -> DataFrame:
     """rows with their rank from 1 by value, then tie, over the whole table.
 
@@ -14,8 +22,7 @@ def global_rank(rows: DataFrame, value: str, tie: str, name: str = "rank", slice
     """
     cuts = rows.agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
     bounds = sorted(set(cuts))
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value))) if bounds else F.lit(0)
-    cut = rows.withColumn("_s", at)
+    cut = rows.withColumn("_s", _slice_of(F.col(value), bounds))
     sizes = cut.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_s", (F.sum("_n").over(Window.orderBy("_s")) - F.col("_n")).alias("_b"))
     place = F.row_number().over(Window.partitionBy("_s").orderBy(value, tie))
