@@ -204,7 +204,7 @@ def simhash_components(docs: DataFrame, width: int = 3, bits: int = MAX_BITS) ->
     """
     marked = written(fingerprints(docs, width))
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comps = connected_components(fingerprint_links(least))
+    comps = connected_components(fingerprint_links(least, bits))
     named = least.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.select("fp", "component").join(ids, "component").select("fp", "component_id")
@@ -213,7 +213,7 @@ def simhash_components(docs: DataFrame, width: int = 3, bits: int = MAX_BITS) ->
 
 #: Near-duplicates of the cleaning stage: words of a shingle, least Jaccard likeness, most differing bits of the
 #: word fingerprints of a candidate pair.
-STAGE_WIDTH, STAGE_LIKENESS, STAGE_BITS = 5, 0.8, 16
+STAGE_WIDTH, STAGE_LIKENESS, STAGE_BITS = 5, 0.8, 12
 
 
 def word_fingerprint(text: str) -> int:
@@ -346,24 +346,35 @@ def keep_one_of_each(docs: DataFrame, likeness: float = STAGE_LIKENESS, width: i
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["doc_id"], "set": [shingle_set(t, width).tobytes() for t in b["text"]]})
+            made = [shingle_set(t, width) for t in b["text"]]
+            # Sets of that likeness share one of the first hashes of either, or their sizes alone keep them apart.
+            heads = [x[: len(x) - int(np.ceil(likeness * len(x) - 1e-9)) + 1] for x in made]
+            yield pd.DataFrame({"id": b["doc_id"], "n": [len(x) for x in made], "head": [x.tobytes() for x in heads], "set": [x.tobytes() for x in made]})
 
-    made = written(ready.select("doc_id", "text").join(asked, "doc_id").mapInPandas(sets, "id long, set binary").groupBy("id").agg(F.min("set").alias("set")))
+    found = ready.select("doc_id", "text").join(asked, "doc_id").mapInPandas(sets, "id long, n int, head binary, set binary")
+    made = written(found.groupBy("id").agg(F.min(F.struct("set", "n", "head")).alias("s")).select("id", "s.*"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) > 0 for x, y in zip(b["x"], b["y"])]
+            yield b.loc[ok, ["a", "b"]]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ok = []
             for x, y in zip(b["x"], b["y"]):
-                small, large = sorted((len(x), len(y)))
-                if small < likeness * large:
-                    ok.append(False)
-                    continue
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= likeness * (len(p) + len(q) - both))
+                ok.append(both >= likeness * (len(p) + len(q) - both) - 1e-9)
             yield b.loc[ok, ["a", "b"]]
 
-    met = pairs.join(made.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(made.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    def side(name: str, part: str, value: str) -> DataFrame:
+        return made.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col(part).alias(value))
+
+    sized = pairs.join(side("a", "head", "x"), "a").join(side("b", "head", "y"), "b").where(
+        (F.col("n_a") >= likeness * F.col("n_b") - 1e-9) & (F.col("n_b") >= likeness * F.col("n_a") - 1e-9))
+    near = written(sized.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long"))
+    met = near.join(side("a", "set", "x"), "a").join(side("b", "set", "y"), "b").select("a", "b", "x", "y")
     comps = connected_components(met.mapInPandas(verify, "a long, b long"), "a", "b")
     kept = texts.select(F.col("id").alias("node")).distinct().join(comps, "node", "left").where("component is null or component = node").select(F.col("node").alias("doc_id"))
     counts = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
