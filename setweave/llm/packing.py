@@ -14,6 +14,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setweave.llm.workers import lean
+
 #: Tokens of a sequence, documents of a group on average.
 SEQUENCE, GROUP_DOCS = 1024, 2000
 #: Fixed value: how vocabularies of this kind cut a text before merging.
@@ -62,7 +64,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                 part = b.iloc[lo : lo + 500]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": [x + end for x in encode(part["text"].tolist())]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(lean(run), "doc_id long, ids binary")
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:

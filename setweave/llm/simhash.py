@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from setweave.functions.session import written
 from setweave.operators.components import connected_components
+from setweave.llm.workers import lean
 
 #: Fixed value: generator polynomial of the (23,12) Golay code.
 GOLAY = 0xC75
@@ -96,7 +97,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fps = np.array([simhash(t, width) for t in b["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fps})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(lean(run), "doc_id long, fp long")
 
 
 class Forest:
@@ -190,8 +191,8 @@ def fingerprint_links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
                 key, row = keys_of(part.view(np.uint64))
                 yield pd.DataFrame({"key": key.astype(np.int32), "fp": part[row]})
 
-    keyed = fps.select("fp").distinct().mapInPandas(emit, "key int, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_link(bits), "src long, dst long")
+    keyed = fps.select("fp").distinct().mapInPandas(lean(emit), "key int, fp long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(lean(_link(bits)), "src long, dst long")
 
 
 def simhash_components(docs: DataFrame, width: int = 3, bits: int = MAX_BITS) -> DataFrame:
@@ -290,7 +291,7 @@ def _candidates(bits: int, small: int = 64):
             if cut:
                 out = settle(keys[:cut], fps[:cut], ids[:cut], seen)
                 keys, fps, ids = keys[cut:], fps[cut:], ids[cut:]
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
         yield pd.DataFrame(settle(keys, fps, ids, seen), columns=["a", "b"], dtype="int64")
@@ -330,7 +331,7 @@ def keep_one_of_each(docs: DataFrame, likeness: float = STAGE_LIKENESS, width: i
 
     text = F.coalesce("text", F.lit(""))
     ready = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
-    marked = written(ready.mapInPandas(mark, "doc_id long, digest binary, fp long"))
+    marked = written(ready.mapInPandas(lean(mark), "doc_id long, digest binary, fp long"))
     texts = written(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -340,8 +341,8 @@ def keep_one_of_each(docs: DataFrame, likeness: float = STAGE_LIKENESS, width: i
                 key, row = pair_keys(f[lo : lo + 4096].view(np.uint64))
                 yield pd.DataFrame({"key": key.astype(np.int32), "fp": f[lo : lo + 4096][row], "id": ids[lo : lo + 4096][row]})
 
-    keyed = texts.select("fp", "id").mapInPandas(emit, "key int, fp long, id long")
-    pairs = written(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_candidates(bits), "a long, b long").where("a <> b").distinct())
+    keyed = texts.select("fp", "id").mapInPandas(lean(emit), "key int, fp long, id long")
+    pairs = written(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(lean(_candidates(bits)), "a long, b long").where("a <> b").distinct())
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -351,7 +352,7 @@ def keep_one_of_each(docs: DataFrame, likeness: float = STAGE_LIKENESS, width: i
             heads = [x[: len(x) - int(np.ceil(likeness * len(x) - 1e-9)) + 1] for x in made]
             yield pd.DataFrame({"id": b["doc_id"], "n": [len(x) for x in made], "head": [x.tobytes() for x in heads], "set": [x.tobytes() for x in made]})
 
-    found = ready.select("doc_id", "text").join(asked, "doc_id").mapInPandas(sets, "id long, n int, head binary, set binary")
+    found = ready.select("doc_id", "text").join(asked, "doc_id").mapInPandas(lean(sets), "id long, n int, head binary, set binary")
     made = written(found.groupBy("id").agg(F.min(F.struct("set", "n", "head")).alias("s")).select("id", "s.*"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -373,9 +374,9 @@ def keep_one_of_each(docs: DataFrame, likeness: float = STAGE_LIKENESS, width: i
 
     sized = pairs.join(side("a", "head", "x"), "a").join(side("b", "head", "y"), "b").where(
         (F.col("n_a") >= likeness * F.col("n_b") - 1e-9) & (F.col("n_b") >= likeness * F.col("n_a") - 1e-9))
-    near = written(sized.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long"))
+    near = written(sized.select("a", "b", "x", "y").mapInPandas(lean(compare), "a long, b long"))
     met = near.join(side("a", "set", "x"), "a").join(side("b", "set", "y"), "b").select("a", "b", "x", "y")
-    comps = connected_components(met.mapInPandas(verify, "a long, b long"), "a", "b")
+    comps = connected_components(met.mapInPandas(lean(verify), "a long, b long"), "a", "b")
     kept = texts.select(F.col("id").alias("node")).distinct().join(comps, "node", "left").where("component is null or component = node").select(F.col("node").alias("doc_id"))
     counts = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
     chosen = kept.join(counts, "doc_id").withColumnRenamed("doc_id", "_id")

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setweave.functions.session import shared_dir, written
+from setweave.llm.workers import lean
 
 LENGTH, K = 200, 40
 #: Contexts of one anchor in one shard, bytes of a shard's text, bytes of text of one bucket of the collapsed texts.
@@ -286,7 +287,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     texts = spark.table(name)
 
     kind = "key binary, p int, lo int, hi int, h long"
-    anchors = written(texts.select("key", "text").mapInPandas(_scan(length), kind))
+    anchors = written(texts.select("key", "text").mapInPandas(lean(_scan(length)), kind))
     often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     kept = anchors.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("p", "lo", "hi", "h")).alias("at"))
 
@@ -302,7 +303,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
             yield pd.DataFrame(out, columns=["ctx_id", "h", "key", "lo", "hi"])
 
     met = texts.select("key", "text").join(kept.hint("shuffle_hash"), "key")
-    places = written(met.mapInPandas(contexts, "ctx_id binary, h long, key binary, lo int, hi int"))
+    places = written(met.mapInPandas(lean(contexts), "ctx_id binary, h long, key binary, lo int, hi int"))
     distinct = written(places.groupBy("ctx_id").agg(
         F.count(F.lit(1)).alias("seen"), F.min(F.struct("key", "lo", "hi", "h")).alias("at")).select("ctx_id", "seen", "at.*"))
     groups = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("least")).where("n > 1 and least = 1")
@@ -319,10 +320,10 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
             yield pd.DataFrame(out, columns=["ctx_id", "h", "part", "parts", "seen", "ctx"])
 
     cut = texts.select("key", "text").join(by_text.hint("shuffle_hash"), "key").mapInPandas(
-        cut_out, "ctx_id binary, h long, part int, parts int, seen long, ctx binary")
+        lean(cut_out), "ctx_id binary, h long, part int, parts int, seen long, ctx binary")
     solved = written(cut.repartition("h", "part").sortWithinPartitions("h", "part").mapInPandas(
-        _shard(length), "ctx_id binary, first int, last int, digest binary"))
-    across = solved.where("digest is not null").repartition("digest").mapInPandas(_merge, "ctx_id binary, first int, last int")
+        lean(_shard(length)), "ctx_id binary, first int, last int, digest binary"))
+    across = solved.where("digest is not null").repartition("digest").mapInPandas(lean(_merge), "ctx_id binary, first int, last int")
     inside = solved.where("digest is null").select("ctx_id", "first", "last").union(across)
     whole = distinct.where("seen > 1").select("ctx_id", F.lit(0).alias("first"), (F.col("hi") - F.col("lo")).alias("last"))
     ranges = places.join(whole.union(inside), "ctx_id").select("key", (F.col("lo") + F.col("first")).alias("first"), (F.col("lo") + F.col("last")).alias("last"))
@@ -368,7 +369,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
             yield pd.DataFrame(out, columns=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text])
 
     kind = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.join(spans.hint("shuffle_hash"), "key", "left").mapInPandas(run, kind)
+    return texts.join(spans.hint("shuffle_hash"), "key", "left").mapInPandas(lean(run), kind)
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -18,10 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from setweave.llm.workers import give_back, lean
+
 #: Labelled texts of each class that are fitted, and characters a fitted text has at most. Scoring has no bound.
 SAMPLE, SAMPLE_CHARS = 1500, 40_000
 #: Embedding size, texts an n-gram occurs in at least, deviations that make it telling, passes, step size, decay, words a task remembers.
-DIM, LEAST_TEXTS, TELLING, PASSES, STEP, DECAY, CACHE = 8, 4, 4.0, 150, 0.05, 2e-4, 300_000
+DIM, LEAST_TEXTS, TELLING, PASSES, STEP, DECAY, CACHE = 8, 4, 4.0, 150, 0.05, 2e-4, 150_000
 _EDGE = ".,;:!?\"'()[]{}<>|%$&*#@~_-+=/\\"
 
 
@@ -180,7 +182,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "score": s, "predicted": (s >= 0.5).astype("int32")})
 
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return ready.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return ready.mapInPandas(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
@@ -190,7 +192,11 @@ def keep_clean(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFr
     @F.pandas_udf("double")
     def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(table, bias)
-        for t in texts:
-            yield pd.Series([scorer(x) for x in t], dtype=float)
+        try:
+            for t in texts:
+                yield pd.Series([scorer(x) for x in t], dtype=float)
+        finally:
+            scorer.known.clear()
+            give_back()
 
     return docs.where(toxic(F.coalesce("text", F.lit(""))) < 0.5)
