@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setweave.functions.session import written
+from setweave.functions.session import forget, written
 from setweave.operators.components import connected_components
 from setweave.llm.workers import lean
 
@@ -315,12 +315,117 @@ def _nearest_tree(fps: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[tuple
             yield int(ids[at]), int(ids[near[at]])
 
 
+#: The exact candidates: texts that make a shingle common, one text in so many is counted for it, share of the hash range counted, bits of the table.
+COMMON, COUNTED_TEXTS, COUNTED_HASHES, TABLE_BITS = 96, 8, 0.4, 24
+
+
+def prefix_of(shingles: np.ndarray, likeness: float, common: np.ndarray) -> np.ndarray:
+    """The first of a set's shingles, in an order that all sets share, of which two sets of that likeness hold one in common.
+
+    The order is by hash, those marked in the bit table `common` last: any table gives the same
+    linked texts, a good one keeps widespread shingles out of the prefixes.
+    """
+    size = len(shingles) - int(np.ceil(likeness * len(shingles) - 1e-9)) + 1
+    place = (shingles >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    late = common[place >> 3] >> (place & 7) & 1
+    return shingles[np.argsort(late, kind="stable")[:size]]
+
+
+def _common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Bit table of the shingles found in COMMON texts or more, by the count in one text of COUNTED_TEXTS."""
+
+    def low(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [shingle_set(t, width) for t in b["text"]]
+            made = [x[: np.searchsorted(x, np.uint64(int(COUNTED_HASHES * 2**64)))] for x in made]
+            yield pd.DataFrame({"h": np.concatenate([*made, np.zeros(0, np.uint64)]).view(np.int64)})
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED_TEXTS)) == 0).select("text").mapInPandas(lean(low), "h long")
+    many = some.groupBy("h").count().where(F.col("count") >= COMMON // COUNTED_TEXTS)
+    found = many.select(F.shiftrightunsigned("h", 64 - TABLE_BITS).cast("int").alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)
+    table = np.zeros(1 << TABLE_BITS, bool)
+    table[found] = True
+    return np.packbits(table, bitorder="little")
+
+
+def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of h without those whose h occurs once."""
+    last, again = None, False  # the row that may go on in the next batch, and whether its h occurred before
+    for b in batches:
+        if last is not None:
+            b = pd.concat([last, b], ignore_index=True)
+        if not len(b):
+            continue
+        h = b["h"].to_numpy()
+        same = h[1:] == h[:-1]
+        kept = np.append(again if last is not None else False, same) | np.append(same, False)
+        last, again = b.iloc[-1:], bool(kept[-1])
+        yield b[:-1][kept[:-1]]
+    if again:
+        yield last
+
+
+def _unlinked_pairs(likeness: float, small: int = 64):
+    """Pairs (a, b) of one shingle in different components whose sizes and places allow the likeness; rows in order of (h, component)."""
+    share = likeness / (1 + likeness)
+
+    def settle(b: pd.DataFrame, seen: set) -> pd.DataFrame:
+        h, comp, ids, n, pos = (b[c].to_numpy(np.int64) for c in ("h", "component", "id", "n", "pos"))
+        found = []
+
+        def fits(i: np.ndarray, j: np.ndarray) -> None:
+            # Nothing before the lesser place and nothing after the other's end can be shared besides what lies on both sides.
+            most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+            ok = most >= share * (n[i] + n[j]) - 1e-6
+            found.extend(zip(np.minimum(ids[i], ids[j])[ok].tolist(), np.maximum(ids[i], ids[j])[ok].tolist()))
+
+        cut = np.flatnonzero(np.diff(h)) + 1
+        starts, ends = np.append(0, cut), np.append(cut, len(h))
+        size = np.repeat(ends - starts, ends - starts)
+        for step in range(1, min(small, len(h))):
+            at = np.flatnonzero((size[:-step] > step) & (size[:-step] <= small) & (h[:-step] == h[step:]))
+            if not len(at):
+                break
+            at = at[comp[at] != comp[at + step]]
+            fits(at, at + step)
+        for s, e in zip(starts[ends - starts > small], ends[ends - starts > small]):
+            if comp[s] == comp[e - 1]:
+                continue
+            after = s + np.searchsorted(comp[s:e], comp[s:e], side="right")
+            for i in range(s, e):
+                if after[i - s] < e:
+                    fits(np.array([i]), np.arange(after[i - s], e))
+        pairs = set(found).difference(seen)
+        seen.update(pairs)
+        return pd.DataFrame(list(pairs), columns=["a", "b"], dtype="int64")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set = set()
+        waiting: list[pd.DataFrame] = []  # rows of the last shingle, which may go on
+        for b in batches:
+            if not len(b):
+                continue
+            h = b["h"].to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))
+            if cut or waiting and waiting[-1]["h"].iat[-1] != h[0]:
+                yield settle(pd.concat([*waiting, b[:cut]], ignore_index=True), seen)
+                waiting = []
+                if len(seen) > 200_000:
+                    seen.clear()
+            waiting.append(b[cut:])
+        if waiting:
+            yield settle(pd.concat(waiting, ignore_index=True), seen)
+
+    return run
+
+
 def keep_one_of_each(docs: DataFrame, likeness: float = STAGE_LIKENESS, width: int = STAGE_WIDTH, bits: int = STAGE_BITS) -> DataFrame:
     """docs with one row, that of the least doc_id, of each group of near-duplicates.
 
     Equal texts are one group. Others are linked when the Jaccard likeness of their sets of word shingles
-    is `likeness` or more; candidates are pairs whose word fingerprints share a pair of Golay keys and differ in
-    `bits` bits at most, and every candidate is verified on the whole texts. Null texts are empty;
+    is `likeness` or more. Pairs whose word fingerprints share a pair of Golay keys and differ in `bits` bits at
+    most are verified first and join most copies; then every two texts not yet joined that share a shingle
+    of their prefixes are verified, which leaves out no pair of that likeness. Null texts are empty;
     rows with a null id stay; of rows that repeat an id one stays. Columns are unchanged.
     """
 
@@ -343,17 +448,18 @@ def keep_one_of_each(docs: DataFrame, likeness: float = STAGE_LIKENESS, width: i
 
     keyed = texts.select("fp", "id").mapInPandas(lean(emit), "key int, fp long, id long")
     pairs = written(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(lean(_candidates(bits)), "a long, b long").where("a <> b").distinct())
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    alone = written(ready.join(texts.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(F.col("doc_id").alias("id"), "text"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [shingle_set(t, width) for t in b["text"]]
             # Sets of that likeness share one of the first hashes of either, or their sizes alone keep them apart.
             heads = [x[: len(x) - int(np.ceil(likeness * len(x) - 1e-9)) + 1] for x in made]
-            yield pd.DataFrame({"id": b["doc_id"], "n": [len(x) for x in made], "head": [x.tobytes() for x in heads], "set": [x.tobytes() for x in made]})
+            yield pd.DataFrame({"id": b["id"], "n": [len(x) for x in made], "head": [x.tobytes() for x in heads], "set": [x.tobytes() for x in made]})
 
-    found = ready.select("doc_id", "text").join(asked, "doc_id").mapInPandas(lean(sets), "id long, n int, head binary, set binary")
-    made = written(found.groupBy("id").agg(F.min(F.struct("set", "n", "head")).alias("s")).select("id", "s.*"))
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        return written(alone.join(asked, "id").mapInPandas(lean(sets), "id long, n int, head binary, set binary"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -369,14 +475,35 @@ def keep_one_of_each(docs: DataFrame, likeness: float = STAGE_LIKENESS, width: i
                 ok.append(both >= likeness * (len(p) + len(q) - both) - 1e-9)
             yield b.loc[ok, ["a", "b"]]
 
-    def side(name: str, part: str, value: str) -> DataFrame:
+    def side(made: DataFrame, name: str, part: str, value: str) -> DataFrame:
         return made.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col(part).alias(value))
 
-    sized = pairs.join(side("a", "head", "x"), "a").join(side("b", "head", "y"), "b").where(
+    def verified(made: DataFrame, pairs: DataFrame) -> DataFrame:
+        met = pairs.join(side(made, "a", "set", "x"), "a").join(side(made, "b", "set", "y"), "b").select("a", "b", "x", "y")
+        return written(met.mapInPandas(lean(verify), "a long, b long"))
+
+    made = sets_of(pairs)
+    sized = pairs.join(side(made, "a", "head", "x"), "a").join(side(made, "b", "head", "y"), "b").where(
         (F.col("n_a") >= likeness * F.col("n_b") - 1e-9) & (F.col("n_b") >= likeness * F.col("n_a") - 1e-9))
-    near = written(sized.select("a", "b", "x", "y").mapInPandas(lean(compare), "a long, b long"))
-    met = near.join(side("a", "set", "x"), "a").join(side("b", "set", "y"), "b").select("a", "b", "x", "y")
-    comps = connected_components(met.mapInPandas(lean(verify), "a long, b long"), "a", "b")
+    links = verified(made, written(sized.select("a", "b", "x", "y").mapInPandas(lean(compare), "a long, b long")))
+    forget(made)
+    joined = written(connected_components(links, "a", "b"))
+    common = _common_shingles(alone, width)
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 256):
+                made = [shingle_set(t, width) for t in b["text"].iloc[lo : lo + 256]]
+                first = [prefix_of(x, likeness, common) for x in made]
+                sizes = [len(x) for x in first]
+                yield pd.DataFrame({"h": np.concatenate(first).view(np.int64), "id": np.repeat(b["id"].to_numpy()[lo : lo + 256], sizes),
+                                    "n": np.repeat([len(x) for x in made], sizes), "pos": np.concatenate([np.arange(k) for k in sizes])})
+
+    kinds = "h long, id long, n int, pos int"
+    shared = alone.mapInPandas(lean(prefixes), kinds).repartition("h").sortWithinPartitions("h").mapInPandas(lean(_shared), kinds)
+    placed = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    more = written(placed.repartition("h").sortWithinPartitions("h", "component").mapInPandas(lean(_unlinked_pairs(likeness)), "a long, b long").distinct())
+    comps = connected_components(links.union(verified(sets_of(more), more)), "a", "b")
     kept = texts.select(F.col("id").alias("node")).distinct().join(comps, "node", "left").where("component is null or component = node").select(F.col("node").alias("doc_id"))
     counts = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
     chosen = kept.join(counts, "doc_id").withColumnRenamed("doc_id", "_id")

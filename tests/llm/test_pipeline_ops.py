@@ -116,3 +116,19 @@ def test_pipeline_runs(spark, small):
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows.columns)
     ids = {r.doc_id for r in rows.select("doc_id").distinct().collect()}
     assert 0.75 * 200 < len(ids) < 200
+
+
+def test_near_duplicate_stage_against_brute_force_near_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    texts, line = {}, prose(rng, 12)
+    for i in range(150):  # copies at 0.80 to 0.86 by an appended block, the start alone or scattered edits; one line is everywhere
+        words = (prose(rng, int(rng.integers(60, 300))) + " " + line).split()
+        more = int(len(words) * rng.uniform(0.16, 0.25))
+        texts[i] = " ".join(words)
+        texts[1000 + i] = (" ".join(words + [f"new{rng.integers(10**6)}" for _ in range(more)]), " ".join(words[: len(words) - int(more * 0.8)]), edited(rng, texts[i], 0.02))[i % 3]
+    sets = {i: set(simhash.shingle_set(t).tolist()) for i, t in texts.items()}
+    near = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) > 100
+    gone = {r.node for r in connected_components(spark.createDataFrame(near, "src long, dst long")).where("node <> component").collect()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one_of_each(docs).collect()} == set(texts) - gone
