@@ -257,7 +257,10 @@ def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(bits: int, small: int = 64):
-    """Pairs (a, b) of one bucket at most `bits` apart; in buckets over `small`, each member with the nearest already reached instead of all."""
+    """Pairs (a, b) of one bucket at most `bits` apart; in buckets over `small`, those of _near_in_order instead of all.
+
+    What these pairs leave unlinked, by a failed check or otherwise, is left to the exact candidates.
+    """
 
     def settle(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, seen: set) -> list[tuple[int, int]]:
         found = []
@@ -275,7 +278,7 @@ def _candidates(bits: int, small: int = 64):
             at = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= bits]
             found.extend(zip(ids[at].tolist(), ids[at + step].tolist()))
         for s, e in zip(starts[ends - starts > small], ends[ends - starts > small]):
-            found.extend(_nearest_tree(fps[s:e], ids[s:e], bits))
+            found.extend(_near_in_order(fps[s:e], ids[s:e], bits))
         pairs = {(min(p), max(p)) for p in found}.difference(seen)
         seen.update(pairs)
         return list(pairs)
@@ -299,20 +302,18 @@ def _candidates(bits: int, small: int = 64):
     return run
 
 
-def _nearest_tree(fps: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
-    """Prim's tree by differing bits, cut where the nearest is more than `bits` away: n - 1 pairs at most."""
-    far = np.full(len(fps), 255, np.int64)
-    near = np.zeros(len(fps), np.int64)
-    left = np.ones(len(fps), bool)
-    at = 0
-    for _ in range(len(fps) - 1):
-        left[at] = False
-        d = np.bitwise_count(fps ^ fps[at]).astype(np.int64)
-        closer = left & (d < far)
-        far[closer], near[closer] = d[closer], at
-        at = int(np.argmin(np.where(left, far, 999)))
-        if far[at] <= bits:
-            yield int(ids[at]), int(ids[near[at]])
+def _near_in_order(fps: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a large bucket at most `bits` apart: each member with the first, and neighbours when sorted by the fingerprint turned by 0, 16, 32 and 48 bits; under 5n pairs."""
+    def near(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+        ok = np.bitwise_count(fps[i] ^ fps[j]) <= bits
+        return zip(ids[i[ok]].tolist(), ids[j[ok]].tolist())
+
+    order = np.lexsort((ids, fps))
+    yield from near(np.repeat(order[:1], len(order) - 1), order[1:])
+    for turn in (0, 16, 32, 48):
+        turned = fps << np.uint64(turn) | fps >> np.uint64(64 - turn) if turn else fps
+        order = np.lexsort((ids, turned))
+        yield from near(order[:-1], order[1:])
 
 
 #: The exact candidates: texts that make a shingle common, one text in so many is counted for it, share of the hash range counted, bits of the table.

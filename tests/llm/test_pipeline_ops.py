@@ -132,3 +132,23 @@ def test_near_duplicate_stage_against_brute_force_near_the_threshold(spark):
     gone = {r.node for r in connected_components(spark.createDataFrame(near, "src long, dst long")).where("node <> component").collect()}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one_of_each(docs).collect()} == set(texts) - gone
+
+
+def test_large_groups_of_copies_split_as_by_brute_force(spark):
+    rng = np.random.default_rng(13)
+    base = prose(rng, 300)
+    texts = {i: edited(rng, base, 0.022) for i in range(300)}
+    sets = {i: set(simhash.shingle_set(t).tolist()) for i, t in texts.items()}
+    near = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    gone = {r.node for r in connected_components(spark.createDataFrame(near, "src long, dst long")).where("node <> component").collect()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert 10 < len(gone) < 300 and {r.doc_id for r in simhash.keep_one_of_each(docs).collect()} == set(texts) - gone
+
+
+def test_large_buckets_give_linear_candidates():
+    rng = np.random.default_rng(14)
+    n = 100_000  # a quadratic search of this bucket takes 10,000,000,000 comparisons
+    fps = rng.integers(0, 2**60, 1).astype(np.uint64)[0] ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+    frame = simhash.pd.DataFrame({"key": np.zeros(n, np.int32), "fp": fps.view(np.int64), "id": np.arange(n)})
+    made = simhash.pd.concat(simhash._candidates(12)(iter([frame])))
+    assert len(made) < 5 * n and len(set(made.a) | set(made.b)) == n
