@@ -61,6 +61,17 @@ def test_planted_passages_are_found(spark):
     assert chaining.fuzzy_passages(df.limit(0)).count() == 0
 
 
+def test_passages_survive_earlier_texts_with_parts_of_them(spark):
+    rng = np.random.default_rng(15)
+    shared = [f"s{i}" for i in range(40)]
+    texts = {i: " ".join([prose(rng, 60), *shared[lo : lo + 22], prose(rng, 60)]) for i, lo in enumerate((0, 9, 18))}  # every six words are in one of these
+    texts |= {i: " ".join([prose(rng, 60), *shared, prose(rng, 60)]) for i in (10, 11, 12)}
+    rows = chaining.fuzzy_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    linked = {(r.doc_id, r.other_id) for r in rows}
+    assert len(linked) >= 2 and {i for p in linked for i in p} == {10, 11, 12}
+    assert all(r.first_word == r.other_first == 60 and r.last_word == r.other_last == 100 for r in rows)
+
+
 def pages(spark):
     de, fr = "und der die das nicht ich ein zu haben werden über", "et le la les des une pas pour être avec où"
     rng = np.random.default_rng(8)
