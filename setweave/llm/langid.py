@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from setweave.functions.session import written
 from setweave.llm.workers import give_back
 
-#: Texts fitted for each declared language, their longest length, least share of rows that makes a declared tag a language.
-SAMPLE, SAMPLE_CHARS, LEAST_SHARE = 400, 20_000, 0.005
+#: Texts fitted for each declared language, their longest length; least rows, or else least share of them, that make a declared tag a language.
+SAMPLE, SAMPLE_CHARS, LEAST_ROWS, LEAST_SHARE = 400, 20_000, 20, 0.005
+#: Least share of a text's n-grams, word by word, that some language must know for the text to count as evidence.
+KNOWN = 0.5
 #: Weight of one word's likelihood (neighbouring n-grams are not independent), the most a text may weigh, smoothing counts, words a task remembers.
 TEMPER, MOST, SMOOTH, CACHE = 0.5, 40.0, 10.0, 100_000
 UNKNOWN = "und"
@@ -60,26 +62,27 @@ class TextModel:
         self.n, self.place = n, {g: i for i, g in enumerate(table)}
         self.logs = np.array([*table.values(), np.zeros(n)]).reshape(len(table) + 1, n)  # the last row stands for unknown n-grams
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, n + 1))
+        self.rows = np.zeros((0, n + 2))
 
     def _learn(self, words: list[str]) -> None:
-        """Rows of new words: mean log-likelihood of their n-grams, and 1 where there are letters."""
+        """Rows of new words: mean log-likelihood of their n-grams, 1 where there are letters, and the share of their n-grams that is known."""
         found = [grams(w) for w in words]
         sizes = np.array([len(f) for f in found])
         get, none = self.place.get, len(self.place)
         flat = np.array([get(g, none) for f in found for g in f], np.int64)
-        rows = np.zeros((len(words), self.n + 1))
+        rows = np.zeros((len(words), self.n + 2))
         some = sizes > 0
         if some.any():
             starts = (np.cumsum(sizes) - sizes)[some]
-            rows[some, :-1] = np.add.reduceat(self.logs[flat], starts, axis=0) / sizes[some, None]
-            rows[some, -1] = 1
+            rows[some, :-2] = np.add.reduceat(self.logs[flat], starts, axis=0) / sizes[some, None]
+            rows[some, -2] = 1
+            rows[some, -1] = np.add.reduceat((flat != none).astype(float), starts) / sizes[some]
         first = len(self.known)
         self.known.update(zip(words, range(first, first + len(words))))
         self.rows = np.concatenate([self.rows[:first], rows])
 
-    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, int]]:
-        """(log-likelihood by language, words with letters) of each text."""
+    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, int, bool]]:
+        """(log-likelihood by language, words with letters, whether enough n-grams are known) of each text."""
         split = [t.lower().split() for t in texts]
         words = set().union(*split)
         new = words.difference(self.known)
@@ -90,22 +93,23 @@ class TextModel:
             self._learn(list(new))
         out = []
         for w in split:
-            total = self.rows[np.fromiter(map(self.known.__getitem__, w), np.int64, len(w))].sum(0) if w else np.zeros(self.n + 1)
-            ll = total[:-1] * TEMPER * 3
+            total = self.rows[np.fromiter(map(self.known.__getitem__, w), np.int64, len(w))].sum(0) if w else np.zeros(self.n + 2)
+            known = bool(total[-1] >= KNOWN * total[-2])
+            ll = total[:-2] * TEMPER * 3 if known else np.zeros(self.n)
             spread = ll.max() - ll.min() if self.n else 0.0
-            out.append((ll * (MOST / spread) if spread > MOST else ll, int(total[-1])))
+            out.append((ll * (MOST / spread) if spread > MOST else ll, int(total[-2]), known))
         return out
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], dict[str, np.ndarray]]:
     """(languages, n-gram table) from columns text and declared.
 
-    Languages are the declared tags of LEAST_SHARE of all tagged rows or more; each is fitted on at most
+    Languages are the declared tags of LEAST_ROWS rows or LEAST_SHARE of all tagged rows, whichever is less; each is fitted on at most
     `sample` texts, by hash of the text.
     """
-    counts = {r.declared: r["count"] for r in rows.where("declared <> ''").groupBy("declared").count().orderBy(F.desc("count")).limit(200).collect()}
+    counts = {r.declared: r["count"] for r in rows.where("declared <> ''").groupBy("declared").count().collect()}
     total = sum(counts.values())
-    languages = sorted(t for t, n in counts.items() if n >= LEAST_SHARE * total)
+    languages = sorted(t for t, n in counts.items() if n >= min(LEAST_ROWS, LEAST_SHARE * total))
     some = rows.where(F.col("declared").isin(languages) & (F.length("text") <= SAMPLE_CHARS)).select("declared", "text")
     w = Window.partitionBy("declared").orderBy(F.xxhash64("text"), "text")
     found = sorted(some.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).drop("_r").collect())
@@ -128,7 +132,7 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def with_likelihoods(rows: DataFrame, languages: list[str], table: dict[str, np.ndarray], keys: list[str]) -> DataFrame:
-    """keys, declared, host, site, suffix, ll (array by language), words and own (the likeliest language's place, -1 without words)."""
+    """keys, declared, host, site, suffix, ll (array by language), words and own (the likeliest language's place, -1 without words or where most n-grams are unknown)."""
     carried = [*keys, "declared", "host", "site", "suffix"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
@@ -139,7 +143,7 @@ def with_likelihoods(rows: DataFrame, languages: list[str], table: dict[str, np.
             for t in texts:
                 made = [m for lo in range(0, len(t), 100) for m in model(t.iloc[lo : lo + 100].tolist())]
                 yield pd.DataFrame({"ll": [m[0].tolist() for m in made], "words": [m[1] for m in made],
-                                    "own": [int(np.argmax(m[0])) if m[1] and len(languages) else -1 for m in made]})
+                                    "own": [int(np.argmax(m[0])) if m[1] and m[2] and len(languages) else -1 for m in made]})
         finally:
             del model
             give_back()
@@ -153,7 +157,8 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
 
     Log posterior = text likelihood + log P(declared | language) + log P(language | host), where the
     host's share is smoothed by its site's, that by the suffix's, that by the corpus's; P(declared |
-    language) comes from all rows' text languages. Rows with no words and no evidence are 'und'.
+    language) comes from all rows' text languages. Rows with no words, or words that no
+    language knows, and no declared language are 'und'.
     """
     n = len(languages)
     if not n:
@@ -190,7 +195,7 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
     rows = rows.withColumn("_log", logs).withColumn("_top", F.array_max("_log"))
     best = (F.array_position("_log", F.col("_top")) - 1).cast("int")
     mass = F.aggregate("_log", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
-    blind = (F.col("words") == 0) & ~F.col("declared").isin(languages)
+    blind = (F.col("own") < 0) & ~F.col("declared").isin(languages)
     return rows.withColumn("language", F.when(blind, UNKNOWN).otherwise(F.element_at(F.array(*map(F.lit, languages)), best + 1))).withColumn(
         "posterior", F.when(blind, 0.0).otherwise(1 / mass)).select(*scored.columns, "language", "posterior")
 
@@ -199,7 +204,7 @@ def identify_pages(pages: DataFrame) -> DataFrame:
     """(page_id, declared, suffix, host, text_language, language, posterior) of every page.
 
     Null or unreadable html, url and tags count as no evidence. text_language is null where
-    the page shows no words; language is 'und' where there is no declared tag either.
+    the page shows no words or none that a language knows; language is 'und' where there is no declared tag either.
     """
     rows = page_evidence(pages)
     languages, table = train(rows)
@@ -211,6 +216,7 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs whose language is settled: rows without any word, or with fused evidence under least for every language, go.
+    Where no language can be learnt, for want of tags, all rows with words stay.
 
     The language column is the declared tag and the source stands for the host. Columns and other rows are unchanged.
     """
@@ -220,5 +226,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
         F.coalesce("source", none).alias("host"), none.alias("site"), none.alias("suffix"))
     languages, table = train(evidence)
     scored = written(with_likelihoods(evidence, languages, table, ["_key"]))
-    settled = fuse(scored, languages).where((F.col("words") > 0) & (F.col("posterior") >= least) & (F.col("language") != UNKNOWN))
+    settled = scored.where("words > 0")
+    if languages:
+        settled = fuse(settled, languages).where((F.col("posterior") >= least) & (F.col("language") != UNKNOWN))
     return docs.withColumn("_key", F.xxhash64("doc_id", "text", "lang", "source")).join(settled.select("_key").distinct(), "_key", "left_semi").drop("_key")

@@ -103,6 +103,21 @@ def test_identified_documents_stay(spark, small):
     assert langid.keep_identified(docs.limit(0)).count() == 0
 
 
+def test_rare_and_unknown_languages(spark):
+    rng = np.random.default_rng(16)
+    say = {"de": "und der die das nicht ich ein haben werden", "is": "og ekki það sem þetta við hún fyrir", "el": "και το της είναι στο για που δεν"}
+    page = lambda i, tag, words: (i, "", f"<html{tag and f' lang={tag!r}'}><p>{' '.join(rng.choice(say[words].split(), 30))}</p></html>")
+    rows = [page(i, "de", "de") for i in range(6000)] + [page(i, "is", "is") for i in range(7000, 7025)] + [page(8000, "", "is"), page(8001, "", "el")]
+    got = {r.page_id: r.language for r in langid.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(7000, 7025)} == {"is"} and got[8000] == "is"  # under 0.5 % of the pages
+    assert got[8001] == "und" and got[0] == "de"
+
+
+def test_documents_stay_where_no_language_can_be_learnt(spark):
+    docs = spark.createDataFrame([(i, "plain words here", None, "s", 16) for i in range(30)] + [(99, "", "", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert langid.keep_identified(docs).count() == 30
+
+
 def test_near_duplicate_stage(spark):
     rng = np.random.default_rng(9)
     texts = {i: prose(rng, int(rng.integers(60, 300))) for i in range(60)}
