@@ -10,6 +10,7 @@ index) finds every such pair, errors within the half included.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setweave.functions.session import forget, written
+from setweave.functions.session import bucketed, forget, written
 from setweave.operators.components import connected_components
 from setweave.llm.workers import lean
 
@@ -215,6 +216,8 @@ def simhash_components(docs: DataFrame, width: int = 3, bits: int = MAX_BITS) ->
 #: Near-duplicates of the cleaning stage: words of a shingle, least Jaccard likeness, most differing bits of the
 #: word fingerprints of a candidate pair.
 STAGE_WIDTH, STAGE_LIKENESS, STAGE_BITS = 5, 0.8, 12
+#: Characters of a bucket of the distinct texts, rows of a block of a common shingle, bits of a turned fingerprint that deal a key's rows.
+BUCKET_CHARS, BLOCK, DEAL = 24_000_000, 1024, 2
 
 
 def word_fingerprint(text: str) -> int:
@@ -243,80 +246,74 @@ def shingle_set(text: str, width: int = STAGE_WIDTH) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(width))))], np.uint64))
 
 
-def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row): codeword indices of two of three segments (23, 23 and 18 bits), so up to two errors in each of the two are bridged."""
-    seg = [golay_keys((fps >> np.uint64(s) & np.uint64(m)).astype(np.int64)) for s, m in ((0, 0x7FFFFF), (23, 0x7FFFFF), (46, 0x3FFFF))]
-    keys, rows = [], []
-    for n, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        both = (seg[i][:, :, None] >= 0) & (seg[j][:, None, :] >= 0)
-        key = seg[i][:, :, None] << 12 | seg[j][:, None, :] | n << 24
-        row = np.broadcast_to(np.arange(len(fps))[:, None, None], key.shape)
-        keys.append(key[both])
-        rows.append(row[both])
-    return np.concatenate(keys), np.concatenate(rows)
+def bitmap_of(shingles: np.ndarray) -> bytes:
+    """How often, odd or even, the set's hashes fall on each of about twice as many places as it has hashes.
+
+    Two sets differ in at least as many hashes as their bitmaps in bits, whatever the number of places.
+    """
+    places = 1 << min(max((2 * len(shingles) - 1).bit_length(), 6), 16)
+    odd = np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
 
+def least_difference(x: bytes, y: bytes) -> int:
+    """Hashes by which two sets differ at least, from their bitmaps; the larger is folded to the size of the smaller."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b, size = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x)
+    while size > len(y):
+        size //= 2
+        a = (a >> 8 * size) ^ (a & ((1 << 8 * size) - 1))
+    return (a ^ b).bit_count()
 
-def _candidates(bits: int, small: int = 64):
-    """Pairs (a, b) of one bucket at most `bits` apart; in buckets over `small`, those of _near_in_order instead of all.
 
-    What these pairs leave unlinked, by a failed check or otherwise, is left to the exact candidates.
+def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, turned fingerprint, row): codeword indices of two of three segments (23, 23 and 18 bits).
+
+    One of the two gives its nearest codeword, the other all within distance four, so several errors in
+    each are bridged; the fingerprint is turned by another number of bits for each choice of segments.
     """
+    seg = [golay_keys((fps >> np.uint64(s) & np.uint64(m)).astype(np.int64)) for s, m in ((0, 0x7FFFFF), (23, 0x7FFFFF), (46, 0x3FFFF))]
+    keys, turned, rows = [], [], []
+    for n, (i, j) in enumerate(((0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1))):
+        row, col = np.nonzero(seg[j] >= 0)
+        keys.append(seg[i][row, 0] << 12 | seg[j][row, col] | n << 24)
+        by = np.uint64(10 * n + 2)
+        turned.append((fps << by | fps >> (np.uint64(64) - by))[row])
+        rows.append(row)
+    return np.concatenate(keys), np.concatenate(turned), np.concatenate(rows)
+
 
-    def settle(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, seen: set) -> list[tuple[int, int]]:
-        found = []
-        if not len(keys):
-            return found
-        cut = np.flatnonzero(np.diff(keys)) + 1
-        starts, ends = np.append(0, cut), np.append(cut, len(keys))
-        size = np.repeat(ends - starts, ends - starts)
-        for step in range(1, small):
-            if step >= len(keys):
-                break
-            at = np.flatnonzero((size[:-step] > step) & (size[:-step] <= small) & (keys[:-step] == keys[step:]))
-            if not len(at):
-                break
-            at = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= bits]
-            found.extend(zip(ids[at].tolist(), ids[at + step].tolist()))
-        for s, e in zip(starts[ends - starts > small], ends[ends - starts > small]):
-            found.extend(_near_in_order(fps[s:e], ids[s:e], bits))
-        pairs = {(min(p), max(p)) for p in found}.difference(seen)
-        seen.update(pairs)
-        return list(pairs)
+def _neighbours(bits: int | None, likeness: float):
+    """Pairs (a, b) of rows (key, at, id, n) in order of (key, at): each with the row before it and with the first of its key.
+
+    A key's rows stream by, two pairs each at most. Sizes must allow the likeness, and with `bits` given, at holds fingerprints no further apart.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set = set()
-        keys, fps, ids = np.array([], np.int64), np.array([], np.uint64), np.array([], np.int64)
+        kept = None  # the first row of the last key, and the last row
         for b in batches:
-            keys = np.concatenate([keys, b["key"].to_numpy(np.int64)])
-            fps = np.concatenate([fps, b["fp"].to_numpy(np.int64).view(np.uint64)])
-            ids = np.concatenate([ids, b["id"].to_numpy(np.int64)])
-            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if cut:
-                out = settle(keys[:cut], fps[:cut], ids[:cut], seen)
-                keys, fps, ids = keys[cut:], fps[cut:], ids[cut:]
-                if len(seen) > 200_000:
-                    seen.clear()
-                yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-        yield pd.DataFrame(settle(keys, fps, ids, seen), columns=["a", "b"], dtype="int64")
+            if not len(b):
+                continue
+            key, at, ids, n = (b[c].to_numpy(np.int64) for c in ("key", "at", "id", "n"))
+            if kept is not None:
+                key, at, ids, n = (np.concatenate([k, x]) for k, x in zip(kept, (key, at, ids, n)))
+            new = np.append(True, key[1:] != key[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            i = np.append(np.arange(1, len(key)), np.arange(1, len(key)))
+            j = np.append(np.arange(len(key) - 1), first[1:])
+            ok = (key[i] == key[j]) & (ids[i] != ids[j]) & (np.minimum(n[i], n[j]) >= likeness * np.maximum(n[i], n[j]) - 1e-9)
+            if bits is not None:
+                ok &= np.bitwise_count((at[i] ^ at[j]).view(np.uint64)) <= bits
+            ends = [first[-1], len(key) - 1]
+            kept = [x[ends] for x in (key, at, ids, n)]
+            pairs = np.unique(np.sort(np.stack([ids[i[ok]], ids[j[ok]]], axis=1), axis=1), axis=0)
+            yield pd.DataFrame(pairs, columns=["a", "b"])
 
     return run
 
 
-def _near_in_order(fps: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
-    """Pairs of a large bucket at most `bits` apart: each member with the first, and neighbours when sorted by the fingerprint turned by 0, 16, 32 and 48 bits; under 5n pairs."""
-    def near(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
-        ok = np.bitwise_count(fps[i] ^ fps[j]) <= bits
-        return zip(ids[i[ok]].tolist(), ids[j[ok]].tolist())
-
-    order = np.lexsort((ids, fps))
-    yield from near(np.repeat(order[:1], len(order) - 1), order[1:])
-    for turn in (0, 16, 32, 48):
-        turned = fps << np.uint64(turn) | fps >> np.uint64(64 - turn) if turn else fps
-        order = np.lexsort((ids, turned))
-        yield from near(order[:-1], order[1:])
-
-
-#: The exact candidates: texts that make a shingle common, one text in so many is counted for it, share of the hash range counted, bits of the table.
+#: Texts that make a shingle common, one text in so many is counted for it, share of the hash range counted, bits of the table.
 COMMON, COUNTED_TEXTS, COUNTED_HASHES, TABLE_BITS = 96, 8, 0.4, 24
 
 
@@ -333,7 +330,7 @@ def prefix_of(shingles: np.ndarray, likeness: float, common: np.ndarray) -> np.n
 
 
 def _common_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Bit table of the shingles found in COMMON texts or more, by the count in one text of COUNTED_TEXTS."""
+    """Bit table, of fixed size, of the shingles found in COMMON texts or more, by the count in one text of COUNTED_TEXTS."""
 
     def low(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -343,10 +340,12 @@ def _common_shingles(texts: DataFrame, width: int) -> np.ndarray:
 
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED_TEXTS)) == 0).select("text").mapInPandas(lean(low), "h long")
     many = some.groupBy("h").count().where(F.col("count") >= COMMON // COUNTED_TEXTS)
-    found = many.select(F.shiftrightunsigned("h", 64 - TABLE_BITS).cast("int").alias("at")).distinct().toPandas()["at"].to_numpy(np.int64)
-    table = np.zeros(1 << TABLE_BITS, bool)
-    table[found] = True
-    return np.packbits(table, bitorder="little")
+    place = F.shiftrightunsigned("h", 64 - TABLE_BITS).cast("int")
+    cells = many.select((place / 32).cast("int").alias("cell"), F.expr(f"shiftleft(1L, shiftrightunsigned(h, {64 - TABLE_BITS}) % 32)").alias("bit"))
+    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros(1 << (TABLE_BITS - 5), np.uint32)
+    table[found["cell"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    return table.astype("<u4").view(np.uint8)
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -366,149 +365,200 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield last
 
 
-def _unlinked_pairs(likeness: float, small: int = 64):
-    """Pairs (a, b) of one shingle in different components whose sizes and places allow the likeness; rows in order of (h, component)."""
-    share = likeness / (1 + likeness)
-
-    def settle(b: pd.DataFrame, seen: set) -> pd.DataFrame:
-        h, comp, ids, n, pos = (b[c].to_numpy(np.int64) for c in ("h", "component", "id", "n", "pos"))
-        found = []
-
-        def fits(i: np.ndarray, j: np.ndarray) -> None:
-            # Nothing before the lesser place and nothing after the other's end can be shared besides what lies on both sides.
-            most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-            ok = most >= share * (n[i] + n[j]) - 1e-6
-            found.extend(zip(np.minimum(ids[i], ids[j])[ok].tolist(), np.maximum(ids[i], ids[j])[ok].tolist()))
-
-        cut = np.flatnonzero(np.diff(h)) + 1
-        starts, ends = np.append(0, cut), np.append(cut, len(h))
-        size = np.repeat(ends - starts, ends - starts)
-        for step in range(1, min(small, len(h))):
-            at = np.flatnonzero((size[:-step] > step) & (size[:-step] <= small) & (h[:-step] == h[step:]))
-            if not len(at):
-                break
-            at = at[comp[at] != comp[at + step]]
-            fits(at, at + step)
-        for s, e in zip(starts[ends - starts > small], ends[ends - starts > small]):
-            if comp[s] == comp[e - 1]:
-                continue
-            after = s + np.searchsorted(comp[s:e], comp[s:e], side="right")
-            for i in range(s, e):
-                if after[i - s] < e:
-                    fits(np.array([i]), np.arange(after[i - s], e))
-        pairs = set(found).difference(seen)
-        seen.update(pairs)
-        return pd.DataFrame(list(pairs), columns=["a", "b"], dtype="int64")
+def _unlinked_pairs(likeness: float):
+    """Pairs (a, b) of one shingle in different components that have the likeness as far as sizes, places and bitmaps tell.
+
+    Rows come in order of (h, part_a, part_b, n); a common shingle's rows lie in blocks, and a
+    bucket of two different blocks pairs rows across them only.
+    """
+    share, apart = likeness / (1 + likeness), (1 - likeness) / (1 + likeness)
+
+    def settle(across: bool, comp, ids, n, pos, side, bitmaps) -> Iterator[np.ndarray]:
+        size = np.array([len(x) for x in bitmaps])
+        for words in np.unique(size):
+            own = np.flatnonzero(size == words)
+            maps = np.frombuffer(b"".join(bitmaps[own]), np.uint64).reshape(len(own), -1)
+            # Of sets whose sizes allow the likeness, the larger has as many places or twice as many.
+            over = np.flatnonzero(size == 2 * words)
+            if len(over):
+                folded = np.bitwise_xor.reduce(np.frombuffer(b"".join(bitmaps[over]), np.uint64).reshape(len(over), 2, -1), axis=1)
+                own, maps = np.append(own, over), np.concatenate([maps, folded])
+            ends = np.searchsorted(n[own], n[own] / likeness + 1e-9, side="right")
+            for i in range(int((size == words).sum())):
+                a, b = own[i], own[i + 1 : ends[i]]
+                ok = comp[b] != comp[a]
+                if across:
+                    ok &= side[b] != side[a]
+                # Nothing before the lesser place and nothing after the other's end can be shared besides what lies on both sides.
+                both = n[b] + n[a]
+                ok &= np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= share * both - 1e-6
+                at = np.flatnonzero(ok)
+                if len(at):
+                    at = at[np.bitwise_count(maps[i + 1 + at] ^ maps[i]).sum(1) <= apart * both[at] + 1e-9]
+                    if len(at):
+                        yield np.stack([np.minimum(ids[b[at]], ids[a]), np.maximum(ids[b[at]], ids[a])], axis=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set = set()
-        waiting: list[pd.DataFrame] = []  # rows of the last shingle, which may go on
-        for b in batches:
-            if not len(b):
-                continue
-            h = b["h"].to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))
-            if cut or waiting and waiting[-1]["h"].iat[-1] != h[0]:
-                yield settle(pd.concat([*waiting, b[:cut]], ignore_index=True), seen)
-                waiting = []
-                if len(seen) > 200_000:
-                    seen.clear()
-            waiting.append(b[cut:])
-        if waiting:
-            yield settle(pd.concat(waiting, ignore_index=True), seen)
+        for rows in whole_buckets(batches, ["h", "part_a", "part_b"]):
+            change = np.zeros(len(rows) - 1, bool)
+            for k in ("h", "part_a", "part_b"):
+                x = rows[k].to_numpy()
+                change |= x[1:] != x[:-1]
+            across = (rows["part_a"] != rows["part_b"]).to_numpy()
+            parts = [rows[c].to_numpy(np.int64) for c in ("component", "id", "n", "pos", "side")] + [rows["bitmap"].to_numpy()]
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(rows)]
+            made = [x for lo, hi in zip(cuts, cuts[1:]) for x in settle(across[lo], *(p[lo:hi] for p in parts))]
+            if made:
+                yield pd.DataFrame(np.unique(np.concatenate(made), axis=0), columns=["a", "b"])
 
     return run
 
 
+def whole_buckets(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows again, which come in order of the keys, in frames that end where a key changes."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        goes_on = np.ones(len(b), bool)
+        for k in keys:
+            goes_on &= (b[k] == b[k].iat[-1]).to_numpy()
+        cut = len(b) - int(goes_on.sum())
+        if held and (cut or any(held[-1][k].iat[-1] != b[k].iat[0] for k in keys)):
+            yield pd.concat([*held, b[:cut]], ignore_index=True)
+            held = []
+        elif cut:
+            yield b[:cut]
+        held.append(b[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+class _Stage:
+    """The steps of keep_one_of_each that several rounds share."""
+
+    def __init__(self, alone: DataFrame, sketches: DataFrame, likeness: float, width: int) -> None:
+        self.alone, self.sketches, self.likeness, self.width = alone, sketches, likeness, width
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that have the likeness: by sizes and bitmaps first, which leave out no such pair, the rest on whole sets."""
+        likeness, width = self.likeness, self.width
+        apart = (1 - likeness) / (1 + likeness)
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                most = apart * (b["n_a"] + b["n_b"]).to_numpy() + 1e-9
+                ok = np.fromiter((least_difference(x, y) <= m for x, y, m in zip(b["x"], b["y"], most)), bool, len(b))
+                yield b.loc[ok, ["a", "b"]]
+
+        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for lo in range(0, len(b), 256):
+                    part = b.iloc[lo : lo + 256]
+                    yield pd.DataFrame({"id": part["id"], "set": [shingle_set(t, width).tobytes() for t in part["text"]]})
+
+        def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                ok = []
+                for x, y in zip(b["x"], b["y"]):
+                    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    ok.append(both >= likeness * (len(p) + len(q) - both) - 1e-9)
+                yield b.loc[ok, ["a", "b"]]
+
+        def side(name: str, value: str) -> DataFrame:
+            return self.sketches.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(value))
+
+        met = pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b")
+        met = met.where((F.col("n_a") >= likeness * F.col("n_b") - 1e-9) & (F.col("n_b") >= likeness * F.col("n_a") - 1e-9))
+        likely = written(met.select("a", "b", "n_a", "n_b", "x", "y").mapInPandas(lean(near), "a long, b long"))
+        asked = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
+        made = written(self.alone.select("id", "text").join(asked.hint("shuffle_hash"), "id").mapInPandas(lean(sets), "id long, set binary"))
+        both = likely.join(made.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(made.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        found = written(both.select("a", "b", "x", "y").mapInPandas(lean(verify), "a long, b long"))
+        forget(likely, made)
+        return found
+
+    def prefixes(self) -> DataFrame:
+        """(h, id, n, pos) of every prefix shingle that several texts have in their prefixes."""
+        likeness, width = self.likeness, self.width
+        common = _common_shingles(self.alone, width)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for lo in range(0, len(b), 256):
+                    made = [shingle_set(t, width) for t in b["text"].iloc[lo : lo + 256]]
+                    first = [prefix_of(x, likeness, common) for x in made]
+                    sizes = [len(x) for x in first]
+                    yield pd.DataFrame({"h": np.concatenate(first).view(np.int64), "id": np.repeat(b["id"].to_numpy()[lo : lo + 256], sizes),
+                                        "n": np.repeat([len(x) for x in made], sizes), "pos": np.concatenate([np.arange(k) for k in sizes])})
+
+        kinds = "h long, id long, n int, pos int"
+        made = self.alone.select("id", "text").mapInPandas(lean(run), kinds)
+        return written(made.repartition("h").sortWithinPartitions("h").mapInPandas(lean(_shared), kinds))
+
+
 def keep_one_of_each(docs: DataFrame, likeness: float = STAGE_LIKENESS, width: int = STAGE_WIDTH, bits: int = STAGE_BITS) -> DataFrame:
     """docs with one row, that of the least doc_id, of each group of near-duplicates.
 
     Equal texts are one group. Others are linked when the Jaccard likeness of their sets of word shingles
-    is `likeness` or more. Pairs whose word fingerprints share a pair of Golay keys and differ in `bits` bits at
-    most are verified first and join most copies; then every two texts not yet joined that share a shingle
-    of their prefixes are verified, which leaves out no pair of that likeness. Null texts are empty;
+    is `likeness` or more. Texts whose word fingerprints share a pair of Golay keys meet first, each with its neighbours in the key's order
+    within `bits` bits, as do neighbours on a shingle of their prefixes: two pairs a row at most. What the verified pairs link is a
+    component; then every two texts of different components that share a shingle of their prefixes are
+    verified, which leaves out no pair of that likeness, however large a group. Null texts are empty;
     rows with a null id stay; of rows that repeat an id one stays. Columns are unchanged.
     """
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fps = np.array([word_fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "digest": b["digest"], "fp": fps})
+            for lo in range(0, len(b), 256):
+                part = b.iloc[lo : lo + 256]
+                fps = np.array([word_fingerprint(t) for t in part["text"]], np.uint64).view(np.int64)
+                made = [shingle_set(t, width) for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "digest": part["digest"], "chars": part["text"].str.len(), "fp": fps,
+                                    "n": [len(x) for x in made], "bitmap": [bitmap_of(x) for x in made]})
 
     text = F.coalesce("text", F.lit(""))
-    ready = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
-    marked = written(ready.mapInPandas(lean(mark), "doc_id long, digest binary, fp long"))
-    texts = written(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp")))
+    ready = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"), F.struct(*docs.columns).alias("row"))
+    marked = written(ready.select("doc_id", "text", "digest").mapInPandas(lean(mark), "doc_id long, digest binary, chars long, fp long, n int, bitmap binary"))
+    texts = written(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "n", "bitmap")]))
+    chars = marked.agg(F.sum("chars")).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / BUCKET_CHARS))
+    own = ready.withColumnRenamed("doc_id", "id").join(texts.select("id", F.col("digest").alias("its")).hint("shuffle_hash"), "id").where("digest = its")
+    alone = bucketed(own.select("id", "row"), "id", buckets)
+    stage = _Stage(alone.select("id", F.coalesce("row.text", F.lit("")).alias("text")), texts.select("id", "n", "bitmap"), likeness, width)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            f, ids = b["fp"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
+            f, ids, n = b["fp"].to_numpy(np.int64), b["id"].to_numpy(np.int64), b["n"].to_numpy(np.int32)
             for lo in range(0, len(f), 4096):
-                key, row = pair_keys(f[lo : lo + 4096].view(np.uint64))
-                yield pd.DataFrame({"key": key.astype(np.int32), "fp": f[lo : lo + 4096][row], "id": ids[lo : lo + 4096][row]})
-
-    keyed = texts.select("fp", "id").mapInPandas(lean(emit), "key int, fp long, id long")
-    pairs = written(keyed.repartition("key").sortWithinPartitions("key").mapInPandas(lean(_candidates(bits)), "a long, b long").where("a <> b").distinct())
-    alone = written(ready.join(texts.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(F.col("doc_id").alias("id"), "text"))
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made = [shingle_set(t, width) for t in b["text"]]
-            # Sets of that likeness share one of the first hashes of either, or their sizes alone keep them apart.
-            heads = [x[: len(x) - int(np.ceil(likeness * len(x) - 1e-9)) + 1] for x in made]
-            yield pd.DataFrame({"id": b["id"], "n": [len(x) for x in made], "head": [x.tobytes() for x in heads], "set": [x.tobytes() for x in made]})
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        return written(alone.join(asked, "id").mapInPandas(lean(sets), "id long, n int, head binary, set binary"))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) > 0 for x, y in zip(b["x"], b["y"])]
-            yield b.loc[ok, ["a", "b"]]
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b["x"], b["y"]):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= likeness * (len(p) + len(q) - both) - 1e-9)
-            yield b.loc[ok, ["a", "b"]]
-
-    def side(made: DataFrame, name: str, part: str, value: str) -> DataFrame:
-        return made.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col(part).alias(value))
-
-    def verified(made: DataFrame, pairs: DataFrame) -> DataFrame:
-        met = pairs.join(side(made, "a", "set", "x"), "a").join(side(made, "b", "set", "y"), "b").select("a", "b", "x", "y")
-        return written(met.mapInPandas(lean(verify), "a long, b long"))
-
-    made = sets_of(pairs)
-    sized = pairs.join(side(made, "a", "head", "x"), "a").join(side(made, "b", "head", "y"), "b").where(
-        (F.col("n_a") >= likeness * F.col("n_b") - 1e-9) & (F.col("n_b") >= likeness * F.col("n_a") - 1e-9))
-    links = verified(made, written(sized.select("a", "b", "x", "y").mapInPandas(lean(compare), "a long, b long")))
-    forget(made)
+                key, turned, row = pair_keys(f[lo : lo + 4096].view(np.uint64))
+                yield pd.DataFrame({"key": key.astype(np.int32), "at": turned.view(np.int64), "id": ids[lo : lo + 4096][row], "n": n[lo : lo + 4096][row]})
+
+    keyed = texts.select("fp", "id", "n").mapInPandas(lean(emit), "key long, at long, id long, n int")
+    dealt = keyed.repartition("key", F.shiftrightunsigned("at", 64 - DEAL)).sortWithinPartitions("key", "at")
+    golay = written(dealt.mapInPandas(lean(_neighbours(bits, likeness)), "a long, b long").distinct())
+    shared = stage.prefixes()
+    spread = shared.select(F.col("h").alias("key"), F.xxhash64("h", "id").alias("at"), "id", "n")
+    beside = spread.repartition("key", F.shiftrightunsigned("at", 64 - DEAL)).sortWithinPartitions("key", "at").mapInPandas(lean(_neighbours(None, likeness)), "a long, b long")
+    links = stage.verified(golay.union(beside))
+    forget(golay)
     joined = written(connected_components(links, "a", "b"))
-    common = _common_shingles(alone, width)
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo in range(0, len(b), 256):
-                made = [shingle_set(t, width) for t in b["text"].iloc[lo : lo + 256]]
-                first = [prefix_of(x, likeness, common) for x in made]
-                sizes = [len(x) for x in first]
-                yield pd.DataFrame({"h": np.concatenate(first).view(np.int64), "id": np.repeat(b["id"].to_numpy()[lo : lo + 256], sizes),
-                                    "n": np.repeat([len(x) for x in made], sizes), "pos": np.concatenate([np.arange(k) for k in sizes])})
-
-    kinds = "h long, id long, n int, pos int"
-    shared = alone.mapInPandas(lean(prefixes), kinds).repartition("h").sortWithinPartitions("h").mapInPandas(lean(_shared), kinds)
     placed = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    more = written(placed.repartition("h").sortWithinPartitions("h", "component").mapInPandas(lean(_unlinked_pairs(likeness)), "a long, b long").distinct())
-    comps = connected_components(links.union(verified(sets_of(more), more)), "a", "b")
-    kept = texts.select(F.col("id").alias("node")).distinct().join(comps, "node", "left").where("component is null or component = node").select(F.col("node").alias("doc_id"))
-    counts = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    chosen = kept.join(counts, "doc_id").withColumnRenamed("doc_id", "_id")
-    rows = docs.where("doc_id is not null").join(chosen, F.col("doc_id") == F.col("_id")).drop("_id")
-    once = rows.where("_n = 1").drop("_n")
-    again = rows.where("_n > 1").drop("_n").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    mixed = placed.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    met = placed.join(mixed.select("h", F.ceil(F.col("rows") / BLOCK).cast("int").alias("parts")), "h")
+    met = met.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.join(texts.select("id", "bitmap"), "id").select(
+        "h", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), (F.col("part") > F.col("other")).cast("int").alias("side"), "component", "id", "n", "pos", "bitmap")
+    rest = met.repartition("h", "part_a", "part_b").sortWithinPartitions("h", "part_a", "part_b", "n").mapInPandas(lean(_unlinked_pairs(likeness)), "a long, b long")
+    more = stage.verified(rest)
+    forget(shared, joined)
+    comps = connected_components(links.union(more), "a", "b")
+    kept = texts.select(F.col("id").alias("node")).distinct().join(comps, "node", "left").where("component is null or component = node").select(F.col("node").alias("id"))
+    counts = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("doc_id", "id")
+    chosen = written(kept.join(counts, "id"))
+    forget(links, more, marked, texts)
+    rows = alone.join(chosen.hint("shuffle_hash"), "id")
+    again = rows.where("_n > 1").dropDuplicates(["id"])
+    return rows.where("_n = 1").union(again).select("row.*").unionByName(docs.where("doc_id is null"))

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setweave.functions.session import shared_dir, written
+from setweave.functions.session import bucketed, forget, written
+from setweave.llm.simhash import whole_buckets
 from setweave.llm.workers import lean
 
 LENGTH, K = 200, 40
@@ -256,13 +256,10 @@ def _shard(length: int):
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shards' window digests, dealt by digest: those that several shards hold, found by binary search in the merged order."""
-    parts = [b for b in batches if len(b)]
-    if parts:
-        rows = pd.concat(parts)
+    """Shards' window digests, dealt and merged in order of digest: those that several shards hold, found by binary search in the distinct ones."""
+    for rows in whole_buckets(batches, ["digest"]):
         d = np.array(rows["digest"].tolist(), "V16").view([("a", ">u8"), ("b", ">u8")]).ravel()
-        merged = np.sort(d, order=("a", "b"))
-        firsts, counts = np.unique(merged, return_counts=True)
+        firsts, counts = np.unique(d, return_counts=True)
         many = counts[np.searchsorted(firsts, d)] >= 2
         yield rows[["ctx_id", "first", "last"]][many & (rows["last"] >= 0).to_numpy()]
 
@@ -280,15 +277,13 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     # With no fewer buckets than shuffle partitions, joins on the key move the small side only.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_BYTES))
-    name = f"setweave_texts_{uuid.uuid4().hex}"
     keyed = docs.select(text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    (keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).repartition(buckets, "key")
-     .write.bucketBy(buckets, "key").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name))
-    texts = spark.table(name)
+    texts = bucketed(keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "key", buckets)
 
     kind = "key binary, p int, lo int, hi int, h long"
     anchors = written(texts.select("key", "text").mapInPandas(lean(_scan(length)), kind))
-    often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # Written, so that the anchors of a very common passage are the split side of a plain join.
+    often = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     kept = anchors.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("p", "lo", "hi", "h")).alias("at"))
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,11 +299,12 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
 
     met = texts.select("key", "text").join(kept.hint("shuffle_hash"), "key")
     places = written(met.mapInPandas(lean(contexts), "ctx_id binary, h long, key binary, lo int, hi int"))
+    forget(anchors, often)
     distinct = written(places.groupBy("ctx_id").agg(
         F.count(F.lit(1)).alias("seen"), F.min(F.struct("key", "lo", "hi", "h")).alias("at")).select("ctx_id", "seen", "at.*"))
     groups = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("least")).where("n > 1 and least = 1")
-    parts = F.ceil(F.col("n") / SPLIT).cast("int")
-    some = distinct.join(groups.select("h", parts.alias("parts")), "h").withColumn("part", F.pmod(F.xxhash64("ctx_id"), F.col("parts")).cast("int"))
+    groups = written(groups.select("h", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")))
+    some = distinct.join(groups, "h").withColumn("part", F.pmod(F.xxhash64("ctx_id"), F.col("parts")).cast("int"))
     by_text = some.groupBy("key").agg(F.collect_list(F.struct("ctx_id", "h", "part", "parts", "seen", "lo", "hi")).alias("at"))
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -323,10 +319,11 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
         lean(cut_out), "ctx_id binary, h long, part int, parts int, seen long, ctx binary")
     solved = written(cut.repartition("h", "part").sortWithinPartitions("h", "part").mapInPandas(
         lean(_shard(length)), "ctx_id binary, first int, last int, digest binary"))
-    across = solved.where("digest is not null").repartition("digest").mapInPandas(lean(_merge), "ctx_id binary, first int, last int")
+    across = solved.where("digest is not null").repartition("digest").sortWithinPartitions("digest").mapInPandas(lean(_merge), "ctx_id binary, first int, last int")
     inside = solved.where("digest is null").select("ctx_id", "first", "last").union(across)
     whole = distinct.where("seen > 1").select("ctx_id", F.lit(0).alias("first"), (F.col("hi") - F.col("lo")).alias("last"))
-    ranges = places.join(whole.union(inside), "ctx_id").select("key", (F.col("lo") + F.col("first")).alias("first"), (F.col("lo") + F.col("last")).alias("last"))
+    ranges = written(places.join(whole.union(inside), "ctx_id").select("key", (F.col("lo") + F.col("first")).alias("first"), (F.col("lo") + F.col("last")).alias("last")))
+    forget(places, distinct, groups, solved)
     return texts, ranges
 
 
@@ -374,7 +371,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs; repeated rows are copies of one another."""
-    found = remove_repeats(docs, length)
+    found = written(remove_repeats(docs, length))
     return docs.select("doc_id", text_key(F.col("text")).alias("key")).join(found, "key").drop("key")
 
 

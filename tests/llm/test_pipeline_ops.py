@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -171,10 +172,45 @@ def test_large_groups_of_copies_split_as_by_brute_force(spark):
     assert 10 < len(gone) < 300 and {r.doc_id for r in simhash.keep_one_of_each(docs).collect()} == set(texts) - gone
 
 
-def test_large_buckets_give_linear_candidates():
+def test_large_keys_give_two_candidates_a_row():
     rng = np.random.default_rng(14)
-    n = 100_000  # a quadratic search of this bucket takes 10,000,000,000 comparisons
-    fps = rng.integers(0, 2**60, 1).astype(np.uint64)[0] ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
-    frame = simhash.pd.DataFrame({"key": np.zeros(n, np.int32), "fp": fps.view(np.int64), "id": np.arange(n)})
-    made = simhash.pd.concat(simhash._candidates(12)(iter([frame])))
-    assert len(made) < 5 * n and len(set(made.a) | set(made.b)) == n
+    n = 100_000  # a quadratic search of this key takes 10,000,000,000 comparisons
+    fps = np.sort((rng.integers(0, 2**60, 1).astype(np.uint64)[0] ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))).view(np.int64))
+    frame = pd.DataFrame({"key": np.zeros(n, np.int64), "at": fps, "id": np.arange(n), "n": 100})
+    made = pd.concat(simhash._neighbours(12, 0.8)(iter([frame[:40_000], frame[40_000:40_001], frame[40_001:]])))
+    assert len(made) < 2 * n and len(set(made.a) | set(made.b)) == n
+    assert {(i, i + 1) for i in (0, 39_998, 39_999, 40_000, 40_001, n - 2)} <= set(zip(made.a, made.b))
+
+
+def test_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(17)
+    for n, m in ((1, 1), (40, 50), (200, 250), (900, 1100), (4000, 5000)):
+        pool = rng.integers(0, 2**64, n + m, dtype=np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(np.append(pool[: int(n * rng.uniform(0.5, 1))], pool[n:][: m // 9]))
+        least = simhash.least_difference(simhash.bitmap_of(a), simhash.bitmap_of(b))
+        assert least <= len(np.setxor1d(a, b)) and least == simhash.least_difference(simhash.bitmap_of(b), simhash.bitmap_of(a))
+
+
+@pytest.mark.parametrize("n", [36, 90])
+def test_reordered_texts_keep_their_own_copies(spark, n):
+    rng = np.random.default_rng(n)
+    words = [f"{a}{i}" for i, a in enumerate(rng.choice(WORDS, 200))]
+    texts = {}
+    for i in range(n):  # equal word sets in other orders: alike by word fingerprints only; each with one near copy
+        order = rng.permutation(words).tolist()
+        texts[2 * i], texts[2 * i + 1] = " ".join(order), " ".join([*order[:100], "inserted", *order[100:]])
+    kept = simhash.keep_one_of_each(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 2 * n, 2))
+
+
+def test_blocks_of_a_common_shingle_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    test_large_groups_of_copies_split_as_by_brute_force(spark)
+
+
+def test_repeated_ids_and_hot_copies(spark):
+    rng = np.random.default_rng(18)
+    base = prose(rng, 80)
+    rows = [(i, base) for i in range(40)] + [(100, prose(rng, 50)), (100, prose(rng, 50)), (100, None), (7, base), (None, base)]
+    got = [r.doc_id for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(x for x in got if x is not None) == [0, 100] and got.count(None) == 1
