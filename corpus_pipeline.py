@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setweave.functions.session import table, written
+from setweave.functions.session import MADE, forget, setting, table, written
 from setweave.llm import langid, packing, simhash, suffix_dedup, toxicity
 from setweave.llm.queries import vocabulary
 
@@ -38,24 +38,34 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch while the stages run: whole texts make the default of 10,000 rows large on both sides.
-ARROW_ROWS = 2000
+ARROW_ROWS, ARROW_KEY = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+_LEFT: list[DataFrame] = []
 
 
-def _in_small_batches(stage):
-    @functools.wraps(stage)
+def _stage(work):
+    """A stage that first deletes the tables the one before it worked with: its result is written by now.
+
+    A stage's own result is computed when it is written, so the size of Arrow batches stays set; run() restores it.
+    """
+
+    @functools.wraps(work)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-        return stage(spark, docs, sf_dir)
+        forget(*_LEFT)
+        spark.conf.set(ARROW_KEY, ARROW_ROWS)
+        before = set(MADE)
+        out = work(spark, docs, sf_dir)
+        _LEFT[:] = [made for name, made in MADE.items() if name not in before]
+        return out
 
     return run
 
 
 STAGES = [
-    ("toxicity", _in_small_batches(drop_toxic)),
-    ("language ID", _in_small_batches(keep_identified)),
-    ("SimHash near-dedup", _in_small_batches(drop_near_duplicates)),
-    ("suffix-array dedup", _in_small_batches(drop_repeats)),
-    ("packing", _in_small_batches(pack)),
+    ("toxicity", _stage(drop_toxic)),
+    ("language ID", _stage(keep_identified)),
+    ("SimHash near-dedup", _stage(drop_near_duplicates)),
+    ("suffix-array dedup", _stage(drop_repeats)),
+    ("packing", _stage(pack)),
 ]
 
 #: SQL can express neither the classifiers nor the fingerprints; the stages are tested against brute force.
@@ -65,6 +75,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, from the documents table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.col("n_chars"))
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    before = None
+    with setting(spark, ARROW_KEY, ARROW_ROWS):
+        for _, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir))
+            forget(*_LEFT, *([before] if before is not None else []))
+            _LEFT.clear()
+            before = docs
     return docs
