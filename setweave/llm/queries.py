@@ -51,7 +51,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = piece_codec.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
-    return coded.select("doc_id", "variant", "n_chars", (F.length("ids") / 2).cast("long").alias("n_pieces"), F.sha2("ids", 256).alias("ids_sha256"), "lossless")
+    return coded.select("doc_id", "n_chars", (F.length("ids") / 2).cast("long").alias("n_pieces"), F.sha2("ids", 256).alias("ids_sha256"), "lossless")
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,22 +70,74 @@ def test_spotsigs_duplicates(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
+PIECES = "piece_bpe_32k.model"
+
+
 def test_pieces_match_the_library_without_dropout(small):
     import sentencepiece
 
-    path = queries.vocabulary("piece_bpe_32k.model")
+    path = queries.vocabulary(PIECES)
     sp, m = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.model(path)
-    for t in ("", " ", "  two  spaces\n\n and lines ", "hello world", "ünïcödé 中文 🙂", "x" * 3000, "tab\tand"):
-        assert np.frombuffer(m.encode(t, 0, 0.0), "<u2").tolist() == sp.encode(t)
+    texts = ["", " ", "  two  spaces\n\n and lines ", "hello world", "ünïcödé 中文 🙂", "x" * 3000, "tab\tand", "ab" * 49 + " " + "ab" * 50 + " " + "ab" * 51]
+    for t, ids in zip(texts, m.encode_all(texts, [5] * len(texts), 0.0)):
+        assert np.frombuffer(ids, "<u2").tolist() == sp.encode(t)
+
+
+def brute_pieces(text, document, dropout):
+    """Ids by trying all candidates of a unit again and again; a skipped candidate comes back only when a neighbour has changed."""
+    import re
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary(PIECES))
+    mixed = lambda x: (y := (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64) ^ y >> 31
+    known = {sp.id_to_piece(i).replace("▁", " "): i for i in range(259, sp.get_piece_size())}
+    out = []
+    for number, unit in enumerate(re.findall(r"\n| +[^ \n]*|[^ \n]+", " " + text) if text else []):
+        key = mixed((document + number * 0x9E3779B97F4A7C15) % 2**64)
+        syms, skipped = [(i, c) for i, c in enumerate(unit)], set()
+        while True:
+            open_ = [(-sp.get_score(known[a[1] + b[1]]), a[0], n) for n, (a, b) in enumerate(zip(syms, syms[1:])) if a[1] + b[1] in known and (a, b) not in skipped]
+            if not open_:
+                break
+            _, place, n = min(open_)
+            a, b = syms[n : n + 2]
+            if mixed(key ^ (place * 0x9E3779B97F4A7C15 + known[a[1] + b[1]] * 0xD6E8FEB86659FD93) % 2**64) < int(dropout * 2**64):
+                skipped.add((a, b))
+            else:
+                syms[n : n + 2] = [(place, a[1] + b[1])]
+        for _, s in syms:
+            out += [known[s]] if s in known else [3 + x for x in s.encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5])
+def test_merge_dropout_against_brute_force(spark, small, dropout):
+    m = piece_codec.model(queries.vocabulary(PIECES))
+    docs = [r.text[:3000] for r in spark.read.parquet(f"{small}/documents.parquet").limit(12).collect()]
+    texts = ["", "internationalization of segmentations", "a  b\n\n c 🙂ü中", "th" * 60 + " " + "inter" * 30, *docs]
+    keys = [piece_codec.document_key(i, 11) for i in range(len(texts))]
+    for t, k, ids in zip(texts, keys, m.encode_all(texts, keys, dropout)):
+        assert np.frombuffer(ids, "<u2").tolist() == brute_pieces(t, k, dropout)
 
 
 def test_pieces_decode_losslessly(spark, small):
-    path = queries.vocabulary("piece_bpe_32k.model")
+    path = queries.vocabulary(PIECES)
     for docs in (spark.read.parquet(f"{small}/documents.parquet"), odd(spark)):
         coded = piece_codec.encode(docs, path, dropout=0.3)
         assert coded.where("not lossless").count() == 0
         back = sorted((r.doc_id or -1, r.text) for r in piece_codec.decode(coded, path).collect())
         assert back == sorted((r.doc_id or -1, r.text or "") for r in docs.collect())
-    m = piece_codec.model(path)
-    cuts = {m.encode("internationalization of segmentations", v, 0.3) for v in range(8)}
-    assert len(cuts) > 1 and m.encode("internationalization of", 3, 0.3) == piece_codec.PieceModel(path).encode("internationalization of", 3, 0.3)
+    again = [[r.ids for r in piece_codec.encode(odd(spark).where(w), path).collect()] for w in ("doc_id = 3", "doc_id is null")]
+    assert again[0][0] == again[0][1] and len(again[1]) == 1  # a repeated row repeats its cuts
+    assert piece_codec.encode(odd(spark).limit(0), path).count() == 0
+
+
+def test_every_occurrence_is_cut_its_own_way():
+    m = piece_codec.model(queries.vocabulary(PIECES))
+    word = "internationalization"
+    ids = m.encode_all([f"{word} " * 300, f"{word} " * 300], [1, 2], 0.3)
+    assert ids[0] != ids[1] and m.encode_all([f"{word} " * 300], [1], 0.3) == ids[:1]
+    assert len({m.encode_all([word], [k], 0.3)[0] for k in range(300)}) > 20
+    nothing = m.encode_all([word], [1], 1.0)[0]
+    assert m.decode(nothing) == word and len(nothing) == 2 * len(" " + word)
