@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from setweave.llm.workers import lean
 
-#: Tokens of a sequence, documents of a group on average.
-SEQUENCE, GROUP_DOCS = 1024, 2000
+#: Tokens of a sequence, documents and characters of a group on average, whichever makes more groups.
+SEQUENCE, GROUP_DOCS, GROUP_CHARS = 1024, 2000, 12_000_000
 #: Fixed value: how vocabularies of this kind cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ENCODERS: dict[str, tiktoken.Encoding] = {}
@@ -30,41 +31,49 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
-
-
 def encoder(path: str):
-    """Whole texts to ids as little-endian unsigned 16-bit bytes, as `tokenizers` gives them for the byte-level BPE file at path.
+    """Whole texts to ids as little-endian unsigned 16-bit bytes, as `tokenizers` gives them for the byte-level BPE file at path with add_special_tokens=False.
 
     The file's vocabulary is run by tiktoken, which takes a third of the CPU
-    time for the same ids: a merge's rank is the id of its result, and ids rise in merge order.
+    time for the same ids: a merge's rank is the id of its result, and ids rise in merge order. As in that library, the
+    strings of the file's added tokens in a text become those tokens.
     """
     if path not in _ENCODERS:
-        model = json.loads(Path(path).read_text())["model"]
+        spec = json.loads(Path(path).read_text())
         byte_of = _byte_alphabet()
-        special = {t["content"] for t in json.loads(Path(path).read_text()).get("added_tokens", [])}
-        ranks = {bytes(byte_of[c] for c in w): i for w, i in model["vocab"].items() if w not in special}
-        _ENCODERS[path] = tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    one = _ENCODERS[path].encode_ordinary
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(byte_of[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in added}
+        _ENCODERS[path] = tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    made = _ENCODERS[path]
+    marks = made.special_tokens_set
+
+    def one(text: str) -> list[int]:
+        return made.encode(text, allowed_special=marks) if any(m in text for m in marks) else made.encode_ordinary(text)
+
     return lambda texts: [np.array(one(t), "<u2").tobytes() for t in texts]
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, ids): every whole text's ids with end_id after the last, as little-endian unsigned 16-bit bytes; null text is empty."""
+    """(doc_id, ids, copy): every whole text's ids with end_id after the last, as little-endian unsigned 16-bit bytes; null text is empty.
+
+    copy counts the rows before it in its task that repeat the row.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(path), np.array([end_id], "<u2").tobytes()
+        seen: Counter = Counter()
         for b in batches:
             for lo in range(0, len(b), 500):
                 part = b.iloc[lo : lo + 500]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": [x + end for x in encode(part["text"].tolist())]})
+                ids = [x + end for x in encode(part["text"].tolist())]
+                copies = []
+                for row in zip(part["doc_id"].fillna(-1), ids):
+                    name = hash(row)
+                    copies.append(seen[name])
+                    seen[name] += 1
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": ids, "copy": copies})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(lean(run), "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(lean(run), "doc_id long, ids binary, copy int")
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -139,14 +148,15 @@ def pack_group(lengths: list[int], capacity: int = SEQUENCE) -> list[tuple[int,
 def pack(docs: DataFrame, path: str, capacity: int = SEQUENCE, group_docs: int = GROUP_DOCS, seed: int = 7) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_to.
 
-    Documents go to groups of group_docs on average by a seeded hash of id and text, so a group
-    is a bounded random share whatever the key distribution; tokens are shuffled once. Null text is
-    one end id; repeated rows are packed each. padded_to is capacity, or the
+    Documents go to groups of group_docs or GROUP_CHARS on average by a seeded hash of id, text, partition and number of the
+    repeat, so a group is a bounded random share whatever the key distribution, copies of one row included; tokens are shuffled once. Null text is
+    one end id; repeated rows are packed each; other columns are not read. padded_to is capacity, or the
     sequence's length where that is a power of two.
     """
-    groups = max(1, math.ceil(docs.count() / group_docs))
+    rows, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    groups = max(1, math.ceil(rows / group_docs), math.ceil((chars or 0) / GROUP_CHARS))
     made = tokenized(docs, path)
-    made = made.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "ids"), F.lit(groups)))
+    made = made.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "ids", F.spark_partition_id(), "copy"), F.lit(groups))).drop("copy")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "ids"], kind="stable")

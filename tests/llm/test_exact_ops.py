@@ -7,19 +7,20 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from setweave.llm import chat, packing, queries, simhash, topk
 
-ODD = ["", None, "a", "  two  spaces ", "tab\tand\nline \n end\n", "x" * 5000, "é ü ñ <|endoftext|> ok", "same text here", "same text here", " lead", "trail "]
+ODD = ["", None, "a", "  two  spaces ", "tab\tand\nline \n end\n", "x" * 5000, "é ü ñ <|endoftext|> ok", "a<|endoftext|>", " <|endoftext|><|endoftext|>  b <|endoftext|", "same text here", "same text here", " lead", "trail "]
 
 
 def odd_docs(spark):
-    return spark.createDataFrame([(i, t, "en", "s", 0, "clash") for i, t in enumerate(ODD)] + [(None, "no id", None, None, None, None)] + [(7, "same text here", "en", "s", 0, "clash")],
+    return spark.createDataFrame([(i, t, "en", "s", 0, "clash") for i, t in enumerate(ODD)] + [(None, "no id", None, None, None, None)] + [(9, "same text here", "en", "s", 0, "clash")],
                                  "doc_id long, text string, lang string, source string, n_chars long, ids string")
 
 
 def check_packing(rows, docs):
-    tok = packing._tokenizer(queries.vocabulary("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(queries.vocabulary("byte_bpe_50k.json"))
     ids = {d: np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for d, t in docs.items()}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -50,12 +51,23 @@ def test_packing_table(spark, small):
 
 def test_packing_odd(spark):
     docs = odd_docs(spark)
-    rows = packing.pack(docs.where("doc_id is null or doc_id <> 7"), queries.vocabulary("byte_bpe_50k.json")).collect()
-    check_packing(rows, {r.doc_id: r.text for r in docs.collect() if r.doc_id != 7})
-    assert packing.pack(docs, queries.vocabulary("byte_bpe_50k.json")).where("doc_id = 7").count() == 2
+    rows = packing.pack(docs.where("doc_id is null or doc_id <> 9"), queries.vocabulary("byte_bpe_50k.json")).collect()
+    check_packing(rows, {r.doc_id: r.text for r in docs.collect() if r.doc_id != 9})
+    assert packing.pack(docs, queries.vocabulary("byte_bpe_50k.json")).where("doc_id = 9").count() == 2
     assert packing.pack(docs.limit(0), queries.vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_spreads_repeats(spark):
+    docs = spark.createDataFrame([(1, "one text " * 20)] * 400 + [(2, "w " * 30_000)], "doc_id long, text string").repartition(3)
+    rows = packing.pack(docs, queries.vocabulary("byte_bpe_50k.json"), group_docs=40).collect()
+    groups = defaultdict(int)
+    for r in rows:
+        if r.doc_id == 1 and r.start == 0:
+            groups[r.sequence_id >> 32] += 1
+    assert sum(groups.values()) == 400 and len(groups) > 6 and max(groups.values()) < 100
+    assert sum(r.length for r in rows if r.doc_id == 2) == next(r.doc_tokens for r in rows if r.doc_id == 2)
+
+
 def test_first_fit_is_leftmost():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 100, 300).tolist()
@@ -103,7 +115,7 @@ def test_simhash_odd(spark):
     assert len(rows) == len(ODD) + 2
     got = {r.doc_id: r for r in rows}
     assert got[0].fingerprint == got[1].fingerprint == "0" * 16 and got[1].component_id == 0
-    assert got[8].component_id == 7 and got[None].component_id is None
+    assert got[10].component_id == 9 and got[None].component_id is None
     assert simhash.simhash_components(odd_docs(spark).limit(0)).count() == 0
 
 
