@@ -73,6 +73,33 @@ def test_passages_survive_earlier_texts_with_parts_of_them(spark):
     assert all(r.first_word == r.other_first == 60 and r.last_word == r.other_last == 100 for r in rows)
 
 
+def test_a_passage_behind_many_fragments(spark):
+    rng = np.random.default_rng(21)
+    shared = [f"s{i}" for i in range(60)]
+    texts = {i: " ".join([prose(rng, 30), *shared[5 * i : 5 * i + 11], prose(rng, 30)]) for i in range(10)}
+    texts |= {20: "\n " + " ".join([prose(rng, 40), *shared, prose(rng, 40)]), 21: " ".join([*shared, prose(rng, 40)])}
+    rows = chaining.fuzzy_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.first_word, r.last_word, r.other_id, r.other_first, r.other_last) for r in rows] == [(21, 0, 60, 20, 40, 100)]
+
+
+def test_passages_at_every_place_of_a_text(spark):
+    rng = np.random.default_rng(22)
+    shared = prose(rng, 50)
+    start = " ".join(shared.split()[:14])
+    texts = {1: f"{start} {prose(rng, 60)} {shared} {prose(rng, 30)}", 2: f"{start} {prose(rng, 40)} {shared} {prose(rng, 70)} {shared}"}
+    rows = chaining.fuzzy_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.first_word, r.last_word, r.other_first, r.other_last) for r in rows} == {(2, 54, 104, 74, 124), (2, 174, 224, 74, 124)}
+
+
+def test_passages_of_odd_rows(spark):
+    rng = np.random.default_rng(23)
+    one, other, long = prose(rng, 40), prose(rng, 45), "w " * 3000
+    rows = [(1, "\n" + one), (2, "\n" + one), (2, "\n" + one), (3, other), (3, one + " x"), (4, long), (5, long + "end"), (6, "")]
+    got = chaining.fuzzy_passages(spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, words string")).collect()
+    assert [(r.first_word, r.last_word, r.other_last) for r in got if r.doc_id == 2 and r.other_id == 1] == [(0, 40, 40)]
+    assert {(r.doc_id, r.other_id) for r in got} >= {(2, 1), (3, 1), (5, 4)} and all(r.doc_id > r.other_id for r in got)
+
+
 def pages(spark):
     de, fr = "und der die das nicht ich ein zu haben werden über", "et le la les des une pas pour être avec où"
     rng = np.random.default_rng(8)
