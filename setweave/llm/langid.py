@@ -27,6 +27,8 @@ SAMPLE, SAMPLE_CHARS, LEAST_ROWS, LEAST_SHARE = 400, 20_000, 20, 0.005
 KNOWN = 0.5
 #: Weight of one word's likelihood (neighbouring n-grams are not independent), the most a text may weigh, smoothing counts, words a task remembers.
 TEMPER, MOST, SMOOTH, CACHE = 0.5, 40.0, 10.0, 100_000
+#: Keys of a level of the host prior that are broadcast at most; more are joined by shuffle.
+SMALL = 10_000
 UNKNOWN = "und"
 _EDGE = ".,;:!?\"'()[]{}<>|%$&*#@~_-+=/\\0123456789"
 
@@ -152,13 +154,14 @@ def with_likelihoods(rows: DataFrame, languages: list[str], table: dict[str, np.
     return rows.select(*carried, score(F.coalesce("text", F.lit(""))).alias("s")).select(*carried, "s.*")
 
 
-def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
-    """scored with language and posterior.
+def fuse(scored: DataFrame, languages: list[str], levels: tuple[str, ...] = ("suffix", "site", "host")) -> DataFrame:
+    """scored with language and posterior; levels are the columns of the prior, each smoothed by the one before it.
 
     Log posterior = text likelihood + log P(declared | language) + log P(language | host), where the
     host's share is smoothed by its site's, that by the suffix's, that by the corpus's; P(declared |
     language) comes from all rows' text languages. Rows with no words, or words that no
-    language knows, and no declared language are 'und'.
+    language knows, and no declared language are 'und'. Ties go to the language first in order. Scoring a row
+    reads its whole text; rows that repeat are told apart by nothing and get the same answer.
     """
     n = len(languages)
     if not n:
@@ -175,8 +178,9 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
     corpus = list(corpus[0]) if corpus and corpus[0] else [0.0] * n
     told = {r.declared: list(r.c_declared) for r in counts("declared").where(F.col("declared").isin([*languages, ""])).collect()}
     rows = scored
-    for level in ("suffix", "site", "host"):
-        rows = rows.join(counts(level), level, "left")
+    for level in levels:
+        known = written(counts(level))
+        rows = rows.join(F.broadcast(known) if known.count() <= SMALL else known, level, "left")
 
     def shares(c: Column, above: Column) -> Column:
         less = F.zip_with(F.coalesce(c, zeros), F.col("_own"), lambda a, b: a - b)
@@ -184,8 +188,9 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
         return F.zip_with(less, above, lambda a, p: (a + SMOOTH * p) / (total + SMOOTH))
 
     base = F.array(*[F.lit((x + 1) / (sum(corpus) + n)) for x in corpus])
-    rows = rows.withColumn("_own", own)
-    rows = rows.withColumn("_p", shares(F.col("c_suffix"), base)).withColumn("_p", shares(F.col("c_site"), F.col("_p"))).withColumn("_p", shares(F.col("c_host"), F.col("_p")))
+    rows = rows.withColumn("_own", own).withColumn("_p", base)
+    for level in levels:
+        rows = rows.withColumn("_p", shares(F.col(f"c_{level}"), F.col("_p")))
     spoken = F.lit(None)
     for tag in languages:
         row = [math.log((told.get(tag, [0.0] * n)[i] + 1) / (corpus[i] + n + 2)) for i in range(n)]
@@ -203,7 +208,8 @@ def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
 def identify_pages(pages: DataFrame) -> DataFrame:
     """(page_id, declared, suffix, host, text_language, language, posterior) of every page.
 
-    Null or unreadable html, url and tags count as no evidence. text_language is null where
+    Null or unreadable html, url and tags count as no evidence; whole pages are read, however long; repeated rows are
+    answered each, alike; other columns are not read. text_language is null where
     the page shows no words or none that a language knows; language is 'und' where there is no declared tag either.
     """
     rows = page_evidence(pages)
@@ -218,15 +224,17 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs whose language is settled: rows without any word, or with fused evidence under least for every language, go.
     Where no language can be learnt, for want of tags, all rows with words stay.
 
-    The language column is the declared tag and the source stands for the host. Columns and other rows are unchanged.
+    The language column is the declared tag and the source stands for the host. Columns and other rows are unchanged; rows that repeat
+    one another stay or go together. A row is known again by a 128-bit digest of its id, text, language and source.
     """
     none = F.lit("")
-    evidence = docs.withColumn("_key", F.xxhash64("doc_id", "text", "lang", "source")).select(
-        "_key", F.coalesce("text", none).alias("text"), tag_of(F.col("lang")).alias("declared"),
-        F.coalesce("source", none).alias("host"), none.alias("site"), none.alias("suffix"))
+    parts = [F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("-")) for c in ("doc_id", "text", "lang", "source")]
+    key = F.unhex(F.md5(F.concat_ws(" ", *parts)))
+    evidence = docs.select(
+        key.alias("_key"), F.coalesce("text", none).alias("text"), tag_of(F.col("lang")).alias("declared"), F.coalesce("source", none).alias("host"), none.alias("site"), none.alias("suffix"))
     languages, table = train(evidence)
     scored = written(with_likelihoods(evidence, languages, table, ["_key"]))
     settled = scored.where("words > 0")
     if languages:
-        settled = fuse(settled, languages).where((F.col("posterior") >= least) & (F.col("language") != UNKNOWN))
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text", "lang", "source")).join(settled.select("_key").distinct(), "_key", "left_semi").drop("_key")
+        settled = fuse(settled, languages, ("host",)).where((F.col("posterior") >= least) & (F.col("language") != UNKNOWN))
+    return docs.withColumn("_key", key).join(settled.select("_key").distinct(), "_key", "left_semi").drop("_key")

@@ -141,6 +141,20 @@ def test_rare_and_unknown_languages(spark):
     assert got[8001] == "und" and got[0] == "de"
 
 
+def test_repeated_long_and_tied_rows_of_language_id(spark):
+    say = {"de": "und der die das nicht ich ein haben werden ", "fr": "et le la les des une pas pour avec "}
+    rows = [(i, "de" if i % 2 else "fr", say["de" if i % 2 else "fr"] * 3, "s" if i % 3 else None) for i in range(60)]
+    rows += [(100, None, say["de"] * 20_000, "s"), (101, "de", None, None), (102, "", "", ""), (103, None, "12 34", "s"), (1, "de", say["de"] * 3, "s"), (1, "de", say["de"] * 3, "s")]
+    docs = spark.createDataFrame([(*r, 1.5) for r in rows], "doc_id long, lang string, text string, source string, host double")
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns
+    ids = sorted(r.doc_id for r in kept.collect())
+    assert ids == sorted([*range(60), 1, 1, 100])
+    pages = spark.createDataFrame([(7, "http://a.de/", f"<html lang='de'>{say['de'] * 9}</html>")] * 30 + [(8, "http://a.de/", say["de"] * 30_000)], "page_id long, url string, html string")
+    got = [(r.page_id, r.language) for r in langid.identify_pages(pages).collect()]
+    assert len(got) == 31 and set(got) == {(7, "de"), (8, "de")}
+
+
 def test_documents_stay_where_no_language_can_be_learnt(spark):
     docs = spark.createDataFrame([(i, "plain words here", None, "s", 16) for i in range(30)] + [(99, "", "", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     assert langid.keep_identified(docs).count() == 30
