@@ -1,8 +1,8 @@
 """Toxicity scores: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its character n-grams and of the
-word itself; a text's is the sum of its different words' vectors over the root of their
-number, an average that long texts do not dilute. Embeddings and
+word itself; a text's is the average of the vectors of its different words, words without any
+embedded n-gram aside and NEUTRAL words without weight added, so that long texts are not diluted and one word alone decides nothing. Embeddings and
 softmax are fitted together, so a misspelling or an inflection that no labelled text
 holds still shares most of its n-grams with words that were seen.
 """
@@ -22,8 +22,8 @@ from setweave.llm.workers import give_back, lean
 
 #: Labelled texts of each class that are fitted, and characters a fitted text has at most. Scoring has no bound.
 SAMPLE, SAMPLE_CHARS = 1500, 40_000
-#: Embedding size, texts an n-gram occurs in at least, deviations that make it telling, passes, step size, decay, words a task remembers.
-DIM, LEAST_TEXTS, TELLING, PASSES, STEP, DECAY, CACHE = 8, 4, 4.0, 150, 0.05, 2e-4, 150_000
+#: Embedding size, texts an n-gram occurs in at least, deviations that make it telling, neutral words of an average, passes, step size, decay, words a task remembers.
+DIM, LEAST_TEXTS, TELLING, NEUTRAL, PASSES, STEP, DECAY, CACHE = 8, 4, 4.0, 10, 200, 0.1, 2e-4, 150_000
 _EDGE = ".,;:!?\"'()[]{}<>|%$&*#@~_-+=/\\"
 
 
@@ -60,7 +60,7 @@ def _telling(pairs: list[np.ndarray], flat: list[np.ndarray], labels: np.ndarray
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 1) -> tuple[dict[str, float], float]:
-    """(weight of every n-gram kept, bias) after joint training: a word's logit is the mean weight of its n-grams, others counting zero."""
+    """(weight of every n-gram kept, bias) after joint training: a word's logit is the mean weight of its n-grams, others counting zero, a text's the mean of its words' that have one."""
     if len(set(labels)) < 2:
         return {}, 4.0 if labels and labels[0] else -4.0
     vocab: dict[str, int] = {}
@@ -83,8 +83,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 1) -> tuple[dict[str, f
     spot = np.full(len(flat), -1)
     spot[words] = np.arange(len(words))
     own, size = spot[own], full[words]
-    length = np.sqrt([len(p) for p in pairs])
     pairs = [spot[p][spot[p] >= 0] for p in pairs]
+    length = np.array([float(NEUTRAL + len(p)) for p in pairs])
     doc = np.repeat(np.arange(len(texts)), [len(p) for p in pairs])
     word = np.concatenate(pairs)
     weight = (1 / length[doc]).astype(np.float32)[:, None]
@@ -128,9 +128,10 @@ class Scorer:
     def __init__(self, table: dict[str, float], bias: float) -> None:
         self.table, self.bias, self.known = table, bias, {}
 
-    def word(self, w: str) -> float:
+    def word(self, w: str) -> float | None:
+        """Mean weight of a word's n-grams; None where none has a weight."""
         found = grams(w)
-        return sum(map(self.table.get, found, repeat(0.0))) / len(found) if found else 0.0
+        return sum(map(self.table.get, found, repeat(0.0))) / len(found) if any(map(self.table.__contains__, found)) else None
 
     def __call__(self, text: str) -> float:
         words = set(text.lower().split())
@@ -144,7 +145,8 @@ class Scorer:
                 new = words.difference(known)
             for w in new:
                 known[w] = self.word(w)
-        z = self.bias + (sum(map(known.__getitem__, words)) / math.sqrt(len(words)) if words else 0.0)
+        told = [x for x in map(known.__getitem__, words) if x is not None]
+        z = self.bias + math.fsum(told) / (NEUTRAL + len(told))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 

@@ -41,6 +41,21 @@ def test_toxicity_odd_and_unseen_forms(spark):
     assert toxicity.score(docs.limit(0), none).count() == 0
 
 
+def test_scores_are_averages_of_subword_vectors():
+    rng = np.random.default_rng(5)
+    texts = [" ".join([*rng.choice(["table", "window", "garden", "river"], 12), *(["scoundrel"] if i % 2 else [])]) for i in range(60)]
+    table, bias = toxicity.fit(texts, [i % 2 for i in range(60)])
+    scorer = toxicity.Scorer(table, bias)
+    for text in ("", "table", "scoundrel river", "scoundrely scoundrels garden " * 400, "42 !!", *texts[:4]):
+        weights = []
+        for w in sorted(set(text.split())):
+            pieces = [f"<{w}>"] + [f"<{w}>"[i : i + n] for n in (3, 4, 5) for i in range(len(w) + 3 - n)] if w.isalpha() else []
+            if any(g in table for g in pieces):
+                weights.append(sum(table.get(g, 0) for g in pieces) / len(pieces))
+        z = bias + sum(weights) / (len(weights) + toxicity.NEUTRAL)
+        assert abs(scorer(text) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def brute_spots(docs):
     order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
     out = []
