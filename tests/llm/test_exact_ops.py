@@ -204,6 +204,16 @@ def test_top_k_odd(spark):
     assert topk.exact_top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CAND_ROWS", 40)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(3)
+    rows = {i: rng.integers(-3, 4, 12).tolist() for i in range(0, 1500, 3)}  # many ties
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows.items()], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.exact_top_k(df).collect()}
+    assert got == brute_top(rows)
+
+
 @pytest.mark.parametrize("n", [1, 6, 400])
 def test_bound_drops_no_winner(n):
     rng = np.random.default_rng(n)
