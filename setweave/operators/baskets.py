@@ -49,30 +49,50 @@ def cluster_names(profile: DataFrame, cluster: str, token: str, least: float) ->
 
 
 def subsets(tokens: Column, size: int) -> Column:
-    """All subsets of 2 or 3 of a sorted token array, joined by '|'. Sets are bounded by the token families, so the list is."""
+    """All subsets of 2 to 4 of a sorted token array, joined by '|'. Sets are bounded by the token families, so the list is."""
+    if size not in (2, 3, 4):
+        raise ValueError("subsets of 2, 3 or 4")
+    return _joined(tokens, size)
+
+
+def _joined(tokens: Column, size: int) -> Column:
+    if size == 1:
+        return tokens
     n = F.size(tokens)
-    idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    rest = lambda i: F.slice(tokens, i + 1, F.greatest(n - i, F.lit(0)))
-    if size == 2:
-        return F.flatten(F.transform(idx, lambda i: F.transform(rest(i), lambda y: F.concat_ws("|", F.element_at(tokens, i), y))))
-    third = lambda j: F.slice(tokens, j + 1, F.greatest(n - j, F.lit(0)))
-    return F.flatten(F.transform(idx, lambda i: F.flatten(F.transform(F.filter(idx, lambda j: j > i), lambda j: F.transform(third(j), lambda y: F.concat_ws("|", F.element_at(tokens, i), F.element_at(tokens, j), y))))))
 
+    def led_by(i: Column) -> Column:
+        rest = F.slice(tokens, i + 1, F.greatest(n - i, F.lit(0)))
+        return F.transform(_joined(rest, size - 1), lambda y: F.concat_ws("|", F.element_at(tokens, i), y))
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), led_by))
+
+
+def conditioned(sets: DataFrame, token: str) -> DataFrame:
+    """sets (tokens, ...) that contain token, without it; sets of it alone go."""
+    return sets.where(F.array_contains("tokens", token)).withColumn("tokens", F.array_remove("tokens", token)).where(F.size("tokens") > 0)
+
+
+def collapsed(sets: DataFrame, family) -> DataFrame:
+    """sets with tokens replaced by their families, each once and in order; family maps a token column to one."""
+    return sets.withColumn("tokens", F.array_sort(F.array_distinct(F.transform("tokens", family))))
 
-def itemset_lift(sets: DataFrame, size: int, least_support: float, k: int, high: str = "high") -> DataFrame:
-    """(itemset, n_high, n_base, support_high, support_base, lift): itemsets frequent among the high rows against the rest.
+
+def itemset_lift(sets: DataFrame, size: int | tuple[int, ...], least_support: float, k: int, high: str = "high") -> DataFrame:
+    """(itemset, n_high, n_base, support_high, support_base, lift): itemsets of a size, or of several, frequent among the high rows against the rest.
 
     sets (tokens sorted array, high boolean). Itemsets grow from tokens that are frequent themselves, so
-    the candidates of a row are subsets of its frequent tokens; counts are combined before the shuffle.
+    the candidates of a row are subsets of its frequent tokens; counts are combined before the shuffle. conditioned() and
+    collapsed() make the sets that hold a token and sets of families.
     """
+    sizes = (size,) if isinstance(size, int) else size
     total = sets.agg(F.count_if(high).alias("nh"), F.count_if(~F.col(high)).alias("nb")).first()
     floor = max(1, int(total.nh * least_support))
     one = sets.where(high).select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= floor).select("t")
     frequent = one.agg(F.coalesce(F.array_sort(F.collect_list("t")), F.array().cast("array<string>")).alias("_f"))  # at most 1 / least_support times a set's size
-    kept = sets.join(F.broadcast(frequent)).select(F.array_intersect("tokens", "_f").alias("tokens"), high).where(F.size("tokens") >= size)
-    g = kept.select(F.explode(subsets(F.col("tokens"), size)).alias("itemset"), high).groupBy("itemset").agg(
+    kept = sets.join(F.broadcast(frequent)).select(F.array_intersect("tokens", "_f").alias("tokens"), high).where(F.size("tokens") >= min(sizes))
+    g = kept.select(F.explode(F.concat(*[subsets(F.col("tokens"), n) for n in sizes])).alias("itemset"), high).groupBy("itemset").agg(
         F.count_if(high).alias("n_high"), F.count_if(~F.col(high)).alias("n_base")).where(F.col("n_high") >= floor)
-    sh, sb = F.col("n_high") / total.nh, F.col("n_base") / total.nb
+    sh, sb = F.col("n_high") / float(max(1, total.nh)), F.col("n_base") / float(max(1, total.nb))
     lift = F.when(sb > 0, sh / sb).otherwise(999.0)
     return g.select("itemset", "n_high", "n_base", sh.alias("support_high"), sb.alias("support_base"), lift.alias("lift")).orderBy(F.desc(F.round("lift", 9)), "itemset").limit(k)
 
@@ -115,25 +135,54 @@ def pmi_penalty(builds: DataFrame, train: DataFrame, ctx: str = "ctx", key: str
 
 
 def nearest_jaccard(sets: DataFrame, references: DataFrame, ctx: str = "ctx", key: str = "example_id", item: str = "family") -> DataFrame:
-    """(key, nearest): highest Jaccard likeness of a set to the distinct reference sets of its context. Distinct sets of families are few, whatever the rows."""
+    """(key, nearest): highest Jaccard likeness of a set to the distinct reference sets of its context, 0 where none shares an item.
+
+    Distinct sets meet by their items, so only sets that share one are compared.
+    """
     own = sets.groupBy(ctx, key).agg(F.array_sort(F.collect_set(item)).alias("s"))
     ref = references.groupBy(ctx, key).agg(F.array_sort(F.collect_set(item)).alias("r")).select(ctx, "r").distinct()
-    best = own.select(ctx, "s").distinct().join(ref, ctx).groupBy(ctx, "s").agg(F.max(F.size(F.array_intersect("s", "r")) / F.size(F.array_union("s", "r"))).alias("nearest"))
-    return own.join(best, [ctx, "s"]).select(key, "nearest")
+    mine = own.select(ctx, "s").distinct().select(ctx, "s", F.explode("s").alias("_i"))
+    both = mine.join(ref.select(ctx, "r", F.explode("r").alias("_i")), [ctx, "_i"]).groupBy(ctx, "s", "r").agg(F.count(F.lit(1)).alias("_n"))
+    best = both.groupBy(ctx, "s").agg(F.max(F.col("_n") / (F.size("s") + F.size("r") - F.col("_n"))).alias("nearest"))
+    known = ref.select(ctx).distinct()
+    return own.join(known, ctx).join(best, [ctx, "s"], "left").select(key, F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
+
+
+def numbered(items: Column) -> Column:
+    """A sorted array with repeats as distinct units: the n-th copy of an item is item#n, so multisets contain one another as sets do."""
+    return F.transform(items, lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(items, x).cast("int") + 2).cast("string")))
+
+
+def rarest_item(sets: DataFrame, references: DataFrame, by: list[str], items: str, held: str) -> DataFrame:
+    """sets (by, items) with _rare: the item of each that the fewest reference rows (by, held) hold; null where one is in none."""
+    df = references.select(*by, F.explode(held).alias("_i")).groupBy(*by, "_i").agg(F.count(F.lit(1)).alias("_df"))
+    met = sets.select(*by, items, F.explode(items).alias("_i")).join(df, [*by, "_i"], "left").groupBy(*by, items).agg(
+        F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("d"), F.col("_i").alias("i"))).alias("_m"))
+    return met.select(*by, items, F.when(F.col("_m.d") > 0, F.col("_m.i")).alias("_rare"))
 
 
-def mode_completion(cases: DataFrame, references: DataFrame, ctx: str = "ctx", key: str = "example_id") -> DataFrame:
-    """(key, completed): the commonest full set of the context that contains the observed items, else the context's commonest.
+def mode_completion(cases: DataFrame, references: DataFrame, slots: int, ctx: str = "ctx", key: str = "example_id") -> DataFrame:
+    """(key, completed): each case's observed items, filled up to `slots` from the commonest full multiset of the context that contains them, else from the context's commonest.
 
-    cases (key, ctx, observed sorted array); references (ctx, full sorted array). Observed sets and full sets are counted
-    first, so distinct sets meet, not rows.
+    cases (key, ctx, observed) and references (ctx, full) hold sorted arrays with repeats. What is observed stays; missing slots take the full
+    multiset's further items in order and, when these run out, its items again from the first. Distinct multisets meet by the
+    observed item that the fewest of the context hold. Of equally common ones the first in order counts.
     """
-    full = references.groupBy(ctx, "full").agg(F.count(F.lit(1)).alias("n"))
-    seen = cases.select(ctx, "observed").distinct().join(full, ctx)
-    fits = (F.size(F.array_except("observed", "full")) == 0).cast("int")
-    w = Window.partitionBy(ctx, "observed").orderBy(F.desc(fits), F.desc("n"), F.array_join("full", "|"))
-    best = seen.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(ctx, "observed", F.array_join("full", "|").alias("completed"))
-    return cases.join(best, [ctx, "observed"], "left").select(key, "completed")
+    full = references.groupBy(ctx, numbered(F.col("full")).alias("full")).agg(F.count(F.lit(1)).alias("n"))
+    seen = cases.select(ctx, numbered(F.col("observed")).alias("observed")).distinct()
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.array_join("full", "|").alias("o"), F.col("full").alias("full"))).alias("_best")
+    mode = full.groupBy(ctx).agg(best).select(ctx, F.col("_best.full").alias("_mode"))
+    asked = rarest_item(seen.where(F.size("observed") > 0), full, [ctx], "observed", "full").where("_rare is not null")
+    held = asked.join(full.select(ctx, "full", "n", F.explode("full").alias("_rare")), [ctx, "_rare"]).where(F.size(F.array_except("observed", "full")) == 0)
+    chosen = held.groupBy(ctx, "observed").agg(best).select(ctx, "observed", F.col("_best.full").alias("_held"))
+    found = seen.join(chosen, [ctx, "observed"], "left").join(mode, ctx, "left").withColumn("_full", F.coalesce("_held", "_mode"))
+    plain = lambda a: F.transform(a, lambda x: F.substring_index(x, "#", 1))
+    missing = F.greatest(F.lit(slots) - F.size("observed"), F.lit(0))
+    further = F.slice(F.array_except("_full", "observed"), F.lit(1), missing)
+    again = F.when(F.size(further) < missing, F.transform(F.sequence(F.size(further), missing - 1), lambda i: F.element_at(F.col("_full"), (i % F.size("_full") + 1).cast("int")))).otherwise(F.array().cast("array<string>"))
+    filled = F.array_sort(plain(F.concat("observed", further, again)))
+    done = found.select(ctx, "observed", F.when(F.col("_full").isNotNull(), F.array_join(filled, "|")).alias("completed"))
+    return cases.withColumn("observed", numbered(F.col("observed"))).join(done, [ctx, "observed"], "left").select(key, "completed")
 
 
 def priors(tokens: DataFrame, ctx: str, token: str, weight: float, by: str = "example_id") -> DataFrame:

@@ -61,21 +61,34 @@ def edit_cost(truth: DataFrame, pred: DataFrame, by: str, removed: int = 5, swap
     return g.select(by, (swap * s + removed * (F.greatest("lack", "over") - s) + step * F.coalesce("steps", F.lit(0))).alias("cost"), (s > 0).alias("cross_family"))
 
 
-def bootstrap_mean(rows: DataFrame, value: str, key: str, resamples: int, seed: str, blocks: int = 64, alpha: float = 0.05) -> DataFrame:
-    """(mean, ci_low, ci_high): percentile interval of the mean over resamples.
+#: Cumulative Poisson(1) probabilities in 65536ths; a 16-bit draw's weight is how many lie at or under it.
+POISSON_CUTS = (24109, 48219, 60273, 64291, 65296, 65497, 65530, 65535)
 
-    Rows are first summed in hash blocks (n and sum of each), and a resample draws blocks with replacement by
-    hash, so its cost does not grow with the rows.
+
+def bootstrap_mean(rows: DataFrame, value: str, key: str, resamples: int, seed: str, alpha: float = 0.05) -> DataFrame:
+    """(mean, ci_low, ci_high): percentile interval of the mean over resamples of the rows.
+
+    Each row has a Poisson(1) weight in each resample by hash of its key, which is what drawing n of n rows with replacement comes
+    to; weights and weighted values are summed before the shuffle, so one row a resample and task moves. Eight weights come
+    from one hash. Nulls take no part.
     """
-    b = rows.withColumn("_b", F.conv(F.substring(hashed(F.col(key), seed), 1, 6), 16, 10).cast("long") % blocks).groupBy("_b").agg(F.count(value).alias("n"), F.sum(value).alias("s"))
-    draws = rows.sparkSession.range(resamples * blocks).select((F.col("id") / blocks).cast("int").alias("r"), (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(seed))), 1, 6), 16, 10).cast("long") % blocks).alias("_b"))
-    means = draws.join(F.broadcast(b), "_b").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("m"))
+    some = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(key).alias("_key"))
+    drawn = some.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 8)))).withColumn("_h", hashed(F.col("_key"), F.col("_b"), seed))
+    lanes = drawn.select("v", "_b", "_h", F.explode(F.array(*map(F.lit, range(8)))).alias("_l"))
+    u = F.conv(F.substring(F.col("_h"), F.col("_l") * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    weight = sum(((u >= c).cast("int") for c in POISSON_CUTS[1:]), (u >= POISSON_CUTS[0]).cast("int"))
+    means = lanes.select((F.col("_b") * 8 + F.col("_l")).alias("r"), "v", weight.alias("w")).where(F.col("r") < resamples).groupBy("r").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
     ci = means.agg(F.expr(f"percentile(m, {alpha / 2})").alias("ci_low"), F.expr(f"percentile(m, {1 - alpha / 2})").alias("ci_high"))
-    return rows.agg(F.avg(value).alias("mean")).join(F.broadcast(ci))
+    return some.agg(F.avg("v").alias("mean")).join(F.broadcast(ci))
+
+
+def bootstrap_mean_diff(rows: DataFrame, a: str, b: str, key: str, resamples: int, seed: str, alpha: float = 0.05) -> DataFrame:
+    """bootstrap_mean of the paired differences a - b."""
+    return bootstrap_mean(rows.select(key, (F.col(a) - F.col(b)).alias("_diff")), "_diff", key, resamples, seed, alpha)
 
 
 def paired_stats(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """(by, n, mean_diff, t, effect): paired t statistic and Cohen's d_z of a - b; 0 where all differences are equal to zero."""
+    """(by, n, mean_diff, t, effect): paired t statistic and Cohen's d_z of a - b; 0 where all differences are equal."""
     d = F.col(a) - F.col(b)
     g = rows.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("_s"))
     z = F.when(F.col("_s") > 0, F.col("mean_diff") / F.col("_s")).otherwise(0.0)
@@ -83,26 +96,69 @@ def paired_stats(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
 
 def wilcoxon(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """(by, n, w_plus, z): signed-rank statistic with average ranks, zeros split, and its normal score without tie correction."""
-    d = rows.withColumn("_d", F.col(a) - F.col(b)).where("_d is not null")
+    """(by, n, w_plus, z): signed-rank statistic with average ranks, zeros split, and its normal score corrected for ties.
+
+    Ranks come from the counts of each distance, so a group's rows are counted, not sorted; z is null where all differences are zero.
+    """
+    d = F.col(a) - F.col(b)
+    sizes = rows.withColumn("_d", d).where("_d is not null").groupBy(*by, F.abs("_d").alias("_a")).agg(F.count(F.lit(1)).alias("_t"), F.count_if(F.col("_d") > 0).alias("_p"))
     w = Window.partitionBy(*by)
-    lo = F.rank().over(w.orderBy(F.abs("_d")))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, F.abs("_d")))
-    r = d.withColumn("_r", lo + (ties - 1) / 2.0)
-    g = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).when(F.col("_d") == 0, F.col("_r") / 2).otherwise(0.0)).alias("w_plus"))
+    rank = F.sum("_t").over(w.orderBy("_a")) - (F.col("_t") - 1) / 2.0
+    plus = F.when(F.col("_a") == 0, F.col("_t") / 2.0).otherwise(F.col("_p").cast("double"))
+    g = sizes.withColumn("_r", rank).groupBy(*by).agg(
+        F.sum("_t").alias("n"), F.sum(F.col("_r") * plus).alias("w_plus"), F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).alias("_ties"), F.max("_a").alias("_most"))
     n = F.col("n")
-    return g.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4.0) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0))
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("_ties") / 48.0)
+    return g.withColumn("z", F.when(F.col("_most") > 0, (F.col("w_plus") - n * (n + 1) / 4.0) / sd)).drop("_ties", "_most")
+
+
+def normal_p(z: float) -> float:
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def student_p(t: float, df: float) -> float:
+    """Two-sided p-value of Student's t: the regularised incomplete beta function of df / (df + t^2), by its continued fraction."""
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):  # the fraction converges fast on the other side
+        return 1 - _beta_part(1 - x, b, a)
+    return _beta_part(x, a, b)
+
+
+def _beta_part(x: float, a: float, b: float) -> float:
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d or tiny)
+    f = d
+    for m in range(1, 10_000):
+        for part in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + part * d or tiny)
+            c = 1 + part / c or tiny
+            f *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * f
 
 
 def p_values(tests: DataFrame, z: str = "z") -> DataFrame:
-    """tests with two-sided normal p-values; the table has a row for each comparison, so the error function runs in Python on a few rows."""
+    """tests with two-sided normal p-values, 1 where there is no difference (null); the table has a row for each comparison, so the error function runs in Python on a few rows."""
     @F.pandas_udf("double")
     def p(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else None)
+        return x.map(lambda v: normal_p(v) if v == v else 1.0)
 
     return tests.withColumn("p", p(z))
 
 
+def t_p_values(tests: DataFrame) -> DataFrame:
+    """paired_stats with t_p, the two-sided p-value of t with n - 1 degrees of freedom; 1 where t is 0 or n is under 2."""
+    @F.pandas_udf("double")
+    def p(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([student_p(a, b - 1) if b > 1 and a else 1.0 for a, b in zip(t, n)], dtype=float)
+
+    return tests.withColumn("t_p", p("t", "n"))
+
+
 def micro_f1(rows: DataFrame, truth: str, pred: str, label: str, by: list[str]) -> DataFrame:
     """(precision, recall, f1) over all (by, label) cells of 0/1 columns."""
     tp, fp, fn = (F.sum((c).cast("int")) for c in ((F.col(truth) == 1) & (F.col(pred) == 1), (F.col(truth) == 0) & (F.col(pred) == 1), (F.col(truth) == 1) & (F.col(pred) == 0)))
@@ -120,23 +176,26 @@ def split_half(tokens: DataFrame, key: str, token: str, weight: str, splits: int
 
 
 def shuffle_null(examples: DataFrame, tokens: DataFrame, rounds: int, top: float, seed: str, key: str = "example_id", token: str = "token") -> DataFrame:
-    """(observed, p): share of the commonest token among the top examples by activation, and how often a shuffled top holds a share as high.
+    """(observed, null_mean, p): the commonest token's share of all tokens among the top examples by activation, its mean in shuffled tops, and how often one is as high.
 
-    A shuffled top is the examples of least hash for the round, cut at the same share.
+    A round's shuffled top is the examples of least hash, as many as the top holds. The cut is found by counting examples by
+    prefix of the hash, and only those of the prefix it falls in are ranked.
     """
     n = examples.count()
     m = max(1, int(n * top + 1e-9))
     # of equal activations the greater keys are in the top
     real = global_rank(examples, "activation", key, "_rank").where(F.col("_rank") > n - m).select(key, F.lit(-1).alias("round"))
-    # hash slots of 24 bits: an example is in a round's top when its slot lies under the share
-    drawn = examples.select(key, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).where(
-        F.conv(F.substring(hashed(F.col(key), F.col("round"), seed), 1, 6), 16, 10).cast("long") < int(m / n * (1 << 24)))
-    tops = real.unionByName(drawn.select(key, "round"))
-    sizes = tops.groupBy("round").agg(F.count(F.lit(1)).alias("size"))
-    best = tops.join(tokens.select(key, token).distinct(), key).groupBy("round", token).agg(F.count(F.lit(1)).alias("c")).groupBy("round").agg(F.max("c").alias("c"))
-    stat = best.join(sizes, "round").withColumn("s", F.col("c") / F.col("size"))
+    drawn = examples.select(key, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).withColumn("_h", hashed(F.col(key), F.col("round"), seed)).withColumn("_p", F.substring("_h", 1, 3))
+    sizes = drawn.groupBy("round", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    upto = sizes.withColumn("_u", F.sum("_n").over(Window.partitionBy("round").orderBy("_p")))
+    cut = upto.where((F.col("_u") >= m) & (F.col("_u") - F.col("_n") < m)).select("round", F.col("_p").alias("_cut"), (m - F.col("_u") + F.col("_n")).alias("_left"))  # one row a round
+    met = drawn.join(F.broadcast(cut), "round")
+    last = met.where(F.col("_p") == F.col("_cut")).withColumn("_r", F.row_number().over(Window.partitionBy("round").orderBy("_h", key))).where(F.col("_r") <= F.col("_left"))
+    tops = real.unionByName(met.where(F.col("_p") < F.col("_cut")).select(key, "round")).unionByName(last.select(key, "round"))
+    counts = tops.join(tokens.select(key, token).distinct(), key).groupBy("round", token).agg(F.count(F.lit(1)).alias("c"))
+    stat = counts.groupBy("round").agg((F.max("c") / F.sum("c")).alias("s"))
     seen = stat.where("round = -1").select(F.col("s").alias("observed"))
-    return stat.where("round >= 0").join(F.broadcast(seen)).groupBy("observed").agg(F.avg((F.col("s") >= F.col("observed")).cast("double")).alias("p"))
+    return stat.where("round >= 0").join(F.broadcast(seen)).groupBy("observed").agg(F.avg("s").alias("null_mean"), F.avg((F.col("s") >= F.col("observed")).cast("double")).alias("p"))
 
 
 def vector_comparison(rows: DataFrame, a: str, b: str) -> list[Column]:

@@ -14,19 +14,42 @@ def _slice_of(value: Column, bounds: list, first: int = 0) -> Column:
     return F.when(value > bounds[m], _slice_of(value, bounds[m + 1 :], first + m + 1)).otherwise(_slice_of(value, bounds[:m], first))
 
 
-def global_rank(rows: DataFrame, value: str, tie: str, name: str = "rank", slices: int = 64) -> DataFrame:
-    """rows with their rank from 1 by value, then tie, over the whole table.
+#: Rows of a slice that a rank is made from, and the least and most slices.
+SLICE_ROWS, LEAST_SLICES, MOST_SLICES = 1_000_000, 64, 4096
 
-    Rows are dealt to slices at approximate quantiles, ranked within a slice and offset by the sizes of the
-    slices before, so no task sorts more than a slice; only the slices' sizes are summed in one place.
+
+def slice_bounds(rows: DataFrame, value: str) -> list:
+    """Values that cut rows into slices of about SLICE_ROWS, fewer but for a value that many rows share."""
+    n = min(MOST_SLICES, max(LEAST_SLICES, rows.count() // SLICE_ROWS))
+    cuts = rows.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    return sorted(set(cuts))
+
+
+def sliced_rank(rows: DataFrame, by: list[str], sliced: Column, order: list[Column], name: str, size: str | None = None) -> DataFrame:
+    """rows with their rank from 1 within by, where rows of a smaller `sliced` come first and order settles the rest.
+
+    Slices of a group are ranked apart and offset by the sizes of those before, so no task sorts more than a slice, however
+    large a group; only the sizes are summed in one place. size names a column for the rows of the group.
     """
-    cuts = rows.agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000)).first()[0] or []
-    bounds = sorted(set(cuts))
-    cut = rows.withColumn("_s", _slice_of(F.col(value), bounds))
-    sizes = cut.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_s", (F.sum("_n").over(Window.orderBy("_s")) - F.col("_n")).alias("_b"))
-    place = F.row_number().over(Window.partitionBy("_s").orderBy(value, tie))
-    return cut.join(F.broadcast(before), "_s").withColumn(name, F.col("_b") + place).drop("_s", "_b")
+    cut = rows.withColumn("_s", sliced)
+    group = Window.partitionBy(*by)
+    sizes = cut.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(*by, "_s", (F.sum("_n").over(group.orderBy("_s")) - F.col("_n")).alias("_b"), F.sum("_n").over(group).alias("_all"))
+    place = F.row_number().over(Window.partitionBy(*by, "_s").orderBy(*order))
+    met = cut.alias("cut").join(before.alias("before"), [F.col("cut._s") == F.col("before._s"), *[F.col(f"cut.{c}").eqNullSafe(F.col(f"before.{c}")) for c in by]])
+    out = met.select("cut.*", "before._b", "before._all").withColumn(name, F.col("_b") + place)
+    return (out.withColumn(size, F.col("_all")) if size else out).drop("_s", "_b", "_all")
+
+
+def global_rank(rows: DataFrame, value: str, tie: str, name: str = "rank") -> DataFrame:
+    """rows with their rank from 1 by value, then tie, over the whole table; slices are cut at approximate quantiles."""
+    return sliced_rank(rows, [], _slice_of(F.col(value), slice_bounds(rows, value)), [F.col(value), F.col(tie)], name)
+
+
+def rank_within(rows: DataFrame, by: list[str], value: str, tie: str, name: str, size: str | None = None, descending: bool = False) -> DataFrame:
+    """rows with their rank from 1 by value (or falling value), then tie, within each group."""
+    at = _slice_of(F.col(value), slice_bounds(rows, value))
+    return sliced_rank(rows, by, -at if descending else at, [F.desc(value) if descending else F.col(value), F.col(tie)], name, size)
 
 
 def exact_quantile(rows: DataFrame, value: str, tie: str, q: float, name: str) -> DataFrame:
@@ -54,15 +77,20 @@ def top_and_bottom(rows: DataFrame, by: str, k: int, value: str, tie: str) -> Da
 
 
 def percentile_rank(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """rows with pct: percentage of the group strictly below in magnitude."""
+    """rows with pct: percentage of the group strictly below in magnitude. Equal magnitudes lie in one slice."""
+    sized = rows.withColumn("_m", F.abs(value))
+    at = sized.withColumn("_s", _slice_of(F.col("_m"), slice_bounds(sized, "_m")))
     w = Window.partitionBy(by)
-    return rows.withColumn("pct", 100.0 * (F.rank().over(w.orderBy(F.abs(value))) - 1) / F.count(F.lit(1)).over(w))
+    sizes = at.groupBy(by, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(by, "_s", (F.sum("_n").over(w.orderBy("_s")) - F.col("_n")).alias("_b"), F.sum("_n").over(w).alias("_all"))
+    below = F.col("_b") + F.rank().over(Window.partitionBy(by, "_s").orderBy("_m")) - 1
+    return at.join(before, [by, "_s"]).withColumn("pct", 100.0 * below / F.col("_all")).drop("_m", "_s", "_b", "_all")
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str, tie: str) -> DataFrame:
     """(by, pearson, spearman, n): correlation of values and of ordinal ranks, ties by position."""
-    w = Window.partitionBy(*by)
-    r = rows.withColumn("_x", F.row_number().over(w.orderBy(x, tie)).cast("double")).withColumn("_y", F.row_number().over(w.orderBy(y, tie)).cast("double"))
+    r = rank_within(rank_within(rows, by, x, tie, "_x"), by, y, tie, "_y")
+    r = r.withColumn("_x", F.col("_x").cast("double")).withColumn("_y", F.col("_y").cast("double"))
     return r.groupBy(*by).agg(F.corr(x, y).alias("pearson"), F.corr("_x", "_y").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
@@ -78,10 +106,9 @@ def extreme_slices(rows: DataFrame, value: str, outcome: str, key: str, fraction
 
 def top_share_or_count(rows: DataFrame, by: str, spec: str, value: str = "activation", tie: str = "example_id") -> DataFrame:
     """The highest rows of each group: a number ("200") or a share rounded up ("10pct")."""
-    w = Window.partitionBy(by)
-    r = F.row_number().over(w.orderBy(F.desc(value), tie))
-    keep = F.ceil(F.count(F.lit(1)).over(w) * float(spec[:-3]) / 100) if spec.endswith("pct") else F.lit(int(spec))
-    return rows.withColumn("rank", r).withColumn("_k", keep).where("rank <= _k").drop("_k")
+    r = rank_within(rows, [by], value, tie, "rank", "_n", descending=True)
+    keep = F.ceil(F.col("_n") * float(spec[:-3]) / 100) if spec.endswith("pct") else F.lit(int(spec))
+    return r.where(F.col("rank") <= keep).drop("_n")
 
 
 def priority(rows: DataFrame, done: DataFrame, by: str, k: int) -> DataFrame:

@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setweave.functions.tokens import hashed
+from setweave.operators.ranking import rank_within, sliced_rank
 
 
 def percentile_slice(rows: DataFrame, lo: float, hi: float, by: list[str], value: str = "activation", tie: str = "example_id") -> DataFrame:
     """Rows ranked ascending within by at [floor(n lo / 100), floor(n hi / 100))."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy(value, tie)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where((F.col("_r") >= F.floor(F.col("_n") * lo / 100)) & (F.col("_r") < F.floor(F.col("_n") * hi / 100))).drop("_r", "_n")
+    ranked = rank_within(rows, by, value, tie, "_r", "_n")
+    return ranked.where((F.col("_r") > F.floor(F.col("_n") * lo / 100)) & (F.col("_r") <= F.floor(F.col("_n") * hi / 100))).drop("_r", "_n")
+
+
+def _hash_rank(rows: DataFrame, by: list[str], key: str, seed: str, name: str, size: str | None = None) -> DataFrame:
+    """rows with their rank from 1 by hash of key within by; slices are the 4096 prefixes of the hash."""
+    h = rows.withColumn("_h", hashed(F.col(key), seed))
+    return sliced_rank(h, by, F.substring("_h", 1, 3), [F.col("_h"), F.col(key)], name, size).drop("_h")
 
 
 def sample_n(rows: DataFrame, n: int, key: str, seed: str) -> DataFrame:
@@ -36,13 +42,12 @@ def rebalance(rows: DataFrame, by: str, won: str, key: str, target: float, seed:
 
     With W wins and L losses: under target int(W / target) - W losses stay, else int(L / (1 - target)) - L wins.
     """
-    w = Window.partitionBy(by)
-    counted = rows.withColumn("_w", F.sum(F.col(won).cast("int")).over(w)).withColumn("_l", F.sum((~F.col(won)).cast("int")).over(w))
-    rank = F.row_number().over(Window.partitionBy(by, won).orderBy(hashed(F.col(key), seed), key))
+    counts = rows.groupBy(by).agg(F.sum(F.col(won).cast("int")).alias("_w"), F.sum((~F.col(won)).cast("int")).alias("_l"))
+    counted = _hash_rank(rows, [by, won], key, seed, "_r").join(counts, by)
     low = F.col("_w") / (F.col("_w") + F.col("_l")) < target
     keep = F.when(low, F.when(F.col(won), F.col("_w")).otherwise(F.floor(F.col("_w") / target) - F.col("_w"))).otherwise(
         F.when(F.col(won), F.floor(F.col("_l") / (1 - target)) - F.col("_l")).otherwise(F.col("_l")))
-    return counted.withColumn("_r", rank).where(F.col("_r") <= keep).drop("_w", "_l", "_r")
+    return counted.where(F.col("_r") <= keep).select(*rows.columns)
 
 
 def split(rows: DataFrame, key: str, val: float, test: float, seed: str) -> DataFrame:
@@ -62,19 +67,19 @@ def split(rows: DataFrame, key: str, val: float, test: float, seed: str) -> Data
 
 def stratified_split(rows: DataFrame, by: str, key: str, fraction: float, seed: str) -> DataFrame:
     """rows with is_eval: max(1, round(n fraction)), at most n - 1, of each stratum; strata of one row are all training."""
-    w = Window.partitionBy(by)
-    n = F.count(F.lit(1)).over(w)
+    n = F.col("_n")
     take = F.when(n < 2, 0).otherwise(F.least(n - 1, F.greatest(F.lit(1), F.round(n * fraction))))
-    return rows.withColumn("_r", F.row_number().over(w.orderBy(hashed(F.col(key), seed), key))).withColumn("_t", take).withColumn("is_eval", F.col("_r") <= F.col("_t")).drop("_r", "_t")
+    return _hash_rank(rows, [by], key, seed, "_r", "_n").withColumn("is_eval", F.col("_r") <= take).drop("_r", "_n")
 
 
-def masked_instances(sets: DataFrame, k: int, key: str = "example_id", items: str = "tokens", seed: str = "mask", skew: float = 1.2) -> DataFrame:
-    """(key, instance, target, observed): k masked copies of each set.
+def masked_instances(sets: DataFrame, k: int, key: str = "example_id", items: str = "tokens", seed: str = "mask", skew: float = 1.2, null_token: str | None = None) -> DataFrame:
+    """(key, instance, target, observed): k masked copies of each set, and with a null_token one more, instance 0, that shows this token alone.
 
     The number of removed tokens, 1 to max(1, n - 1), is drawn with probability proportional to (r / sum r) ** skew by inverse
     distribution on a hash; which ones, by hash order of the tokens.
     """
-    x = sets.withColumn("instance", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    first = 0 if null_token is None else 1
+    x = sets.withColumn("instance", F.explode(F.sequence(F.lit(0), F.lit(k - 1 + first))))
     u = F.conv(F.substring(hashed(F.col(key), F.col("instance"), seed), 1, 6), 16, 10).cast("double") / F.lit(float(1 << 24))
     most = F.greatest(F.lit(1), F.size(items) - 1)
     weights = F.transform(F.sequence(F.lit(1), most), lambda r: F.pow(r / (most * (most + 1) / 2), F.lit(skew)))
@@ -82,7 +87,10 @@ def masked_instances(sets: DataFrame, k: int, key: str = "example_id", items: st
     run = F.transform(F.sequence(F.lit(1), most), lambda r: F.aggregate(F.slice(weights, F.lit(1), r), F.lit(0.0), lambda a, w: a + w))
     removed = F.least(most, F.size(F.filter(run, lambda c: c <= u * total)) + 1)
     mixed = F.transform(F.array_sort(F.transform(items, lambda t: F.struct(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("instance").cast("string"), t, F.lit(seed))).alias("h"), t.alias("t")))), lambda s: s["t"])
-    return x.select(key, "instance", F.array_sort(items).alias("target"), F.array_sort(F.slice(mixed, F.lit(1), F.greatest(F.lit(0), F.size(items) - removed))).alias("observed"))
+    observed = F.array_sort(F.slice(mixed, F.lit(1), F.greatest(F.lit(0), F.size(items) - removed)))
+    if null_token is not None:
+        observed = F.when(F.col("instance") == 0, F.array(F.lit(null_token))).otherwise(observed)
+    return x.select(key, "instance", F.array_sort(items).alias("target"), observed.alias("observed"))
 
 
 def mask_items(items: DataFrame, masks: list[int], by: str, item: str, n: str, seed: str) -> DataFrame:

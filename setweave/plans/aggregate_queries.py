@@ -9,6 +9,7 @@ from setweave.functions.session import table
 from setweave.operators import aggregates as A
 from setweave.operators import ranking as K
 from setweave.operators import similarity as M
+from setweave.operators.baskets import rarest_item
 from setweave.plans import relations as X
 
 Q: dict = {}
@@ -68,14 +69,18 @@ def e5(spark, d):
 @query("e6_multiset_containment", f"WITH {X.LINES_SQL}, c AS (SELECT example_id, ctx, tier, family, CAST(floor(ap / 20) AS INT) AS n FROM lines WHERE ap >= 20), need AS (SELECT * FROM c WHERE tier = '1-URGENT'), sz AS (SELECT example_id, count(*) AS z FROM need GROUP BY 1), "
        "hit AS (SELECT need.example_id, c.example_id AS other, count(*) AS z FROM need JOIN c ON c.ctx = need.ctx AND c.family = need.family AND c.n >= need.n AND c.tier = '2-HIGH' GROUP BY ALL) SELECT sz.example_id, count(hit.other) AS n_containing FROM sz LEFT JOIN hit ON hit.example_id = sz.example_id AND hit.z = sz.z GROUP BY 1")
 def e6(spark, d):
-    """Sets meet by their distinct profiles, so the work follows the profiles, not pairs of rows."""
+    """Sets meet by their distinct profiles and the family of a profile that the fewest others hold, so the work follows the profiles that share it."""
     c = X.lines(spark, d).where("ap >= 20").withColumn("n", F.floor(F.col("ap") / 20).cast("int"))
     profile = F.array_sort(F.collect_list(F.struct("family", "n")))
+    families = lambda p: F.transform(p, lambda x: x["family"])
     sets = c.groupBy("example_id", "ctx", "tier").agg(profile.alias("p"))
     need = sets.where("tier = '1-URGENT'")
-    have = sets.where("tier = '2-HIGH'").groupBy("ctx", "p").agg(F.count(F.lit(1)).alias("times")).withColumn("have", F.map_from_entries("p")).drop("p")
+    have = sets.where("tier = '2-HIGH'").groupBy("ctx", "p").agg(F.count(F.lit(1)).alias("times")).withColumn("held", families("p")).withColumn("have", F.map_from_entries("p")).drop("p")
+    asked = need.select("ctx", "p", families("p").alias("needed")).distinct()
+    rare = rarest_item(asked.select("ctx", "needed").distinct(), have, ["ctx"], "needed", "held").where("_rare is not null")
     fits = F.forall("p", lambda x: F.coalesce(F.try_element_at(F.col("have"), x["family"]), F.lit(0)) >= x["n"])
-    found = need.select("ctx", "p").distinct().join(have, "ctx").where(fits).groupBy("ctx", "p").agg(F.sum("times").alias("n_containing"))
+    met = asked.join(rare, ["ctx", "needed"]).join(have.select("ctx", "have", "times", F.explode("held").alias("_rare")), ["ctx", "_rare"])
+    found = met.where(fits).groupBy("ctx", "p").agg(F.sum("times").alias("n_containing"))
     return need.join(found, ["ctx", "p"], "left").select("example_id", F.coalesce("n_containing", F.lit(0)).alias("n_containing"))
 
 
@@ -306,11 +311,12 @@ def f25(spark, d):
     return A.interference(X.examples(spark, d), X.toks(spark, d), [(6, 29), (12, 29), (15, 29)])
 
 
-@query("f26_frequent_core_tokens", f"WITH {X.LINES_SQL}, top AS (SELECT DISTINCT example_id, activation FROM lines ORDER BY activation DESC, example_id LIMIT 100) SELECT family, count(*) / 100 AS frequency FROM lines JOIN top USING (example_id) WHERE family <> 'promo' GROUP BY 1 HAVING count(*) >= 50")
+@query("f26_frequent_core_tokens", f"WITH {X.BRANDS_SQL}, top AS (SELECT DISTINCT example_id, activation FROM brands ORDER BY activation DESC, example_id LIMIT 100), f AS (SELECT DISTINCT example_id, substr(token, 1, 7) AS family FROM brands JOIN top USING (example_id)) SELECT family, count(*) / 100 AS frequency FROM f WHERE family <> 'Brand#5' GROUP BY 1 HAVING count(*) >= 50")
 def f26(spark, d):
-    t = X.lines(spark, d)
+    t = X.brands(spark, d)
     top = t.select("example_id", "activation").distinct().orderBy(F.desc("activation"), "example_id").limit(100).select("example_id")
-    return t.join(F.broadcast(top), "example_id").where("family <> 'promo'").groupBy("family").agg((F.count(F.lit(1)) / 100).alias("frequency")).where("frequency >= 0.5")
+    families = t.join(F.broadcast(top), "example_id").select("example_id", F.substring("token", 1, 7).alias("family")).distinct()
+    return families.where("family <> 'Brand#5'").groupBy("family").agg((F.count(F.lit(1)) / 100).alias("frequency")).where("frequency >= 0.5")
 
 
 @query("f27_token_stats", f"WITH {X.TOKS_SQL} SELECT family, level, count(DISTINCT example_id) AS n_builds FROM toks GROUP BY ROLLUP (family, level)")

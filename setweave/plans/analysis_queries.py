@@ -123,6 +123,19 @@ def i9(spark, d):
     return B.itemset_lift(high_sets(spark, d), 2, 0.02, 100)
 
 
+_KIN = "k AS (SELECT DISTINCT example_id, substr(token, 1, 7) AS f, high FROM h WHERE token <> 'Brand#13' AND example_id IN (SELECT example_id FROM h WHERE token = 'Brand#13')), zk AS (SELECT count(DISTINCT example_id) FILTER (high) AS nh, count(DISTINCT example_id) FILTER (NOT high) AS nb FROM k)"
+_SETS = {2: "k a JOIN k b USING (example_id) WHERE a.f < b.f", 3: "k a JOIN k b USING (example_id) JOIN k c USING (example_id) WHERE a.f < b.f AND b.f < c.f", 4: "k a JOIN k b USING (example_id) JOIN k c USING (example_id) JOIN k d USING (example_id) WHERE a.f < b.f AND b.f < c.f AND c.f < d.f"}
+
+
+@query("i9b_conditioned_family_itemsets", f"WITH {X.BRANDS_SQL}, {X.EXAMPLES_SQL}, {_HIGH}, {_KIN}, p AS (" + " UNION ALL ".join(
+    f"SELECT concat_ws('|', {', '.join(f'{c}.f' for c in 'abcd'[:n])}) AS itemset, count(*) FILTER (a.high) AS n_high, count(*) FILTER (NOT a.high) AS n_base FROM {j} GROUP BY 1" for n, j in _SETS.items())
+    + ") SELECT itemset, n_high, n_base, round(n_high / nh, 4) AS support_high, round(n_base / nb, 4) AS support_base, round(CASE WHEN n_base > 0 THEN (n_high / nh) / (n_base / nb) ELSE 999 END, 4) AS lift FROM p, zk WHERE n_high >= greatest(1, floor(nh * 0.05)) ORDER BY round(CASE WHEN n_base > 0 THEN (n_high / nh) / (n_base / nb) ELSE 999 END, 9) DESC, itemset LIMIT 100")
+def i9b(spark, d):
+    """Sets that hold one brand, without it and by family, in itemsets of 2 to 4."""
+    sets = B.collapsed(B.conditioned(high_sets(spark, d), "Brand#13"), lambda t: F.substring(t, 1, 7))
+    return B.itemset_lift(sets, (2, 3, 4), 0.05, 100)
+
+
 @query("i10_contrastive_triples", f"WITH {X.BRANDS_SQL}, {X.EXAMPLES_SQL}, {_HIGH}, p AS (SELECT a.token || '|' || b.token || '|' || c.token AS itemset, count(*) FILTER (a.high) AS n_high, count(*) FILTER (NOT a.high) AS n_base FROM h a JOIN h b USING (example_id) JOIN h c USING (example_id) WHERE a.token < b.token AND b.token < c.token GROUP BY 1) "
        "SELECT itemset, n_high, n_base, round(n_high / nh, 4) AS support_high, round(n_base / nb, 4) AS support_base, round(CASE WHEN n_base > 0 THEN (n_high / nh) / (n_base / nb) ELSE 999 END, 4) AS lift FROM p, z WHERE n_high >= greatest(1, floor(nh * 0.005)) ORDER BY round(CASE WHEN n_base > 0 THEN (n_high / nh) / (n_base / nb) ELSE 999 END, 9) DESC, itemset LIMIT 50")
 def i10(spark, d):
@@ -164,12 +177,18 @@ def i15(spark, d):
     return B.nearest_jaccard(t.where("tier = '5-LOW'"), t.where("tier = '1-URGENT'"))
 
 
-@query("i16_mode_completion", f"WITH {X.LINES_SQL}, s AS (SELECT example_id, ctx, tier, list(family ORDER BY family) AS f FROM lines GROUP BY ALL), r AS (SELECT ctx, f AS full_, count(*) AS n FROM s WHERE tier = '1-URGENT' GROUP BY ALL), c AS (SELECT example_id, ctx, f[1:2] AS o FROM s WHERE tier = '5-LOW'), "
-       "x AS (SELECT example_id, array_to_string(full_, '|') AS completed, row_number() OVER (PARTITION BY example_id ORDER BY (len(list_intersect(o, full_)) = len(o)) DESC, n DESC, array_to_string(full_, '|')) AS r FROM c JOIN r USING (ctx)) SELECT example_id, completed FROM x WHERE r = 1")
+_UNITS = "i AS (SELECT example_id, ctx, tier, family, unnest(range(1, least((ap + 9) // 10, 4) + 1)) AS u FROM lines), m AS (SELECT example_id, ctx, tier, list(family || '#' || u ORDER BY family, u) AS f FROM i GROUP BY ALL)"
+
+
+@query("i16_mode_completion", f"WITH {X.LINES_SQL}, {_UNITS}, r AS (SELECT ctx, f AS full_, count(*) AS n FROM m WHERE tier = '1-URGENT' GROUP BY ALL), o AS (SELECT example_id, ctx, f[1:2] AS o FROM m WHERE tier = '5-LOW'), "
+       "x AS (SELECT example_id, o, full_, row_number() OVER (PARTITION BY example_id ORDER BY (len(list_intersect(o, full_)) = len(o)) DESC, n DESC, array_to_string(full_, '|')) AS r FROM o JOIN r USING (ctx)), "
+       "y AS (SELECT example_id, o, full_, 8 - len(o) AS lack, list_filter(full_, lambda v: NOT list_contains(o, v))[1:8 - len(o)] AS more FROM x WHERE r = 1), "
+       "w AS (SELECT example_id, list_concat(list_concat(o, more), list_transform(range(len(more), lack), lambda k: full_[k % len(full_) + 1])) AS a FROM y) SELECT example_id, array_to_string(list_sort(list_transform(a, lambda v: split_part(v, '#', 1))), '|') AS completed FROM w")
 def i16(spark, d):
-    s = X.lines(spark, d).groupBy("example_id", "ctx", "tier").agg(F.array_sort(F.collect_list("family")).alias("f"))
+    units = X.lines(spark, d).select("example_id", "ctx", "tier", F.explode(F.array_repeat("family", F.least(F.floor((F.col("ap") + 9) / 10).cast("int"), F.lit(4)))).alias("family"))
+    s = units.groupBy("example_id", "ctx", "tier").agg(F.array_sort(F.collect_list("family")).alias("f"))
     cases = s.where("tier = '5-LOW'").select("example_id", "ctx", F.slice("f", 1, 2).alias("observed"))
-    return B.mode_completion(cases, s.where("tier = '1-URGENT'").select("ctx", F.col("f").alias("full")))
+    return B.mode_completion(cases, s.where("tier = '1-URGENT'").select("ctx", F.col("f").alias("full")), 8)
 
 
 @query("i17_concept_hints", f"WITH {X.LINES_SQL}, z AS (SELECT ctx, count(DISTINCT example_id) AS z FROM lines GROUP BY 1), g AS (SELECT ctx, family, k / z AS c FROM (SELECT ctx, family, count(*) AS k FROM lines GROUP BY ALL) JOIN z USING (ctx)) SELECT ctx, family, round(c, 4) AS coverage, CASE WHEN c > 0.5 THEN 'common' WHEN c > 0.4 THEN 'frequent' ELSE 'rare' END AS hint FROM g")
@@ -320,6 +339,18 @@ def k11(spark, d):
     return x.select("vec_id", F.abs(F.get("y", 0)).alias("axis1"), F.abs(F.get("y", 1)).alias("axis2"))
 
 
+@query("k11b_document_vectors")
+def k11b(spark, d):
+    """Documents as the mean of word vectors trained on all of them."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    w = table(spark, d, "documents").select("doc_id", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "").alias("words"))
+    parts = max(1, w.count() // 50_000)
+    model = Word2Vec(vectorSize=16, minCount=5, maxIter=1, numPartitions=parts, seed=3, inputCol="words", outputCol="v").fit(w)
+    return model.transform(w).select("doc_id", vector_to_array("v").alias("vector"))
+
+
 _PTS = "pts AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
 
 
@@ -497,32 +528,56 @@ def m8(spark, d):
     return c.groupBy(F.when(F.col("missing") + F.col("extra") == 0, "same").otherwise("diverged").alias("slice")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("m9_bootstrap_mean", f"WITH {X.EXAMPLES_SQL}, b AS (SELECT CAST('0x' || substr(md5(example_id || ':boot'), 1, 6) AS BIGINT) % 64 AS b, count(activation) AS n, sum(activation) AS s FROM examples GROUP BY 1), dr AS (SELECT i // 64 AS r, CAST('0x' || substr(md5(i || ':boot'), 1, 6) AS BIGINT) % 64 AS b FROM (SELECT unnest(range(64 * 200)) AS i)), m AS (SELECT r, sum(s) / sum(n) AS m FROM dr JOIN b USING (b) GROUP BY 1) "
-       "SELECT round((SELECT avg(activation) FROM examples), 2) AS mean, round(quantile_cont(m, 0.025), 2) AS ci_low, round(quantile_cont(m, 0.975), 2) AS ci_high FROM m", mean=2, ci_low=2, ci_high=2)
+def _boot_sql(rows: str, value: str, key: str, seed: str) -> str:
+    """Poisson(1) weights by hash, eight of a hash, as in the operator."""
+    weight = " + ".join(f"CAST(u >= {c} AS INT)" for c in V.POISSON_CUTS)
+    return (f"v AS (SELECT {key} AS k, CAST({value} AS DOUBLE) AS v FROM {rows} WHERE {value} IS NOT NULL), hb AS (SELECT v, b, md5(k || ':' || b || ':{seed}') AS h FROM v, (SELECT unnest(range(25)) AS b)), "
+            f"l AS (SELECT v, b * 8 + l AS r, CAST('0x' || substr(h, l * 4 + 1, 4) AS INT) AS u FROM hb, (SELECT unnest(range(8)) AS l)), m AS (SELECT r, sum(v * ({weight})) / sum({weight}) AS m FROM l GROUP BY 1) "
+            "SELECT round((SELECT avg(v) FROM v), 2) AS mean, round(quantile_cont(m, 0.025), 2) AS ci_low, round(quantile_cont(m, 0.975), 2) AS ci_high FROM m")
+
+
+@query("m9_bootstrap_mean", f"WITH {X.EXAMPLES_SQL}, " + _boot_sql("examples", "activation", "example_id", "boot"), mean=2, ci_low=2, ci_high=2)
 def m9(spark, d):
     return V.bootstrap_mean(X.examples(spark, d), "activation", "example_id", 200, "boot")
 
 
-_PAIRS = "pr AS (SELECT doc_id % 4 AS g, n_chars AS a, length(text) - doc_id % 7 AS b FROM documents)"
+@query("m9b_bootstrap_difference", "WITH df AS (SELECT doc_id, n_chars - (length(text) - doc_id % 7) AS d FROM documents), " + _boot_sql("df", "d", "doc_id", "diff"), mean=2, ci_low=2, ci_high=2)
+def m9b(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("a"), (F.length("text") - F.col("doc_id") % 7).alias("b"))
+    return V.bootstrap_mean_diff(rows, "a", "b", "doc_id", 200, "diff")
+
+
+_PAIRS = "pr AS (SELECT doc_id % 4 AS g, n_chars AS a, length(text) - doc_id % 7 AS b FROM documents), pl AS (SELECT l_linenumber % 3 AS g, CAST(l_quantity AS DOUBLE) AS a, CAST((l_orderkey * 7 + l_partkey) % 50 + 1 AS DOUBLE) AS b FROM lineitem WHERE l_suppkey = 3 UNION ALL SELECT 9, 1.0, 1.0 FROM region)"
+#: Two-sided tail areas by Simpson's rule on 4000 steps from 0 to |x|.
+_TAIL = "greatest(0, 1 - 2 * x / 12000 * list_reduce(list_transform(range(4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {density}), lambda p, q: p + q, 0.0))"
+_NORMAL = _TAIL.format(density="exp(-pow(x * i / 4000, 2) / 2) / sqrt(2 * pi())")
+_STUDENT = _TAIL.format(density="exp(lgamma((n) / 2) - lgamma((n - 1) / 2)) / sqrt((n - 1) * pi()) * pow(1 + pow(x * i / 4000, 2) / (n - 1), -n / 2)")
+_RANKED = "r AS (SELECT g, a - b AS df, rank() OVER (PARTITION BY g ORDER BY abs(a - b)) + (count(*) OVER (PARTITION BY g, abs(a - b)) - 1) / 2 AS r FROM {rows}), tc AS (SELECT g, sum(c * c * c - c) AS ties FROM (SELECT g, count(*) AS c FROM r GROUP BY g, abs(df)) GROUP BY 1), s AS (SELECT g, count(*) AS n, sum(CASE WHEN df > 0 THEN r WHEN df = 0 THEN r / 2 ELSE 0 END) AS w, max(abs(df)) AS most FROM r GROUP BY 1), zz AS (SELECT g, n, w, CASE WHEN most > 0 THEN (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) END AS z FROM s JOIN tc USING (g))"
 
 
 def doc_pairs(spark, d):
     return table(spark, d, "documents").select((F.col("doc_id") % 4).alias("g"), F.col("n_chars").alias("a"), (F.length("text") - F.col("doc_id") % 7).alias("b"))
 
 
-@query("m10_paired_t", f"WITH {_PAIRS}, s AS (SELECT g, count(*) AS n, avg(a - b) AS m, stddev_samp(a - b) AS sd FROM pr GROUP BY 1) SELECT g, n, round(m, 4) AS mean_diff, round(CASE WHEN sd > 0 THEN m / sd * sqrt(n) ELSE 0 END, 4) AS t, round(CASE WHEN sd > 0 THEN m / sd ELSE 0 END, 4) AS effect FROM s")
+def line_pairs(spark, d):
+    """Few pairs in a group, and a group without any difference."""
+    some = table(spark, d, "lineitem").where("l_suppkey = 3").select((F.col("l_linenumber") % 3).cast("long").alias("g"), F.col("l_quantity").cast("double").alias("a"), ((F.col("l_orderkey") * 7 + F.col("l_partkey")) % 50 + 1).cast("double").alias("b"))
+    return some.unionByName(table(spark, d, "region").select(F.lit(9).cast("long").alias("g"), F.lit(1.0).alias("a"), F.lit(1.0).alias("b")))
+
+
+@query("m10_paired_t", f"WITH {_PAIRS}, s AS (SELECT g, count(*) AS n, avg(a - b) AS m, stddev_samp(a - b) AS sd FROM pl GROUP BY 1), t AS (SELECT *, CASE WHEN sd > 0 THEN m / sd ELSE 0 END AS e FROM s), x AS (SELECT *, abs(e * sqrt(n)) AS x FROM t) SELECT g, n, round(m, 4) AS mean_diff, round(e * sqrt(n), 4) AS t, round(e, 4) AS effect, round(CASE WHEN x = 0 THEN 1 ELSE {_STUDENT} END, 4) AS t_p FROM x")
 def m10(spark, d):
-    return V.paired_stats(doc_pairs(spark, d), ["g"], "a", "b")
+    return V.t_p_values(V.paired_stats(line_pairs(spark, d), ["g"], "a", "b"))
 
 
-@query("m10b_wilcoxon", f"WITH {_PAIRS}, r AS (SELECT g, a - b AS df, rank() OVER (PARTITION BY g ORDER BY abs(a - b)) + (count(*) OVER (PARTITION BY g, abs(a - b)) - 1) / 2 AS r FROM pr), s AS (SELECT g, count(*) AS n, sum(CASE WHEN df > 0 THEN r WHEN df = 0 THEN r / 2 ELSE 0 END) AS w FROM r GROUP BY 1) SELECT g, n, round(w, 4) AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 4) AS z FROM s")
+@query("m10b_wilcoxon", f"WITH {_PAIRS}, {_RANKED.format(rows='pr')} SELECT g, n, round(w, 4) AS w_plus, round(z, 4) AS z FROM zz")
 def m10b(spark, d):
     return V.wilcoxon(doc_pairs(spark, d), ["g"], "a", "b")
 
 
-@query("m10c_p_values")
+@query("m10c_p_values", f"WITH {_PAIRS}, {_RANKED.format(rows='pl')}, x AS (SELECT g, z, abs(z) AS x FROM zz) SELECT g, round(CASE WHEN z IS NULL THEN 1 ELSE {_NORMAL} END, 4) AS p FROM x")
 def m10c(spark, d):
-    return V.p_values(m10b(spark, d)).select("g", "p")
+    return V.p_values(V.wilcoxon(line_pairs(spark, d), ["g"], "a", "b")).select("g", "p")
 
 
 @query("m11_metric_report", f"WITH {_COMPLETION}, t2 AS (SELECT DISTINCT example_id, tier FROM lines), u AS (SELECT tier, 'slot_accuracy' AS metric, slot_accuracy AS v FROM s JOIN t2 USING (example_id) UNION ALL SELECT tier, 'observed_recall', observed_recall FROM s JOIN t2 USING (example_id)) SELECT tier, metric, round(avg(v), 4) AS mean, count(*) AS n FROM u GROUP BY ALL")
@@ -542,10 +597,11 @@ def m13(spark, d):
     return V.split_half(X.brands(spark, d), "example_id", "token", "activation", 5, "half")
 
 
-@query("m14_shuffle_null", f"WITH {X.BRANDS_SQL}, {X.EXAMPLES_SQL}, k AS (SELECT count(*) AS n, greatest(1, CAST(floor(count(*) * 0.1 + 1e-9) AS INT)) AS m FROM examples), t AS (SELECT example_id, -1 AS round FROM (SELECT example_id FROM examples ORDER BY activation DESC, example_id DESC LIMIT (SELECT m FROM k)) UNION ALL SELECT example_id, r FROM examples, k, (SELECT unnest(range(20)) AS r) WHERE CAST('0x' || substr(md5(example_id || ':' || r || ':null'), 1, 6) AS BIGINT) < floor(m / n * 16777216)), "
-       "z AS (SELECT round, count(*) AS size FROM t GROUP BY 1), c AS (SELECT round, token, count(*) AS c FROM t JOIN brands USING (example_id) GROUP BY ALL), s AS (SELECT round, max(c) / max(size) AS s FROM c JOIN z USING (round) GROUP BY 1) SELECT round((SELECT s FROM s WHERE round = -1), 4) AS observed, round(avg(CAST(s >= (SELECT s FROM s WHERE round = -1) AS INT)), 4) AS p FROM s WHERE round >= 0")
+@query("m14_shuffle_null", f"WITH {X.BRANDS_SQL}, {X.EXAMPLES_SQL}, k AS (SELECT count(*) AS n, greatest(1, CAST(floor(count(*) * 0.1 + 1e-9) AS INT)) AS m FROM examples), d AS (SELECT example_id, r AS round, row_number() OVER (PARTITION BY r ORDER BY md5(example_id || ':' || r || ':null'), example_id) AS place FROM examples, (SELECT unnest(range(100)) AS r)), "
+       "t AS (SELECT example_id, -1 AS round FROM (SELECT example_id FROM examples ORDER BY activation DESC, example_id DESC LIMIT (SELECT m FROM k)) UNION ALL SELECT example_id, round FROM d, k WHERE place <= m), "
+       "c AS (SELECT round, token, count(*) AS c FROM t JOIN brands USING (example_id) GROUP BY ALL), s AS (SELECT round, max(c) / sum(c) AS s FROM c GROUP BY 1) SELECT round((SELECT s FROM s WHERE round = -1), 4) AS observed, round(avg(s), 4) AS null_mean, round(avg(CAST(s >= (SELECT s FROM s WHERE round = -1) AS INT)), 4) AS p FROM s WHERE round >= 0")
 def m14(spark, d):
-    return V.shuffle_null(X.examples(spark, d), X.brands(spark, d), 20, 0.1, "null")
+    return V.shuffle_null(X.examples(spark, d), X.brands(spark, d), 100, 0.1, "null")
 
 
 @query("m15_floor_detection", f"WITH {X.ACTS_SQL} SELECT feature_id, round(avg(CASE WHEN activation < 0.1 THEN 1.0 ELSE 0.0 END), 4) AS floor_rate, avg(CASE WHEN activation < 0.1 THEN 1.0 ELSE 0.0 END) > 0.5 AS floored FROM acts GROUP BY 1")

@@ -37,10 +37,15 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def event_files(spark: SparkSession, d: str, n: int = 3) -> tuple[str, str]:
-    """(path, schema) of the events as n files by day, for the file stream."""
+    """(path, schema) of the events as n or more files for the file stream, which arrive in order of time."""
     path = folder(spark, "events")
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    e.withColumn("b", F.dayofmonth("ts") % n).repartition(n, "b").drop("b").write.parquet(path)
+    second = F.unix_micros("ts")
+    cuts = e.agg(F.percentile_approx(second, [i / n for i in range(1, n)], 10_000)).first()[0] or []
+    ends = [None, *sorted(set(cuts)), None]
+    for lo, hi in zip(ends, ends[1:]):
+        part = F.lit(True) if lo is None else second > lo
+        e.where(part & (F.lit(True) if hi is None else second <= hi)).coalesce(1).write.mode("append").parquet(path)
     return path, ", ".join(f"{c} {t}" for c, t in e.dtypes)
 
 
@@ -89,13 +94,13 @@ def a6(spark, d):
     return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query("a7_token_list_tsv", "SELECT user_id, CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS weapon_id, 2 AS n FROM (SELECT DISTINCT user_id FROM events)")
+@query("a7_token_list_tsv", "SELECT user_id, CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS weapon_id, user_id || ' 7' AS ability_tags FROM (SELECT DISTINCT user_id FROM events)")
 def a7(spark, d):
     path = folder(spark, "a7")
     u = table(spark, d, "events").select("user_id").distinct()
     u.select("user_id", F.concat(F.lit("["), "user_id", F.lit(", 7]")).alias("ability_tags"), F.when(F.col("user_id") % 10 == 0, "none").otherwise(F.col("user_id").cast("string")).alias("weapon_id")).write.option("header", True).option("sep", "\t").option("quote", "\u0000").csv(path)
     r = S.read_token_lists(spark, path)
-    return r.select(F.col("user_id").cast("long").alias("user_id"), F.col("weapon_id").cast("long").alias("weapon_id"), F.size("ability_tags").alias("n"))
+    return r.select(F.col("user_id").cast("long").alias("user_id"), F.col("weapon_id").cast("long").alias("weapon_id"), F.array_join(F.transform("ability_tags", lambda x: x.cast("string")), " ").alias("ability_tags"))
 
 
 @query("a8_limited_scan", "SELECT p_partkey, p_brand FROM part ORDER BY p_partkey LIMIT 100")
@@ -140,8 +145,7 @@ def a15(spark, d):
 
 @query("a16_feature_fetch", f"WITH {X.ACTS_SQL} SELECT example_id, round(activation, 4) AS activation, label AS ctx FROM acts WHERE feature_id = 9 AND activation > 0 ORDER BY example_id LIMIT 100")
 def a16(spark, d):
-    meta = table(spark, d, "embeddings").select(F.col("vec_id").alias("example_id"), F.col("label").alias("ctx"))
-    return S.feature_fetch(X.acts(spark, d).select("feature_id", "example_id", "activation"), meta, 9, False, limit=100).select("example_id", "activation", "ctx")
+    return S.dense_feature_fetch(table(spark, d, "embeddings").withColumnRenamed("label", "ctx"), 9, "vec_id", "embedding", False, limit=100).select("example_id", "activation", "ctx")
 
 
 @query("a17_label_export", "SELECT doc_id AS feature_id, CASE WHEN quality = 1 THEN 'good' END AS display_name FROM labels")
@@ -172,28 +176,26 @@ def n1(spark, d):
 
 @query("n2_running_stats", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
 def n2(spark, d):
-    path, schema = event_files(spark, d)
-    return W.run_to_end(W.running_stats(W.file_stream(spark, path, schema), "event_type", "value"), folder(spark, "n2"), "n2_" + uuid.uuid4().hex)
+    return _merged(spark, d, lambda p, b: W.stats_merge(p, b, "event_type", "value"))
 
 
 @query("n2b_running_histogram", "SELECT event_type, least(CAST(floor(value / 5) AS INT), 9) AS bin_idx, count(*) AS count FROM events WHERE value BETWEEN 0 AND 50 GROUP BY ALL")
 def n2b(spark, d):
-    path, schema = event_files(spark, d)
-    return W.run_to_end(W.running_histogram(W.file_stream(spark, path, schema), "event_type", "value", 0.0, 50.0, 10), folder(spark, "n2b"), "n2b_" + uuid.uuid4().hex)
+    return _merged(spark, d, lambda p, b: W.histogram_merge(p, b, "event_type", "value", 0.0, 50.0, 10))
 
 
 def _merged(spark: SparkSession, d: str, merge) -> DataFrame:
-    """The state that merge(previous, batch) leaves after all batches, kept as one written table per batch."""
+    """The state that merge(previous, batch) leaves after all batches, one written table a batch, named by its number: a batch that is run again finds what it found before."""
     path, schema = event_files(spark, d)
-    root, state = folder(spark, "state"), {"path": None}
+    root, last = folder(spark, "state"), []
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = batch.sparkSession.read.parquet(state["path"]) if state["path"] else None
-        state["path"] = f"{root}/{batch_id}"
-        merge(before, batch).write.mode("overwrite").parquet(state["path"])
+        before = batch.sparkSession.read.parquet(f"{root}/{batch_id - 1}") if batch_id else None
+        merge(before, batch).write.mode("overwrite").parquet(f"{root}/{batch_id}")
+        last[:] = [batch_id]
 
     W.run_batches(W.file_stream(spark, path, schema), folder(spark, "check"), step)
-    return spark.read.parquet(state["path"])
+    return spark.read.parquet(f"{root}/{last[0]}")
 
 
 @query("n3_running_top_k", "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 10")
@@ -203,9 +205,7 @@ def n3(spark, d):
 
 @query("n4_running_document_frequency", "SELECT user_id, count(*) AS df FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
 def n4(spark, d):
-    path, schema = event_files(spark, d)
-    seen = W.file_stream(spark, path, schema).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("c"))
-    return W.run_to_end(seen, folder(spark, "n4"), "n4_" + uuid.uuid4().hex).groupBy("user_id").agg(F.count(F.lit(1)).alias("df"))
+    return _merged(spark, d, lambda p, b: W.pairs_merge(p, b, "user_id", "event_type")).groupBy("user_id").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query("n5_running_reservoir", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id || ':5'), event_id) AS r FROM events) WHERE r <= 10")
@@ -213,15 +213,12 @@ def n5(spark, d):
     return _merged(spark, d, lambda p, b: W.reservoir_merge(p, b, "event_type", "event_id", "5", 10)).select("event_type", "event_id")
 
 
-@query("n6_moving_usage", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+@query("n6_moving_usage", "SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: 0.99 * a + 0.01 * x, 0.0), 4) AS usage, count(*) AS n FROM events GROUP BY 1")
 def n6(spark, d):
-    path, schema = event_files(spark, d)
-    t = W.run_to_end(W.moving_usage(W.file_stream(spark, path, schema, 10), "user_id", "ts", "value"), folder(spark, "n6"), "n6_" + uuid.uuid4().hex, "update")
-    return t.groupBy("user_id").agg(F.max("n").alias("n"))
+    return _merged(spark, d, lambda p, b: W.usage_merge(p, b, "user_id", "ts", "event_id", "value"))
 
 
-@query("n7_last_values", "SELECT user_id, least(count(*), 16) AS held, arg_max(value, ts) AS newest FROM events GROUP BY 1")
+@query("n7_last_values", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, count(*) AS held, max(value) FILTER (r = 1) AS newest, round(sum(value), 4) AS total FROM r WHERE r <= 16 GROUP BY 1")
 def n7(spark, d):
-    path, schema = event_files(spark, d)
-    t = W.run_to_end(W.last_values(W.file_stream(spark, path, schema, 10), "user_id", "ts", "value", 16), folder(spark, "n7"), "n7_" + uuid.uuid4().hex, "update")
-    return t.groupBy("user_id").agg(F.max("held").alias("held"), F.first("newest").alias("newest"))
+    t = _merged(spark, d, lambda p, b: W.last_values_merge(p, b, "user_id", "ts", "event_id", "value", 16))
+    return t.groupBy("user_id").agg(F.count(F.lit(1)).alias("held"), F.max_by("value", F.struct("ts", "event_id")).alias("newest"), F.sum("value").alias("total"))

@@ -179,11 +179,13 @@ def b21(spark, d):
     return ids.select("example_id", F.array_join(F.transform(R.multi_hot(F.col("ids"), 6, 5), lambda x: x.cast("string")), "").alias("hot"))
 
 
-@query("b22_pad_and_mask", f"WITH {X.BRANDS_SQL}, c AS (SELECT example_id, ctx, count(*) AS n FROM brands GROUP BY ALL) SELECT example_id, max(n) OVER (PARTITION BY ctx) AS padded_to, max(n) OVER (PARTITION BY ctx) - n AS n_masked FROM c")
+@query("b22_pad_and_mask", f"WITH {X.BRANDS_SQL}, c AS (SELECT example_id, ctx, list(CAST(substr(token, 7) AS INT) ORDER BY CAST(substr(token, 7) AS INT)) AS i FROM brands GROUP BY ALL), m AS (SELECT *, max(len(i)) OVER (PARTITION BY ctx) AS most FROM c) "
+       "SELECT example_id, array_to_string(list_concat(i, list_transform(range(len(i), most), lambda x: 99)), ' ') AS ids, array_to_string(list_transform(range(most), lambda x: CASE WHEN x >= len(i) THEN 1 ELSE 0 END), '') AS mask FROM m")
 def b22(spark, d):
-    c = X.brands(spark, d).groupBy("example_id", "ctx").agg(F.collect_list(F.regexp_extract("token", "([0-9]+)", 1).cast("int")).alias("ids"))
+    c = X.brands(spark, d).groupBy("example_id", "ctx").agg(F.array_sort(F.collect_list(F.regexp_extract("token", "([0-9]+)", 1).cast("int"))).alias("ids"))
     p = R.padded(c, "ctx", "ids", 99)
-    return p.select("example_id", F.size("ids").cast("long").alias("padded_to"), F.size(F.filter("mask", lambda m: m)).cast("long").alias("n_masked"))
+    text = lambda c: F.transform(c, lambda x: x.cast("int").cast("string"))
+    return p.select("example_id", F.array_join(text("ids"), " ").alias("ids"), F.array_join(text("mask"), "").alias("mask"))
 
 
 @query("b23_category_by_substring", "SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'jewel' WHEN p_name LIKE '%red%' OR p_name LIKE '%blue%' THEN 'colour' END AS category FROM part")
@@ -335,10 +337,13 @@ def d7(spark, d):
     return S.sample_n_per_group(e, 20, "ctx", "example_id", "7").join(F.broadcast(n), "ctx").select("ctx", "example_id", "n")
 
 
-@query("d8_masked_instances")
+@query("d8_masked_instances", f"WITH {X.BRANDS_SQL}, s AS (SELECT example_id, list(token ORDER BY token) AS t, greatest(1, len(list(token)) - 1) AS m FROM brands GROUP BY 1), x AS (SELECT *, unnest(range(4)) AS instance, list_transform(range(1, m + 1), lambda r: pow(r / (m * (m + 1) / 2), 1.2)) AS w FROM s), "
+       "u AS (SELECT *, CAST('0x' || substr(md5(example_id || ':' || instance || ':mask'), 1, 6) AS BIGINT) / 16777216 AS u, list_reduce(w, lambda a, b: a + b, 0.0) AS z, list_transform(range(1, m + 1), lambda r: list_reduce(w[1:r], lambda a, b: a + b, 0.0)) AS c FROM x), "
+       "r AS (SELECT *, least(m, len(list_filter(c, lambda v: v <= u * z)) + 1) AS removed, list_transform(list_sort(list_transform(t, lambda k: md5(example_id || ':' || instance || ':' || k || ':mask') || k)), lambda v: substr(v, 33)) AS mixed FROM u) "
+       "SELECT example_id, CAST(instance AS INT) AS instance, array_to_string(t, ' ') AS target, CASE WHEN instance = 0 THEN '<NULL>' ELSE array_to_string(list_sort(mixed[1:len(t) - removed]), ' ') END AS observed FROM r")
 def d8(spark, d):
     sets = X.brands(spark, d).groupBy("example_id").agg(F.collect_list("token").alias("tokens"))
-    m = S.masked_instances(sets, 3)
+    m = S.masked_instances(sets, 3, null_token="<NULL>")
     return m.select("example_id", "instance", F.array_join("target", " ").alias("target"), F.array_join("observed", " ").alias("observed"))
 
 

@@ -71,13 +71,20 @@ def batch_summary(rows: DataFrame, batch: str) -> DataFrame:
 
 
 def feature_fetch(acts: DataFrame, examples: DataFrame, feature: int, include_negative: bool = True, columns: tuple[str, ...] = ("ctx",), limit: int | None = None) -> DataFrame:
-    """One feature's activations with the examples' columns asked for; the filter on the feature reaches the scan."""
+    """One feature's activations with the examples' columns asked for; over a table of write_clustered() the filter on the feature reaches the scan."""
     a = acts.where(F.col("feature_id") == feature)
     a = a if include_negative else a.where("activation > 0")
     out = a.join(examples.select("example_id", *columns), "example_id")
     return out.orderBy("example_id").limit(limit) if limit else out
 
 
+def dense_feature_fetch(rows: DataFrame, feature: int, example: str, activations: str, include_negative: bool = True, columns: tuple[str, ...] = ("ctx",), limit: int | None = None) -> DataFrame:
+    """The same out of a dense matrix with a row for each example: the array's element is taken in the scan, nothing is exploded or joined."""
+    a = rows.select(F.col(example).alias("example_id"), F.get(activations, feature).cast("double").alias("activation"), *columns).where("activation is not null")
+    a = a if include_negative else a.where("activation > 0")
+    return a.orderBy("example_id").limit(limit) if limit else a
+
+
 def report_metrics(reports: DataFrame) -> DataFrame:
     """(method, metric, mask, mean) out of nested reports: reports[].all.summaries[]."""
     return reports.select(F.explode("reports").alias("r")).select("r.method", F.explode("r.all.summaries").alias("s")).select(

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +13,6 @@ def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def run_to_end(stream: DataFrame, checkpoint: str, name: str, mode: str = "complete") -> DataFrame:
-    """All that has arrived so far, into an in-memory table; the checkpoint makes the next call go on from there."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
 def run_batches(stream: DataFrame, checkpoint: str, merge) -> None:
     """merge(batch, batch_id) for every micro-batch that has arrived."""
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -36,13 +26,25 @@ def ingest(stream: DataFrame, key: str, time: str, path: str, checkpoint: str, d
     q.awaitTermination()
 
 
-def running_stats(stream: DataFrame, by: str, value: str) -> DataFrame:
+def stats_merge(previous: DataFrame | None, batch: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, total, min, max) of all batches so far."""
     v = F.col(value)
-    return stream.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.min(v).alias("min"), F.max(v).alias("max"))
+    new = batch.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.min(v).alias("min"), F.max(v).alias("max"))
+    both = new if previous is None else previous.unionByName(new)
+    return both.groupBy(by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("min").alias("min"), F.max("max").alias("max"))
+
 
+def histogram_merge(previous: DataFrame | None, batch: DataFrame, by: str, value: str, lo: float, hi: float, bins: int) -> DataFrame:
+    """(by, bin_idx, count) over fixed bins of all batches so far."""
+    new = batch.withColumn("bin_idx", bin_index(F.col(value), F.lit(lo), F.lit(hi), bins)).where("bin_idx is not null").groupBy(by, "bin_idx").agg(F.count(F.lit(1)).alias("count"))
+    both = new if previous is None else previous.unionByName(new)
+    return both.groupBy(by, "bin_idx").agg(F.sum("count").alias("count"))
 
-def running_histogram(stream: DataFrame, by: str, value: str, lo: float, hi: float, bins: int) -> DataFrame:
-    return stream.withColumn("bin_idx", bin_index(F.col(value), F.lit(lo), F.lit(hi), bins)).where("bin_idx is not null").groupBy(by, "bin_idx").agg(F.count(F.lit(1)).alias("count"))
+
+def pairs_merge(previous: DataFrame | None, batch: DataFrame, doc: str, token: str) -> DataFrame:
+    """The distinct (doc, token) of all batches so far; document frequencies and their logarithms are counted when read."""
+    new = batch.select(doc, token)
+    return (new if previous is None else previous.unionByName(new)).distinct()
 
 
 def top_k_merge(previous: DataFrame | None, batch: DataFrame, by: str, value: str, tie: str, k: int) -> DataFrame:
@@ -58,31 +60,22 @@ def reservoir_merge(previous: DataFrame | None, batch: DataFrame, by: str, key:
     return both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def moving_usage(stream: DataFrame, by: str, time: str, value: str, alpha: float = 0.99) -> DataFrame:
-    """(by, usage, n): exponential moving average per key, rows of a batch in time order."""
-
-    def update(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        usage, n = state.get if state.exists else (0.0, 0)
-        part = pd.concat(list(rows)).sort_values(time)
-        for v in part[value]:
-            usage = alpha * usage + (1 - alpha) * float(v)
-            n += 1
-        state.update((usage, n))
-        yield pd.DataFrame({by: [key[0]], "usage": [usage], "n": [n]})
-
-    kind = stream.schema[by].dataType.simpleString()
-    return stream.groupBy(by).applyInPandasWithState(update, f"{by} {kind}, usage double, n long", "usage double, n long", "update", "NoTimeout")
-
+def usage_merge(previous: DataFrame | None, batch: DataFrame, by: str, time: str, tie: str, value: str, alpha: float = 0.99) -> DataFrame:
+    """(by, usage, n): exponential moving average of each key from 0, values of a batch in order of time.
 
-def last_values(stream: DataFrame, by: str, time: str, value: str, size: int) -> DataFrame:
-    """(by, held, newest): a ring of the last `size` values per key, rows of a batch in time order."""
+    A batch of k values comes to one factor alpha ** k for what was before and one weighted sum, so the
+    average is a fold of batches.
+    """
+    late = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(time), F.desc(tie))) - 1
+    new = batch.withColumn("_late", late).groupBy(by).agg(F.count(F.lit(1)).alias("_k"), F.sum(F.pow(F.lit(alpha), "_late") * (1 - alpha) * F.col(value)).alias("_s"))
+    before = new.sparkSession.createDataFrame([], f"{by} {batch.schema[by].dataType.simpleString()}, usage double, n long") if previous is None else previous
+    usage = F.coalesce("usage", F.lit(0.0)) * F.pow(F.lit(alpha), F.coalesce("_k", F.lit(0))) + F.coalesce("_s", F.lit(0.0))
+    return before.join(new, by, "full_outer").select(by, usage.alias("usage"), (F.coalesce("n", F.lit(0)) + F.coalesce("_k", F.lit(0))).cast("long").alias("n"))
 
-    def update(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        part = pd.concat(list(rows)).sort_values(time)
-        held = (held + [float(v) for v in part[value]])[-size:]
-        state.update((held,))
-        yield pd.DataFrame({by: [key[0]], "held": [len(held)], "newest": [held[-1]]})
 
-    kind = stream.schema[by].dataType.simpleString()
-    return stream.groupBy(by).applyInPandasWithState(update, f"{by} {kind}, held long, newest double", "held array<double>", "update", "NoTimeout")
+def last_values_merge(previous: DataFrame | None, batch: DataFrame, by: str, time: str, tie: str, value: str, size: int) -> DataFrame:
+    """(by, time, tie, value): the last `size` rows of each key, a ring that is merged."""
+    new = batch.select(by, time, tie, value)
+    both = new if previous is None else previous.unionByName(new)
+    w = Window.partitionBy(by).orderBy(F.desc(time), F.desc(tie))
+    return both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).drop("_r")

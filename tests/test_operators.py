@@ -141,6 +141,73 @@ def test_itemsets(spark):
     assert (r.itemset, r.n_high, r.n_base, r.lift) == ("a|b", 2, 1, 3.0)
 
 
+def test_itemsets_of_four_conditioned_and_by_family(spark):
+    rows = [(["a_1", "b_1", "c_2", "d_1", "x"], True)] * 3 + [(["a_2", "b_1", "x"], False), (["x"], True), (["a_1"], True)]
+    df = frame(spark, rows, "tokens array<string>, high boolean")
+    sets = baskets.collapsed(baskets.conditioned(df, "x"), lambda t: F.substring_index(t, "_", 1))
+    got = {r.itemset: (r.n_high, r.n_base, r.lift) for r in baskets.itemset_lift(sets, (2, 3, 4), 0.5, 50).collect()}
+    assert got["a|b|c|d"] == (3, 0, 999.0) and got["a|b"] == (3, 1, 1.0) and len(got) == 6 + 4 + 1
+    with pytest.raises(ValueError):
+        baskets.subsets(F.col("tokens"), 5)
+
+
+def test_mode_completion_keeps_and_fills(spark):
+    refs = frame(spark, [("w", ["a", "a", "b"])] * 3 + [("w", ["a", "b", "b", "c"])] * 2 + [("w", ["c", "d"])], "ctx string, full array<string>")
+    cases = frame(spark, [(1, "w", ["a"]), (2, "w", ["b", "b"]), (3, "w", ["z"]), (4, "w", ["a", "a", "a"]), (5, "w", []), (6, "v", ["a"]), (7, "w", ["a"])], "example_id int, ctx string, observed array<string>")
+    got = {r.example_id: r.completed for r in baskets.mode_completion(cases, refs, 5).collect()}
+    assert got == {1: "a|a|a|b|b", 2: "a|b|b|b|c", 3: "a|a|a|b|z", 4: "a|a|a|a|b", 5: "a|a|a|a|b", 6: None, 7: "a|a|a|b|b"}
+
+
+def test_nearest_jaccard_without_common_items(spark):
+    refs = frame(spark, [(1, "w", "a"), (1, "w", "b"), (2, "w", "c")], "example_id int, ctx string, family string")
+    sets = frame(spark, [(8, "w", "a"), (8, "w", "c"), (9, "w", "z")], "example_id int, ctx string, family string")
+    assert {r.example_id: round(r.nearest, 4) for r in baskets.nearest_jaccard(sets, refs).collect()} == {8: 0.5, 9: 0.0}
+
+
+def test_bootstrap_covers_the_spread_of_the_mean(spark):
+    df = spark.range(2000).selectExpr("id", "cast(id * 7919 % 2000 as double) as v")
+    r = evaluation.bootstrap_mean(df, "v", "id", 400, "s").first()
+    half = 1.96 * 577.5 / 2000**0.5  # of a uniform spread
+    assert r.mean == 999.5 and abs(r.ci_high - r.ci_low - 2 * half) < 0.25 * half and r.ci_low < 999.5 < r.ci_high
+    d = evaluation.bootstrap_mean_diff(df.withColumn("w", F.col("v") - 3), "v", "w", "id", 50, "s").first()
+    assert (d.mean, d.ci_low, d.ci_high) == (3.0, 3.0, 3.0)
+
+
+def test_student_tail():
+    for t, df, p in ((2.228, 10, 0.05), (12.706, 1, 0.05), (1.0, 1, 0.5), (2.0, 2, 0.18350342), (0.1, 300, 0.92041169), (9.0, 5, 0.00028110)):
+        assert abs(evaluation.student_p(t, df) - p) < 1e-4
+
+
+def test_wilcoxon_ties(spark):
+    df = frame(spark, [(1, float(x), 0.0) for x in (1, 1, -1, 2, 0, 0, 3)], "g int, a double, b double")
+    r = evaluation.wilcoxon(df, ["g"], "a", "b").first()
+    assert (r.n, r.w_plus) == (7, 1.5 + 4 + 4 + 6 + 7) and abs(r.z - (22.5 - 14) / (35 - (6 + 24) / 48) ** 0.5) < 1e-9
+
+
+def test_ranks_within_groups_of_any_size(spark):
+    df = spark.range(3000).selectExpr("id", "if(id % 10 = 0, 'b', if(id % 7 = 0, null, 'a')) as g", "cast(id * 37 % 101 as double) as v")
+    want = {}
+    for g in ("a", "b", None):
+        rows = sorted(((-r.v, r.id) for r in df.collect() if r.g == g))
+        want.update({i: (n + 1, len(rows)) for n, (_, i) in enumerate(rows)})
+    got = {r.id: (r.r, r.n) for r in ranking.rank_within(df, ["g"], "v", "id", "r", "n", descending=True).collect()}
+    assert got == want
+
+
+def test_usage_is_a_fold_of_batches(spark):
+    from setweave.streaming import streams
+
+    rows = [(1, t, t, float(t * t % 7)) for t in range(10)] + [(2, 3, 3, 5.0)]
+    df = frame(spark, rows, "k int, t int, i int, v double")
+    first = streams.usage_merge(None, df.where("t < 4"), "k", "t", "i", "v")
+    second = streams.usage_merge(first, df.where("t >= 4"), "k", "t", "i", "v")
+    want = 0.0
+    for _, _, _, v in rows[:10]:
+        want = 0.99 * want + 0.01 * v
+    got = {r.k: (round(r.usage, 12), r.n) for r in second.collect()}
+    assert got == {1: (round(want, 12), 10), 2: (0.05, 1)}
+
+
 def test_empty_csv_mark(spark):
     e = frame(spark, [], "ts timestamp")
     assert files.high_water_mark(e, "ts") is None and files.newer_than(e, "ts", None).count() == 0
