@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from setweave.functions.session import bucketed, forget, written
 from setweave.operators.components import connected_components
+from setweave.llm.similar_sets import apart, beside, bitmap_of, neighbour_pairs, shared_prefixes, verified
 from setweave.llm.workers import lean
 
 #: Fixed value: generator polynomial of the (23,12) Golay code.
@@ -216,8 +217,8 @@ def simhash_components(docs: DataFrame, width: int = 3, bits: int = MAX_BITS) ->
 #: Near-duplicates of the cleaning stage: words of a shingle, least Jaccard likeness, most differing bits of the
 #: word fingerprints of a candidate pair.
 STAGE_WIDTH, STAGE_LIKENESS, STAGE_BITS = 5, 0.8, 12
-#: Characters of a bucket of the distinct texts, rows of a block of a common shingle, bits of a turned fingerprint that deal a key's rows.
-BUCKET_CHARS, BLOCK, DEAL = 24_000_000, 1024, 2
+#: Characters of a bucket of the distinct texts.
+BUCKET_CHARS = 24_000_000
 
 
 def word_fingerprint(text: str) -> int:
@@ -246,27 +247,6 @@ def shingle_set(text: str, width: int = STAGE_WIDTH) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(width))))], np.uint64))
 
 
-def bitmap_of(shingles: np.ndarray) -> bytes:
-    """How often, odd or even, the set's hashes fall on each of about twice as many places as it has hashes.
-
-    Two sets differ in at least as many hashes as their bitmaps in bits, whatever the number of places.
-    """
-    places = 1 << min(max((2 * len(shingles) - 1).bit_length(), 6), 16)
-    odd = np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def least_difference(x: bytes, y: bytes) -> int:
-    """Hashes by which two sets differ at least, from their bitmaps; the larger is folded to the size of the smaller."""
-    if len(x) < len(y):
-        x, y = y, x
-    a, b, size = int.from_bytes(x, "little"), int.from_bytes(y, "little"), len(x)
-    while size > len(y):
-        size //= 2
-        a = (a >> 8 * size) ^ (a & ((1 << 8 * size) - 1))
-    return (a ^ b).bit_count()
-
-
 def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, turned fingerprint, row): codeword indices of two of three segments (23, 23 and 18 bits).
 
@@ -284,35 +264,6 @@ def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(turned), np.concatenate(rows)
 
 
-def _neighbours(bits: int | None, likeness: float):
-    """Pairs (a, b) of rows (key, at, id, n) in order of (key, at): each with the row before it and with the first of its key.
-
-    A key's rows stream by, two pairs each at most. Sizes must allow the likeness, and with `bits` given, at holds fingerprints no further apart.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None  # the first row of the last key, and the last row
-        for b in batches:
-            if not len(b):
-                continue
-            key, at, ids, n = (b[c].to_numpy(np.int64) for c in ("key", "at", "id", "n"))
-            if kept is not None:
-                key, at, ids, n = (np.concatenate([k, x]) for k, x in zip(kept, (key, at, ids, n)))
-            new = np.append(True, key[1:] != key[:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            i = np.append(np.arange(1, len(key)), np.arange(1, len(key)))
-            j = np.append(np.arange(len(key) - 1), first[1:])
-            ok = (key[i] == key[j]) & (ids[i] != ids[j]) & (np.minimum(n[i], n[j]) >= likeness * np.maximum(n[i], n[j]) - 1e-9)
-            if bits is not None:
-                ok &= np.bitwise_count((at[i] ^ at[j]).view(np.uint64)) <= bits
-            ends = [first[-1], len(key) - 1]
-            kept = [x[ends] for x in (key, at, ids, n)]
-            pairs = np.unique(np.sort(np.stack([ids[i[ok]], ids[j[ok]]], axis=1), axis=1), axis=0)
-            yield pd.DataFrame(pairs, columns=["a", "b"])
-
-    return run
-
-
 #: Texts that make a shingle common, one text in so many is counted for it, share of the hash range counted, bits of the table.
 COMMON, COUNTED_TEXTS, COUNTED_HASHES, TABLE_BITS = 96, 8, 0.4, 24
 
@@ -348,154 +299,20 @@ def _common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     return table.astype("<u4").view(np.uint8)
 
 
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of h without those whose h occurs once."""
-    last, again = None, False  # the row that may go on in the next batch, and whether its h occurred before
-    for b in batches:
-        if last is not None:
-            b = pd.concat([last, b], ignore_index=True)
-        if not len(b):
-            continue
-        h = b["h"].to_numpy()
-        same = h[1:] == h[:-1]
-        kept = np.append(again if last is not None else False, same) | np.append(same, False)
-        last, again = b.iloc[-1:], bool(kept[-1])
-        yield b[:-1][kept[:-1]]
-    if again:
-        yield last
-
-
-def _unlinked_pairs(likeness: float):
-    """Pairs (a, b) of one shingle in different components that have the likeness as far as sizes, places and bitmaps tell.
-
-    Rows come in order of (h, part_a, part_b, n); a common shingle's rows lie in blocks, and a
-    bucket of two different blocks pairs rows across them only.
-    """
-    share, apart = likeness / (1 + likeness), (1 - likeness) / (1 + likeness)
-
-    def settle(across: bool, comp, ids, n, pos, side, bitmaps) -> Iterator[np.ndarray]:
-        size = np.array([len(x) for x in bitmaps])
-        for words in np.unique(size):
-            own = np.flatnonzero(size == words)
-            maps = np.frombuffer(b"".join(bitmaps[own]), np.uint64).reshape(len(own), -1)
-            # Of sets whose sizes allow the likeness, the larger has as many places or twice as many.
-            over = np.flatnonzero(size == 2 * words)
-            if len(over):
-                folded = np.bitwise_xor.reduce(np.frombuffer(b"".join(bitmaps[over]), np.uint64).reshape(len(over), 2, -1), axis=1)
-                own, maps = np.append(own, over), np.concatenate([maps, folded])
-            ends = np.searchsorted(n[own], n[own] / likeness + 1e-9, side="right")
-            for i in range(int((size == words).sum())):
-                a, b = own[i], own[i + 1 : ends[i]]
-                ok = comp[b] != comp[a]
-                if across:
-                    ok &= side[b] != side[a]
-                # Nothing before the lesser place and nothing after the other's end can be shared besides what lies on both sides.
-                both = n[b] + n[a]
-                ok &= np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= share * both - 1e-6
-                at = np.flatnonzero(ok)
-                if len(at):
-                    at = at[np.bitwise_count(maps[i + 1 + at] ^ maps[i]).sum(1) <= apart * both[at] + 1e-9]
-                    if len(at):
-                        yield np.stack([np.minimum(ids[b[at]], ids[a]), np.maximum(ids[b[at]], ids[a])], axis=1)
+def _prefixes(alone: DataFrame, likeness: float, width: int) -> DataFrame:
+    """(h, id, n, pos) of the shingles of every text's prefix, those that are common in the corpus last."""
+    common = _common_shingles(alone, width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in whole_buckets(batches, ["h", "part_a", "part_b"]):
-            change = np.zeros(len(rows) - 1, bool)
-            for k in ("h", "part_a", "part_b"):
-                x = rows[k].to_numpy()
-                change |= x[1:] != x[:-1]
-            across = (rows["part_a"] != rows["part_b"]).to_numpy()
-            parts = [rows[c].to_numpy(np.int64) for c in ("component", "id", "n", "pos", "side")] + [rows["bitmap"].to_numpy()]
-            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(rows)]
-            made = [x for lo, hi in zip(cuts, cuts[1:]) for x in settle(across[lo], *(p[lo:hi] for p in parts))]
-            if made:
-                yield pd.DataFrame(np.unique(np.concatenate(made), axis=0), columns=["a", "b"])
-
-    return run
-
+        for b in batches:
+            for lo in range(0, len(b), 256):
+                made = [shingle_set(t, width) for t in b["text"].iloc[lo : lo + 256]]
+                first = [prefix_of(x, likeness, common) for x in made]
+                sizes = [len(x) for x in first]
+                yield pd.DataFrame({"h": np.concatenate(first).view(np.int64), "id": np.repeat(b["id"].to_numpy()[lo : lo + 256], sizes),
+                                    "n": np.repeat([len(x) for x in made], sizes), "pos": np.concatenate([np.arange(k) for k in sizes])})
 
-def whole_buckets(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows again, which come in order of the keys, in frames that end where a key changes."""
-    held: list[pd.DataFrame] = []
-    for b in batches:
-        if not len(b):
-            continue
-        goes_on = np.ones(len(b), bool)
-        for k in keys:
-            goes_on &= (b[k] == b[k].iat[-1]).to_numpy()
-        cut = len(b) - int(goes_on.sum())
-        if held and (cut or any(held[-1][k].iat[-1] != b[k].iat[0] for k in keys)):
-            yield pd.concat([*held, b[:cut]], ignore_index=True)
-            held = []
-        elif cut:
-            yield b[:cut]
-        held.append(b[cut:])
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-class _Stage:
-    """The steps of keep_one_of_each that several rounds share."""
-
-    def __init__(self, alone: DataFrame, sketches: DataFrame, likeness: float, width: int) -> None:
-        self.alone, self.sketches, self.likeness, self.width = alone, sketches, likeness, width
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that have the likeness: by sizes and bitmaps first, which leave out no such pair, the rest on whole sets."""
-        likeness, width = self.likeness, self.width
-        apart = (1 - likeness) / (1 + likeness)
-
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                most = apart * (b["n_a"] + b["n_b"]).to_numpy() + 1e-9
-                ok = np.fromiter((least_difference(x, y) <= m for x, y, m in zip(b["x"], b["y"], most)), bool, len(b))
-                yield b.loc[ok, ["a", "b"]]
-
-        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for lo in range(0, len(b), 256):
-                    part = b.iloc[lo : lo + 256]
-                    yield pd.DataFrame({"id": part["id"], "set": [shingle_set(t, width).tobytes() for t in part["text"]]})
-
-        def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                ok = []
-                for x, y in zip(b["x"], b["y"]):
-                    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    ok.append(both >= likeness * (len(p) + len(q) - both) - 1e-9)
-                yield b.loc[ok, ["a", "b"]]
-
-        def side(name: str, value: str) -> DataFrame:
-            return self.sketches.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("bitmap").alias(value))
-
-        met = pairs.distinct().join(side("a", "x"), "a").join(side("b", "y"), "b")
-        met = met.where((F.col("n_a") >= likeness * F.col("n_b") - 1e-9) & (F.col("n_b") >= likeness * F.col("n_a") - 1e-9))
-        likely = written(met.select("a", "b", "n_a", "n_b", "x", "y").mapInPandas(lean(near), "a long, b long"))
-        asked = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-        made = written(self.alone.select("id", "text").join(asked.hint("shuffle_hash"), "id").mapInPandas(lean(sets), "id long, set binary"))
-        both = likely.join(made.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(made.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        found = written(both.select("a", "b", "x", "y").mapInPandas(lean(verify), "a long, b long"))
-        forget(likely, made)
-        return found
-
-    def prefixes(self) -> DataFrame:
-        """(h, id, n, pos) of every prefix shingle that several texts have in their prefixes."""
-        likeness, width = self.likeness, self.width
-        common = _common_shingles(self.alone, width)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for lo in range(0, len(b), 256):
-                    made = [shingle_set(t, width) for t in b["text"].iloc[lo : lo + 256]]
-                    first = [prefix_of(x, likeness, common) for x in made]
-                    sizes = [len(x) for x in first]
-                    yield pd.DataFrame({"h": np.concatenate(first).view(np.int64), "id": np.repeat(b["id"].to_numpy()[lo : lo + 256], sizes),
-                                        "n": np.repeat([len(x) for x in made], sizes), "pos": np.concatenate([np.arange(k) for k in sizes])})
-
-        kinds = "h long, id long, n int, pos int"
-        made = self.alone.select("id", "text").mapInPandas(lean(run), kinds)
-        return written(made.repartition("h").sortWithinPartitions("h").mapInPandas(lean(_shared), kinds))
+    return alone.mapInPandas(lean(run), "h long, id long, n int, pos int")
 
 
 def keep_one_of_each(docs: DataFrame, likeness: float = STAGE_LIKENESS, width: int = STAGE_WIDTH, bits: int = STAGE_BITS) -> DataFrame:
@@ -526,7 +343,16 @@ def keep_one_of_each(docs: DataFrame, likeness: float = STAGE_LIKENESS, width: i
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / BUCKET_CHARS))
     own = ready.withColumnRenamed("doc_id", "id").join(texts.select("id", F.col("digest").alias("its")).hint("shuffle_hash"), "id").where("digest = its")
     alone = bucketed(own.select("id", "row"), "id", buckets)
-    stage = _Stage(alone.select("id", F.coalesce("row.text", F.lit("")).alias("text")), texts.select("id", "n", "bitmap"), likeness, width)
+    plain, sketches = alone.select("id", F.coalesce("row.text", F.lit("")).alias("text")), texts.select("id", "n", "bitmap")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 256):
+                part = b.iloc[lo : lo + 256]
+                yield pd.DataFrame({"id": part["id"], "set": [shingle_set(t, width).tobytes() for t in part["text"]]})
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        return plain.join(asked.hint("shuffle_hash"), "id").mapInPandas(lean(sets), "id long, set binary")
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -536,23 +362,12 @@ def keep_one_of_each(docs: DataFrame, likeness: float = STAGE_LIKENESS, width: i
                 yield pd.DataFrame({"key": key.astype(np.int32), "at": turned.view(np.int64), "id": ids[lo : lo + 4096][row], "n": n[lo : lo + 4096][row]})
 
     keyed = texts.select("fp", "id", "n").mapInPandas(lean(emit), "key long, at long, id long, n int")
-    dealt = keyed.repartition("key", F.shiftrightunsigned("at", 64 - DEAL)).sortWithinPartitions("key", "at")
-    golay = written(dealt.mapInPandas(lean(_neighbours(bits, likeness)), "a long, b long").distinct())
-    shared = stage.prefixes()
-    spread = shared.select(F.col("h").alias("key"), F.xxhash64("h", "id").alias("at"), "id", "n")
-    beside = spread.repartition("key", F.shiftrightunsigned("at", 64 - DEAL)).sortWithinPartitions("key", "at").mapInPandas(lean(_neighbours(None, likeness)), "a long, b long")
-    links = stage.verified(golay.union(beside))
+    golay = written(neighbour_pairs(keyed, likeness, bits).distinct())
+    shared = shared_prefixes(_prefixes(plain, likeness, width))
+    links = verified(golay.union(beside(shared, likeness)), sketches, sets_of, likeness)
     forget(golay)
     joined = written(connected_components(links, "a", "b"))
-
-    placed = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    met = placed.join(mixed.select("h", F.ceil(F.col("rows") / BLOCK).cast("int").alias("parts")), "h")
-    met = met.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.join(texts.select("id", "bitmap"), "id").select(
-        "h", F.least("part", "other").alias("part_a"), F.greatest("part", "other").alias("part_b"), (F.col("part") > F.col("other")).cast("int").alias("side"), "component", "id", "n", "pos", "bitmap")
-    rest = met.repartition("h", "part_a", "part_b").sortWithinPartitions("h", "part_a", "part_b", "n").mapInPandas(lean(_unlinked_pairs(likeness)), "a long, b long")
-    more = stage.verified(rest)
+    more = verified(apart(shared, joined, sketches, likeness), sketches, sets_of, likeness)
     forget(shared, joined)
     comps = connected_components(links.union(more), "a", "b")
     kept = texts.select(F.col("id").alias("node")).distinct().join(comps, "node", "left").where("component is null or component = node").select(F.col("node").alias("id"))

@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setweave.functions.session import written
-from setweave.llm.simhash import Forest
+from setweave.functions.session import forget, written
+from setweave.llm import similar_sets
+from setweave.llm.workers import lean
 from setweave.operators.components import connected_components
 
 #: Common words of English, French, German and Spanish.
@@ -21,8 +22,8 @@ ANCHORS = frozenset(
     "au avec ce dans de des du en est et la le les par pas pour que qui sur un une "
     "als auch auf das dem den der die ein eine im ist mit nicht sich und von zu "
     "al como con del el lo los las más no para por se su una y".split())
-#: Content words of a chain, characters of a bucket of neighbouring documents, most buckets.
-CHAIN, BUCKET_CHARS, MOST_BUCKETS = 2, 16_000_000, 20_000
+#: Content words of a chain, characters of a bucket of neighbouring documents, likeness of near-duplicates.
+CHAIN, BUCKET_CHARS, LIKENESS = 2, 16_000_000, 0.8
 
 
 def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
@@ -61,122 +62,136 @@ def fingerprint(sigs: np.ndarray) -> str:
     return sigs.astype(">u4").tobytes().hex()
 
 
-def neighbours(docs: DataFrame, columns: str, process) -> DataFrame:
-    """mapInPandas over (doc_id, text, next_text) where the next document is that of the next smaller doc_id.
+#: Approximate quantiles that are asked for at once; finer buckets cut these ranges by place.
+QUANTILES = 10_000
+
+
+def neighbours(docs: DataFrame, groups: DataFrame, columns: str, process) -> DataFrame:
+    """mapInPandas over (doc_id, text, own, group), in order of falling nearness: each text comes right after the one of the next smaller doc_id.
 
     After the smallest comes the largest. Order is by id, then text; null ids are smallest, null texts
     empty. Rows go to buckets of neighbouring ids, cut at approximate quantiles so that each holds a like
-    number; the last row of each bucket is handed to the next one, so texts are shuffled once and only
-    one id a bucket passes through the driver.
+    number, and within a bucket of one repeated id by the text's first hash bits; the last row of each bucket is handed to the next one
+    (own 0), so texts are shuffled once and only a row's id and place a bucket passes through the driver. groups (doc_id, component_id)
+    are dealt to the same buckets and come before their texts (own 2), so they cost no join.
     """
-    ready = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"))
+    least = -(1 << 63)
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("at"))
     total = ready.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = min(MOST_BUCKETS, max(12, math.ceil(total / BUCKET_CHARS)))
-    cuts = ready.agg(F.percentile_approx("at", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    n = max(12, math.ceil(total / BUCKET_CHARS))
+    asked = min(n, QUANTILES)
+    cuts = ready.agg(F.percentile_approx("at", [i / asked for i in range(1, asked)], 10 * asked)).first()[0] or []
     bounds = np.unique(np.array(cuts, np.int64))
+    finer = math.ceil(n / asked)
 
     @F.pandas_udf("int")
     def bucket_of(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, at.to_numpy(np.int64)).astype(np.int32))
+        x = at.to_numpy(np.int64)
+        b = np.searchsorted(bounds, x)
+        if finer > 1:  # ids of one range are cut at equal distances
+            lo = np.append(np.int64(least), bounds)[b].astype(float)
+            hi = np.append(bounds, np.int64((1 << 63) - 1))[b].astype(float)
+            b = b * finer + np.clip(((x - lo) / np.maximum(hi - lo, 1) * finer).astype(np.int64), 0, finer - 1)
+        return pd.Series(b.astype(np.int32))
 
     ready = ready.withColumn("bucket", bucket_of("at"))
     tops = sorted((r.bucket, r.top) for r in ready.groupBy("bucket").agg(F.max("at").alias("top")).collect())
     handed = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
     to = docs.sparkSession.createDataFrame(handed, "at long, target int")
     carried = ready.join(F.broadcast(to), "at").groupBy("at", "target").agg(F.max("text").alias("text"))
-    rows = ready.withColumn("own", F.lit(1)).unionByName(
-        carried.select(F.lit(None).cast("long").alias("doc_id"), "text", "at", F.col("target").alias("bucket"), F.lit(0).alias("own")))
+    none = F.lit(None)
+    rows = ready.select("doc_id", "text", "bucket", "at", F.lit(1).alias("own"), none.cast("long").alias("group")).unionByName(
+        carried.select(none.cast("long").alias("doc_id"), "text", F.col("target").alias("bucket"), F.lit(least).alias("at"), F.lit(0).alias("own"), none.cast("long").alias("group"))).unionByName(
+        groups.select("doc_id", F.lit("").alias("text"), bucket_of(F.col("doc_id")).alias("bucket"), F.col("doc_id").alias("at"), F.lit(2).alias("own"), F.col("component_id").alias("group")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from process((r for b in batches for r in b.itertuples(index=False)))
 
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "own", "at", "text").mapInPandas(run, columns)
+    dealt = rows.withColumn("first", (F.col("own") == 0).cast("int"))
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("first"), "at", F.desc("own"), "text").drop("first").mapInPandas(lean(run), columns)
 
 
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """For every row: fingerprints of its text and of its edited text, and their likenesses.
+def fingerprint_edits(docs: DataFrame, threshold: float = LIKENESS) -> DataFrame:
+    """For every row: fingerprints of its text and of its edited text, their likenesses, and the group of its near-duplicates.
 
     The edited text's last floor(n_chars / 2) characters are the first as many of the next document (all, if it
     has fewer). A single document is its own next one. Columns: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next.
+    edited_fingerprint, near_edited, near_next, and component_id out of near_duplicates(), null for a null id. Repeated rows are
+    returned each; other columns are not read.
     """
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"]
+    kinds = {"doc_id": "Int64", "component_id": "Int64"}
 
     def process(rows: Iterator) -> Iterator[pd.DataFrame]:
-        out, before, before_sigs = [], "", None
+        out, before, before_sigs, group = [], "", None, (None, None)
         for r in rows:
+            if r.own == 2:
+                group = (int(r.doc_id), int(r.group))
+                continue
             sigs = signatures(r.text)
             if r.own:
                 n = len(r.text)
                 edited = r.text[: n - n // 2] + before[: n // 2]
                 new = signatures(edited)
                 raw = edited.encode("utf-8", "surrogatepass")
-                out.append((None if pd.isna(r.doc_id) else int(r.doc_id), n, hashlib.sha256(raw).hexdigest(), fingerprint(sigs), fingerprint(new), likeness(sigs, new), likeness(sigs, before_sigs)))
+                name = None if pd.isna(r.doc_id) else int(r.doc_id)
+                out.append((name, n, hashlib.sha256(raw).hexdigest(), fingerprint(sigs), fingerprint(new), likeness(sigs, new), likeness(sigs, before_sigs), group[1] if name is not None and group[0] == name else None))
             before, before_sigs = r.text, sigs
             if len(out) == 1000:
-                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=names).astype(kinds)
                 out = []
-        yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(out, columns=names).astype(kinds)
 
-    return neighbours(docs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", process)
+    groups = written(near_duplicates(docs, threshold).groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
+    return neighbours(docs, groups, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long", process)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): texts linked by a likeness of threshold or more; component_id is the least doc_id reachable.
+def near_duplicates(docs: DataFrame, threshold: float = LIKENESS) -> DataFrame:
+    """(doc_id, component_id) of every row with an id: texts linked by a likeness of threshold or more; component_id is the least doc_id reachable.
 
     Sets are partitioned by length so that only sets of the same or the next partition can reach
-    the threshold, and meet on the signatures of their prefix that such a pair must share. Within a meeting only a
-    spanning set of verified links is emitted.
+    the threshold, and meet on the signatures of their prefix that such a pair must share. Neighbours are compared first, then all pairs
+    that are still apart and whose sizes, places and bitmaps allow the likeness, so no pair is lost. Null texts are empty; equal sets are one.
     """
     grow = math.log(1 / threshold)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "sigs": [signatures(t).tobytes() for t in b["text"]]})
+            for lo in range(0, len(b), 500):
+                part = b.iloc[lo : lo + 500]
+                made = [signatures(t) for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(x) for x in made], "bitmap": [similar_sets.bitmap_of(x.astype(np.uint64)) for x in made], "set": [x.tobytes() for x in made]})
 
     ready = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = written(ready.mapInPandas(sets, "doc_id long, sigs binary"))
-    distinct = marked.groupBy("sigs").agg(F.min("doc_id").alias("rep"))
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for rep, raw in zip(b["rep"], b["sigs"]):
-                s = np.frombuffer(raw, np.uint32)
-                part = int(math.log(len(s)) / grow)
-                for x in s[: len(s) - math.ceil(threshold * len(s)) + 1].tolist():
-                    out += [(part, x, rep, raw), (part + 1, x, rep, raw)]
-            yield pd.DataFrame(out, columns=["part", "sig", "rep", "sigs"])
-
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest, held, name = Forest(), [], None
-
-        def settle(rows: list) -> list:
-            found, left = [], rows
-            while len(left) > 1:
-                todo, left = [left[0]], left[1:]
-                while todo and left:
-                    rep, sigs = todo.pop()
-                    near = [likeness(sigs, o[1], threshold) >= threshold for o in left]
-                    reached = [o for o, y in zip(left, near) if y]
-                    left = [o for o, y in zip(left, near) if not y]
-                    found += [(rep, o[0]) for o in reached if forest.join(rep, o[0])]
-                    todo += reached
-            return found
+    marked = written(ready.mapInPandas(lean(sets), "doc_id long, n int, bitmap binary, set binary").withColumn("digest", F.unhex(F.md5("set"))))
+    distinct = written(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "bitmap", "set")]))
 
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                if (r.part, r.sig) != name:
-                    out += settle(held)
-                    held, name = [], (r.part, r.sig)
-                held.append((r.rep, np.frombuffer(r.sigs, np.uint32)))
-            yield pd.DataFrame(out, columns=["src", "dst"])
-        yield pd.DataFrame(settle(held), columns=["src", "dst"])
-
-    met = distinct.mapInPandas(keys, "part int, sig long, rep long, sigs binary").repartition("part", "sig").sortWithinPartitions("part", "sig")
-    comps = connected_components(met.mapInPandas(link, "src long, dst long"))
-    named = distinct.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("sigs", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(named, "sigs").select("doc_id", "component_id")
+            for lo in range(0, len(b), 500):
+                made = [np.frombuffer(x, np.uint32).astype(np.int64) for x in b["set"].iloc[lo : lo + 500]]
+                n = np.array([len(x) for x in made])
+                first = [x[: k - math.ceil(threshold * k - 1e-9) + 1] for x, k in zip(made, n)]
+                sizes = [len(x) for x in first]
+                part = np.floor(np.log(n) / grow + 1e-9).astype(np.int64)
+                h, own, pos = np.concatenate(first), np.repeat(np.arange(len(made)), sizes), np.concatenate([np.arange(k) for k in sizes])
+                for step in (0, 1):  # each set meets those of its own and of the next partition
+                    yield pd.DataFrame({"h": (part[own] + step) << 32 | h, "id": b["id"].to_numpy()[lo : lo + 500][own], "n": n[own], "pos": pos})
+
+    shared = similar_sets.shared_prefixes(distinct.select("id", "set").mapInPandas(lean(prefixes), "h long, id long, n int, pos int"))
+    sketches = distinct.select("id", "n", "bitmap")
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        return distinct.select("id", "set").join(asked, "id")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return similar_sets.verified(pairs, sketches, sets_of, threshold, np.uint32)
+
+    links = verified(similar_sets.beside(shared, threshold))
+    joined = written(connected_components(links, "a", "b"))
+    more = verified(similar_sets.apart(shared, joined, sketches, threshold))
+    comps = connected_components(links.union(more), "a", "b")
+    named = distinct.select("digest", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    found = written(marked.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id"))
+    forget(marked, distinct, shared, links, joined, more)
+    return found

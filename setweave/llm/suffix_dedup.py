@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setweave.functions.session import bucketed, forget, written
-from setweave.llm.simhash import whole_buckets
+from setweave.llm.similar_sets import whole_buckets
 from setweave.llm.workers import lean
 
 LENGTH, K = 200, 40

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from setweave.llm import chaining, langid, simhash
+from setweave.llm import chaining, langid, similar_sets, simhash
 from setweave.operators.components import connected_components
 
 WORDS = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in ("rt", "ng", "sh", "st", "lo")]
@@ -218,7 +218,7 @@ def test_large_keys_give_two_candidates_a_row():
     n = 100_000  # a quadratic search of this key takes 10,000,000,000 comparisons
     fps = np.sort((rng.integers(0, 2**60, 1).astype(np.uint64)[0] ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))).view(np.int64))
     frame = pd.DataFrame({"key": np.zeros(n, np.int64), "at": fps, "id": np.arange(n), "n": 100})
-    made = pd.concat(simhash._neighbours(12, 0.8)(iter([frame[:40_000], frame[40_000:40_001], frame[40_001:]])))
+    made = pd.concat(similar_sets.neighbours(12, 0.8)(iter([frame[:40_000], frame[40_000:40_001], frame[40_001:]])))
     assert len(made) < 2 * n and len(set(made.a) | set(made.b)) == n
     assert {(i, i + 1) for i in (0, 39_998, 39_999, 40_000, 40_001, n - 2)} <= set(zip(made.a, made.b))
 
@@ -228,8 +228,8 @@ def test_bitmaps_never_exceed_the_difference():
     for n, m in ((1, 1), (40, 50), (200, 250), (900, 1100), (4000, 5000)):
         pool = rng.integers(0, 2**64, n + m, dtype=np.uint64)
         a, b = np.unique(pool[:n]), np.unique(np.append(pool[: int(n * rng.uniform(0.5, 1))], pool[n:][: m // 9]))
-        least = simhash.least_difference(simhash.bitmap_of(a), simhash.bitmap_of(b))
-        assert least <= len(np.setxor1d(a, b)) and least == simhash.least_difference(simhash.bitmap_of(b), simhash.bitmap_of(a))
+        least = similar_sets.least_difference(similar_sets.bitmap_of(a), similar_sets.bitmap_of(b))
+        assert least <= len(np.setxor1d(a, b)) and least == similar_sets.least_difference(similar_sets.bitmap_of(b), similar_sets.bitmap_of(a))
 
 
 @pytest.mark.parametrize("n", [36, 90])
@@ -245,7 +245,7 @@ def test_reordered_texts_keep_their_own_copies(spark, n):
 
 
 def test_blocks_of_a_common_shingle_lose_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 7)
+    monkeypatch.setattr(similar_sets, "BLOCK", 7)
     test_large_groups_of_copies_split_as_by_brute_force(spark)
 
 

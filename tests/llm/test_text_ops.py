@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from setweave.llm import piece_codec, queries, spotsigs, toxicity
 
@@ -56,27 +57,72 @@ def test_scores_are_averages_of_subword_vectors():
         assert abs(scorer(text) - 1 / (1 + np.exp(-z))) < 1e-9
 
 
+def own_signatures(text):
+    """Hashes of each common word and the two words after it that are not common, by definition."""
+    words = text.lower().split()
+    found = set()
+    for i, w in enumerate(words):
+        after = [x for x in words[i + 1 :] if x not in spotsigs.ANCHORS][:2]
+        if w in spotsigs.ANCHORS and len(after) == 2:
+            found.add(xxhash.xxh32_intdigest(" ".join([w, *after])))
+    return found or {xxhash.xxh32_intdigest(text, seed=1)}
+
+
 def brute_spots(docs):
     order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1]))
+    sets = [own_signatures(t) for _, t in order]
+    near = lambda a, b: len(a & b) / len(a | b)
+    hexed = lambda x: "".join(f"{v:08x}" for v in sorted(x))
+    up = list(range(len(order)))
+    for i in range(len(order)):
+        for j in range(i):
+            if order[j][0] is not None and up[i] != up[j] and near(sets[i], sets[j]) >= 0.8:
+                a, b = max(up[i], up[j]), min(up[i], up[j])
+                up = [b if x == a else x for x in up]
     out = []
     for i, (d, t) in enumerate(order):
         nxt = order[i - 1][1]
         n = len(t)
         edited = t[: n - n // 2] + nxt[: n // 2]
-        sig = lambda x: set(spotsigs.signatures(x).tolist())
-        near = lambda a, b: len(a & b) / len(a | b)
-        out.append((d, n, hashlib.sha256(edited.encode()).hexdigest(), near(sig(t), sig(edited)), near(sig(t), sig(nxt))))
+        new = own_signatures(edited)
+        group = None if d is None else min(order[k][0] for k in range(len(order)) if order[k][0] is not None and up[k] == up[i])
+        out.append((d, n, hashlib.sha256(edited.encode()).hexdigest(), hexed(sets[i]), hexed(new), near(sets[i], new), near(sets[i], own_signatures(nxt)), group))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("which", ["table", "odd", "one", "none"])
+@pytest.mark.parametrize("which", ["table", "odd", "one", "none", "many"])
 def test_spotsigs_edits(spark, small, which):
-    docs = {"table": spark.read.parquet(f"{small}/documents.parquet"), "odd": odd(spark), "one": odd(spark).limit(1), "none": odd(spark).limit(0)}[which]
+    docs = {"table": spark.read.parquet(f"{small}/documents.parquet"), "odd": odd(spark), "one": odd(spark).limit(1), "none": odd(spark).limit(0),
+            "many": spark.createDataFrame([(9, f"text {i % 7}") for i in range(30)], "doc_id long, text string")}[which]
     rows = spotsigs.fingerprint_edits(docs).collect()
-    got = sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in rows), key=str)
+    got = sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next, r.component_id) for r in rows), key=str)
     assert got == brute_spots([(r.doc_id, r.text or "") for r in docs.collect()])
 
 
+def test_spotsigs_buckets_cut_finer(spark, small, monkeypatch):
+    monkeypatch.setattr(spotsigs, "QUANTILES", 5)
+    test_spotsigs_edits(spark, small, "table")
+
+
+def test_spotsigs_duplicates_against_brute_force(spark):
+    rng = np.random.default_rng(31)
+    texts = {}
+    for i in range(60):  # texts of all lengths, each with edited copies near the threshold
+        words = [w for k in range(int(rng.integers(3, 60))) for w in ("the", f"a{rng.integers(400)}", f"b{k}")]
+        texts[i] = " ".join(words)
+        for c in range(3):
+            texts[100 + 10 * i + c] = " ".join("zz" + w if w != "the" and rng.random() < (0.02, 0.05, 0.08)[c] else w for w in words)
+    sets = {i: own_signatures(t) for i, t in texts.items()}
+    up = {i: i for i in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and up[a] != up[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = max(up[a], up[b]), min(up[a], up[b])
+                up = {k: y if v == x else v for k, v in up.items()}
+    got = {r.doc_id: r.component_id for r in spotsigs.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == up and len(set(up.values())) < 0.8 * len(texts)
+
+
 def test_spotsigs_duplicates(spark):
     base = " ".join(f"the w{i} of v{i} u{i}" for i in range(60))
     near = base.replace("w7 ", "x7 ")
