@@ -38,37 +38,34 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     Turns are taken by turn number (null first), ties by role and text; null
     texts and roles count as empty. loss_spans holds the 0-based code-point start and
     length of every text of loss_role in formatted. A null conv_id is a
-    conversation of its own. Only a conversation's own turns meet in a task.
+    conversation of its own, rows that repeat a turn are turns of their own, and other columns are not read. Only a conversation's own turns meet in a
+    task: a conversation is one output row, so its size is bounded by what a row may hold.
     """
     turn = F.struct(
         F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    # Merge neighbours of one role: a turn joins the last block or opens a new one.
-    none = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
-
-    def merge(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(
-            F.slice(acc, F.lit(1), F.size(acc) - 1),
-            F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))))
-        opened = F.concat(acc, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))))
-        return F.when(last["role"] == t["role"], joined).otherwise(opened)
-
-    chats = chats.withColumn("blocks", F.aggregate("turns", none, merge))
+    # Neighbours of one role merge: a turn opens a block where its role differs from the one before, and closes it where it differs from the next.
+    size = F.size("turns")
+    role_at = lambda i: F.get(F.col("turns"), i)["role"]
+    opens = lambda i: ~role_at(i).eqNullSafe(role_at(i - 1))
+    piece = lambda s, loss: F.struct(s.alias("s"), loss.alias("loss"))
+
+    def pieces_of(t: Column, i: Column) -> Column:
+        head = F.concat(F.lit(OPEN), F.replace(escaped(t["role"]), F.lit(":"), F.lit("\\c")), F.lit(HEAD_END))
+        end = F.when((i == size - 1) | opens(i + 1), CLOSE).otherwise(PART)
+        said = F.array(piece(escaped(t["text"]), t["role"] == loss_role), piece(end, F.lit(False)))
+        return F.when((i == 0) | opens(i), F.concat(F.array(piece(head, F.lit(False))), said)).otherwise(said)
+
     # Pieces in output order; those of loss_role's texts are under the mask.
-    pieces = F.flatten(F.transform("blocks", lambda b: F.concat(
-        F.array(F.struct(F.concat(F.lit(OPEN), F.replace(escaped(b["role"]), F.lit(":"), F.lit("\\c")), F.lit(HEAD_END)).alias("s"), F.lit(False).alias("loss"))),
-        F.flatten(F.transform(b["texts"], lambda x, i: F.array(
-            F.struct(escaped(x).alias("s"), (b["role"] == loss_role).alias("loss")),
-            F.struct(F.when(i == F.size(b["texts"]) - 1, CLOSE).otherwise(PART).alias("s"), F.lit(False).alias("loss"))))))))
-    chats = chats.select("conv_id", pieces.alias("pieces"))
-    spans = F.aggregate(
-        "pieces",
-        F.expr("named_struct('at', 0L, 'spans', cast(array() as array<struct<start:bigint,length:bigint>>))"),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["s"])).cast("long").alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(p["s"]).cast("long").alias("length"))))).otherwise(acc["spans"]).alias("spans")),
-        lambda acc: acc["spans"])
+    chats = chats.select("conv_id", F.flatten(F.transform("turns", pieces_of)).alias("pieces"))
+    # Each turn's lengths are added up once; starts come from a running sum that is kept as one number a piece.
+    lengths = F.transform("pieces", lambda p: F.length(p["s"]).cast("long"))
+    running = F.aggregate(
+        lengths, F.expr("named_struct('at', 0L, 'starts', cast(array() as array<bigint>))"),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")), lambda acc: acc["starts"])
+    spans = F.transform(
+        F.filter(F.zip_with("pieces", running, lambda p, at: F.struct(p["loss"].alias("loss"), at.alias("start"), F.length(p["s"]).cast("long").alias("length"))), lambda x: x["loss"]),
+        lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
     return chats.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
