@@ -1,5 +1,6 @@
 """Language ID, chaining, the near-dedup stage and the pipeline on planted cases and odd inputs."""
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -7,8 +8,10 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from setweave.llm import chaining, langid, similar_sets, simhash
+from setweave.functions.session import written
+from setweave.llm import chaining, langid, similar_sets, simhash, toxicity
 from setweave.operators.components import connected_components
+from tests.llm.test_exact_ops import check_packing
 
 WORDS = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in ("rt", "ng", "sh", "st", "lo")]
 
@@ -178,12 +181,54 @@ def test_near_duplicate_stage(spark):
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
 
 
-def test_pipeline_runs(spark, small):
+def without_repeats(texts, length=200):
+    """Texts without the bytes of strings of that length that start twice."""
+    raws = {d: t.encode() for d, t in texts.items()}
+    seen = Counter(r[i : i + length] for r in raws.values() for i in range(len(r) - length + 1))
+    out = {}
+    for d, r in raws.items():
+        gone = np.zeros(len(r), bool)
+        for i in range(len(r) - length + 1):
+            if seen[r[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out[d] = bytes(b for b, g in zip(r, gone) if not g).decode("utf-8", "ignore")
+    return out
+
+
+def test_pipeline_against_brute_force(spark, small):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language ID", "SimHash near-dedup", "suffix-array dedup", "packing"]
-    rows = corpus_pipeline.run(spark, small)
-    assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows.columns)
-    ids = {r.doc_id for r in rows.select("doc_id").distinct().collect()}
-    assert 0.75 * 200 < len(ids) < 200
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    scorer = toxicity.Scorer(*toxicity.train(docs, spark.read.parquet(f"{small}/labels.parquet")))
+    clean = {d: t for d, t in texts.items() if scorer(t) < 0.5 and t.split()}
+    sets = {d: set(simhash.shingle_set(t).tolist()) for d, t in clean.items()}
+    up = {d: d for d in clean}
+    for a, b in combinations(sorted(clean), 2):
+        if up[a] != up[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = max(up[a], up[b]), min(up[a], up[b])
+            up = {k: y if v == x else v for k, v in up.items()}
+    left = without_repeats({d: t for d, t in clean.items() if up[d] == d})
+    tables = set(corpus_pipeline.MADE)
+    rows = corpus_pipeline.run(spark, small).collect()
+    check_packing(rows, left)
+    assert len(set(corpus_pipeline.MADE) - tables) == 1  # the result alone is left behind
+    assert spark.conf.get(corpus_pipeline.ARROW_KEY) != str(corpus_pipeline.ARROW_ROWS)
+
+
+def test_stages_of_odd_rows(spark, small):
+    rng = np.random.default_rng(41)
+    base = prose(rng, 80)
+    rows = [(1, base, "en", "s", 0), (1, base, "en", "s", 0), (2, base + " more", "en", None, 0), (3, None, None, None, None), (4, "", "en", "s", 0), (None, base, "en", "s", 1),
+            (5, "w " * 30_000, "en", "s", 0), (6, prose(rng, 40) + " " + base, "en", "s", 7)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id string, key int")
+    for data in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, data, small)
+            if name != "packing":
+                assert out.columns == docs.columns
+                data = written(out)
+            elif docs is not data:
+                assert {r.doc_id for r in out.collect()} <= {1, 5, 6, None}
 
 
 def test_near_duplicate_stage_against_brute_force_near_the_threshold(spark):
