@@ -9,11 +9,14 @@ from setweave.functions.session import written
 
 
 def cooccurrence_edges(tokens: DataFrame, by: str = "example_id", token: str = "token", weight: str = "activation", level: str | None = None) -> DataFrame:
-    """(src, dst, w): for every ordered pair of different tokens of a set, the sum of the set's activation (times the target's level, if given)."""
+    """(src, dst, w): for every ordered pair of different tokens of a set, the sum of the set's activation (times the target's level, if given).
+
+    A set's tokens meet once and its pairs are summed before the shuffle, so what moves is one row for each different pair and task.
+    """
     w = F.col(weight) * F.col(level) if level else F.col(weight)
-    a = tokens.select(by, F.col(token).alias("src"))
-    b = tokens.select(by, F.col(token).alias("dst"), w.alias("w"))
-    return a.join(b, by).where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    sets = tokens.groupBy(by).agg(F.collect_list(F.struct(F.col(token).alias("t"), w.alias("w"))).alias("s"))  # a set is bounded by its families
+    pairs = sets.select("s", F.explode(F.transform("s", lambda x: x["t"])).alias("src")).select("src", F.explode("s").alias("d")).select("src", F.col("d.t").alias("dst"), F.col("d.w").alias("w"))
+    return pairs.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, cut_every: int = 5) -> DataFrame:

@@ -16,7 +16,7 @@ def melt_groups(wide: DataFrame, prefixes: dict[str, list], tags: list[str], fie
 
 def derive_player_columns(rows: DataFrame, names: DataFrame) -> DataFrame:
     """With weapon_id by name, rows without abilities dropped, ability_hash of set and id, win as own team's victory."""
-    return rows.dropna(subset=["abilities"]).join(F.broadcast(names), "weapon", "left").withColumn(
+    return rows.dropna(subset=["abilities"]).join(names, "weapon", "left").withColumn(
         "ability_hash", F.concat(F.md5("abilities"), F.col("weapon_id"))).withColumn("win", F.upper(F.substring("win", 1, 1)) == F.col("team"))
 
 
@@ -48,7 +48,7 @@ def compound_tokens(rows: DataFrame, names: DataFrame, ctx: str = "ctx", token:
     """rows with token prefixed by the cleaned name of its context; contexts without a name drop out."""
     from setweave.functions.tokens import clean_name
 
-    return rows.join(F.broadcast(names.select(ctx, "name")), ctx).withColumn(token, F.concat_ws("_", clean_name(F.col("name")), token)).drop("name")
+    return rows.join(names.select(ctx, "name"), ctx).withColumn(token, F.concat_ws("_", clean_name(F.col("name")), token)).drop("name")
 
 
 def longest_prefix(rows: DataFrame, categories: DataFrame, token: str = "token") -> DataFrame:
@@ -110,7 +110,7 @@ def extend_vocabulary(tokens: DataFrame, vocabulary: DataFrame, token: str = "to
 
 def encode(tokens: DataFrame, vocabulary: DataFrame, by: str, at: str, token: str = "token") -> DataFrame:
     """(by, ids): token ids of each group in order of at."""
-    return tokens.join(F.broadcast(vocabulary), token).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(at, "token_id"))).alias("_t")).select(
+    return tokens.join(vocabulary, token).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(at, "token_id"))).alias("_t")).select(
         by, F.transform("_t", lambda t: t["token_id"]).alias("ids"))
 
 

@@ -33,9 +33,10 @@ def sparse_cosine(rows: DataFrame, key: str, token: str, value: str, least: floa
 def correlations(acts: DataFrame, least_pairs: int, features: list[int] | None = None) -> DataFrame:
     """(a, b, n, r): Pearson correlation of two features over the examples that hold both, for pairs with enough of them and some spread."""
     x = acts if features is None else acts.where(F.col("feature_id").isin(features))
-    left = x.select(F.col("feature_id").alias("a"), "example_id", F.col("activation").alias("x"))
-    right = x.select(F.col("feature_id").alias("b"), "example_id", F.col("activation").alias("y"))
-    g = left.join(right, "example_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
+    held = x.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct(F.col("feature_id").alias("f"), F.col("activation").alias("v")))).alias("s"))  # an example holds each feature once
+    one = held.select("s", F.posexplode("s").alias("i", "l"))
+    pairs = one.select(F.col("l.f").alias("a"), F.col("l.v").alias("x"), F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("r"))
+    g = pairs.select("a", F.col("r.f").alias("b"), "x", F.col("r.v").alias("y")).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
     return g.where((F.col("n") >= least_pairs) & F.col("r").isNotNull() & ~F.isnan("r"))
 
 

@@ -102,7 +102,7 @@ def i7(spark, d):
 def i8(spark, d):
     a = X.acts(spark, d)
     c = a.groupBy("label", "feature_id").agg(F.avg("activation").alias("m"))
-    dist = a.join(F.broadcast(c), ["label", "feature_id"]).groupBy("label", "example_id").agg(F.sum(F.pow(F.col("activation") - F.col("m"), 2)).alias("q"))
+    dist = a.join(c, ["label", "feature_id"]).groupBy("label", "example_id").agg(F.sum(F.pow(F.col("activation") - F.col("m"), 2)).alias("q"))
     n = dist.agg(F.count(F.lit(1)).alias("_n"))
     g = dist.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.round("q", 9).alias("q"), "example_id")).alias("b"))
     return g.join(F.broadcast(n)).select("label", "size", F.col("b.example_id").alias("medoid"), (F.col("size") / F.col("_n")).alias("share"))

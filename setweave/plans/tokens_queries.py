@@ -125,7 +125,7 @@ def b13(spark, d):
 @query("b14_decode_ids", "SELECT o_orderkey AS example_id, string_agg(n, ' ' ORDER BY n) AS names FROM (SELECT DISTINCT o_orderkey, coalesce(n_name, '?') AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey < 20) GROUP BY 1")
 def b14(spark, d):
     ids = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(
-        F.broadcast(table(spark, d, "supplier")), F.col("l_suppkey") == F.col("s_suppkey")).select("o_orderkey", F.col("s_nationkey").alias("n_nationkey")).distinct()
+        table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("o_orderkey", F.col("s_nationkey").alias("n_nationkey")).distinct()
     n = ids.join(F.broadcast(table(spark, d, "nation").where("n_nationkey < 20")), "n_nationkey", "left").select(F.col("o_orderkey").alias("example_id"), F.coalesce("n_name", F.lit("?")).alias("name")).distinct()
     return n.groupBy("example_id").agg(F.array_join(F.array_sort(F.collect_list("name")), " ").alias("names"))
 

@@ -62,7 +62,7 @@ def global_index(rows: DataFrame, batch: str, sample: str) -> DataFrame:
     sizes = rows.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn("_o", F.sum("_n").over(Window.orderBy(batch)) - F.col("_n")).drop("_n")
     place = F.row_number().over(Window.partitionBy(batch).orderBy(sample)) - 1
-    return rows.join(F.broadcast(offsets), batch).withColumn("global_index", F.col("_o") + place).drop("_o")
+    return rows.join(offsets, batch).withColumn("global_index", F.col("_o") + place).drop("_o")
 
 
 def batch_summary(rows: DataFrame, batch: str) -> DataFrame:
