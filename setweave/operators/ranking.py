@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def _slice_of(value: Column, bounds: list, first: int = 0) -> Column:
@@ -18,11 +19,35 @@ def _slice_of(value: Column, bounds: list, first: int = 0) -> Column:
 SLICE_ROWS, LEAST_SLICES, MOST_SLICES = 1_000_000, 64, 4096
 
 
+def _cuts(rows: DataFrame, value: str) -> list:
+    """Approximate quantiles that cut rows into slices of about SLICE_ROWS; a value that many rows share comes several times."""
+    fine = [i / MOST_SLICES for i in range(1, MOST_SLICES)]
+    n, found = rows.agg(F.count(F.lit(1)), F.percentile_approx(value, fine, 10 * MOST_SLICES)).first()
+    step = max(1, MOST_SLICES // min(MOST_SLICES, max(LEAST_SLICES, n // SLICE_ROWS)))
+    return (found or [])[step - 1 :: step]
+
+
 def slice_bounds(rows: DataFrame, value: str) -> list:
-    """Values that cut rows into slices of about SLICE_ROWS, fewer but for a value that many rows share."""
-    n = min(MOST_SLICES, max(LEAST_SLICES, rows.count() // SLICE_ROWS))
-    cuts = rows.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    return sorted(set(cuts))
+    return sorted(set(_cuts(rows, value)))
+
+
+def slices_of(rows: DataFrame, value: str, tie: str, descending: bool = False) -> Column:
+    """Number of a row's slice in order of value, then tie. A value that fills several slices is cut by quantiles of its ties, where these are numbers."""
+    cuts = _cuts(rows, value)
+    at = _slice_of(F.col(value), sorted(set(cuts)))
+    at = -at if descending else at
+    times = {v: cuts.count(v) for v in set(cuts)}
+    heavy = {v: n for v, n in times.items() if n > 1}
+    if not heavy or not isinstance(rows.schema[tie].dataType, NumericType):
+        return at
+    most = max(heavy.values())
+    share = [F.percentile_approx(tie, [i / (most + 1) for i in range(1, most + 1)], 10 * (most + 1)).alias("q")]
+    found = rows.where(F.col(value).isin(list(heavy))).groupBy(value).agg(*share).collect()
+    within = F.lit(0)
+    for r in found:
+        own = sorted(set(r["q"][:: max(1, most // heavy[r[value]])]))
+        within = F.when(F.col(value) == r[value], _slice_of(F.col(tie), own)).otherwise(within)
+    return at * (most + 2) + within
 
 
 def sliced_rank(rows: DataFrame, by: list[str], sliced: Column, order: list[Column], name: str, size: str | None = None) -> DataFrame:
@@ -43,13 +68,12 @@ def sliced_rank(rows: DataFrame, by: list[str], sliced: Column, order: list[Colu
 
 def global_rank(rows: DataFrame, value: str, tie: str, name: str = "rank") -> DataFrame:
     """rows with their rank from 1 by value, then tie, over the whole table; slices are cut at approximate quantiles."""
-    return sliced_rank(rows, [], _slice_of(F.col(value), slice_bounds(rows, value)), [F.col(value), F.col(tie)], name)
+    return sliced_rank(rows, [], slices_of(rows, value, tie), [F.col(value), F.col(tie)], name)
 
 
 def rank_within(rows: DataFrame, by: list[str], value: str, tie: str, name: str, size: str | None = None, descending: bool = False) -> DataFrame:
     """rows with their rank from 1 by value (or falling value), then tie, within each group."""
-    at = _slice_of(F.col(value), slice_bounds(rows, value))
-    return sliced_rank(rows, by, -at if descending else at, [F.desc(value) if descending else F.col(value), F.col(tie)], name, size)
+    return sliced_rank(rows, by, slices_of(rows, value, tie, descending), [F.desc(value) if descending else F.col(value), F.col(tie)], name, size)
 
 
 def exact_quantile(rows: DataFrame, value: str, tie: str, q: float, name: str) -> DataFrame:

@@ -194,6 +194,16 @@ def test_ranks_within_groups_of_any_size(spark):
     assert got == want
 
 
+def test_ranks_of_a_value_that_most_rows_share(spark):
+    df = spark.range(4000).selectExpr("id * 7919 % 4001 as id", "if(id % 3 = 0, cast(id % 50 as double), 7.0) as v", "'g' as g")
+    for down in (False, True):
+        want = [i for _, i in sorted(((-r.v if down else r.v), r.id) for r in df.collect())]
+        got = ranking.rank_within(df, ["g"], "v", "id", "r", descending=down)
+        assert [r.id for r in got.orderBy("r").collect()] == want
+        sizes = df.withColumn("s", ranking.slices_of(df, "v", "id", down)).groupBy("s").count().agg(F.max("count")).first()[0]
+        assert sizes < 400
+
+
 def test_usage_is_a_fold_of_batches(spark):
     from setweave.streaming import streams
 
