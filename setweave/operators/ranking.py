@@ -43,7 +43,7 @@ def slices_of(rows: DataFrame, value: str, tie: str, descending: bool = False) -
     most = max(heavy.values())
     share = [F.percentile_approx(tie, [i / (most + 1) for i in range(1, most + 1)], 10 * (most + 1)).alias("q")]
     found = rows.where(F.col(value).isin(list(heavy))).groupBy(value).agg(*share).collect()
-    within = F.lit(0)
+    within = F.lit(most + 1 if descending else 0)  # a cut is the greatest value of its slice
     for r in found:
         own = sorted(set(r["q"][:: max(1, most // heavy[r[value]])]))
         within = F.when(F.col(value) == r[value], _slice_of(F.col(tie), own)).otherwise(within)
