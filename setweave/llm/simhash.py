@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from setweave.functions.session import bucketed, forget, written
 from setweave.operators.components import connected_components
-from setweave.llm.similar_sets import apart, beside, bitmap_of, neighbour_pairs, shared_prefixes, verified
+from setweave.llm.similar_sets import apart, beside, bitmap_of, common_elements, counted, neighbour_pairs, prefix_of, shared_prefixes, verified
 from setweave.llm.workers import lean
 
 #: Fixed value: generator polynomial of the (23,12) Golay code.
@@ -264,39 +264,18 @@ def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(turned), np.concatenate(rows)
 
 
-#: Texts that make a shingle common, one text in so many is counted for it, share of the hash range counted, bits of the table.
-COMMON, COUNTED_TEXTS, COUNTED_HASHES, TABLE_BITS = 96, 8, 0.4, 24
-
-
-def prefix_of(shingles: np.ndarray, likeness: float, common: np.ndarray) -> np.ndarray:
-    """The first of a set's shingles, in an order that all sets share, of which two sets of that likeness hold one in common.
-
-    The order is by hash, those marked in the bit table `common` last: any table gives the same
-    linked texts, a good one keeps widespread shingles out of the prefixes.
-    """
-    size = len(shingles) - int(np.ceil(likeness * len(shingles) - 1e-9)) + 1
-    place = (shingles >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-    late = common[place >> 3] >> (place & 7) & 1
-    return shingles[np.argsort(late, kind="stable")[:size]]
+#: Share of the hash range whose common shingles are counted; prefixes hold the lowest.
+COUNTED_HASHES = 0.4
 
 
 def _common_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Bit table, of fixed size, of the shingles found in COMMON texts or more, by the count in one text of COUNTED_TEXTS."""
-
     def low(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [shingle_set(t, width) for t in b["text"]]
             made = [x[: np.searchsorted(x, np.uint64(int(COUNTED_HASHES * 2**64)))] for x in made]
             yield pd.DataFrame({"h": np.concatenate([*made, np.zeros(0, np.uint64)]).view(np.int64)})
 
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED_TEXTS)) == 0).select("text").mapInPandas(lean(low), "h long")
-    many = some.groupBy("h").count().where(F.col("count") >= COMMON // COUNTED_TEXTS)
-    place = F.shiftrightunsigned("h", 64 - TABLE_BITS).cast("int")
-    cells = many.select((place / 32).cast("int").alias("cell"), F.expr(f"shiftleft(1L, shiftrightunsigned(h, {64 - TABLE_BITS}) % 32)").alias("bit"))
-    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
-    table = np.zeros(1 << (TABLE_BITS - 5), np.uint32)
-    table[found["cell"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
-    return table.astype("<u4").view(np.uint8)
+    return common_elements(counted(texts, "text").select("text").mapInPandas(lean(low), "h long"))
 
 
 def _prefixes(alone: DataFrame, likeness: float, width: int) -> DataFrame:

@@ -42,6 +42,38 @@ def least_difference(x: bytes, y: bytes) -> int:
     return (a ^ b).bit_count()
 
 
+#: Sets that make an element common, one set in so many is counted for it, bits of the table.
+COMMON, COUNTED, TABLE_BITS = 96, 8, 24
+
+
+def prefix_of(elements: np.ndarray, likeness: float, common: np.ndarray) -> np.ndarray:
+    """The first of a set's sorted 64-bit hashes, in an order that all sets share, of which two sets of that likeness hold one in common.
+
+    The order is by hash, those marked in the bit table `common` last: any table gives the same
+    linked sets, a good one keeps widespread elements out of the prefixes.
+    """
+    size = len(elements) - int(np.ceil(likeness * len(elements) - 1e-9)) + 1
+    place = (elements >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    late = common[place >> 3] >> (place & 7) & 1
+    return elements[np.argsort(late, kind="stable")[:size]]
+
+
+def counted(sets: DataFrame, by: str) -> DataFrame:
+    """The sets whose elements are counted to find the common ones: one in COUNTED, by hash of a column. Only the order of prefixes depends on it."""
+    return sets.where(F.pmod(F.xxhash64(by), F.lit(COUNTED)) == 0)
+
+
+def common_elements(elements: DataFrame) -> np.ndarray:
+    """Bit table, of fixed size, of the elements (h) that COMMON sets or more hold, from the rows of counted() sets."""
+    many = elements.groupBy("h").count().where(F.col("count") >= COMMON // COUNTED)
+    place = F.shiftrightunsigned("h", 64 - TABLE_BITS).cast("int")
+    cells = many.select((place / 32).cast("int").alias("cell"), F.expr(f"shiftleft(1L, shiftrightunsigned(h, {64 - TABLE_BITS}) % 32)").alias("bit"))
+    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros(1 << (TABLE_BITS - 5), np.uint32)
+    table[found["cell"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    return table.astype("<u4").view(np.uint8)
+
+
 def neighbours(bits: int | None, likeness: float):
     """Pairs (a, b) of rows (key, at, id, n) in order of (key, at): each with the row before it and with the first of its key.
 

@@ -166,15 +166,26 @@ def near_duplicates(docs: DataFrame, threshold: float = LIKENESS) -> DataFrame:
     marked = written(ready.mapInPandas(lean(sets), "doc_id long, n int, bitmap binary, set binary").withColumn("digest", F.unhex(F.md5("set"))))
     distinct = written(marked.groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "bitmap", "set")]))
 
+    def wide(x: bytes) -> np.ndarray:
+        return np.frombuffer(x, np.uint32).astype(np.uint64) << np.uint64(32)
+
+    def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 500):
+                yield pd.DataFrame({"h": np.concatenate([wide(x) for x in b["set"].iloc[lo : lo + 500]]).view(np.int64)})
+
+    common = similar_sets.common_elements(similar_sets.counted(distinct, "digest").select("set").mapInPandas(lean(every), "h long"))
+
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), 500):
-                made = [np.frombuffer(x, np.uint32).astype(np.int64) for x in b["set"].iloc[lo : lo + 500]]
+                made = [wide(x) for x in b["set"].iloc[lo : lo + 500]]
                 n = np.array([len(x) for x in made])
-                first = [x[: k - math.ceil(threshold * k - 1e-9) + 1] for x, k in zip(made, n)]
+                first = [similar_sets.prefix_of(x, threshold, common) for x in made]
                 sizes = [len(x) for x in first]
                 part = np.floor(np.log(n) / grow + 1e-9).astype(np.int64)
-                h, own, pos = np.concatenate(first), np.repeat(np.arange(len(made)), sizes), np.concatenate([np.arange(k) for k in sizes])
+                own, pos = np.repeat(np.arange(len(made)), sizes), np.concatenate([np.arange(k) for k in sizes])
+                h = (np.concatenate(first) >> np.uint64(32)).astype(np.int64)
                 for step in (0, 1):  # each set meets those of its own and of the next partition
                     yield pd.DataFrame({"h": (part[own] + step) << 32 | h, "id": b["id"].to_numpy()[lo : lo + 500][own], "n": n[own], "pos": pos})
 
