@@ -27,6 +27,8 @@ SAMPLE, SAMPLE_CHARS, LEAST_ROWS, LEAST_SHARE = 400, 20_000, 20, 0.005
 KNOWN = 0.5
 #: Weight of one word's likelihood (neighbouring n-grams are not independent), the most a text may weigh, smoothing counts, words a task remembers.
 TEMPER, MOST, SMOOTH, CACHE = 0.5, 40.0, 10.0, 100_000
+#: Times the sample that is taken of a tag's texts before the least hashes are picked.
+SPARE = 8
 #: Keys of a level of the host prior that are broadcast at most; more are joined by shuffle.
 SMALL = 10_000
 UNKNOWN = "und"
@@ -112,8 +114,14 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], dict[str, n
     counts = {r.declared: r["count"] for r in rows.where("declared <> ''").groupBy("declared").count().collect()}
     total = sum(counts.values())
     languages = sorted(t for t, n in counts.items() if n >= min(LEAST_ROWS, LEAST_SHARE * total))
-    some = rows.where(F.col("declared").isin(languages) & (F.length("text") <= SAMPLE_CHARS)).select("declared", "text")
-    w = Window.partitionBy("declared").orderBy(F.xxhash64("text"), "text")
+    if not languages:
+        return [], {}
+    # The least hashes of a tag lie under this bound, so what meets in a task does not grow with the rows.
+    bound = {t: min((1 << 63) - 1, -(1 << 63) + (SPARE * sample << 64) // counts[t]) for t in languages}
+    under = F.element_at(F.create_map(*[F.lit(x) for t in languages for x in (t, bound[t])]), F.col("declared"))
+    at = F.xxhash64("text")
+    some = rows.where(F.col("declared").isin(languages) & (F.length("text") <= SAMPLE_CHARS) & (at <= under)).select("declared", "text")
+    w = Window.partitionBy("declared").orderBy(at, "text")
     found = sorted(some.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).drop("_r").collect())
     return languages, fit([r.text for r in found], [r.declared for r in found], languages)
 
