@@ -370,7 +370,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs; repeated rows are copies of one another."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs; repeated rows are copies of one another.
+
+    Null and empty texts have no bytes and keep none; null ids are returned as they are; other columns are not read.
+    """
     found = written(remove_repeats(docs, length))
     return docs.select("doc_id", text_key(F.col("text")).alias("key")).join(found, "key").drop("key")
 

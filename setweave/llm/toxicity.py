@@ -174,7 +174,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
-    """docs' doc_id, held_out, score, predicted for every row; null text is empty and scores the bias alone. A null id counts as not held out."""
+    """docs' doc_id, held_out, score, predicted for every row; null text is empty and scores the bias alone. A null id counts as not held out.
+
+    Whole texts are scored, however long; repeated rows are scored each and alike; a score of exactly 0.5 is predicted toxic; other columns are not read.
+    """
     table, bias = model
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
