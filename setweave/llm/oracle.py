@@ -6,6 +6,8 @@ from __future__ import annotations
 _BYTE = "list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), xor(a, x))"
 _ASCII = "list_transform(range(1, len({0}) + 1), lambda i: CAST(ascii({0}[i]) AS BIGINT))"
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Words of lower-cased text, as a pattern.
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def crc32(data: str) -> str:
@@ -38,3 +40,15 @@ w AS (SELECT doc_id, leaf, n.grp, 0 AS tier, 0 AS level, n.pos AS pos, s.pos AS
   FROM w LEFT JOIN r ON r.tier = w.tier AND r.grp = w.grp AND r.level = w.level AND r.run = w.pos // 8 WHERE nodes IS NOT NULL OR w.tier = 0)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = root AS verified
 FROM w, (SELECT node AS root FROM u WHERE width = 1) WHERE w.tier = 1 AND NOT EXISTS (SELECT 1 FROM r WHERE r.tier = 1 AND r.level = w.level AND r.run = w.pos // 8)"""
+
+#: bw: the items' windows; h: the windows of texts that are among them.
+WINNOWING = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWERED}, '{_WORD}'), []) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWERED}, '{_WORD}') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS win FROM (SELECT *, least(len(w), 10) AS m FROM b), unnest(range(1, len(w) - m + 2)) t(i) WHERE m > 0),
+dw AS (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS win FROM d, (SELECT DISTINCT m FROM bw), unnest(range(1, len(w) - m + 2)) t(i)),
+h AS (SELECT * FROM dw SEMI JOIN bw USING (m, win)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY 1),
+k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h JOIN bw USING (m, win)) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""
