@@ -5,6 +5,7 @@ from __future__ import annotations
 #: One byte x into the running checksum a, bit by bit; 3988292384 is the reversed polynomial of CRC-32.
 _BYTE = "list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), xor(a, x))"
 _ASCII = "list_transform(range(1, len({0}) + 1), lambda i: CAST(ascii({0}[i]) AS BIGINT))"
+_LATIN = "flatten(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN unicode({0}[i]) < 128 THEN [CAST(unicode({0}[i]) AS BIGINT)] ELSE [195, CAST(unicode({0}[i]) - 64 AS BIGINT)] END))"  # UTF-8 up to U+00FF
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: Words of lower-cased text, as a pattern.
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,3 +53,17 @@ n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 k AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h JOIN bw USING (m, win)) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+#: e: words with one character left out; p: near words.
+PERMUTERM = f"""
+WITH RECURSIVE r AS (SELECT doc_id, run, count(*) AS c, doc_id || ':' || run AS s FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE len(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT run, c, {crc32(_LATIN.format('s'))} AS h FROM r),
+n AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT c, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word FROM h)
+  WHERE len(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+e AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM n, unnest(range(1, len(word) + 1)) t(i)),
+p AS (SELECT a.word, b.word AS other, b.n AS m FROM e a JOIN e b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT e.word, n.word, n.n FROM e JOIN n ON rest = n.word UNION SELECT n.word, e.word, e.n FROM e JOIN n ON rest = n.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS best, max(m) AS best_n FROM p GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM n LEFT JOIN b USING (word)),
+g AS (SELECT word, word AS root FROM f UNION ALL SELECT g.word, form FROM g JOIN f ON g.root = f.word WHERE form IS NOT NULL)
+SELECT f.word, form, g.root, n, n_near, form_n FROM f JOIN g USING (word) WHERE NOT EXISTS (SELECT 1 FROM f x WHERE x.word = g.root AND x.form IS NOT NULL)"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.functions.session import table
-from setweave.llm import chaining, chat, langid, merkle, oracle, packing, piece_codec, simhash, spotsigs, suffix_dedup, topk, toxicity, winnowing
+from setweave.llm import chaining, chat, langid, merkle, oracle, packing, permuterm, piece_codec, simhash, spotsigs, suffix_dedup, topk, toxicity, winnowing
 
 
 def vocabulary(name: str) -> str:
@@ -58,6 +58,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permuterm.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,7 +70,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_packing, op4_collinear_chaining, op5_spotsigs, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_chat_formatting, op9_sentencepiece_codec, op10_exact_top_k, op12_winnowing_decontamination, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_packing, op4_collinear_chaining, op5_spotsigs, op6_suffix_array_dedup, op7_simhash_near_dedup, op8_chat_formatting, op9_sentencepiece_codec, op10_exact_top_k, op11_permuterm_variants, op12_winnowing_decontamination, op13_merkle_manifest)}
 _LONGER = r"length({0}) + length({0}) - length(replace(replace(replace({0}, '\', ''), '<', ''), '#', ''))"
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_formatting": rf"""
@@ -83,6 +87,7 @@ WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5""",
+    "op11_permuterm_variants": oracle.PERMUTERM,
     "op12_winnowing_decontamination": oracle.WINNOWING,
     "op13_merkle_manifest": oracle.MERKLE,
 }

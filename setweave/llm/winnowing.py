@@ -144,7 +144,8 @@ def _of_items(window: int):
                 whole = count[words.text[at]]
                 take = whole >= window if size == window else whole == size
                 out += [(*names[words.text[i]], f, size, words.digest(i, size)) for i, f in zip(at[take].tolist(), h[take].view(np.int64).tolist())]
-            yield pd.DataFrame(out, columns=["item", "h", "size", "digest"])
+            if out:
+                yield pd.DataFrame(out, columns=["item", "h", "size", "digest"])
 
     return run
 
