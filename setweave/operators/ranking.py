@@ -20,11 +20,18 @@ SLICE_ROWS, LEAST_SLICES, MOST_SLICES = 1_000_000, 64, 4096
 
 
 def _cuts(rows: DataFrame, value: str) -> list:
-    """Approximate quantiles that cut rows into slices of about SLICE_ROWS; a value that many rows share comes several times."""
-    fine = [i / MOST_SLICES for i in range(1, MOST_SLICES)]
-    n, found = rows.agg(F.count(F.lit(1)), F.percentile_approx(value, fine, 10 * MOST_SLICES)).first()
-    step = max(1, MOST_SLICES // min(MOST_SLICES, max(LEAST_SLICES, n // SLICE_ROWS)))
-    return (found or [])[step - 1 :: step]
+    """Approximate quantiles that cut rows into slices of about SLICE_ROWS; a value that many rows share comes several times.
+
+    One pass where LEAST_SLICES are enough, a second one for finer cuts where they are not.
+    """
+
+    def cut(slices: int) -> tuple[int, list]:
+        n, found = rows.agg(F.count(F.lit(1)), F.percentile_approx(value, [i / slices for i in range(1, slices)], 10 * slices)).first()
+        return n, found or []
+
+    n, found = cut(LEAST_SLICES)
+    slices = min(MOST_SLICES, n // SLICE_ROWS)
+    return cut(slices)[1] if slices > LEAST_SLICES else found
 
 
 def slice_bounds(rows: DataFrame, value: str) -> list:
@@ -76,12 +83,30 @@ def rank_within(rows: DataFrame, by: list[str], value: str, tie: str, name: str,
     return sliced_rank(rows, by, slices_of(rows, value, tie, descending), [F.desc(value) if descending else F.col(value), F.col(tie)], name, size)
 
 
+def rows_at_ranks(rows: DataFrame, value: str, tie: str, first: int, last: int, n: int) -> DataFrame:
+    """The rows with ranks first to last of n, from 1 by value, then tie, with column _rank; null values are not ranked.
+
+    Approximate quantiles on both sides of the ranks and one count leave only the rows between them to be ranked.
+    """
+    known, wide = rows.where(F.col(value).isNotNull()), 1.0 / MOST_SLICES
+    share = [max(0.0, (first - 1) / max(1, n) - wide), min(1.0, last / max(1, n) + wide)]
+    lo, hi = known.agg(F.percentile_approx(value, share, 4 * MOST_SLICES)).first()[0] or (None, None)
+    if lo is None:
+        return global_rank(known, value, tie, "_rank").limit(0)
+    below, held = known.agg(F.count_if(F.col(value) < lo), F.count_if(F.col(value).between(lo, hi))).first()
+    near, at = known.where(F.col(value).between(lo, hi)), first - below
+    if at < 1 or last - below > held:  # the quantiles were further off than their error allows
+        near, at, held = known, first, n
+    ranked = near.withColumn("_rank", F.row_number().over(Window.orderBy(value, tie))) if held <= SLICE_ROWS else global_rank(near, value, tie, "_rank")
+    return ranked.where(F.col("_rank").between(at, at + last - first)).withColumn("_rank", F.col("_rank") + (first - at))
+
+
 def exact_quantile(rows: DataFrame, value: str, tie: str, q: float, name: str) -> DataFrame:
     """One row: the q quantile of value, interpolated between its two ranks; null of an empty table."""
-    n = rows.count()
+    n = rows.where(F.col(value).isNotNull()).count()
     pos = q * max(0, n - 1)
     lo, part = int(pos), pos - int(pos)
-    at = global_rank(rows, value, tie, "_rank").where(F.col("_rank").isin(lo + 1, lo + 1 + (part > 0)))
+    at = rows_at_ranks(rows, value, tie, lo + 1, lo + 1 + (part > 0), n)
     return at.agg(((1 - part) * F.min(value) + part * F.max(value)).alias(name))
 
 

@@ -11,6 +11,7 @@ from setweave.functions.session import shared_dir, table
 from setweave.plans import relations as X
 from setweave.plans.aggregate_queries import D
 from setweave.sources import files as S
+from setweave.streaming import keyed as Y
 from setweave.streaming import streams as W
 
 Q: dict = {}
@@ -184,6 +185,11 @@ def n2b(spark, d):
     return _merged(spark, d, lambda p, b: W.histogram_merge(p, b, "event_type", "value", 0.0, 50.0, 10))
 
 
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    path, schema = event_files(spark, d)
+    return W.file_stream(spark, path, schema)
+
+
 def _merged(spark: SparkSession, d: str, merge) -> DataFrame:
     """The state that merge(previous, batch) leaves after all batches, one written table a batch, named by its number: a batch that is run again finds what it found before."""
     path, schema = event_files(spark, d)
@@ -205,7 +211,7 @@ def n3(spark, d):
 
 @query("n4_running_document_frequency", "SELECT user_id, count(*) AS df FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
 def n4(spark, d):
-    return _merged(spark, d, lambda p, b: W.pairs_merge(p, b, "user_id", "event_type")).groupBy("user_id").agg(F.count(F.lit(1)).alias("df"))
+    return Y.document_frequency(_events(spark, d), "user_id", "event_type", folder(spark, "check"))
 
 
 @query("n5_running_reservoir", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id || ':5'), event_id) AS r FROM events) WHERE r <= 10")
@@ -215,10 +221,10 @@ def n5(spark, d):
 
 @query("n6_moving_usage", "SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: 0.99 * a + 0.01 * x, 0.0), 4) AS usage, count(*) AS n FROM events GROUP BY 1")
 def n6(spark, d):
-    return _merged(spark, d, lambda p, b: W.usage_merge(p, b, "user_id", "ts", "event_id", "value"))
+    return Y.moving_usage(_events(spark, d), "user_id", "ts", "event_id", "value", folder(spark, "check"))
 
 
 @query("n7_last_values", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, count(*) AS held, max(value) FILTER (r = 1) AS newest, round(sum(value), 4) AS total FROM r WHERE r <= 16 GROUP BY 1")
 def n7(spark, d):
-    t = _merged(spark, d, lambda p, b: W.last_values_merge(p, b, "user_id", "ts", "event_id", "value", 16))
+    t = Y.last_values(_events(spark, d), "user_id", "ts", "event_id", "value", 16, folder(spark, "check"))
     return t.groupBy("user_id").agg(F.count(F.lit(1)).alias("held"), F.max_by("value", F.struct("ts", "event_id")).alias("newest"), F.sum("value").alias("total"))

@@ -41,12 +41,6 @@ def histogram_merge(previous: DataFrame | None, batch: DataFrame, by: str, value
     return both.groupBy(by, "bin_idx").agg(F.sum("count").alias("count"))
 
 
-def pairs_merge(previous: DataFrame | None, batch: DataFrame, doc: str, token: str) -> DataFrame:
-    """The distinct (doc, token) of all batches so far; document frequencies and their logarithms are counted when read."""
-    new = batch.select(doc, token)
-    return (new if previous is None else previous.unionByName(new)).distinct()
-
-
 def top_k_merge(previous: DataFrame | None, batch: DataFrame, by: str, value: str, tie: str, k: int) -> DataFrame:
     both = batch if previous is None else previous.unionByName(batch)
     w = Window.partitionBy(by).orderBy(F.desc(value), tie)
@@ -71,11 +65,3 @@ def usage_merge(previous: DataFrame | None, batch: DataFrame, by: str, time: str
     before = new.sparkSession.createDataFrame([], f"{by} {batch.schema[by].dataType.simpleString()}, usage double, n long") if previous is None else previous
     usage = F.coalesce("usage", F.lit(0.0)) * F.pow(F.lit(alpha), F.coalesce("_k", F.lit(0))) + F.coalesce("_s", F.lit(0.0))
     return before.join(new, by, "full_outer").select(by, usage.alias("usage"), (F.coalesce("n", F.lit(0)) + F.coalesce("_k", F.lit(0))).cast("long").alias("n"))
-
-
-def last_values_merge(previous: DataFrame | None, batch: DataFrame, by: str, time: str, tie: str, value: str, size: int) -> DataFrame:
-    """(by, time, tie, value): the last `size` rows of each key, a ring that is merged."""
-    new = batch.select(by, time, tie, value)
-    both = new if previous is None else previous.unionByName(new)
-    w = Window.partitionBy(by).orderBy(F.desc(time), F.desc(tie))
-    return both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= size).drop("_r")

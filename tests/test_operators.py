@@ -236,3 +236,14 @@ def test_rebalance_reaches_the_target(spark):
     df = spark.range(100).selectExpr("id", "'g' as g", "id < 30 as won")
     rows = sampling.rebalance(df, "g", "won", "id", 0.6, "s").collect()
     assert sum(r.won for r in rows) == 30 and len(rows) == 50
+
+
+@pytest.mark.parametrize("hot", [0, 900])
+def test_rows_at_ranks(spark, monkeypatch, hot):
+    df = spark.range(1000).selectExpr("id", f"case when id < {hot} then 5.0 when id = 999 then null else cast(id * 37 % 101 as double) end as v")
+    want = sorted((r.v, r.id) for r in df.collect() if r.v is not None)
+    for rows in (10**6, 3):  # small slices: the rows between the quantiles are ranked by slices as well
+        monkeypatch.setattr(ranking, "SLICE_ROWS", rows)
+        for first, last in ((1, 1), (1, 30), (500, 501), (999, 999), (640, 700)):
+            got = sorted((r["_rank"], r.v, r.id) for r in ranking.rows_at_ranks(df, "v", "id", first, last, 999).collect())
+            assert got == [(first + i, *x) for i, x in enumerate(want[first - 1 : last])]
