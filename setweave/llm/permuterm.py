@@ -30,8 +30,8 @@ LEAST_LENGTH, LEAST_COUNT, FACTOR, DELETE_ONE_IN = 7, 2, 10, 31
 END = "$"
 #: Characters from which on a word meets others by sums of its two sides instead of the text of its rotations, which grows with the square of its length.
 LONG = 100
-#: Different words a task counts before it hands them on.
-HELD = 300_000
+#: Different words a task counts before it hands them on, and words whose rotations one task makes.
+HELD, ROTATED = 300_000, 50_000
 _PRIME, _BASE = (1 << 127) - 1, 0x9E3779B97F4A7C15F39CC0605CEDC835
 
 
@@ -219,7 +219,7 @@ def variants(docs: DataFrame, factor: int = FACTOR) -> DataFrame:
     both sides of the edit. Other columns are not read.
     """
     words = written(words_of(docs))
-    near = words.join(near_words(words), "word", "left")
+    near = words.join(near_words(words.repartition(max(1, -(-words.count() // ROTATED)))), "word", "left")  # a word has some twenty rotations, so few files would make large tasks
     has = F.col("best_n") >= factor * F.col("n")
     told = written(near.select("word", "n", F.coalesce("near", F.lit(0)).alias("n_near"), F.when(has, F.col("best")).alias("form"), F.when(has, F.col("best_n")).alias("form_n")))
     out = told.join(roots_of(told.where("form is not null")), "word", "left")
