@@ -10,6 +10,7 @@ from setweave.operators import baskets as B
 from setweave.operators import evaluation as V
 from setweave.operators import graph as G
 from setweave.operators import information as I
+from setweave.operators import patterns as P
 from setweave.operators import ranking as K
 from setweave.operators import similarity as M
 from setweave.plans import relations as X
@@ -136,10 +137,21 @@ def i9b(spark, d):
     return B.itemset_lift(sets, (2, 3, 4), 0.05, 100)
 
 
-@query("i10_contrastive_triples", f"WITH {X.BRANDS_SQL}, {X.EXAMPLES_SQL}, {_HIGH}, p AS (SELECT a.token || '|' || b.token || '|' || c.token AS itemset, count(*) FILTER (a.high) AS n_high, count(*) FILTER (NOT a.high) AS n_base FROM h a JOIN h b USING (example_id) JOIN h c USING (example_id) WHERE a.token < b.token AND b.token < c.token GROUP BY 1) "
-       "SELECT itemset, n_high, n_base, round(n_high / nh, 4) AS support_high, round(n_base / nb, 4) AS support_base, round(CASE WHEN n_base > 0 THEN (n_high / nh) / (n_base / nb) ELSE 999 END, 4) AS lift FROM p, z WHERE n_high >= greatest(1, floor(nh * 0.005)) ORDER BY round(CASE WHEN n_base > 0 THEN (n_high / nh) / (n_base / nb) ELSE 999 END, 9) DESC, itemset LIMIT 50")
+_BANDS = """e AS (SELECT *, row_number() OVER (ORDER BY activation, example_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT example_id, activation, list(token ORDER BY token) AS s FROM brands GROUP BY ALL)),
+h AS (SELECT example_id, unnest(s) AS t, high FROM (SELECT *, CASE WHEN r >= floor(n * CAST(0.95 AS DOUBLE)) THEN true WHEN r >= floor(n * 0.25) AND r < floor(n * 0.75) THEN false END AS high FROM e) WHERE high IS NOT NULL AND len(s) > 1),
+z AS (SELECT count(DISTINCT example_id) FILTER (high) AS nh, count(DISTINCT example_id) FILTER (NOT high) AS nb FROM h)"""
+_COMBOS = {n: " JOIN ".join(f"h {c}" + (" USING (example_id)" if c != "a" else "") for c in "abcd"[:n]) + " WHERE " + " AND ".join(f"{x}.t < {y}.t" for x, y in zip("abc"[: n - 1], "bcd")) for n in (2, 3, 4)}
+
+
+@query("i10_contrastive_triples", f"WITH {X.BRANDS_SQL}, {_BANDS}, p AS (" + " UNION ALL ".join(
+    f"SELECT {n} AS size, concat_ws('|', {', '.join(f'{c}.t' for c in 'abcd'[:n])}) AS itemset, count(*) FILTER (a.high) AS count_high, count(*) FILTER (NOT a.high) AS n_base FROM {j} GROUP BY 2" for n, j in _COMBOS.items())
+    + "), c AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY count_high DESC, itemset) AS k FROM p), l AS (SELECT size, itemset, count_high, count_high / nh AS support_high, greatest(n_base / nb, 0.001) AS support_base FROM c, z WHERE k <= 200 AND count_high >= greatest(2, floor(nh * CAST(0.01 AS DOUBLE)))), "
+    "b AS (SELECT *, support_high / support_base AS lift, row_number() OVER (PARTITION BY size ORDER BY round(support_high / support_base, 9) DESC, itemset) AS k FROM l WHERE support_high / support_base > 1.5) "
+    "SELECT size, itemset, count_high, round(support_high, 4) AS support_high, round(support_base, 4) AS support_base, round(lift, 4) AS lift FROM b WHERE k <= 50")
 def i10(spark, d):
-    return B.itemset_lift(high_sets(spark, d), 3, 0.005, 50)
+    """Itemsets of 2 to 4 brands of the top 5 % of orders against the middle half."""
+    b = X.brands(spark, d).groupBy("example_id", "activation").agg(F.collect_list("token").alias("tokens"))
+    return P.contrastive_itemsets(b)
 
 
 @query("i11_interactions", f"WITH {X.BRANDS_SQL}, n AS (SELECT count(DISTINCT example_id) AS n FROM brands), top AS (SELECT token, count(*) AS c FROM brands GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20), p AS (SELECT a.token AS a, b.token AS b, count(*) AS n_both FROM brands a JOIN brands b USING (example_id) WHERE a.token < b.token GROUP BY ALL HAVING count(*) >= 5) "
