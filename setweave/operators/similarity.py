@@ -76,11 +76,6 @@ def n_way_overlap(members: DataFrame, item: str, of: str) -> DataFrame:
     return g.withColumn("kind", kind).where("kind is not null").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def matrix_product(left: DataFrame, right: DataFrame, row: str, inner: str, col: str) -> DataFrame:
-    """(row, col, value) of two long-form matrices (row, inner, x) and (inner, col, y)."""
-    return left.join(right, inner).groupBy(row, col).agg(F.sum(F.col("x") * F.col("y")).alias("value"))
-
-
 def verify_columns(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(n, max_abs, mean_abs) of the difference of two columns."""
     d = F.abs(F.col(a) - F.col(b))

@@ -387,12 +387,6 @@ def f37(spark, d):
     return table(spark, d, "customer").agg(F.avg("c_acctbal").alias("mean"), F.expr("percentile(c_acctbal, 0.5)").alias("median"), F.min("c_acctbal").alias("min"), F.max("c_acctbal").alias("max"))
 
 
-@query("f39_representation_metrics", f"WITH {X.ACTS_SQL} SELECT label, round(avg(abs(activation)), 6) AS l1, round(avg(CASE WHEN abs(activation) > 0.01 THEN 1.0 ELSE 0.0 END), 6) AS l0, round(avg(pow(activation - round(activation, 1), 2)), 6) AS mse FROM acts GROUP BY 1", l1=6, l0=6, mse=6)
-def f39(spark, d):
-    a = F.col("activation")
-    return X.acts(spark, d).groupBy("label").agg(F.avg(F.abs(a)).alias("l1"), F.avg((F.abs(a) > 0.01).cast("double")).alias("l0"), F.avg(F.pow(a - F.round(a, 1), 2)).alias("mse"))
-
-
 @query("f40_active_counts", f"WITH {X.ACTS_SQL}, c AS (SELECT example_id, count(*) FILTER (abs(activation) > 0.1) AS n FROM acts GROUP BY 1) SELECT n, count(*) AS examples FROM c GROUP BY 1")
 def f40(spark, d):
     return X.acts(spark, d).groupBy("example_id").agg(F.count_if(F.abs("activation") > 0.1).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("examples"))

@@ -10,6 +10,7 @@ from setweave.operators import baskets as B
 from setweave.operators import evaluation as V
 from setweave.operators import graph as G
 from setweave.operators import information as I
+from setweave.operators import matrices as N
 from setweave.operators import patterns as P
 from setweave.operators import ranking as K
 from setweave.operators import similarity as M
@@ -329,15 +330,42 @@ def k8(spark, d):
 @query("k9_matrix_product", f"WITH {X.ACTS_SQL}, c AS (SELECT label, feature_id, avg(activation) AS m FROM acts GROUP BY ALL) SELECT x.label AS row_label, y.label AS col_label, round(sum(x.m * y.m), 6) AS value FROM c x JOIN c y USING (feature_id) GROUP BY ALL", value=6)
 def k9(spark, d):
     c = X.acts(spark, d).groupBy("label", "feature_id").agg(F.avg("activation").alias("m"))
-    return M.matrix_product(c.select(F.col("label").alias("row_label"), "feature_id", F.col("m").alias("x")), c.select(F.col("label").alias("col_label"), "feature_id", F.col("m").alias("y")), "row_label", "feature_id", "col_label")
+    return N.matrix_product(c.select(F.col("label").alias("row_label"), "feature_id", F.col("m").alias("x")), c.select(F.col("label").alias("col_label"), "feature_id", F.col("m").alias("y")), "row_label", "feature_id", "col_label")
 
 
-@query("k10_linear_encode", f"WITH {X.ACTS_SQL}, w AS (SELECT label AS unit, feature_id, avg(activation) AS w FROM acts GROUP BY ALL) SELECT a.example_id, w.unit, round(least(6, greatest(0, sum((a.activation - 0.01) * w.w))), 4) AS h FROM acts a JOIN w USING (feature_id) GROUP BY ALL")
-def k10(spark, d):
+_CODE = """w AS (SELECT label AS unit, feature_id, avg(activation) AS w FROM acts GROUP BY ALL), b AS (SELECT feature_id, avg(activation) AS b FROM acts GROUP BY 1), c AS (SELECT unit, avg(w) AS c FROM w GROUP BY 1),
+h AS (SELECT example_id, unit, least(6, greatest(0, s + c)) AS h FROM (SELECT example_id, unit, sum((activation - b) * w) AS s FROM acts JOIN b USING (feature_id) JOIN w USING (feature_id) GROUP BY ALL) JOIN c USING (unit)),
+m AS (SELECT unit, feature_id, w / greatest(sqrt(sum(w * w) OVER (PARTITION BY unit)), 1e-12) AS d FROM w),
+r AS (SELECT example_id, feature_id, v + b AS value FROM (SELECT example_id, feature_id, sum(h * d) AS v FROM h JOIN m USING (unit) GROUP BY ALL) JOIN b USING (feature_id))"""
+
+
+def _code(spark, d):
+    """(cells, weights, shift, bias): a code of ten units, the means of the labels, tied for both ways."""
     a = X.acts(spark, d)
-    w = a.groupBy(F.col("label").alias("unit"), "feature_id").agg(F.avg("activation").alias("y"))
-    h = M.matrix_product(a.select("example_id", "feature_id", (F.col("activation") - 0.01).alias("x")), w, "example_id", "feature_id", "unit")
-    return h.select("example_id", "unit", F.least(F.lit(6.0), F.greatest(F.lit(0.0), "value")).alias("h"))
+    w = a.groupBy(F.col("label").alias("unit"), "feature_id").agg(F.avg("activation").alias("w"))
+    return a.select("example_id", "feature_id", F.col("activation").alias("x")), w, a.groupBy("feature_id").agg(F.avg("activation").alias("b")), w.groupBy("unit").agg(F.avg("w").alias("c"))
+
+
+@query("k10_linear_encode", f"WITH {X.ACTS_SQL}, {_CODE} SELECT example_id, unit, round(h, 4) AS h FROM h")
+def k10(spark, d):
+    return N.linear_encode(*_code(spark, d), "example_id", "feature_id", "unit")
+
+
+@query("k10b_linear_decode", f"WITH {X.ACTS_SQL}, {_CODE} SELECT example_id, feature_id, round(value, 4) AS value FROM r")
+def k10b(spark, d):
+    _, w, b, _ = _code(spark, d)
+    return N.linear_decode(k10(spark, d), w, b, "example_id", "feature_id", "unit")
+
+
+@query("f39_representation_metrics", f"WITH {X.ACTS_SQL}, {_CODE}, g AS (SELECT vec_id AS example_id, label FROM embeddings), "
+       "e AS (SELECT example_id, sum(pow(activation - value, 2)) AS se, count(*) AS cells FROM acts JOIN r USING (example_id, feature_id) GROUP BY 1), u AS (SELECT example_id, sum(h) AS l1, count(*) FILTER (h > 0.01) AS live, count(*) AS units FROM h GROUP BY 1), "
+       "t AS (SELECT label, count(*) AS n, sum(se) / sum(cells) AS mse, avg(l1) AS l1, sum(live) / sum(units) AS l0, sum(l1) / sum(units) AS magnitude FROM g JOIN e USING (example_id) JOIN u USING (example_id) GROUP BY ROLLUP (label)), d AS (SELECT *, (1 - l0) * 100 AS dead_percent FROM t) "
+       "SELECT label, n, round(mse, 6) AS mse, round(l1, 4) AS l1, round(l0, 4) AS l0, round(magnitude, 4) AS magnitude, round(dead_percent, 4) AS dead_percent, "
+       "round(sqrt(pow(ln(greatest(mse / 0.1, 0.1)), 2) + pow(ln(greatest(l0 / 0.1, 0.1)), 2) + pow(ln(greatest(dead_percent / 50, 0.1)), 2)), 4) AS distance FROM d", mse=6)
+def f39(spark, d):
+    cells, w, b, _ = _code(spark, d)
+    h, groups = k10(spark, d), table(spark, d, "embeddings").select(F.col("vec_id").alias("example_id"), "label")
+    return N.representation_metrics(cells, N.linear_decode(h, w, b, "example_id", "feature_id", "unit"), h, groups, "example_id", "feature_id", "label", 0.01)
 
 
 @query("k11_principal_components")
