@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from setweave.functions.session import forget, written
 from setweave.operators.components import connected_components
+from setweave.operators.matrices import matrix_product
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -20,14 +22,63 @@ def cosine_neighbours(vectors: DataFrame, key: str, vector: str, target: int, k:
     return vectors.where(F.col(key) != target).join(F.broadcast(q)).select(key, cos.alias("cosine")).orderBy(F.desc("cosine"), key).limit(k)
 
 
-def sparse_cosine(rows: DataFrame, key: str, token: str, value: str, least: float) -> DataFrame:
-    """(a, b, cosine) of pairs of keys over least; the join is on tokens, so only keys that share one meet."""
-    norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("n"))
-    x = rows.select(F.col(key).alias("a"), token, F.col(value).alias("x"))
-    y = rows.select(F.col(key).alias("b"), token, F.col(value).alias("y"))
-    g = x.join(y, token).where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
-    g = g.join(norm.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(norm.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
-    return g.select("a", "b", (F.col("d") / (F.col("na") * F.col("nb"))).alias("cosine")).where(F.col("cosine") > least)
+#: Vectors of one token that are compared in one group; more are dealt to blocks that meet pair by pair.
+POSTING = 1000
+
+
+def _partial_index(cells: DataFrame, least: float) -> DataFrame:
+    """(key, token, v, rest): the part of every unit vector that has to be looked up to find all pairs of cosine over least.
+
+    Tokens are ordered from the most to the least widespread. What is left out at the front has a norm (rest) under least, so no vector reaches
+    least with it alone, and two vectors of such a cosine share a token of both looked-up parts.
+    """
+    spread = cells.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    of = Window.partitionBy("key").orderBy(F.desc("_df"), "token")
+    summed = cells.join(spread, "token").withColumn("_front", F.sum(F.col("v") * F.col("v")).over(of.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = summed.withColumn("_in", F.col("_front") >= least * least - 1e-9)
+    left_out = F.max(F.when(~F.col("_in"), F.col("_front"))).over(Window.partitionBy("key"))
+    return kept.withColumn("rest", F.sqrt(F.coalesce(left_out, F.lit(0.0)))).where("_in").select("key", "token", "v", "rest")
+
+
+def _posting_blocks(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """index twice, with the block pairs (lo, hi) of its token in which each row takes part, so that every two rows of a token meet once.
+
+    A token of n vectors has n / POSTING blocks, dealt by hash; each is handed to all others, the first side to those from its own on.
+    """
+    parts = index.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / POSTING).cast("int").alias("_parts"))
+    dealt = index.join(parts, "token").withColumn("_own", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int"))
+    # in a block pair with itself both sides hold all rows; in another the lower block's rows are on the first side, the higher's on the second
+    first = dealt.withColumn("hi", F.explode(F.sequence(F.col("_own"), F.col("_parts") - 1))).withColumnRenamed("_own", "lo")
+    second = dealt.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("_own")))).withColumnRenamed("_own", "hi")
+    return first.drop("_parts"), second.drop("_parts")
+
+
+def cosine_pairs(rows: DataFrame, key: str, token: str, value: str, least: float) -> DataFrame:
+    """(a, b, cosine), a < b: all pairs of sparse vectors (key, token, value) with a cosine over least > 0.
+
+    Vectors meet on the tokens of their partial indexes only, and a pair goes on if what these give and the norms of the rest can reach least;
+    what goes on is computed whole. A widespread token is in few indexes, and where it is, blocks of its vectors meet pair by pair. Values of a
+    cell given twice add up; null keys, tokens and values and vectors of zeros take no part.
+    """
+    if least <= 0:
+        raise ValueError("least must be over 0: pairs without a common token have cosine 0")
+    raw = rows.select(F.col(key).alias("key"), F.col(token).alias("token"), F.col(value).cast("double").alias("v")).dropna()
+    raw = raw.groupBy("key", "token").agg(F.sum("v").alias("v")).where("v <> 0")
+    norms = raw.groupBy("key").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_n"))
+    cells = written(raw.join(norms, "key").select("key", "token", (F.col("v") / F.col("_n")).alias("v")))
+    index = written(_partial_index(cells, least))
+    first, second = _posting_blocks(index)
+    x = first.select("token", "lo", "hi", F.col("key").alias("a"), F.col("v").alias("x"), F.col("rest").alias("ra"))
+    y = second.select("token", "lo", "hi", F.col("key").alias("b"), F.col("v").alias("y"), F.col("rest").alias("rb"))
+    # between different blocks each two rows meet once and the smaller key may be on either side; within a block they meet twice
+    met = x.join(y, ["token", "lo", "hi"]).where("a <> b and (lo < hi or a < b)")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("x") * F.col("y")).alias("p"), F.greatest("ra", "rb").alias("r"))
+    may = met.groupBy("a", "b").agg(F.sum("p").alias("p"), F.max("r").alias("r")).where(F.col("p") + F.col("r") > least - 1e-9).select("a", "b")
+    left = may.join(cells.select(F.col("key").alias("a"), "token", F.col("v").alias("x")), "a")
+    whole = left.join(cells.select(F.col("key").alias("b"), "token", F.col("v").alias("y")), ["b", "token"])
+    out = written(whole.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine")).where(F.col("cosine") > least))
+    forget(cells, index)
+    return out
 
 
 def correlations(acts: DataFrame, least_pairs: int, features: list[int] | None = None) -> DataFrame:
@@ -62,9 +113,14 @@ def coactive_features(acts: DataFrame, examples: DataFrame, per_example: int, k:
 
 
 def overlap_counts(members: DataFrame, item: str, of: str) -> DataFrame:
-    """(a, b, n): items that two sets share, the diagonal being set sizes."""
+    """(a, b, n): items that two sets share, the diagonal being set sizes: the product of the membership matrix with itself, block by block.
+
+    An item in very many sets is one inner key of dense blocks, whatever the number of pairs it makes.
+    """
     m = members.select(item, of).distinct()
-    return m.select(item, F.col(of).alias("a")).join(m.select(item, F.col(of).alias("b")), item).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    one = F.lit(1.0)
+    n = matrix_product(m.select(F.col(of).alias("a"), item, one.alias("x")), m.select(item, F.col(of).alias("b"), one.alias("y")), "a", item, "b")
+    return n.select("a", "b", F.round("value").cast("long").alias("n"))
 
 
 def n_way_overlap(members: DataFrame, item: str, of: str) -> DataFrame:

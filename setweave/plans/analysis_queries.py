@@ -287,7 +287,18 @@ def k2(spark, d):
 @query("k3_sparse_cosine", f"WITH {X.TOKS_SQL}, t AS (SELECT ctx || ':' || tier AS k, token, count(*) AS v FROM toks GROUP BY ALL), n AS (SELECT k, sqrt(sum(v * v)) AS n FROM t GROUP BY 1) SELECT a, b, cosine FROM (SELECT x.k AS a, y.k AS b, round(sum(x.v * y.v) / (max(nx.n) * max(ny.n)), 4) AS cosine FROM t x JOIN t y USING (token) JOIN n nx ON nx.k = x.k JOIN n ny ON ny.k = y.k WHERE x.k < y.k GROUP BY ALL) WHERE cosine > 0.1")
 def k3(spark, d):
     t = X.toks(spark, d).groupBy(F.concat_ws(":", "ctx", "tier").alias("k"), "token").agg(F.count(F.lit(1)).cast("double").alias("v"))
-    return M.sparse_cosine(t, "k", "token", "v", 0.1)
+    return M.cosine_pairs(t, "k", "token", "v", 0.1)
+
+
+@query("k3b_document_cosine", "WITH w AS (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents) GROUP BY ALL), z AS (SELECT count(DISTINCT doc_id) AS z FROM w), f AS (SELECT word, ln((z + 1) / (count(*) + 1)) AS idf FROM w, z GROUP BY word, z), "
+       "x AS (SELECT doc_id, word, c * idf AS v FROM w JOIN f USING (word) WHERE c * idf <> 0), n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM x GROUP BY 1), u AS (SELECT doc_id, word, v / n AS v FROM x JOIN n USING (doc_id)) "
+       "SELECT a, b, round(c, 4) AS cosine FROM (SELECT p.doc_id AS a, q.doc_id AS b, sum(p.v * q.v) AS c FROM u p JOIN u q USING (word) WHERE p.doc_id < q.doc_id GROUP BY ALL) WHERE c > 0.7")
+def k3b(spark, d):
+    """Documents of like words: the commonest words of all texts are in no index, so only texts that can be alike meet."""
+    w = words(spark, d).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("c"))
+    n = w.select("doc_id").distinct().count()
+    idf = w.groupBy("word").agg(F.log((n + 1) / (F.count(F.lit(1)) + 1)).alias("idf"))
+    return M.cosine_pairs(w.join(idf, "word").select("doc_id", "word", (F.col("c") * F.col("idf")).alias("v")), "doc_id", "word", "v", 0.7)
 
 
 @query("k4_coactivation", f"WITH {X.ACTS_SQL}, c AS (SELECT a.feature_id AS a, b.feature_id AS b, corr(a.activation, b.activation) AS r FROM acts a JOIN acts b USING (example_id) WHERE a.feature_id < b.feature_id GROUP BY ALL HAVING count(*) >= 10) SELECT round(avg(r), 3) AS mean_r, count(*) FILTER (r > 0.1) AS n_strong, count(*) AS n FROM c", mean_r=3)
