@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from setweave.functions.session import forget, written
+
 
 def idf(tokens: DataFrame, doc: str, token: str, n: int) -> DataFrame:
     """(token, df, idf): ln(n + 1) - ln(df + 1) over distinct documents."""
@@ -134,18 +138,54 @@ def pmi_penalty(builds: DataFrame, train: DataFrame, ctx: str = "ctx", key: str
     return own.select(key).join(sums, key, "left").na.fill(0.0)
 
 
+#: Likenesses at which a nearest set is looked for, one after the other; the last takes any common item.
+STEPS = (0.8, 0.6, 0.4, 0.2, 0.0)
+
+
+def _rare_first(sets: DataFrame, ctx: str, items: str, spread: DataFrame) -> DataFrame:
+    """The distinct sets with their items from the rarest to the most widespread, in an order that a context shares."""
+    one = sets.select(ctx, F.col(items).alias("_set"), F.explode(items).alias("_i")).join(spread, [ctx, "_i"], "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("d"), F.col("_i").alias("i"))))
+    return one.groupBy(ctx, "_set").agg(order.alias("o")).select(ctx, F.col("_set").alias(items), F.col("o.i").alias("_o"))
+
+
 def nearest_jaccard(sets: DataFrame, references: DataFrame, ctx: str = "ctx", key: str = "example_id", item: str = "family") -> DataFrame:
     """(key, nearest): highest Jaccard likeness of a set to the distinct reference sets of its context, 0 where none shares an item.
 
-    Distinct sets meet by their items, so only sets that share one are compared.
+    Distinct sets are looked up among equal ones first, then at falling likenesses. Two sets of a likeness t share one
+    of the first |s| - ceil(t |s|) + 1 items of each, rarest first, and their sizes differ by a factor t at most, so at high likenesses sets meet on few and
+    rare items; a set whose best is t or more is settled, and only the others go on to a lower one.
     """
     own = sets.groupBy(ctx, key).agg(F.array_sort(F.collect_set(item)).alias("s"))
-    ref = references.groupBy(ctx, key).agg(F.array_sort(F.collect_set(item)).alias("r")).select(ctx, "r").distinct()
-    mine = own.select(ctx, "s").distinct().select(ctx, "s", F.explode("s").alias("_i"))
-    both = mine.join(ref.select(ctx, "r", F.explode("r").alias("_i")), [ctx, "_i"]).groupBy(ctx, "s", "r").agg(F.count(F.lit(1)).alias("_n"))
-    best = both.groupBy(ctx, "s").agg(F.max(F.col("_n") / (F.size("s") + F.size("r") - F.col("_n"))).alias("nearest"))
-    known = ref.select(ctx).distinct()
-    return own.join(known, ctx).join(best, [ctx, "s"], "left").select(key, F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
+    ref = written(references.groupBy(ctx, key).agg(F.array_sort(F.collect_set(item)).alias("r")).where(F.size("r") > 0).select(ctx, "r").distinct())
+    spread = ref.select(ctx, F.explode("r").alias("_i")).groupBy(ctx, "_i").agg(F.count(F.lit(1)).alias("_df"))
+    held = written(_rare_first(ref, ctx, "r", spread))
+    asked = written(_rare_first(own.select(ctx, "s").distinct(), ctx, "s", spread))
+    equal = written(asked.join(ref.withColumnRenamed("r", "s"), [ctx, "s"], "left_semi").select(ctx, "s", F.lit(1.0).alias("nearest")))
+    settled, used = [equal], [ref, held, asked]
+    still = written(asked.join(equal, [ctx, "s"], "left_anti"))
+    for t in STEPS:
+        used.append(still)
+        if still.isEmpty():
+            break
+
+        def front(o: str) -> Column:
+            size = F.size(o)
+            return F.slice(o, F.lit(1), size - F.ceil(size * t - 1e-9).cast("int") + 1 if t else size)
+
+        mine = still.select(ctx, "s", F.col("_o").alias("_so"), front("_o").alias("_sf"))
+        theirs = held.select(ctx, "r", front("_o").alias("_rf"))
+        met = mine.withColumn("_i", F.explode("_sf")).join(theirs.withColumn("_i", F.explode("_rf")), [ctx, "_i"])
+        alike = F.least(F.size("s"), F.size("r")) >= t * F.greatest(F.size("s"), F.size("r")) - 1e-9
+        once = F.element_at(F.array_intersect("_sf", "_rf"), 1) == F.col("_i")  # of several common items the first
+        n = F.size(F.array_intersect("s", "r"))
+        best = met.where(alike & once).groupBy(ctx, "s").agg(F.max(n / (F.size("s") + F.size("r") - n)).alias("nearest"))
+        settled.append(written(best.where(F.col("nearest") >= t - 1e-9)))
+        still = written(still.join(settled[-1], [ctx, "s"], "left_anti"))
+    best = functools.reduce(DataFrame.unionByName, settled)
+    out = written(own.join(ref.select(ctx).distinct(), ctx).join(best, [ctx, "s"], "left").select(key, F.coalesce("nearest", F.lit(0.0)).alias("nearest")))
+    forget(*used, *settled, still)
+    return out
 
 
 def numbered(items: Column) -> Column:

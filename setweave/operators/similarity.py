@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from setweave.functions.session import forget, written
 from setweave.operators.components import connected_components
+from setweave.operators.density import dense_clusters  # noqa: F401  one of the similarity operators
 from setweave.operators.matrices import matrix_product
 
 
@@ -136,24 +137,3 @@ def verify_columns(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(n, max_abs, mean_abs) of the difference of two columns."""
     d = F.abs(F.col(a) - F.col(b))
     return rows.agg(F.count(d).alias("n"), F.max(d).alias("max_abs"), F.avg(d).alias("mean_abs"))
-
-
-def dense_clusters(points: DataFrame, key: str, coords: list[str], eps: float, min_samples: int) -> DataFrame:
-    """(key, cluster) by density: core points have min_samples neighbours within eps, themselves included.
-
-    Clusters are components of core points within eps, named by their least key; a border point joins the cluster of its nearest core point
-    (ties to the smaller key); noise is -1. Points meet through grid cells of side eps and their neighbours.
-    """
-    cell = points.select(key, *coords, *[F.floor(F.col(c) / eps).cast("int").alias(f"_g{i}") for i, c in enumerate(coords)])
-    near = cell.withColumnsRenamed({key: "_k", **{c: f"_c{i}" for i, c in enumerate(coords)}})
-    for i in range(len(coords)):
-        near = near.withColumn(f"_g{i}", F.explode(F.array(*[F.col(f"_g{i}") + s for s in (-1, 0, 1)])))
-    d2 = sum(((F.col(c) - F.col(f"_c{i}")) * (F.col(c) - F.col(f"_c{i}")) for i, c in enumerate(coords)), F.lit(0.0))
-    pairs = cell.join(near, [f"_g{i}" for i in range(len(coords))]).withColumn("_d", d2).where(F.col("_d") <= eps * eps).select(key, "_k", "_d")
-    core = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_samples).select(key)
-    other = core.select(F.col(key).alias("_k"))
-    linked = pairs.join(core, key, "left_semi").join(other, "_k", "left_semi")
-    comps = connected_components(linked, key, "_k")
-    best = pairs.join(other, "_k", "left_semi").groupBy(key).agg(F.min(F.struct("_d", "_k")).alias("_b"))
-    found = best.join(comps, F.col("_b._k") == F.col("node")).select(key, F.col("component").alias("cluster"))
-    return points.select(key).join(found, key, "left").na.fill(-1, ["cluster"])

@@ -190,6 +190,13 @@ def i15(spark, d):
     return B.nearest_jaccard(t.where("tier = '5-LOW'"), t.where("tier = '1-URGENT'"))
 
 
+@query("i15b_nearest_brand_sets", f"WITH {X.BRANDS_SQL}, s AS (SELECT example_id, ctx, list(token ORDER BY token) AS f FROM brands GROUP BY ALL), q AS (SELECT s.*, o_orderpriority AS tier FROM s JOIN orders ON o_orderkey = example_id), r AS (SELECT DISTINCT ctx, f FROM q WHERE tier = '1-URGENT') SELECT q.example_id, round(max(len(list_intersect(q.f, r.f)) / len(list_distinct(list_concat(q.f, r.f)))), 4) AS nearest FROM q JOIN r USING (ctx) WHERE tier = '5-LOW' GROUP BY 1")
+def i15b(spark, d):
+    """Sets of few of 25 brands: most are settled at a high likeness, on their rarer brands."""
+    t = X.brands(spark, d).join(X.examples(spark, d).select("example_id", "tier"), "example_id")
+    return B.nearest_jaccard(t.where("tier = '5-LOW'"), t.where("tier = '1-URGENT'"), item="token")
+
+
 _UNITS = "i AS (SELECT example_id, ctx, tier, family, unnest(range(1, least((ap + 9) // 10, 4) + 1)) AS u FROM lines), m AS (SELECT example_id, ctx, tier, list(family || '#' || u ORDER BY family, u) AS f FROM i GROUP BY ALL)"
 
 
