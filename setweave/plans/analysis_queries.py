@@ -11,6 +11,7 @@ from setweave.operators import evaluation as V
 from setweave.operators import graph as G
 from setweave.operators import information as I
 from setweave.operators import matrices as N
+from setweave.operators import overview as O
 from setweave.operators import patterns as P
 from setweave.operators import ranking as K
 from setweave.operators import similarity as M
@@ -219,12 +220,26 @@ def i17(spark, d):
     return g.select("ctx", "family", "coverage", F.when(F.col("coverage") > 0.5, "common").when(F.col("coverage") > 0.4, "frequent").otherwise("rare").alias("hint"))
 
 
-@query("i18_feature_overview", f"WITH {X.ACTS_SQL}, s AS (SELECT feature_id, round(avg(activation), 4) AS mean, round(max(activation), 4) AS max, round(avg(CASE WHEN activation <= 0.001 THEN 1.0 ELSE 0.0 END), 4) AS floor_rate FROM acts GROUP BY 1), t AS (SELECT feature_id, string_agg(CAST(example_id AS VARCHAR), ' ' ORDER BY r) AS top5 FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY activation DESC, example_id) AS r FROM acts) WHERE r <= 5 GROUP BY 1) SELECT * FROM s JOIN t USING (feature_id)")
+_OVER = X.TOKS_SQL + """, t AS (SELECT ctx AS f, example_id, token, family, tier, greatest(activation - 50000, 0) AS a FROM toks), x AS (SELECT DISTINCT f, example_id, tier, a FROM t),
+st AS (SELECT f, count(*) AS n, avg(a) AS mean, stddev_samp(a) AS std, median(a) AS median, avg(CASE WHEN a = 0 THEN 100.0 ELSE 0 END) AS sparsity, avg(CASE WHEN a <= 0.001 THEN 1.0 ELSE 0 END) AS floor_rate FROM x GROUP BY 1),
+e AS (SELECT p.f, p.token AS src, q.token AS dst, sum(q.a) AS w FROM t p JOIN t q ON p.f = q.f AND p.example_id = q.example_id WHERE p.token <> q.token GROUP BY ALL), w AS (SELECT f, src, dst, w / sum(w) OVER (PARTITION BY f, src) AS p FROM e),
+n AS (SELECT f, token AS node, count(*) OVER (PARTITION BY f) AS k FROM (SELECT DISTINCT f, token FROM t)), r0 AS (SELECT f, node, k, 1.0 / k AS s FROM n)""" + "".join(
+    f", r{i} AS (SELECT n.f, n.node, n.k, 0.15 / any_value(n.k) + 0.85 * coalesce(sum(w.p * r{i - 1}.s), 0) AS s FROM n LEFT JOIN w ON w.f = n.f AND w.dst = n.node LEFT JOIN r{i - 1} ON r{i - 1}.f = n.f AND r{i - 1}.node = w.src GROUP BY ALL)" for i in range(1, 4)) + """,
+tp AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY round(s, 12) DESC, node) AS r FROM r3 QUALIFY r <= 15), sh AS (SELECT f, regexp_replace(node, '_[0-9]+$', '') AS fam, sum(s) / any_value(z) AS share FROM (SELECT *, sum(s) OVER (PARTITION BY f) AS z FROM tp) GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY a DESC, example_id) - 1 AS r, count(*) OVER (PARTITION BY f) AS z FROM x), c AS (SELECT f, a AS cut FROM rk WHERE r = least(greatest(1, CAST(floor(z * (1 - CAST(0.9 AS DOUBLE))) AS BIGINT)), z - 1)),
+h AS (SELECT x.*, a >= cut AS high FROM x JOIN c USING (f)), z AS (SELECT f, count(*) AS z, count(*) FILTER (high) AS nh FROM h GROUP BY 1), b AS (SELECT f, family, count(*) AS k, count(*) FILTER (high) AS kh FROM (SELECT DISTINCT t.f, t.example_id, family, high FROM t JOIN h ON t.f = h.f AND t.example_id = h.example_id) GROUP BY 1, 2),
+i AS (SELECT f, family, CASE WHEN lo > 0.001 THEN hi / lo WHEN hi > 0 THEN 10 ELSE 1 END AS ratio FROM (SELECT f, family, kh / nh AS hi, (k - kh) / (z - nh) AS lo FROM b JOIN z USING (f) WHERE k >= 50 AND z - k >= 50)),
+lw AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY round(ratio, 9), family) AS r FROM i WHERE ratio < 0.8), cx AS (SELECT f, tier, count(*) AS c FROM x GROUP BY 1, 2)"""
+_LIST = lambda item, frm, order: f"coalesce((SELECT string_agg(CAST({item} AS VARCHAR), ' ' ORDER BY {order}) FROM {frm} q WHERE q.f = st.f), '')"
+
+
+@query("i18_feature_overview", f"WITH {_OVER} SELECT f AS feature, n, round(mean, 2) AS mean, round(std, 2) AS std, round(median, 2) AS median, round(sparsity, 4) AS sparsity, round(floor_rate, 4) AS floor_rate, {_LIST('node', 'tp', 'r')} AS top_tokens, {_LIST('fam', 'sh', 'round(share, 9) DESC, fam')} AS families, "
+       f"{_LIST('family', '(SELECT * FROM lw WHERE r <= 10)', 'r')} AS bottom_tokens, {_LIST('tier', 'cx', 'c DESC, tier')} AS top_contexts, {_LIST('example_id', '(SELECT * FROM rk WHERE r < 5)', 'r')} AS samples, round((SELECT max(share) FROM sh WHERE sh.f = st.f), 4) AS top_family_share FROM st", mean=2, std=2, median=2)
 def i18(spark, d):
-    a = X.acts(spark, d)
-    s = a.groupBy("feature_id").agg(F.avg("activation").alias("mean"), F.max("activation").alias("max"), F.avg((F.col("activation") <= 0.001).cast("double")).alias("floor_rate"))
-    t = K.top_per_group(a, "feature_id", 5).groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("rank", "example_id"))).alias("t"))
-    return s.join(t.select("feature_id", F.array_join(F.transform("t", lambda x: x["example_id"].cast("string")), " ").alias("top5")), "feature_id")
+    """Features are the five contexts, what an order is worth over a bound its activation, family levels the tokens; high are the top tenth."""
+    t = X.toks(spark, d).select(F.col("ctx").alias("feature"), "example_id", "token", F.col("tier").alias("ctx"), F.greatest(F.col("activation") - 50000, F.lit(0.0)).alias("activation"))
+    x = t.select("feature", "example_id", "ctx", "activation").distinct()
+    return O.feature_overview(x, t.drop("ctx"), "feature", F.regexp_replace("token", "_[0-9]+$", ""), rounds=3, tolerance=0.0, high_percentile=0.9)
 
 
 @query("i19_one_shot_selection", f"WITH {X.TOKS_SQL}, p AS (SELECT ctx, family, level, c / sum(c) OVER (PARTITION BY ctx) AS p FROM (SELECT ctx, family, level, count(*) AS c FROM toks GROUP BY ALL)) SELECT ctx, family, max(level) AS level, round(max_by(p, level), 4) AS p FROM p WHERE p >= 0.02 AND level > CASE WHEN family = 'promo' THEN 15 ELSE 0 END GROUP BY ALL")
@@ -259,6 +274,30 @@ def j2(spark, d):
     return brand_rank(spark, d, 5)
 
 
+_EACH = """u AS (SELECT ctx AS g, example_id, token, activation FROM brands), ee AS (SELECT a.g, a.token AS src, b.token AS dst, sum(b.activation) AS w FROM u a JOIN u b USING (g, example_id) WHERE a.token <> b.token GROUP BY ALL), pp AS (SELECT g, src, dst, w / sum(w) OVER (PARTITION BY g, src) AS p FROM ee),
+nn AS (SELECT g, token AS node, count(*) OVER (PARTITION BY g) AS k FROM (SELECT DISTINCT g, token FROM u)), q0 AS (SELECT g, node, k, 1.0 / k AS s FROM nn)""" + "".join(
+    f", q{i} AS (SELECT nn.g, nn.node, nn.k, 0.15 / any_value(nn.k) + 0.85 * coalesce(sum(pp.p * q{i - 1}.s), 0) AS s FROM nn LEFT JOIN pp ON pp.g = nn.g AND pp.dst = nn.node LEFT JOIN q{i - 1} ON q{i - 1}.g = nn.g AND q{i - 1}.node = pp.src GROUP BY ALL)" for i in range(1, 7)) + ", al AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS i, * FROM q{i}" for i in range(7)) + """), mv AS (SELECT b.g, b.i, sum(abs(b.s - a.s)) AS moved FROM al a JOIN al b ON a.g = b.g AND a.node = b.node AND b.i = a.i + 1 GROUP BY ALL),
+sp AS (SELECT g, coalesce(min(i) FILTER (moved < 0.002), 7) AS i FROM mv GROUP BY 1), pr AS (SELECT g, node, s, least(sp.i, 6) AS rounds FROM al JOIN sp USING (g) WHERE al.i = sp.i - 1)"""
+
+
+def brand_ranks(spark, d):
+    b = X.brands(spark, d)
+    return G.pagerank_of_each(G.edges_of_each(b, "ctx"), b.select("ctx", F.col("token").alias("node")), "ctx", rounds=6, tolerance=0.002)
+
+
+@query("j2b_pagerank_of_each", f"WITH {X.BRANDS_SQL}, {_EACH} SELECT g AS ctx, node, round(s, 6) AS score, rounds FROM pr", score=6)
+def j2b(spark, d):
+    return brand_ranks(spark, d)
+
+
+@query("k3c_rank_mass_cosine", f"WITH {X.BRANDS_SQL}, {_EACH}, tt AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(s, 12) DESC, node) AS r FROM pr QUALIFY r <= 8), ms AS (SELECT g, node, s / sum(s) OVER (PARTITION BY g) AS v FROM tt), no AS (SELECT g, sqrt(sum(v * v)) AS n FROM ms GROUP BY 1) "
+       "SELECT a, b, round(c, 4) AS cosine FROM (SELECT x.g AS a, y.g AS b, sum(x.v * y.v) / any_value(m.n * o.n) AS c FROM ms x JOIN ms y USING (node) JOIN no m ON m.g = x.g JOIN no o ON o.g = y.g WHERE x.g < y.g GROUP BY ALL) WHERE c > 0.1")
+def k3c(spark, d):
+    """Contexts alike in where the mass of their eight highest-ranked brands lies."""
+    return M.cosine_pairs(G.top_mass(brand_ranks(spark, d), 8, "ctx"), "ctx", "node", "share", 0.1)
+
+
 @query("j3_top_ranked", f"WITH {X.BRANDS_SQL}, {_EDGES}, {_RANK} SELECT node, round(s, 6) AS score FROM r5 ORDER BY s DESC, node LIMIT 5", score=6)
 def j3(spark, d):
     return brand_rank(spark, d, 5).orderBy(F.desc("score"), "node").limit(5)
