@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from setweave.operators.ranking import exact_quantile, global_rank
+from setweave.operators.ranking import exact_quantile, global_rank, rows_at_ranks
 
 
 def feature_stats(acts: DataFrame, n_total: int | None = None) -> DataFrame:
@@ -152,7 +152,7 @@ def token_influence(examples: DataFrame, tokens: DataFrame, token: str = "token"
     a = F.col("activation")
     n = examples.count()
     rank = max(1, int(n * top + 1e-9))
-    cut = global_rank(examples, "activation", "example_id", "_rank").where(F.col("_rank") == n - rank + 1).select(F.col("activation").alias("_cut"))
+    cut = rows_at_ranks(examples, "activation", "example_id", n - rank + 1, n - rank + 1, n).select(F.col("activation").alias("_cut"))
     marked = examples.select("example_id", "activation").join(F.broadcast(cut)).withColumn("high", (a >= F.col("_cut")).cast("int"))
     total = marked.agg(F.count(F.lit(1)).alias("tn"), F.sum(a).alias("ts"), F.sum(a * a).alias("tss"), F.sum("high").alias("th"))
     g = tokens.select("example_id", token).distinct().join(marked, "example_id").groupBy(token).agg(
@@ -172,7 +172,7 @@ def token_enrichment(examples: DataFrame, tokens: DataFrame, token: str = "token
     """Per token: share of its occurrences among high examples over its share among all; high is the activation of rank floor(q (n - 1)) from below or more."""
     n = examples.count()
     at = int(q * (n - 1) + 0.5)
-    cut = global_rank(examples, "activation", "example_id", "_rank").where(F.col("_rank") == at + 1).select(F.col("activation").alias("_cut"))
+    cut = rows_at_ranks(examples, "activation", "example_id", at + 1, at + 1, n).select(F.col("activation").alias("_cut"))
     marked = tokens.join(examples.select("example_id", F.col("activation").alias("_a")), "example_id").join(F.broadcast(cut)).withColumn("high", (F.col("_a") >= F.col("_cut")).cast("int"))
     g = marked.groupBy(token).agg(F.count(F.lit(1)).alias("n"), F.sum("high").alias("n_high"))
     g = g.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy())).withColumn("rate_high", F.col("n_high") / F.sum("n_high").over(Window.partitionBy()))
@@ -180,14 +180,66 @@ def token_enrichment(examples: DataFrame, tokens: DataFrame, token: str = "token
     return g.where(F.col("rate") >= least_rate).withColumn("ratio", r).withColumn("kind", F.when(r > 1.2, "enhancer").when(r < 0.8, "suppressor").otherwise("neutral"))
 
 
-def presence_effect(examples: DataFrame, tokens: DataFrame, token: str = "token", least: int = 30) -> DataFrame:
-    """Per token: mean activation with and without it, their difference and sizes."""
-    total = examples.agg(F.count(F.lit(1)).alias("tn"), F.sum("activation").alias("ts"))
-    g = tokens.select("example_id", token).distinct().join(examples.select("example_id", "activation"), "example_id").groupBy(token).agg(
-        F.count(F.lit(1)).alias("n_with"), F.sum("activation").alias("s")).join(F.broadcast(total)).withColumn("n_without", F.col("tn") - F.col("n_with"))
-    g = g.where((F.col("n_with") >= least) & (F.col("n_without") >= least))
-    return g.select(token, "n_with", "n_without", (F.col("s") / F.col("n_with")).alias("mean_with"), ((F.col("ts") - F.col("s")) / F.col("n_without")).alias("mean_without"),
-                    (F.col("s") / F.col("n_with") - (F.col("ts") - F.col("s")) / F.col("n_without")).alias("delta"))
+def presence_effect(examples: DataFrame, tokens: DataFrame, token: str = "token", least: int = 30, high_percentile: float = 0.90) -> DataFrame:
+    """Per token that `least` examples hold: sizes and mean activations with and without it, their difference and effect size, and its enrichment among high examples.
+
+    High are activations from the one at place max(1, n (1 - high_percentile)), from 0, downwards. enrichment is the rate of the high examples that hold the
+    token over that of all; effect pools the sample variance of those with it and the population variance of those without. Where all examples hold a token the mean
+    without it and the effect are 0. One aggregation with sums and squares tells both sides.
+    """
+    a, n = F.col("activation"), examples.count()
+    at = n - min(max(1, int(n * (1 - high_percentile))), max(0, n - 1))
+    cut = rows_at_ranks(examples, "activation", "example_id", at, at, n).select(a.alias("_cut"))
+    marked = examples.select("example_id", "activation").join(F.broadcast(cut)).withColumn("_high", (a >= F.col("_cut")).cast("long"))
+    total = marked.agg(F.count(F.lit(1)).alias("tn"), F.sum(a).alias("ts"), F.sum(a * a).alias("tq"), F.sum("_high").alias("th"))
+    g = tokens.select("example_id", token).dropna().distinct().join(marked, "example_id").groupBy(token).agg(
+        F.count(F.lit(1)).alias("n_with"), F.sum(a).alias("s"), F.sum(a * a).alias("q"), F.var_samp(a).alias("v"), F.sum("_high").alias("n_high_with")).where(F.col("n_with") >= least).join(F.broadcast(total))
+    g = g.withColumn("n_without", F.col("tn") - F.col("n_with")).withColumn("mean_with", F.col("s") / F.col("n_with")).withColumn("mean_without", F.when(F.col("n_without") > 0, (F.col("ts") - F.col("s")) / F.col("n_without")).otherwise(0.0))
+    without = F.greatest(F.lit(0.0), (F.col("tq") - F.col("q")) / F.col("n_without") - F.col("mean_without") * F.col("mean_without"))
+    pooled = (F.col("v") * F.col("n_with") + without * F.col("n_without")) / F.col("tn")
+    delta = F.col("mean_with") - F.col("mean_without")
+    effect = F.when((F.col("n_with") > 1) & (F.col("n_without") > 1), delta / F.when(pooled > 0, F.sqrt(pooled)).otherwise(1e-10)).otherwise(0.0)
+    base, high = F.col("n_with") / F.col("tn"), F.when(F.col("th") > 0, F.col("n_high_with") / F.col("th")).otherwise(0.0)
+    return g.select(token, "n_with", "n_without", "mean_with", "mean_without", delta.alias("delta"), effect.alias("effect"), base.alias("baseline_rate"), high.alias("high_rate"), (high / base).alias("enrichment"), "n_high_with")
+
+
+def conditional_presence(examples: DataFrame, tokens: DataFrame, levels: DataFrame, token: str = "token", rungs: tuple[int, ...] = (0, 12, 29, 41, 57), least: int = 5, least_overall: int = 30) -> DataFrame:
+    """(token, level, mean_with, mean_without, delta, n_with, n_without, n_at_level): a token's effect among the examples of one level of a primary family.
+
+    levels (example_id, level) has the highest level of that family, others being at 0. Levels outside rungs, levels with fewer than `least` examples on either side and tokens
+    that fewer than least_overall examples hold are left out. Those without a token are the level's total less those with it.
+    """
+    top = levels.groupBy("example_id").agg(F.max("level").alias("level"))
+    at = examples.select("example_id", "activation").join(top, "example_id", "left").na.fill(0, ["level"])
+    total = at.where(F.col("level").isin(*rungs)).groupBy("level").agg(F.count(F.lit(1)).alias("n_at_level"), F.sum("activation").alias("_t"))
+    held = tokens.select("example_id", token).dropna().distinct().join(at, "example_id").groupBy(token, "level").agg(F.count(F.lit(1)).alias("n_with"), F.sum("activation").alias("_s"))
+    held = held.withColumn("_all", F.sum("n_with").over(Window.partitionBy(token))).where(F.col("_all") >= least_overall)
+    g = held.join(total, "level").withColumn("n_without", F.col("n_at_level") - F.col("n_with")).where((F.col("n_with") >= least) & (F.col("n_without") >= least))
+    g = g.withColumn("mean_with", F.col("_s") / F.col("n_with")).withColumn("mean_without", (F.col("_t") - F.col("_s")) / F.col("n_without"))
+    return g.select(token, "level", "mean_with", "mean_without", (F.col("mean_with") - F.col("mean_without")).alias("delta"), "n_with", "n_without", "n_at_level")
+
+
+def region_breakdown(bands: DataFrame, tokens: DataFrame, k: int = 5, family: str = "family") -> DataFrame:
+    """(band, n, pct_of_total, kind, item, count, share, rank): each band's size and its k commonest contexts, by share of its examples, and families, by share of its tokens.
+
+    bands (example_id, ctx, band), null bands being counted in the total only; tokens (example_id, family), one row a token.
+    """
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("pct_of_total", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())).where("band is not null")
+    contexts = bands.where("band is not null").groupBy("band", F.col("ctx").alias("item")).agg(F.count(F.lit(1)).alias("count")).withColumn("kind", F.lit("context"))
+    families = tokens.select("example_id", F.col(family).alias("item")).join(bands.where("band is not null").select("example_id", "band"), "example_id").groupBy("band", "item").agg(F.count(F.lit(1)).alias("count")).withColumn("kind", F.lit("family"))
+    by = Window.partitionBy("band", "kind")
+    both = contexts.unionByName(families).withColumn("share", F.col("count") / F.sum("count").over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("count"), "item")))
+    return both.where(F.col("rank") <= k).join(sizes, "band").select("band", "n", "pct_of_total", "kind", "item", "count", "share", "rank")
+
+
+def region_kits(region: DataFrame, kits: list[str], k: int = 15) -> DataFrame:
+    """(kit, item, n, pct, rank): for each kit column of a region's examples its k commonest items, in percent of the region; null and empty items count for the region only."""
+    cells = region.select(F.inline(F.array(*[F.struct(F.lit(c).alias("kit"), F.col(c).cast("string").alias("item")) for c in kits])))
+    total = region.agg(F.count(F.lit(1)).alias("_n"))
+    g = cells.where("item is not null and item <> ''").groupBy("kit", "item").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total))
+    w = Window.partitionBy("kit").orderBy(F.desc("n"), "item")
+    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("kit", "item", "n", (100.0 * F.col("n") / F.col("_n")).alias("pct"), "rank")
 
 
 def core_tail(examples: DataFrame, tokens: DataFrame, token: str, core: tuple[float, float] = (0.25, 0.75), tail: float = 0.75, q: float = 0.995) -> DataFrame:
@@ -202,15 +254,29 @@ def core_tail(examples: DataFrame, tokens: DataFrame, token: str, core: tuple[fl
     return g.select(token, pc.alias("core_share"), pt.alias("tail_share"), F.when(pc > 0, F.least(pt / pc, F.lit(10.0))).otherwise(F.when(pt > 0, 10.0).otherwise(1.0)).alias("tail_enrichment"), (pc < 0.30).alias("tail_marker"))
 
 
-def interference(examples: DataFrame, levels: DataFrame, pairs: list[tuple[int, int]], least: int = 5, flat: float = 0.01) -> DataFrame:
-    """Per (lo, hi): mean activation of examples holding level hi but not lo, and both (in any family); reduction, enhancement or neutral."""
-    held = levels.groupBy("example_id").agg(F.collect_set("level").alias("held")).join(examples.select("example_id", "activation"), "example_id")
+def context_coverage(examples: DataFrame, ctx: str = "ctx", over: float = 2.0, tail: float = 0.10) -> DataFrame:
+    """core_tail() of contexts, with flanderized: enriched in the tail more than `over` times and in over `tail` of its rows."""
+    c = core_tail(examples, examples.select("example_id", ctx), ctx).drop("tail_marker")
+    return c.withColumn("flanderized", (F.col("tail_enrichment") > over) & (F.col("tail_share") > tail))
+
+
+def interference(examples: DataFrame, levels: DataFrame, pairs: list[tuple[int, int]], least: int = 5, flat: float = 0.01, by: tuple[str, ...] = (), least_rows: int = 0) -> DataFrame:
+    """(by, family, lo, hi, mean_alone, mean_both, n_alone, n_both, delta, kind): within a family, mean activation of examples holding level hi but not lo, and both.
+
+    levels (example_id, family, level) may hold several levels of a family. kind is reduction, enhancement or neutral at `flat`. With by, columns of examples
+    such as the context, each group is compared by itself, groups of fewer than least_rows examples left out.
+    """
+    some = examples.select("example_id", "activation", *by)
+    if by and least_rows:
+        some = some.join(some.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= least_rows).select(*by), list(by))
+    held = levels.select("example_id", "family", "level").dropna().groupBy("example_id", "family").agg(F.collect_set("level").alias("held")).join(some, "example_id")
     p = F.explode(F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in pairs]))
-    x = held.withColumn("p", p).select("activation", "p.lo", "p.hi", F.array_contains("held", F.col("p.lo")).alias("has_lo"), F.array_contains("held", F.col("p.hi")).alias("has_hi")).where("has_hi")
-    g = x.groupBy("lo", "hi").agg(F.avg(F.when(~F.col("has_lo"), F.col("activation"))).alias("mean_alone"), F.avg(F.when(F.col("has_lo"), F.col("activation"))).alias("mean_both"),
-                                  F.count_if(~F.col("has_lo")).alias("n_alone"), F.count_if(F.col("has_lo")).alias("n_both")).where(f"n_alone >= {least} and n_both >= {least}")
-    d = F.col("mean_both") - F.col("mean_alone")
-    return g.withColumn("kind", F.when(d < -flat, "reduction").when(d > flat, "enhancement").otherwise("neutral"))
+    both = F.array_contains("held", F.col("p.lo"))
+    x = held.withColumn("p", p).where(F.array_contains("held", F.col("p.hi"))).select(*by, "family", "activation", "p.lo", "p.hi", both.alias("_both"))
+    g = x.groupBy(*by, "family", "lo", "hi").agg(
+        F.avg(F.when(~F.col("_both"), F.col("activation"))).alias("mean_alone"), F.avg(F.when(F.col("_both"), F.col("activation"))).alias("mean_both"), F.count_if(~F.col("_both")).alias("n_alone"), F.count_if("_both").alias("n_both"))
+    g = g.where((F.col("n_alone") >= least) & (F.col("n_both") >= least)).withColumn("delta", F.col("mean_both") - F.col("mean_alone"))
+    return g.withColumn("kind", F.when(F.col("delta") < -flat, "reduction").when(F.col("delta") > flat, "enhancement").otherwise("neutral"))
 
 
 def floor_share(rows: DataFrame, by: str, under: float = 0.1) -> DataFrame:

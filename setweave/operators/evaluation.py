@@ -198,18 +198,37 @@ def shuffle_null(examples: DataFrame, tokens: DataFrame, rounds: int, top: float
     return stat.where("round >= 0").join(F.broadcast(seen)).groupBy("observed").agg(F.avg("s").alias("null_mean"), F.avg((F.col("s") >= F.col("observed")).cast("double")).alias("p"))
 
 
-def vector_comparison(rows: DataFrame, a: str, b: str) -> list[Column]:
-    """Columns mse, cosine, kl (softmax a to b), agree (same top entry) of two array columns."""
+def _log_soft(v: Column) -> Column:
+    """Logarithms of the softmax of an array."""
+    top = F.array_max(v)
+    rest = F.log(F.aggregate(F.transform(v, lambda t: F.exp(t - top)), F.lit(0.0), lambda s, t: s + t))
+    return F.transform(v, lambda t: t - top - rest)
+
+
+def vector_comparison(rows: DataFrame, a: str, b: str, target: str | None = None) -> list[Column]:
+    """Columns mse, cosine, kl (softmax a to b), agree (same top entry) of two array columns; with target, an index from 0, also loss_a and loss_b, the cross-entropy of each, and hit_a and hit_b, whether its top entry is the target.
+
+    A target that is null or no index of the vectors is padding: its losses and hits are null. Of equal top entries the first counts.
+    """
     x, y = F.col(a), F.col(b)
     from setweave.operators.similarity import dot
 
-    def soft(v: Column) -> Column:
-        e = F.transform(v, lambda t: F.exp(t - F.array_max(v)))
-        s = F.aggregate(e, F.lit(0.0), lambda acc, t: acc + t)
-        return F.transform(e, lambda t: t / s)
-
-    diff = F.zip_with(x, y, lambda p, q: (p - q) * (p - q))
-    mse = F.aggregate(diff, F.lit(0.0), lambda s, t: s + t) / F.size(x)
-    kl = F.aggregate(F.zip_with(soft(x), soft(y), lambda p, q: p * F.log(p / q)), F.lit(0.0), lambda s, t: s + t)
-    return [mse.alias("mse"), (dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))).alias("cosine"), kl.alias("kl"),
-            (F.array_position(x, F.array_max(x)) == F.array_position(y, F.array_max(y))).cast("int").alias("agree")]
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, t: s + t)
+    mse = total(F.zip_with(x, y, lambda p, q: (p - q) * (p - q))) / F.size(x)
+    lx, ly = _log_soft(x), _log_soft(y)
+    kl = total(F.zip_with(lx, ly, lambda p, q: F.exp(p) * (p - q)))
+    best = lambda v: F.array_position(v, F.array_max(v)) - 1
+    told = [mse.alias("mse"), (dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))).alias("cosine"), kl.alias("kl"), (best(x) == best(y)).cast("int").alias("agree")]
+    if target is not None:
+        t = F.col(target)
+        known = (t >= 0) & (t < F.size(x))
+        told += [F.when(known, -F.get(v, t.cast("int"))).alias(n) for v, n in ((lx, "loss_a"), (ly, "loss_b"))]
+        told += [F.when(known, (best(v) == t).cast("int")).alias(n) for v, n in ((x, "hit_a"), (y, "hit_b"))]
+    return told
+
+
+def vector_summary(compared: DataFrame) -> DataFrame:
+    """One row over the rows of vector_comparison() with a target: n, mean mse, cosine, kl, losses and their increase, top-1 accuracies and their change, and the share of equal top entries; what needs a target is over rows that have one."""
+    valid = F.col("loss_a").isNotNull()
+    g = compared.agg(F.count(F.lit(1)).alias("n"), F.count_if(valid).alias("n_valid"), *[F.avg(c).alias(c) for c in ("mse", "cosine", "kl", "loss_a", "loss_b")], F.avg("hit_a").alias("top1_a"), F.avg("hit_b").alias("top1_b"), F.avg(F.when(valid, F.col("agree"))).alias("top1_match"))
+    return g.withColumn("loss_increase", F.col("loss_b") - F.col("loss_a")).withColumn("top1_change", F.col("top1_b") - F.col("top1_a"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -126,14 +128,19 @@ def top_and_bottom(rows: DataFrame, by: str, k: int, value: str, tie: str) -> Da
 
 
 def percentile_rank(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """rows with pct: percentage of the group strictly below in magnitude. Equal magnitudes lie in one slice."""
+    """rows with pct: percentage of the group strictly below in magnitude; null values have none and count for none.
+
+    Magnitudes are counted first, so a group's zeros are one row when they are ranked, in slices of the different magnitudes.
+    """
     sized = rows.withColumn("_m", F.abs(value))
-    at = sized.withColumn("_s", _slice_of(F.col("_m"), slice_bounds(sized, "_m")))
-    w = Window.partitionBy(by)
-    sizes = at.groupBy(by, "_s").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(by, "_s", (F.sum("_n").over(w.orderBy("_s")) - F.col("_n")).alias("_b"), F.sum("_n").over(w).alias("_all"))
-    below = F.col("_b") + F.rank().over(Window.partitionBy(by, "_s").orderBy("_m")) - 1
-    return at.join(before, [by, "_s"]).withColumn("pct", 100.0 * below / F.col("_all")).drop("_m", "_s", "_b", "_all")
+    counts = sized.where("_m is not null").groupBy(by, "_m").agg(F.count(F.lit(1)).alias("_c"))
+    cut = counts.withColumn("_s", _slice_of(F.col("_m"), slice_bounds(counts, "_m")))
+    group = Window.partitionBy(by)
+    sums = cut.groupBy(by, "_s").agg(F.sum("_c").alias("_n"))
+    before = sums.select(F.col(by).alias("_by"), F.col("_s").alias("_t"), (F.sum("_n").over(group.orderBy("_s")) - F.col("_n")).alias("_b"), F.sum("_n").over(group).alias("_all"))
+    inside = F.sum("_c").over(Window.partitionBy(by, "_s").orderBy("_m")) - F.col("_c")
+    told = cut.withColumn("_w", inside).join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_s") == F.col("_t"))).select(F.col(by).alias("_by"), F.col("_m").alias("_v"), (100.0 * (F.col("_b") + F.col("_w")) / F.col("_all")).alias("pct"))
+    return sized.join(told, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_m") == F.col("_v")), "left").drop("_m", "_by", "_v")
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str, tie: str) -> DataFrame:
@@ -144,12 +151,14 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str, tie: str) -> DataFr
 
 
 def extreme_slices(rows: DataFrame, value: str, outcome: str, key: str, fraction: float) -> DataFrame:
-    """(side, n, mean, members): the ceil(fraction n) lowest and highest rows by value, their mean outcome and keys in order. For small tables of groups."""
-    w = Window.partitionBy()
-    r = rows.withColumn("_r", F.row_number().over(Window.orderBy(value, key))).withColumn("_n", F.count(F.lit(1)).over(w))
-    take = F.ceil(F.col("_n") * fraction)
-    side = F.when(F.col("_r") <= take, "bottom").when(F.col("_r") > F.col("_n") - take, "top")
-    return r.withColumn("side", side).where("side is not null").groupBy("side").agg(
+    """(side, n, mean, members): the ceil(fraction n) lowest and highest rows by value (ties by key), their mean outcome and keys in order; a row on both sides is at the bottom. Null values take no part."""
+    n = rows.where(F.col(value).isNotNull()).count()
+    take = math.ceil(n * fraction)
+    if not take:
+        return rows.limit(0).groupBy(F.lit("bottom").alias("side")).agg(F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean"), F.lit("").alias("members"))
+    low = rows_at_ranks(rows, value, key, 1, take, n).withColumn("side", F.lit("bottom"))
+    high = rows_at_ranks(rows, value, key, max(n - take, take) + 1, n, n).withColumn("side", F.lit("top")) if n > take else low.limit(0)
+    return low.unionByName(high).groupBy("side").agg(
         F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean"), F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",").alias("members"))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from setweave.functions.session import written
 from setweave.functions.tokens import PAD, SUB_SLOTS, TOTAL, family_of, level_in
+from setweave.operators.ranking import global_rank
 
 
 def melt_groups(wide: DataFrame, prefixes: dict[str, list], tags: list[str], fields: list[str], keep: list[str]) -> DataFrame:
@@ -51,13 +53,6 @@ def compound_tokens(rows: DataFrame, names: DataFrame, ctx: str = "ctx", token:
     return rows.join(names.select(ctx, "name"), ctx).withColumn(token, F.concat_ws("_", clean_name(F.col("name")), token)).drop("name")
 
 
-def longest_prefix(rows: DataFrame, categories: DataFrame, token: str = "token") -> DataFrame:
-    """rows with category: the longest of categories.name that the token starts with, followed by an underscore. categories is a small dimension."""
-    hit = rows.select(token).distinct().join(F.broadcast(categories.select("name")), F.col(token).startswith(F.concat("name", F.lit("_"))))
-    best = hit.groupBy(token).agg(F.max_by("name", F.length("name")).alias("category"))
-    return rows.join(best, token, "left")
-
-
 def int_list(text: Column) -> Column:
     """JSON text to a list of int; unreadable text is an empty list."""
     return F.coalesce(F.from_json(text, "array<int>"), F.array().cast("array<int>"))
@@ -95,15 +90,14 @@ def absent_families(builds: DataFrame, families: DataFrame) -> DataFrame:
 
 
 def extend_vocabulary(tokens: DataFrame, vocabulary: DataFrame, token: str = "token", order: str = "first_seen") -> DataFrame:
-    """(token, token_id): vocabulary's ids kept, unseen tokens numbered on in order of first appearance (ties by name), PAD last.
+    """(token, token_id): vocabulary's ids kept, unseen tokens numbered on in order of first appearance (a number; ties by name), PAD last.
 
-    The numbering window runs over the distinct unseen tokens only, a vocabulary's size.
+    Unseen tokens are numbered in slices of their order, so no task sorts them all.
     """
     base = vocabulary.where(F.col(token) != PAD)
     start = base.agg(F.coalesce(F.max("token_id") + 1, F.lit(0)).alias("start"))
     new = tokens.groupBy(token).agg(F.min(order).alias("_at")).join(base, token, "left_anti").where(F.col(token) != PAD)
-    w = Window.orderBy("_at", token)
-    numbered = new.withColumn("_n", F.row_number().over(w) - 1).join(F.broadcast(start)).select(token, (F.col("start") + F.col("_n")).cast("int").alias("token_id"))
+    numbered = global_rank(written(new), "_at", token, "_n").withColumn("_n", F.col("_n") - 1).join(F.broadcast(start)).select(token, (F.col("start") + F.col("_n")).cast("int").alias("token_id"))
     full = base.select(token, F.col("token_id").cast("int").alias("token_id")).unionByName(numbered)
     return full.unionByName(full.agg((F.coalesce(F.max("token_id"), F.lit(-1)) + 1).alias("token_id")).select(F.lit(PAD).alias(token), "token_id"))
 
@@ -127,14 +121,6 @@ def padded(rows: DataFrame, batch: str, ids: str, pad: int) -> DataFrame:
         ids, F.concat(F.col(ids), F.array_repeat(F.lit(pad), fill)))
 
 
-def category_by_substring(rows: DataFrame, rules: DataFrame, name: str = "name") -> DataFrame:
-    """rows with category of the first rule (by rule_order) whose name contains the row's or lies in it, ignoring case. rules is a small dimension."""
-    a, b = F.lower(F.col(name)), F.lower(F.col("rule_name"))
-    hit = rows.select(name).distinct().join(F.broadcast(rules), a.contains(b) | b.contains(a))
-    first = hit.groupBy(name).agg(F.min_by("category", "rule_order").alias("category"))
-    return rows.join(first, name, "left")
-
-
 def wide_ranks_to_long(wide: DataFrame, key: str, k: int, signs: tuple[str, ...] = ("+", "-")) -> DataFrame:
     """(key, sign, rank, token, value) from columns `+1_tok`, `+1_val` and so on; null and empty tokens drop out."""
     cells = F.array(*[F.struct(F.lit(s).alias("sign"), F.lit(r).alias("rank"), F.col(f"`{s}{r}_tok`").alias("token"), F.col(f"`{s}{r}_val`").alias("value")) for s in signs for r in range(1, k + 1)])

@@ -261,11 +261,24 @@ def f19(spark, d):
     return A.token_enrichment(X.examples(spark, d), X.toks(spark, d).select("example_id", "token"))
 
 
-@query("f20_presence_effect", f"WITH {X.BRANDS_SQL}, {X.EXAMPLES_SQL}, t AS (SELECT count(*) AS tn, sum(activation) AS ts FROM examples), g AS (SELECT token, count(*) AS n_with, sum(activation) AS s FROM brands GROUP BY 1) SELECT token, n_with, tn - n_with AS n_without, round(s / n_with, 2) AS mean_with, round((ts - s) / (tn - n_with), 2) AS mean_without, round(s / n_with - (ts - s) / (tn - n_with), 2) AS delta FROM g, t WHERE n_with >= 30 AND tn - n_with >= 30", mean_with=2, mean_without=2, delta=2)
+_HIGH_CUT = "rk AS (SELECT *, row_number() OVER (ORDER BY activation DESC, example_id) - 1 AS r, count(*) OVER () AS n FROM examples), cut AS (SELECT activation AS cut FROM rk WHERE r = least(greatest(1, CAST(floor(n * (1 - CAST(0.9 AS DOUBLE))) AS BIGINT)), n - 1))"
+
+
+@query("f20_presence_effect", f"WITH {X.BRANDS_SQL}, {X.EXAMPLES_SQL}, {_HIGH_CUT}, h AS (SELECT e.*, activation >= cut AS high FROM examples e, cut), t AS (SELECT count(*) AS tn, sum(activation) AS ts, sum(activation * activation) AS tq, count(*) FILTER (high) AS th FROM h), "
+       "g AS (SELECT token, count(*) AS n_with, sum(h.activation) AS s, sum(h.activation * h.activation) AS q, var_samp(h.activation) AS v, count(*) FILTER (high) AS n_high_with FROM brands JOIN h USING (example_id) GROUP BY 1 HAVING count(*) >= 30), "
+       "m AS (SELECT *, tn - n_with AS n_without, s / n_with AS mw, (ts - s) / (tn - n_with) AS mo FROM g, t) SELECT token, n_with, n_without, round(mw, 2) AS mean_with, round(mo, 2) AS mean_without, round(mw - mo, 2) AS delta, round((mw - mo) / sqrt((v * n_with + ((tq - q) / n_without - mo * mo) * n_without) / tn), 4) AS effect, "
+       "round(n_with / tn, 4) AS baseline_rate, round(n_high_with / th, 4) AS high_rate, round((n_high_with / th) / (n_with / tn), 4) AS enrichment, n_high_with FROM m", mean_with=2, mean_without=2, delta=2)
 def f20(spark, d):
     return A.presence_effect(X.examples(spark, d), X.brands(spark, d))
 
 
+@query("f20b_conditional_presence", f"WITH {X.TOKS_SQL.replace('WITH ', '')}, {X.BRANDS_SQL}, {X.EXAMPLES_SQL}, l AS (SELECT example_id, level FROM toks WHERE family = 'economy'), e AS (SELECT example_id, activation, coalesce(level, 0) AS level FROM examples LEFT JOIN l USING (example_id)), t AS (SELECT level, count(*) AS n_at_level, sum(activation) AS t FROM e WHERE level IN (0, 12, 29, 38) GROUP BY 1), "
+       "g AS (SELECT token, e.level AS level, count(*) AS n_with, sum(e.activation) AS s, sum(count(*)) OVER (PARTITION BY token) AS c FROM brands JOIN e USING (example_id) GROUP BY token, e.level) SELECT token, level, round(s / n_with, 2) AS mean_with, round((t - s) / (n_at_level - n_with), 2) AS mean_without, round(s / n_with - (t - s) / (n_at_level - n_with), 2) AS delta, n_with, n_at_level - n_with AS n_without, n_at_level FROM g JOIN t USING (level) WHERE c >= 30 AND n_with >= 5 AND n_at_level - n_with >= 5", mean_with=2, mean_without=2, delta=2)
+def f20b(spark, d):
+    """Brands among the orders of one level of economy parts."""
+    return A.conditional_presence(X.examples(spark, d), X.brands(spark, d), X.toks(spark, d).where("family = 'economy'").select("example_id", "level"), rungs=(0, 12, 29, 38))
+
+
 _M = "m AS (SELECT quantile_cont(activation, 0.995) AS m FROM examples WHERE activation > 0)"
 _BAND = "CASE WHEN activation > 0.90 * m THEN 5 WHEN activation > 0.75 * m THEN 4 WHEN activation > 0.25 * m THEN 3 WHEN activation > 0.10 * m THEN 2 WHEN activation > 0.01 * m THEN 1 WHEN activation > 0 THEN 0 END"
 
@@ -278,19 +291,15 @@ def banded(spark, d):
     return e.join(F.broadcast(m)).withColumn("band", band_of(F.col("activation"), F.col("m")))
 
 
-@query("f21_region_breakdown", f"WITH {X.EXAMPLES_SQL}, {_M}, b AS (SELECT ctx, {_BAND} AS band FROM examples, m), c AS (SELECT band, ctx, count(*) AS n FROM b WHERE band IS NOT NULL GROUP BY ALL) SELECT band, ctx, n, round(n / sum(n) OVER (PARTITION BY band), 4) AS share, row_number() OVER (PARTITION BY band ORDER BY n DESC, ctx) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY band ORDER BY n DESC, ctx) <= 3")
+@query("f21_region_breakdown", f"WITH {X.TOKS_SQL}, {X.EXAMPLES_SQL}, {_M}, b AS (SELECT example_id, ctx, {_BAND} AS band FROM examples, m), z AS (SELECT band, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM b GROUP BY 1), c AS (SELECT band, 'context' AS kind, ctx AS item, count(*) AS count FROM b WHERE band IS NOT NULL GROUP BY ALL "
+       "UNION ALL SELECT band, 'family', family, count(*) FROM toks JOIN b USING (example_id) WHERE band IS NOT NULL GROUP BY ALL) SELECT c.band, n, round(pct, 4) AS pct_of_total, kind, item, count, round(count / sum(count) OVER (PARTITION BY c.band, kind), 4) AS share, row_number() OVER (PARTITION BY c.band, kind ORDER BY count DESC, item) AS rank FROM c JOIN z USING (band) QUALIFY row_number() OVER (PARTITION BY c.band, kind ORDER BY count DESC, item) <= 5")
 def f21(spark, d):
-    from pyspark.sql import Window
-
-    c = banded(spark, d).where("band is not null").groupBy("band", "ctx").agg(F.count(F.lit(1)).alias("n"))
-    c = c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("band")))
-    return K.top_per_group(c, "band", 3, "n", "ctx")
+    return A.region_breakdown(banded(spark, d), X.toks(spark, d))
 
 
-@query("f22_region_kit", f"WITH {X.EXAMPLES_SQL}, {_M}, b AS (SELECT tier, {_BAND} AS band FROM examples, m) SELECT tier, count(*) AS n, round(count(*) / (SELECT count(*) FROM b WHERE band = 3), 4) AS share FROM b WHERE band = 3 GROUP BY 1")
+@query("f22_region_kit", f"WITH {X.EXAMPLES_SQL}, {_M}, b AS (SELECT ctx, tier FROM examples, m WHERE {_BAND} = 3), c AS (SELECT 'tier' AS kit, tier AS item FROM b UNION ALL SELECT 'ctx', ctx FROM b) SELECT kit, item, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM b), 4) AS pct, row_number() OVER (PARTITION BY kit ORDER BY count(*) DESC, item) AS rank FROM c GROUP BY 1, 2")
 def f22(spark, d):
-    b = banded(spark, d).where("band = 3")
-    return b.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(b.agg(F.count(F.lit(1)).alias("_n")))).select("tier", "n", (F.col("n") / F.col("_n")).alias("share"))
+    return A.region_kits(banded(spark, d).where("band = 3"), ["tier", "ctx"])
 
 
 @query("f23_core_tail_coverage", f"WITH {X.BRANDS_SQL}, {X.EXAMPLES_SQL}, {_M}, f AS (SELECT example_id, CAST(activation > 0.25 * m AND activation <= 0.75 * m AS INT) AS c, CAST(activation > 0.75 * m AS INT) AS t FROM examples, m), g AS (SELECT token, sum(c) / (SELECT sum(c) FROM f) AS pc, sum(t) / (SELECT sum(t) FROM f) AS pt FROM brands JOIN f USING (example_id) GROUP BY 1) "
@@ -299,16 +308,42 @@ def f23(spark, d):
     return A.core_tail(X.examples(spark, d), X.brands(spark, d), "token")
 
 
+@query("f23b_context_coverage", f"WITH {X.EXAMPLES_SQL}, x AS (SELECT example_id, 'n' || c_nationkey AS ctx, o_totalprice AS activation FROM orders JOIN customer ON o_custkey = c_custkey JOIN examples ON o_orderkey = example_id), {_M}, f AS (SELECT ctx, CAST(activation > 0.25 * m AND activation <= 0.75 * m AS INT) AS c, CAST(activation > 0.75 * m AS INT) AS t FROM x, m), "
+       "g AS (SELECT ctx, sum(c) / (SELECT sum(c) FROM f) AS pc, sum(t) / (SELECT sum(t) FROM f) AS pt FROM f GROUP BY 1), e AS (SELECT *, CASE WHEN pc > 0 THEN least(pt / pc, 10) WHEN pt > 0 THEN 10 ELSE 1 END AS te FROM g) SELECT ctx, round(pc, 4) AS core_share, round(pt, 4) AS tail_share, round(te, 4) AS tail_enrichment, te > 2 AND pt > 0.1 AS flanderized FROM e")
+def f23b(spark, d):
+    """Nations of the customers as contexts."""
+    from setweave.functions.session import table
+
+    nation = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("example_id"), F.concat(F.lit("n"), "c_nationkey").alias("ctx"))
+    return A.context_coverage(X.examples(spark, d).drop("ctx").join(nation, "example_id"))
+
+
 @query("f24_weighted_popularity", f"WITH {X.LINES_SQL} SELECT family, CAST(sum(CAST(floor(greatest(1, activation / 10000)) AS BIGINT)) AS BIGINT) AS weight FROM lines GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4")
 def f24(spark, d):
     w = F.floor(F.greatest(F.lit(1.0), F.col("activation") / 10000))
     return X.lines(spark, d).groupBy("family").agg(F.sum(w).alias("weight")).orderBy(F.desc("weight"), "family").limit(4)
 
 
-@query("f25_interference", f"WITH {X.TOKS_SQL}, h AS (SELECT example_id, activation, bool_or(level = 12) AS l12, bool_or(level = 15) AS l15, bool_or(level = 29) AS l29, bool_or(level = 6) AS l6 FROM toks GROUP BY ALL), u AS (SELECT 6 AS lo, 29 AS hi, l6 AS a, activation FROM h WHERE l29 UNION ALL SELECT 12, 29, l12, activation FROM h WHERE l29 UNION ALL SELECT 15, 29, l15, activation FROM h WHERE l29) "
-       "SELECT lo, hi, round(avg(activation) FILTER (NOT a), 2) AS mean_alone, round(avg(activation) FILTER (a), 2) AS mean_both, count(*) FILTER (NOT a) AS n_alone, count(*) FILTER (a) AS n_both, CASE WHEN avg(activation) FILTER (a) - avg(activation) FILTER (NOT a) < -0.01 THEN 'reduction' WHEN avg(activation) FILTER (a) - avg(activation) FILTER (NOT a) > 0.01 THEN 'enhancement' ELSE 'neutral' END AS kind FROM u GROUP BY ALL HAVING count(*) FILTER (a) >= 5 AND count(*) FILTER (NOT a) >= 5", mean_alone=2, mean_both=2)
+_LEVELS = "lv AS (SELECT DISTINCT l_orderkey AS example_id, lower(p_type) AS family, " + f"CASE {X._STEPS.replace('ap', 'CAST(l_quantity AS INTEGER)')} END AS level FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 3)"
+_INTER = "x AS (SELECT {by} h.family, lo, hi, e.activation, l.level IS NOT NULL AS bth FROM lv h JOIN examples e USING (example_id) JOIN (VALUES {pairs}) p(lo, hi) ON h.level = hi LEFT JOIN lv l ON l.example_id = h.example_id AND l.family = h.family AND l.level = lo), g AS (SELECT {by} family, lo, hi, avg(activation) FILTER (NOT bth) AS a, avg(activation) FILTER (bth) AS b, count(*) FILTER (NOT bth) AS n_alone, count(*) FILTER (bth) AS n_both FROM x GROUP BY ALL) " \
+    "SELECT {by} family, lo, hi, round(a, 2) AS mean_alone, round(b, 2) AS mean_both, n_alone, n_both, round(b - a, 2) AS delta, CASE WHEN b - a < -0.01 THEN 'reduction' WHEN b - a > 0.01 THEN 'enhancement' ELSE 'neutral' END AS kind FROM g WHERE n_alone >= {least} AND n_both >= {least}"
+
+
+def line_levels(spark, d):
+    """(example_id, family, level): the levels that an order's lines reach, one by one; a family may hold several."""
+    from setweave.functions.tokens import level_of
+
+    return X._parts(spark, d, F.lower("p_type").alias("family"), F.col("l_quantity").cast("int").alias("ap")).where("ap >= 3").select("example_id", "family", level_of(F.col("ap")).alias("level")).distinct()
+
+
+@query("f25_interference", f"WITH {X.EXAMPLES_SQL}, {_LEVELS}, {_INTER.format(by='', pairs='(6, 29), (12, 29), (15, 29), (3, 15)', least=5)}", mean_alone=2, mean_both=2, delta=2)
 def f25(spark, d):
-    return A.interference(X.examples(spark, d), X.toks(spark, d), [(6, 29), (12, 29), (15, 29)])
+    return A.interference(X.examples(spark, d), line_levels(spark, d), [(6, 29), (12, 29), (15, 29), (3, 15)])
+
+
+@query("f25b_interference_by_context", f"WITH {X.EXAMPLES_SQL}, {_LEVELS}, {_INTER.format(by='ctx,', pairs='(3, 15), (3, 29), (6, 29)', least=3)}", mean_alone=2, mean_both=2, delta=2)
+def f25b(spark, d):
+    return A.interference(X.examples(spark, d), line_levels(spark, d), [(3, 15), (3, 29), (6, 29)], least=3, by=("ctx",), least_rows=20)
 
 
 @query("f26_frequent_core_tokens", f"WITH {X.BRANDS_SQL}, top AS (SELECT DISTINCT example_id, activation FROM brands ORDER BY activation DESC, example_id LIMIT 100), f AS (SELECT DISTINCT example_id, substr(token, 1, 7) AS family FROM brands JOIN top USING (example_id)) SELECT family, count(*) / 100 AS frequency FROM f WHERE family <> 'Brand#5' GROUP BY 1 HAVING count(*) >= 50")

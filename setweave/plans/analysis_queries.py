@@ -708,12 +708,27 @@ def m15(spark, d):
     return floor_share(X.acts(spark, d), "feature_id")
 
 
-@query("m16_vector_comparison", f"WITH {X.ACTS_SQL}, b AS (SELECT example_id - 1 AS example_id, feature_id, activation AS y FROM acts), x AS (SELECT example_id, feature_id, activation AS x, y FROM acts JOIN b USING (example_id, feature_id)), s AS (SELECT *, exp(x) / sum(exp(x)) OVER (PARTITION BY example_id) AS p, exp(y) / sum(exp(y)) OVER (PARTITION BY example_id) AS q FROM x) "
-       "SELECT example_id, round(avg(pow(x - y, 2)), 4) AS mse, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 4) AS cosine, round(sum(p * ln(p / q)), 4) AS kl, CAST(arg_max(feature_id, x) = arg_max(feature_id, y) AS INT) AS agree FROM s GROUP BY 1")
+_NEXT = """b AS (SELECT example_id - 1 AS example_id, feature_id, activation AS y FROM acts), x AS (SELECT example_id, feature_id, label, activation AS x, y FROM acts JOIN b USING (example_id, feature_id)),
+s AS (SELECT *, exp(x) / sum(exp(x)) OVER (PARTITION BY example_id) AS p, exp(y) / sum(exp(y)) OVER (PARTITION BY example_id) AS q FROM x), c AS (SELECT example_id, avg(pow(x - y, 2)) AS mse, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS cosine, sum(p * ln(p / q)) AS kl, CAST(arg_max(feature_id, x) = arg_max(feature_id, y) AS INT) AS agree,
+max(-ln(p)) FILTER (feature_id = label AND label <> 3) AS loss_a, max(-ln(q)) FILTER (feature_id = label AND label <> 3) AS loss_b, CASE WHEN any_value(label) <> 3 THEN CAST(arg_max(feature_id, x) = any_value(label) AS INT) END AS hit_a, CASE WHEN any_value(label) <> 3 THEN CAST(arg_max(feature_id, y) = any_value(label) AS INT) END AS hit_b FROM s GROUP BY 1)"""
+
+
+@query("m16_vector_comparison", f"WITH {X.ACTS_SQL}, {_NEXT} SELECT example_id, round(mse, 4) AS mse, round(cosine, 4) AS cosine, round(kl, 4) AS kl, agree, round(loss_a, 4) AS loss_a, round(loss_b, 4) AS loss_b, hit_a, hit_b FROM c")
 def m16(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+    return next_compared(spark, d)
+
+
+def next_compared(spark, d):
+    """Each vector against the next one, its label the target; label 3 stands for padding."""
+    v = table(spark, d, "embeddings").select("vec_id", F.when(F.col("label") != 3, F.col("label")).alias("target"), F.transform("embedding", lambda x: x.cast("double")).alias("a"))
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
-    return v.join(nxt, "vec_id").select(F.col("vec_id").alias("example_id"), *V.vector_comparison(v, "a", "b"))
+    return v.join(nxt, "vec_id").select(F.col("vec_id").alias("example_id"), *V.vector_comparison(v, "a", "b", "target"))
+
+
+@query("m16b_vector_summary", f"WITH {X.ACTS_SQL}, {_NEXT} SELECT count(*) AS n, count(loss_a) AS n_valid, round(avg(mse), 4) AS mse, round(avg(cosine), 4) AS cosine, round(avg(kl), 4) AS kl, round(avg(loss_a), 4) AS loss_a, round(avg(loss_b), 4) AS loss_b, round(avg(hit_a), 4) AS top1_a, round(avg(hit_b), 4) AS top1_b, "
+       "round(avg(agree) FILTER (loss_a IS NOT NULL), 4) AS top1_match, round(avg(loss_b) - avg(loss_a), 4) AS loss_increase, round(avg(hit_b) - avg(hit_a), 4) AS top1_change FROM c")
+def m16b(spark, d):
+    return V.vector_summary(next_compared(spark, d))
 
 
 @query("m17_metric_vs_outcome", "WITH a AS (SELECT c_nationkey AS k, count(*) AS n, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) >= 10), b AS (SELECT c_nationkey AS k, avg(c_acctbal) AS o FROM customer GROUP BY 1), x AS (SELECT m, o, row_number() OVER (ORDER BY m, k) AS rm, row_number() OVER (ORDER BY o, k) AS ro FROM a JOIN b USING (k)) SELECT round(corr(m, o), 4) AS pearson, round(corr(rm, ro), 4) AS spearman, count(*) AS n FROM x")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from setweave.functions import tokens as T
 from setweave.functions.session import table
+from setweave.operators import matching as J
 from setweave.operators import reshape as R
 from setweave.operators import sampling as S
 from setweave.operators.ranking import exact_quantile
@@ -112,7 +113,7 @@ def b12(spark, d):
     t = b11(spark, d)
     ctx = table(spark, d, "customer").select(F.lower("c_mktsegment").alias("c")).distinct()
     names = ctx.select(F.explode(F.array(F.col("c"), *[F.concat(F.col("c"), F.lit("_" + f)) for f in FAMILIES])).alias("name"))
-    return R.longest_prefix(t, names).groupBy("category").agg(F.sum("n").alias("n"))
+    return J.longest_prefix(t, names).groupBy("category").agg(F.sum("n").alias("n"))
 
 
 @query("b13_parse_lists", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 2 END AS n, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id + 1 END AS total FROM events")
@@ -191,7 +192,24 @@ def b22(spark, d):
 @query("b23_category_by_substring", "SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'jewel' WHEN p_name LIKE '%red%' OR p_name LIKE '%blue%' THEN 'colour' END AS category FROM part")
 def b23(spark, d):
     rules = spark.createDataFrame([("RING", "jewel", 1), ("red", "colour", 2), ("Blue", "colour", 3)], "rule_name string, category string, rule_order int")
-    return R.category_by_substring(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name")), rules).select("p_partkey", "category")
+    return J.category_by_substring(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name")), rules).select("p_partkey", "category")
+
+
+@query("b12b_longest_of_many_prefixes", "WITH n AS (SELECT DISTINCT substr(url, 1, 9 + page_id % 9) AS name FROM pages), t AS (SELECT DISTINCT replace(replace(url, '/', '_'), '.', '_') AS token FROM pages), m AS (SELECT DISTINCT replace(replace(name, '/', '_'), '.', '_') AS name FROM n) "
+       "SELECT token, arg_max(name, len(name)) AS category, substr(token, max(len(name)) + 2) AS rest FROM t LEFT JOIN m ON starts_with(token, name || '_') GROUP BY token")
+def b12b(spark, d):
+    """As many names as pages: the beginnings of addresses."""
+    plain = lambda c: F.translate(c, "/.", "__")
+    p = table(spark, d, "pages")
+    names = p.select(plain(F.expr("substring(url, 1, cast(9 + page_id % 9 as int))")).alias("name")).distinct()
+    return J.longest_prefix(p.select(plain(F.col("url")).alias("token")).distinct(), names).select("token", "category", "rest")
+
+
+@query("b23b_category_by_many_rules", "WITH r AS (SELECT item_id AS o, lower(substr(text, 1, CAST(3 + item_id % 9 AS INT))) AS rule, 'item ' || item_id AS category FROM benchmark), n AS (SELECT doc_id, lower(text) AS name FROM documents) SELECT doc_id, arg_min(category, o) AS category FROM n LEFT JOIN r ON contains(name, rule) OR contains(rule, name) GROUP BY 1")
+def b23b(spark, d):
+    """Documents by the first benchmark item whose beginning they hold."""
+    rules = table(spark, d, "benchmark").select(F.expr("substring(text, 1, cast(3 + item_id % 9 as int))").alias("rule_name"), F.concat(F.lit("item "), "item_id").alias("category"), F.col("item_id").alias("rule_order"))
+    return J.category_by_substring(table(spark, d, "documents").select("doc_id", F.col("text").alias("name")), rules).select("doc_id", "category")
 
 
 @query("b25_property_join", "SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN 'Promotional' WHEN 'SMALL' THEN 'Little' ELSE p_type END AS kind, n_name FROM part LEFT JOIN nation ON p_size = n_nationkey")
