@@ -180,6 +180,35 @@ def token_enrichment(examples: DataFrame, tokens: DataFrame, token: str = "token
     return g.where(F.col("rate") >= least_rate).withColumn("ratio", r).withColumn("kind", F.when(r > 1.2, "enhancer").when(r < 0.8, "suppressor").otherwise("neutral"))
 
 
+#: Size parameter of quantile sketches and the error of a rank, as a share of all values, that it keeps to with great certainty.
+SKETCH_K, SKETCH_ERROR = 800, 0.01
+
+
+def quantile_sketches(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, sketch): a KLL sketch of each group's values, nulls left out, of a size that hardly grows with them; stored as binary, and merged by merged_sketches()."""
+    some = rows.where(F.col(value).isNotNull())
+    return some.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_K)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: str) -> DataFrame:
+    """(by, n, sketch) of several sketches a group, such as those of batches or days."""
+    return sketches.groupBy(by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, by: str, shares: tuple[float, ...]) -> DataFrame:
+    """(by, n, share, quantile): the values at these shares of each group, within SKETCH_ERROR of the rank."""
+    cells = F.array(*[F.struct(F.lit(q).alias("share"), F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias("quantile")) for q in shares])
+    return sketches.select(by, "n", F.inline(cells))
+
+
+def rank_error(quantiles: DataFrame, rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, share, quantile, error): by how much the share of a group's values at a quantile misses the one asked for; 0 where it lies among equal values that span it."""
+    v = F.col(value)
+    held = rows.where(v.isNotNull()).join(F.broadcast(quantiles), by)
+    g = held.groupBy(by, "n", "share", "quantile").agg(F.avg((v < F.col("quantile")).cast("double")).alias("_lt"), F.avg((v <= F.col("quantile")).cast("double")).alias("_le"))
+    return g.select(by, "n", "share", "quantile", F.greatest(F.lit(0.0), F.col("_lt") - F.col("share"), F.col("share") - F.col("_le")).alias("error"))
+
+
 def presence_effect(examples: DataFrame, tokens: DataFrame, token: str = "token", least: int = 30, high_percentile: float = 0.90) -> DataFrame:
     """Per token that `least` examples hold: sizes and mean activations with and without it, their difference and effect size, and its enrichment among high examples.
 

@@ -134,6 +134,15 @@ def f1(spark, d):
     return A.feature_stats(X.acts(spark, d))
 
 
+@query("f1b_sketched_quantiles", f"WITH {X.ACTS_SQL} SELECT feature_id, share, count(*) AS n, true AS within FROM acts, (VALUES (0.25), (0.5), (0.75), (0.99)) q(share) GROUP BY ALL", share=2)
+def f1b(spark, d):
+    """Sketches of each label's activations, merged over labels, against the exact ranks."""
+    a = X.acts(spark, d)
+    parts = A.quantile_sketches(a.withColumn("_k", F.struct("feature_id", "label")), "_k", "activation")
+    q = A.sketch_quantiles(A.merged_sketches(parts.select("_k.feature_id", "n", "sketch"), "feature_id"), "feature_id", (0.25, 0.5, 0.75, 0.99))
+    return A.rank_error(q, a, "feature_id", "activation").select("feature_id", "share", "n", (F.col("error") <= A.SKETCH_ERROR).alias("within"))
+
+
 @query("f2_mergeable_stats", f"WITH {X.ACTS_SQL}, t AS (SELECT count(*) AS n FROM embeddings), p AS (SELECT * FROM acts WHERE activation > 0) SELECT f.feature_id, count(activation) AS n_active, round(coalesce(sum(activation), 0) / n, 4) AS mean, round(sqrt(greatest(coalesce(sum(activation * activation), 0) / n - pow(coalesce(sum(activation), 0) / n, 2), 0)), 4) AS std, "
        "round(CASE WHEN count(activation) < n THEN 0 ELSE min(activation) END, 4) AS min, round(coalesce(max(activation), 0), 4) AS max, round(1 - count(activation) / n, 4) AS sparsity FROM (SELECT unnest(range(70)) AS feature_id) f CROSS JOIN t LEFT JOIN p USING (feature_id) GROUP BY f.feature_id, n")
 def f2(spark, d):

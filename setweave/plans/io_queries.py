@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setweave.functions.session import shared_dir, table
+from setweave.operators import aggregates as A
 from setweave.plans import relations as X
 from setweave.plans.aggregate_queries import D
+from setweave.sources import database as T
 from setweave.sources import files as S
 from setweave.streaming import keyed as Y
 from setweave.streaming import streams as W
@@ -109,6 +111,13 @@ def a8(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_brand").orderBy("p_partkey").limit(100)
 
 
+@query("a8b_database_scan", "SELECT p_partkey, p_brand FROM part WHERE p_size > 10 AND p_type LIKE 'S%' ORDER BY p_partkey LIMIT 200")
+def a8b(spark, d):
+    path = folder(spark, "a8b")
+    T.write_table(table(spark, d, "part"), path, "part")
+    return T.scan_table(spark, path, "part", "p_partkey long, p_brand string, p_size long, p_type string", "p_size > 10 and p_type like 'S%'", 200, "p_partkey").select("p_partkey", "p_brand")
+
+
 @query("a9_json_dictionary", "SELECT p_brand AS token, CAST(count(*) AS INT) AS token_id FROM part GROUP BY 1")
 def a9(spark, d):
     path = folder(spark, "a9")
@@ -185,6 +194,14 @@ def n2b(spark, d):
     return _merged(spark, d, lambda p, b: W.histogram_merge(p, b, "event_type", "value", 0.0, 50.0, 10))
 
 
+@query("n2c_running_quantiles", "SELECT event_type, share, count(*) AS n, true AS within FROM events, (VALUES (0.05), (0.5), (0.95)) q(share) WHERE value IS NOT NULL GROUP BY ALL", share=2)
+def n2c(spark, d):
+    """Quantiles from sketches merged batch by batch; within tells whether the share of values on either side is that asked for, but for the sketch's error."""
+    kept = _merged(spark, d, lambda p, b: W.sketch_merge(p, b, "event_type", "value"))
+    q = A.sketch_quantiles(kept, "event_type", (0.05, 0.5, 0.95))
+    return A.rank_error(q, table(spark, d, "events"), "event_type", "value").select("event_type", "share", "n", (F.col("error") <= A.SKETCH_ERROR).alias("within"))
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     path, schema = event_files(spark, d)
     return W.file_stream(spark, path, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from setweave.functions.tokens import hashed
-from setweave.operators.aggregates import bin_index
+from setweave.operators.aggregates import bin_index, merged_sketches, quantile_sketches
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -41,6 +41,12 @@ def histogram_merge(previous: DataFrame | None, batch: DataFrame, by: str, value
     return both.groupBy(by, "bin_idx").agg(F.sum("count").alias("count"))
 
 
+def sketch_merge(previous: DataFrame | None, batch: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, sketch) of all batches so far: quantile sketches of bounded size, merged; what is kept does not grow with the rows."""
+    new = quantile_sketches(batch, by, value)
+    return new if previous is None else merged_sketches(previous.unionByName(new), by)
+
+
 def top_k_merge(previous: DataFrame | None, batch: DataFrame, by: str, value: str, tie: str, k: int) -> DataFrame:
     both = batch if previous is None else previous.unionByName(batch)
     w = Window.partitionBy(by).orderBy(F.desc(value), tie)

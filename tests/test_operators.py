@@ -247,3 +247,16 @@ def test_rows_at_ranks(spark, monkeypatch, hot):
         for first, last in ((1, 1), (1, 30), (500, 501), (999, 999), (640, 700)):
             got = sorted((r["_rank"], r.v, r.id) for r in ranking.rows_at_ranks(df, "v", "id", first, last, 999).collect())
             assert got == [(first + i, *x) for i, x in enumerate(want[first - 1 : last])]
+
+
+def test_sketches_merge_within_their_error(spark):
+    """Skewed values in parts of very different sizes, merged in two steps."""
+    df = spark.range(60_000).selectExpr("id", "case when id % 3 = 0 then 'a' else 'b' end as g", "case when id % 5 = 0 then 1.0 else pow(id * 7919 % 60000, 3) end as v", "case when id < 100 then 0 when id < 5000 then 1 else id % 3 + 2 end as part")
+    parts = [aggregates.quantile_sketches(df.where(f"part = {i}"), "g", "v") for i in range(5)]
+    two = aggregates.merged_sketches(parts[0].unionByName(parts[1]), "g")
+    whole = aggregates.merged_sketches(two.unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4]), "g")
+    shares = (0.01, 0.1, 0.5, 0.9, 0.999)
+    got = aggregates.rank_error(aggregates.sketch_quantiles(whole, "g", shares), df, "g", "v").collect()
+    assert len(got) == 10 and {r.n for r in got} == {20_000, 40_000}
+    assert max(r.error for r in got) <= aggregates.SKETCH_ERROR
+    assert whole.select(F.max(F.length("sketch"))).first()[0] < 60_000  # against 320,000 bytes of values
