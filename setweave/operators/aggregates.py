@@ -262,6 +262,24 @@ def region_breakdown(bands: DataFrame, tokens: DataFrame, k: int = 5, family: st
     return both.where(F.col("rank") <= k).join(sizes, "band").select("band", "n", "pct_of_total", "kind", "item", "count", "share", "rank")
 
 
+def range_shares(examples: DataFrame, tokens: DataFrame, low: float, high: float, n_tokens: int = 15, n_contexts: int = 10, token: str = "token") -> DataFrame:
+    """(kind, rank, item, count, pct) of the examples whose activation lies between these shares of the range from least to greatest, ends included: the commonest tokens and contexts, in percent of the examples.
+
+    examples (example_id, ctx, activation), tokens (example_id, token), one row an occurrence. Ties go by name; null contexts are not listed.
+    """
+    a = F.col("activation")
+    ends = examples.agg(F.min(a).alias("_lo"), F.max(a).alias("_hi"))
+    width = F.col("_hi") - F.col("_lo")
+    inside = examples.select("example_id", "ctx", "activation").join(F.broadcast(ends)).where(a.between(F.col("_lo") + low * width, F.col("_lo") + high * width))
+    total = inside.agg(F.count(F.lit(1)).alias("_n"))
+    parts = []
+    for kind, items, k in (("token", tokens.select("example_id", F.col(token).alias("item")).join(inside.select("example_id"), "example_id"), n_tokens), ("context", inside.select(F.col("ctx").alias("item")), n_contexts)):
+        g = items.where("item is not null").groupBy("item").agg(F.count(F.lit(1)).alias("count"))
+        top = g.orderBy(F.desc("count"), "item").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "item")))  # k rows
+        parts.append(top.join(F.broadcast(total)).select(F.lit(kind).alias("kind"), "rank", "item", "count", (100.0 * F.col("count") / F.col("_n")).alias("pct")))
+    return parts[0].unionByName(parts[1])
+
+
 def region_kits(region: DataFrame, kits: list[str], k: int = 15) -> DataFrame:
     """(kit, item, n, pct, rank): for each kit column of a region's examples its k commonest items, in percent of the region; null and empty items count for the region only."""
     cells = region.select(F.inline(F.array(*[F.struct(F.lit(c).alias("kit"), F.col(c).cast("string").alias("item")) for c in kits])))

@@ -52,6 +52,47 @@ def cluster_names(profile: DataFrame, cluster: str, token: str, least: float) ->
     return g.select(cluster, F.array_join(F.transform("t", lambda x: x[token]), ", ").alias("name"))
 
 
+def collapsed_variants(scores: DataFrame, cluster: str, token: str, score: str, buffer: float = 0.02) -> DataFrame:
+    """(cluster, token, score): of the variants of a base (`base_12`, `base_29`, `base`) in a cluster the one that survives.
+
+    Variants are looked at from the highest score down (of equal ones the higher number first); each takes the place of the one before it if its number is higher and its score no more than
+    `buffer` under that one's. A token without a number has number -1.
+    """
+    number = F.regexp_extract(token, r"_(\d+)$", 1)
+    rows = scores.select(cluster, F.regexp_replace(token, r"_\d+$", "").alias("_base"), F.struct(F.col(score).cast("double").alias("s"), F.when(number == "", -1).otherwise(number.cast("long")).cast("long").alias("n"), F.col(token).alias("t")).alias("v"))
+    best = rows.groupBy(cluster, "_base").agg(F.sort_array(F.collect_list("v"), asc=False).alias("_l"))  # a base has a few levels
+    kept = F.aggregate(F.slice("_l", F.lit(2), F.size("_l")), F.element_at("_l", 1), lambda a, x: F.when((x["s"] >= a["s"] - buffer) & (x["n"] > a["n"]), x).otherwise(a))
+    return best.select(cluster, kept.alias("v")).select(cluster, F.col("v.t").alias(token), F.col("v.s").alias(score))
+
+
+def names_of_clusters(scores: DataFrame, cluster: str, token: str, score: str, least: float = 0.1) -> DataFrame:
+    """(cluster, name): tokens with a score over least, the highest first (ties by name), joined by a comma; a cluster without any is named by itself."""
+    order = F.array_sort(F.collect_list(F.when(F.col(score) > least, F.struct((-F.round(score, 9)).alias("s"), F.col(token).alias("t")))))
+    g = scores.groupBy(cluster).agg(order.alias("_l"))
+    return g.select(cluster, F.when(F.size("_l") > 0, F.array_join(F.transform("_l", lambda x: x["t"]), ", ")).otherwise(F.col(cluster).cast("string")).alias("name"))
+
+
+def cluster_summary(points: DataFrame, tokens: DataFrame, names: DataFrame, key: str, cluster: str, coords: list[str], top: int = 12) -> DataFrame:
+    """(cluster, name, n, pct, centroid coords, representative, representative_tokens, top_tokens, n_clusters, n_noise): one row a cluster, noise being cluster -1.
+
+    points (key, cluster, coords), tokens (key, token), names (cluster, name). The representative is the point nearest to the centroid (ties to the smaller key); top_tokens are the `top` most counted
+    in the cluster, ties by name. Distances come from one pass after the centroids; a cluster's points are never gathered.
+    """
+    centre = points.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(coords)])
+    far = sum(((F.col(c) - F.col(f"_m{i}")) * (F.col(c) - F.col(f"_m{i}")) for i, c in enumerate(coords)), F.lit(0.0))
+    near = points.join(centre, cluster).groupBy(cluster).agg(F.min(F.struct(F.round(far, 12).alias("d"), F.col(key).alias("k"))).alias("_r")).select(cluster, F.col("_r.k").alias("representative"))
+    counted = tokens.select(key, "token").join(points.select(key, cluster), key).groupBy(cluster, "token").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(cluster).orderBy(F.desc("_c"), "token")
+    listed = counted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("_r", F.concat_ws(":", "token", "_c").alias("t")))).alias("_l"))
+    listed = listed.select(cluster, F.array_join(F.transform("_l", lambda x: x["t"]), " ").alias("top_tokens"))
+    own = near.join(tokens.select(F.col(key).alias("representative"), "token"), "representative").groupBy(cluster).agg(F.array_join(F.array_sort(F.collect_set("token")), " ").alias("representative_tokens"))
+    total = centre.agg(F.sum("n").alias("_all"), F.count_if(F.col(cluster) != -1).alias("n_clusters"), F.coalesce(F.sum(F.when(F.col(cluster) == -1, F.col("n"))), F.lit(0)).alias("n_noise"))
+    out = centre.join(near, cluster).join(listed, cluster, "left").join(own, cluster, "left").join(names.select(cluster, "name"), cluster, "left").join(F.broadcast(total))
+    name = F.when(F.col(cluster) == -1, "noise").otherwise(F.coalesce("name", F.col(cluster).cast("string")))
+    return out.select(cluster, name.alias("name"), "n", (100.0 * F.col("n") / F.col("_all")).alias("pct"), *[F.col(f"_m{i}").alias(c) for i, c in enumerate(coords)], "representative",
+                      F.coalesce("representative_tokens", F.lit("")).alias("representative_tokens"), F.coalesce("top_tokens", F.lit("")).alias("top_tokens"), "n_clusters", "n_noise")
+
+
 def subsets(tokens: Column, size: int) -> Column:
     """All subsets of 2 to 4 of a sorted token array, joined by '|'. Sets are bounded by the token families, so the list is."""
     if size not in (2, 3, 4):

@@ -92,6 +92,27 @@ def correlations(acts: DataFrame, least_pairs: int, features: list[int] | None =
     return g.where((F.col("n") >= least_pairs) & F.col("r").isNotNull() & ~F.isnan("r"))
 
 
+def feature_relationship(acts: DataFrame, influences: DataFrame, a: int, b: int, token: str = "token") -> DataFrame:
+    """(token, held_by, raw_a, raw_b, net_a, net_b, kind, n_shared, correlation) of two features over the examples in which both are active.
+
+    acts (feature_id, example_id, activation), influences (feature_id, token, value). A token's net influence on a feature is its value times the sum of the feature's activations over the
+    shared examples; agree or conflict by the signs of both, neutral where either is under 0.01 an example. held_by tells which feature has a value for the token, the other's being 0.
+    correlation is that of the shared activations, 0 where there are fewer than two or one side is constant.
+    """
+    active = acts.where((F.col("activation") > 0) & F.col("feature_id").isin(a, b))
+    of = lambda f: F.max(F.when(F.col("feature_id") == f, F.col("activation")))
+    shared = active.groupBy("example_id").agg(of(a).alias("_x"), of(b).alias("_y")).dropna()
+    total = shared.agg(F.count(F.lit(1)).alias("n_shared"), F.coalesce(F.sum("_x"), F.lit(0.0)).alias("_sx"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("_sy"), F.corr("_x", "_y").alias("_c"))
+    raw = influences.where(F.col("feature_id").isin(a, b)).groupBy(token).agg(*[F.max(F.when(F.col("feature_id") == f, F.col("value"))).alias(n) for f, n in ((a, "_a"), (b, "_b"))])
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    x = raw.join(F.broadcast(total)).withColumn("net_a", zero("_a") * F.col("_sx")).withColumn("net_b", zero("_b") * F.col("_sy"))
+    bound = F.when(F.col("n_shared") > 0, 0.01 * F.col("n_shared")).otherwise(0.01)
+    kind = F.when((F.abs("net_a") < bound) | (F.abs("net_b") < bound), "neutral").when(F.col("net_a") * F.col("net_b") > 0, "agree").otherwise("conflict")
+    held = F.when(F.col("_b").isNull(), "a").when(F.col("_a").isNull(), "b").otherwise("both")
+    correlation = F.when(F.isnan("_c"), 0.0).otherwise(zero("_c"))
+    return x.select(token, held.alias("held_by"), zero("_a").alias("raw_a"), zero("_b").alias("raw_b"), "net_a", "net_b", kind.alias("kind"), "n_shared", correlation.alias("correlation"))
+
+
 def correlation_clusters(corr: DataFrame, threshold: float) -> DataFrame:
     """(component, size, members): connected components of features correlated at threshold or more, largest first."""
     c = connected_components(corr.where(F.col("r") >= threshold), "a", "b")

@@ -409,6 +409,12 @@ def f33(spark, d):
     return K.global_rank(x, "activation", "example_id").where(F.col("rank").isin(picks)).join(F.broadcast(m)).select("example_id", "activation", "median")
 
 
+@query("f33b_range_shares", f"WITH {X.BRANDS_SQL}, {X.EXAMPLES_SQL}, m AS (SELECT min(activation) AS lo, max(activation) AS hi FROM examples), i AS (SELECT example_id, ctx FROM examples, m WHERE activation BETWEEN lo + 0.5 * (hi - lo) AND lo + 0.75 * (hi - lo)), c AS (SELECT 'token' AS kind, token AS item, count(*) AS count FROM brands WHERE example_id IN (SELECT example_id FROM i) GROUP BY 2 UNION ALL SELECT 'context', ctx, count(*) FROM i GROUP BY 2), "
+       "r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY count DESC, item) AS rank FROM c) SELECT kind, rank, item, count, round(100.0 * count / (SELECT count(*) FROM i), 4) AS pct FROM r WHERE rank <= CASE kind WHEN 'token' THEN 15 ELSE 10 END")
+def f33b(spark, d):
+    return A.range_shares(X.examples(spark, d), X.brands(spark, d), 0.5, 0.75)
+
+
 @query("f35_slots_to_maps", "SELECT o_orderkey, sum(CASE WHEN l_linenumber = 1 THEN 10 ELSE 3 END) AS ap, count(DISTINCT lower(p_type)) AS n_families FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def f35(spark, d):
     from setweave.operators.reshape import long_to_map

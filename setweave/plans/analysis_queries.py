@@ -11,6 +11,7 @@ from setweave.operators import evaluation as V
 from setweave.operators import graph as G
 from setweave.operators import information as I
 from setweave.operators import matrices as N
+from setweave.operators import neighbours as H
 from setweave.operators import overview as O
 from setweave.operators import patterns as P
 from setweave.operators import ranking as K
@@ -96,6 +97,18 @@ def i6(spark, d):
     return B.cluster_names(i5(spark, d), "lang", "word", 0.05)
 
 
+_COVER = "n AS (SELECT ctx, count(DISTINCT example_id) AS n FROM toks GROUP BY 1), v AS (SELECT ctx, token, family, level, round(count(*) / any_value(n), 9) AS score FROM toks JOIN n USING (ctx) GROUP BY ALL), kp AS (SELECT ctx, list_reduce(list({'s': score, 'n': level, 't': token} ORDER BY score DESC, level DESC), lambda a, x: CASE WHEN x.s >= a.s - 0.02 AND x.n > a.n THEN x ELSE a END) AS k FROM v GROUP BY ctx, family)"
+
+
+@query("i6b_collapsed_names", f"WITH {X.TOKS_SQL}, {_COVER} SELECT ctx, coalesce(string_agg(k.t, ', ' ORDER BY k.s DESC, k.t) FILTER (k.s > 0.05), ctx) AS name FROM kp GROUP BY 1")
+def i6b(spark, d):
+    """Contexts named by the share of their orders that hold a token, one level a family."""
+    t = X.toks(spark, d)
+    n = t.groupBy("ctx").agg(F.count_distinct("example_id").alias("n"))
+    scores = t.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(n), "ctx").select("ctx", "token", F.round(F.col("c") / F.col("n"), 9).alias("score"))
+    return B.names_of_clusters(B.collapsed_variants(scores, "ctx", "token", "score"), "ctx", "token", "score", 0.05)
+
+
 @query("i7_comparison_matrix", f"WITH {X.TOKS_SQL} SELECT family, count(*) FILTER (ctx = 'BUILDING') AS BUILDING, count(*) FILTER (ctx = 'MACHINERY') AS MACHINERY, count(*) FILTER (ctx = 'FURNITURE') AS FURNITURE FROM toks WHERE level > 12 GROUP BY 1")
 def i7(spark, d):
     return X.toks(spark, d).where("level > 12").groupBy("family").pivot("ctx", ["BUILDING", "MACHINERY", "FURNITURE"]).agg(F.count(F.lit(1))).na.fill(0)
@@ -111,6 +124,17 @@ def i8(spark, d):
     return g.join(F.broadcast(n)).select("label", "size", F.col("b.example_id").alias("medoid"), (F.col("size") / F.col("_n")).alias("share"))
 
 
+@query("i8b_cluster_overview", "WITH p AS (SELECT vec_id AS id, CASE WHEN label = 0 THEN -1 ELSE label END AS cluster, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), t AS (SELECT doc_id AS id, unnest(string_split(lower(text), ' ')) AS token FROM documents WHERE doc_id IN (SELECT id FROM p)), "
+       "c AS (SELECT cluster, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM p GROUP BY 1), r AS (SELECT cluster, arg_min(id, (round((x - mx) * (x - mx) + (y - my) * (y - my), 12), id)) AS rep FROM p JOIN c USING (cluster) GROUP BY 1), k AS (SELECT cluster, token, count(*) AS k FROM t JOIN p USING (id) GROUP BY ALL), "
+       "tp AS (SELECT cluster, string_agg(token || ':' || k, ' ' ORDER BY k DESC, token) AS top_tokens FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY k DESC, token) AS r FROM k) WHERE r <= 12 GROUP BY 1), o AS (SELECT cluster, string_agg(DISTINCT token, ' ' ORDER BY token) AS own FROM r JOIN t ON t.id = rep GROUP BY 1) "
+       "SELECT cluster, CASE WHEN cluster = -1 THEN 'noise' ELSE 'cluster ' || cluster END AS name, n, round(100.0 * n / (SELECT count(*) FROM p), 4) AS pct, round(mx, 4) AS x, round(my, 4) AS y, rep AS representative, coalesce(own, '') AS representative_tokens, coalesce(top_tokens, '') AS top_tokens, "
+       "(SELECT count(*) FROM c WHERE cluster <> -1) AS n_clusters, coalesce((SELECT CAST(sum(n) AS BIGINT) FROM c WHERE cluster = -1), 0) AS n_noise FROM c JOIN r USING (cluster) LEFT JOIN tp USING (cluster) LEFT JOIN o USING (cluster)")
+def i8b(spark, d):
+    p = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") == 0, -1).otherwise(F.col("label")).alias("cluster"), F.get("embedding", 0).cast("double").alias("x"), F.get("embedding", 1).cast("double").alias("y"))
+    t = words(spark, d).select(F.col("doc_id").alias("id"), F.col("word").alias("token"))
+    return B.cluster_summary(p, t, p.select("cluster").distinct().withColumn("name", F.concat(F.lit("cluster "), "cluster")), "id", "cluster", ["x", "y"])
+
+
 def high_sets(spark, d, cut=0.9):
     b = X.brands(spark, d).groupBy("example_id", "activation").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
     q = K.exact_quantile(X.examples(spark, d), "activation", "example_id", cut, "q")
@@ -323,6 +347,18 @@ def k1(spark, d):
     return M.cosine_neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 0, 20)
 
 
+@query("k1b_indexed_neighbours", "SELECT count(*) AS n_queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def k1b(spark, d):
+    """Every 50th vector against an index of all in buckets of 60; reached tells whether nine tenths of the exact ten nearest are found."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    index = H.build_index(v, "vec_id", "embedding", 10, 60)
+    asked = v.where("vec_id % 50 = 0")
+    plain = H._usable(v, "vec_id", "embedding", index.size)
+    exact = H.exact_neighbours(plain, plain.where("key % 50 = 0"), 10)
+    found = H.recall(H.neighbours(index, asked, "vec_id", "embedding", 10), exact)
+    return asked.agg(F.count(F.lit(1)).alias("n_queries")).withColumn("reached", F.lit(found >= 0.9))
+
+
 @query("k2_vector_cosine", f"WITH {X.ACTS_SQL}, c AS (SELECT label, feature_id, avg(activation) AS y FROM acts GROUP BY ALL), g AS (SELECT a.label AS label, sum(a.y * b.y) / ((sqrt(sum(a.y * a.y)) + 1e-8) * (sqrt(sum(b.y * b.y)) + 1e-8)) AS c FROM c a JOIN c b USING (feature_id) WHERE b.label = 0 AND a.label <> 0 GROUP BY 1) SELECT label, round(c, 4) AS cosine FROM g ORDER BY c DESC, 1 LIMIT 5")
 def k2(spark, d):
     c = X.acts(spark, d).groupBy("label", "feature_id").agg(F.avg("activation").alias("y")).groupBy("label").agg(
@@ -384,6 +420,16 @@ def k8(spark, d):
     return x.select("label", "a", "b", F.when(small, "neutral").when(F.col("a") * F.col("b") > 0, "agree").otherwise("conflict").alias("kind"))
 
 
+@query("k8b_influences_of_two", f"WITH {X.ACTS_SQL}, u AS (SELECT feature_id, 'L' || label AS token, avg(activation) AS value FROM acts GROUP BY ALL HAVING avg(activation) > -0.02 * (label % 3)), s AS (SELECT a.activation AS x, b.activation AS y FROM acts a JOIN acts b USING (example_id) WHERE a.feature_id = 4 AND b.feature_id = 9 AND a.activation > 0 AND b.activation > 0), z AS (SELECT count(*) AS n, sum(x) AS sx, sum(y) AS sy, corr(x, y) AS c FROM s), "
+       "r AS (SELECT token, max(value) FILTER (feature_id = 4) AS a, max(value) FILTER (feature_id = 9) AS b FROM u WHERE feature_id IN (4, 9) GROUP BY 1), t AS (SELECT *, coalesce(a, 0) * sx AS na, coalesce(b, 0) * sy AS nb FROM r, z) SELECT token, CASE WHEN b IS NULL THEN 'a' WHEN a IS NULL THEN 'b' ELSE 'both' END AS held_by, round(coalesce(a, 0), 4) AS raw_a, round(coalesce(b, 0), 4) AS raw_b, round(na, 4) AS net_a, round(nb, 4) AS net_b, "
+       "CASE WHEN abs(na) < 0.01 * n OR abs(nb) < 0.01 * n THEN 'neutral' WHEN na * nb > 0 THEN 'agree' ELSE 'conflict' END AS kind, n AS n_shared, round(c, 4) AS correlation FROM t")
+def k8b(spark, d):
+    a = X.acts(spark, d)
+    label = F.regexp_extract("token", "[0-9]+", 0).cast("int")
+    u = a.groupBy("feature_id", F.concat(F.lit("L"), "label").alias("token")).agg(F.avg("activation").alias("value")).where(F.col("value") > -0.02 * (label % 3))
+    return M.feature_relationship(a, u, 4, 9)
+
+
 @query("k9_matrix_product", f"WITH {X.ACTS_SQL}, c AS (SELECT label, feature_id, avg(activation) AS m FROM acts GROUP BY ALL) SELECT x.label AS row_label, y.label AS col_label, round(sum(x.m * y.m), 6) AS value FROM c x JOIN c y USING (feature_id) GROUP BY ALL", value=6)
 def k9(spark, d):
     c = X.acts(spark, d).groupBy("label", "feature_id").agg(F.avg("activation").alias("m"))
@@ -739,6 +785,15 @@ def m17(spark, d):
     return K.spearman(a.join(b, "k").withColumn("all", F.lit(1)), ["all"], "m", "o", "k").drop("all")
 
 
+@query("m17b_outcome_slices", "WITH a AS (SELECT c_nationkey AS k, avg(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) >= 10), b AS (SELECT c_nationkey AS k, avg(c_acctbal) AS o FROM customer GROUP BY 1), x AS (SELECT *, row_number() OVER (ORDER BY m, k) AS r, count(*) OVER () AS n FROM a JOIN b USING (k)), "
+       "s AS (SELECT *, CASE WHEN r <= ceil(0.1 * n) THEN 'bottom' WHEN r > n - ceil(0.1 * n) THEN 'top' END AS side FROM x) SELECT side, count(*) AS n, round(avg(o), 2) AS mean, string_agg(CAST(k AS VARCHAR), ',' ORDER BY CAST(k AS VARCHAR)) AS members FROM s WHERE side IS NOT NULL GROUP BY 1", mean=2)
+def m17b(spark, d):
+    """Balances in the tenth of nations with the highest and the lowest mean order."""
+    c = table(spark, d, "customer")
+    a = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("m")).where("n >= 10").drop("n")
+    return K.extreme_slices(a.join(c.groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("o")), "k"), "m", "o", "k", 0.1)
+
+
 @query("f34_metric_means", f"WITH {_CASES}, t2 AS (SELECT DISTINCT example_id, tier FROM lines) SELECT tier, round(avg(1 - (missing + extra) / 114.0), 4) AS accuracy, round(avg(CAST(missing + extra = 0 AS INT)), 4) AS exact_hit FROM cmp JOIN t2 USING (example_id) GROUP BY 1")
 def f34(spark, d):
     t, _, p = cases(spark, d)
