@@ -1,5 +1,6 @@
 """Language ID, chaining, the near-dedup stage and the pipeline on planted cases and odd inputs."""
 
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -300,3 +301,22 @@ def test_repeated_ids_and_hot_copies(spark):
     rows = [(i, base) for i in range(40)] + [(100, prose(rng, 50)), (100, prose(rng, 50)), (100, None), (7, base), (None, base)]
     got = [r.doc_id for r in simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(x for x in got if x is not None) == [0, 100] and got.count(None) == 1
+
+
+@pytest.mark.parametrize("length", [40, 60, 100])
+def test_fragments_in_older_texts_hide_no_passage(spark, length):
+    """Twenty passages in two texts each, and every 29 words of them, which are no passage, in older texts."""
+    r = random.Random(length)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    around = lambda n: [word() for _ in range(n)]
+    docs, wanted, old = [], set(), 0
+    for i in range(20):
+        passage = around(length)
+        for at in range(length - 28):
+            docs.append((old, " ".join(around(20) + passage[at : at + 29] + around(20))))
+            old += 1
+        docs += [(100_000 + 2 * i + j, " ".join(around(30) + passage + around(30))) for j in (0, 1)]
+        wanted.add((100_001 + 2 * i, 100_000 + 2 * i))
+    rows = chaining.fuzzy_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {(x.doc_id, x.other_id) for x in rows if x.last_word - x.first_word >= 0.9 * length}
+    assert found == wanted
