@@ -74,10 +74,13 @@ def bootstrap_mean(rows: DataFrame, value: str, key: str, resamples: int, seed:
     """
     some = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(key).alias("_key"))
     drawn = some.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 8)))).withColumn("_h", hashed(F.col("_key"), F.col("_b"), seed))
-    lanes = drawn.select("v", "_b", "_h", F.explode(F.array(*map(F.lit, range(8)))).alias("_l"))
-    u = F.conv(F.substring(F.col("_h"), F.col("_l") * 4 + 1, F.lit(4)), 16, 10).cast("int")
-    weight = sum(((u >= c).cast("int") for c in POISSON_CUTS[1:]), (u >= POISSON_CUTS[0]).cast("int"))
-    means = lanes.select((F.col("_b") * 8 + F.col("_l")).alias("r"), "v", weight.alias("w")).where(F.col("r") < resamples).groupBy("r").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    # two weights from each eight digits of the hash; the eight of a hash are summed side by side, so a row is told to its resamples' sums without being repeated for them
+    pairs = drawn.select("v", "_b", *[F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("long").alias(f"_q{i}") for i in range(4)])
+    digits = [c for i in range(4) for c in (F.shiftright(f"_q{i}", 16), F.col(f"_q{i}").bitwiseAND(65535))]
+    weighed = pairs.select("v", "_b", *[sum(((u >= c).cast("int") for c in POISSON_CUTS[1:]), (u >= POISSON_CUTS[0]).cast("int")).alias(f"_w{i}") for i, u in enumerate(digits)])
+    sums = weighed.groupBy("_b").agg(*[f.alias(n) for i in range(8) for f, n in ((F.sum(F.col(f"_w{i}") * F.col("v")), f"_s{i}"), (F.sum(f"_w{i}"), f"_n{i}"))])
+    lanes = F.array(*[F.struct((F.col("_b") * 8 + i).alias("r"), (F.col(f"_s{i}") / F.col(f"_n{i}")).alias("m")) for i in range(8)])
+    means = sums.select(F.inline(lanes)).where(F.col("r") < resamples)
     ci = means.agg(F.expr(f"percentile(m, {alpha / 2})").alias("ci_low"), F.expr(f"percentile(m, {1 - alpha / 2})").alias("ci_high"))
     return some.agg(F.avg("v").alias("mean")).join(F.broadcast(ci))
 

@@ -9,12 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 
-def _slice_of(value: Column, bounds: list, first: int = 0) -> Column:
-    """How many of the ascending bounds lie under value, plus first; a balanced tree of comparisons."""
+#: Comparisons that one generated expression nests.
+_BRANCHES = 64
+
+
+def _tree(value: Column, bounds: list, first: int = 0) -> Column:
     if not bounds:
         return F.lit(first)
     m = len(bounds) // 2
-    return F.when(value > bounds[m], _slice_of(value, bounds[m + 1 :], first + m + 1)).otherwise(_slice_of(value, bounds[:m], first))
+    return F.when(value > bounds[m], _tree(value, bounds[m + 1 :], first + m + 1)).otherwise(_tree(value, bounds[:m], first))
+
+
+def _slice_of(value: Column, bounds: list) -> Column:
+    """How many of the ascending bounds lie under value: a balanced tree of comparisons, and where there are many bounds such a tree over every so manieth of them, then those in between one by one."""
+    if len(bounds) <= _BRANCHES:
+        return _tree(value, bounds)
+    step = -(-len(bounds) // _BRANCHES)
+    before = _tree(value, bounds[step - 1 :: step]) * step
+    return before + F.size(F.filter(F.slice(F.lit(bounds), before + 1, F.lit(step)), lambda b: b < value))
 
 
 #: Rows of a slice that a rank is made from, and the least and most slices.

@@ -260,3 +260,11 @@ def test_sketches_merge_within_their_error(spark):
     assert len(got) == 10 and {r.n for r in got} == {20_000, 40_000}
     assert max(r.error for r in got) <= aggregates.SKETCH_ERROR
     assert whole.select(F.max(F.length("sketch"))).first()[0] < 60_000  # against 320,000 bytes of values
+
+
+@pytest.mark.parametrize("n", [0, 1, 64, 65, 200, 4095])
+def test_slices_of_many_bounds(spark, n):
+    bounds = [i * 1.5 for i in range(n)]
+    values = [-1.0, 0.0, 0.1, 1.5, 95.0, 96.0, 97.5, 1e9, *[i * 1.5 + 0.5 for i in range(0, n, 7)]]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.s for r in df.select(ranking._slice_of(F.col("v"), bounds).alias("s")).collect()] == [sum(b < v for b in bounds) for v in values]
