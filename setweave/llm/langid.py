@@ -109,18 +109,20 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], dict[str, n
     """(languages, n-gram table) from columns text and declared.
 
     Languages are the declared tags of LEAST_ROWS rows or LEAST_SHARE of all tagged rows, whichever is less; each is fitted on at most
-    `sample` texts, by hash of the text.
+    `sample` different texts, by hash of the text: copies count once, however many rows they are.
     """
     counts = {r.declared: r["count"] for r in rows.where("declared <> ''").groupBy("declared").count().collect()}
     total = sum(counts.values())
     languages = sorted(t for t, n in counts.items() if n >= min(LEAST_ROWS, LEAST_SHARE * total))
     if not languages:
         return [], {}
-    # The least hashes of a tag lie under this bound, so what meets in a task does not grow with the rows.
-    bound = {t: min((1 << 63) - 1, -(1 << 63) + (SPARE * sample << 64) // counts[t]) for t in languages}
+    # The least hashes of a tag's different texts lie under this bound, so what meets in a task does not grow with the rows.
+    short = rows.where(F.col("declared").isin(languages) & (F.length("text") <= SAMPLE_CHARS))
+    distinct = {r.declared: r["count"] for r in short.select("declared", F.xxhash64("text").alias("h")).distinct().groupBy("declared").count().collect()}
+    bound = {t: min((1 << 63) - 1, -(1 << 63) + (SPARE * sample << 64) // max(1, distinct.get(t, 0))) for t in languages}
     under = F.element_at(F.create_map(*[F.lit(x) for t in languages for x in (t, bound[t])]), F.col("declared"))
     at = F.xxhash64("text")
-    some = rows.where(F.col("declared").isin(languages) & (F.length("text") <= SAMPLE_CHARS) & (at <= under)).select("declared", "text")
+    some = short.where(at <= under).select("declared", "text").distinct()
     w = Window.partitionBy("declared").orderBy(at, "text")
     found = sorted(some.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).drop("_r").collect())
     return languages, fit([r.text for r in found], [r.declared for r in found], languages)

@@ -320,3 +320,15 @@ def test_fragments_in_older_texts_hide_no_passage(spark, length):
     rows = chaining.fuzzy_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     found = {(x.doc_id, x.other_id) for x in rows if x.last_word - x.first_word >= 0.9 * length}
     assert found == wanted
+
+
+def test_a_tag_of_copies_is_learnt(spark):
+    """Twenty thousand rows of one text under one tag, beside a tag of different texts, in any order of their hashes."""
+    rng = np.random.default_rng(4)
+    for trial in range(3):
+        copy = " ".join(f"zu{a}{b}" for a in "aeiou" for b in ("pf", "tz", "ck")) + f" zug{trial}"
+        df = spark.range(20_000).selectExpr(f"'{copy}' as text", "'de' as declared").union(spark.createDataFrame([(prose(rng, 30), "en") for _ in range(600)], "text string, declared string"))
+        languages, table = langid.train(df)
+        assert languages == ["de", "en"]
+        (ll, words, known), = langid.TextModel(table, 2)([copy])
+        assert known and words and int(np.argmax(ll)) == 0
