@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from setweave.functions.tokens import TOTAL, hashed
-from setweave.operators.ranking import global_rank
+from setweave.operators.ranking import global_rank, pearson
 
 
 def multiset_counts(truth: DataFrame, pred: DataFrame, by: str, item: str, n: str) -> DataFrame:
@@ -175,7 +175,7 @@ def split_half(tokens: DataFrame, key: str, token: str, weight: str, splits: int
     x = tokens.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     half = F.conv(F.substring(hashed(F.col(key), F.col("split"), seed), 1, 2), 16, 10).cast("int") % 2
     g = x.groupBy("split", token).agg(F.sum(F.when(half == 0, F.col(weight)).otherwise(0.0)).alias("a"), F.sum(F.when(half == 1, F.col(weight)).otherwise(0.0)).alias("b")).where("a > 0 and b > 0")
-    return g.groupBy("split").agg(F.when(F.count(F.lit(1)) >= least, F.corr("a", "b")).otherwise(0.0).alias("r"), F.count(F.lit(1)).alias("n"))
+    return g.groupBy("split").agg(F.when(F.count(F.lit(1)) >= least, pearson("a", "b")).otherwise(0.0).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def shuffle_null(examples: DataFrame, tokens: DataFrame, rounds: int, top: float, seed: str, key: str = "example_id", token: str = "token") -> DataFrame:

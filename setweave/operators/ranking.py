@@ -155,11 +155,17 @@ def percentile_rank(rows: DataFrame, by: str, value: str) -> DataFrame:
     return sized.join(told, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_m") == F.col("_v")), "left").drop("_m", "_by", "_v")
 
 
+def pearson(x: str, y: str) -> Column:
+    """Correlation over the rows that hold both columns; null where one of them is constant, for which Spark's own raises an error."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(rows: DataFrame, by: list[str], x: str, y: str, tie: str) -> DataFrame:
     """(by, pearson, spearman, n): correlation of values and of ordinal ranks, ties by position."""
     r = rank_within(rank_within(rows, by, x, tie, "_x"), by, y, tie, "_y")
     r = r.withColumn("_x", F.col("_x").cast("double")).withColumn("_y", F.col("_y").cast("double"))
-    return r.groupBy(*by).agg(F.corr(x, y).alias("pearson"), F.corr("_x", "_y").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return r.groupBy(*by).agg(pearson(x, y).alias("pearson"), pearson("_x", "_y").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def extreme_slices(rows: DataFrame, value: str, outcome: str, key: str, fraction: float) -> DataFrame:

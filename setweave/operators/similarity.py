@@ -9,6 +9,7 @@ from setweave.functions.session import forget, written
 from setweave.operators.components import connected_components
 from setweave.operators.density import dense_clusters  # noqa: F401  one of the similarity operators
 from setweave.operators.matrices import matrix_product
+from setweave.operators.ranking import pearson
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -88,7 +89,7 @@ def correlations(acts: DataFrame, least_pairs: int, features: list[int] | None =
     held = x.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct(F.col("feature_id").alias("f"), F.col("activation").alias("v")))).alias("s"))  # an example holds each feature once
     one = held.select("s", F.posexplode("s").alias("i", "l"))
     pairs = one.select(F.col("l.f").alias("a"), F.col("l.v").alias("x"), F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("r"))
-    g = pairs.select("a", F.col("r.f").alias("b"), "x", F.col("r.v").alias("y")).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
+    g = pairs.select("a", F.col("r.f").alias("b"), "x", F.col("r.v").alias("y")).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), pearson("x", "y").alias("r"))
     return g.where((F.col("n") >= least_pairs) & F.col("r").isNotNull() & ~F.isnan("r"))
 
 
@@ -102,15 +103,14 @@ def feature_relationship(acts: DataFrame, influences: DataFrame, a: int, b: int,
     active = acts.where((F.col("activation") > 0) & F.col("feature_id").isin(a, b))
     of = lambda f: F.max(F.when(F.col("feature_id") == f, F.col("activation")))
     shared = active.groupBy("example_id").agg(of(a).alias("_x"), of(b).alias("_y")).dropna()
-    total = shared.agg(F.count(F.lit(1)).alias("n_shared"), F.coalesce(F.sum("_x"), F.lit(0.0)).alias("_sx"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("_sy"), F.corr("_x", "_y").alias("_c"))
+    total = shared.agg(F.count(F.lit(1)).alias("n_shared"), F.coalesce(F.sum("_x"), F.lit(0.0)).alias("_sx"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("_sy"), pearson("_x", "_y").alias("_c"))
     raw = influences.where(F.col("feature_id").isin(a, b)).groupBy(token).agg(*[F.max(F.when(F.col("feature_id") == f, F.col("value"))).alias(n) for f, n in ((a, "_a"), (b, "_b"))])
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     x = raw.join(F.broadcast(total)).withColumn("net_a", zero("_a") * F.col("_sx")).withColumn("net_b", zero("_b") * F.col("_sy"))
     bound = F.when(F.col("n_shared") > 0, 0.01 * F.col("n_shared")).otherwise(0.01)
     kind = F.when((F.abs("net_a") < bound) | (F.abs("net_b") < bound), "neutral").when(F.col("net_a") * F.col("net_b") > 0, "agree").otherwise("conflict")
     held = F.when(F.col("_b").isNull(), "a").when(F.col("_a").isNull(), "b").otherwise("both")
-    correlation = F.when(F.isnan("_c"), 0.0).otherwise(zero("_c"))
-    return x.select(token, held.alias("held_by"), zero("_a").alias("raw_a"), zero("_b").alias("raw_b"), "net_a", "net_b", kind.alias("kind"), "n_shared", correlation.alias("correlation"))
+    return x.select(token, held.alias("held_by"), zero("_a").alias("raw_a"), zero("_b").alias("raw_b"), "net_a", "net_b", kind.alias("kind"), "n_shared", zero("_c").alias("correlation"))
 
 
 def correlation_clusters(corr: DataFrame, threshold: float) -> DataFrame:
