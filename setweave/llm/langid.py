@@ -116,15 +116,23 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], dict[str, n
     languages = sorted(t for t, n in counts.items() if n >= min(LEAST_ROWS, LEAST_SHARE * total))
     if not languages:
         return [], {}
-    # The least hashes of a tag's different texts lie under this bound, so what meets in a task does not grow with the rows.
-    short = rows.where(F.col("declared").isin(languages) & (F.length("text") <= SAMPLE_CHARS))
-    distinct = {r.declared: r["count"] for r in short.select("declared", F.xxhash64("text").alias("h")).distinct().groupBy("declared").count().collect()}
-    bound = {t: min((1 << 63) - 1, -(1 << 63) + (SPARE * sample << 64) // max(1, distinct.get(t, 0))) for t in languages}
-    under = F.element_at(F.create_map(*[F.lit(x) for t in languages for x in (t, bound[t])]), F.col("declared"))
-    at = F.xxhash64("text")
-    some = short.where(at <= under).select("declared", "text").distinct()
-    w = Window.partitionBy("declared").orderBy(at, "text")
-    found = sorted(some.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).drop("_r").collect())
+    short = rows.where(F.length("text") <= SAMPLE_CHARS)
+    at, w = F.xxhash64("text"), Window.partitionBy("declared").orderBy(F.xxhash64("text"), "text")
+
+    def least(sizes: dict[str, int]) -> list:
+        """The texts of least hash of these tags; those lie under a bound by a tag's size, so what meets in a task does not grow with the rows."""
+        bound = {t: min((1 << 63) - 1, -(1 << 63) + (SPARE * sample << 64) // max(1, n)) for t, n in sizes.items()}
+        under = F.element_at(F.create_map(*[F.lit(x) for t in bound for x in (t, bound[t])]), F.col("declared"))
+        some = short.where(F.col("declared").isin(list(sizes)) & (at <= under)).select("declared", "text").distinct()
+        return some.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).drop("_r").collect()
+
+    found = least({t: counts[t] for t in languages})
+    got = Counter(r.declared for r in found)
+    few = [t for t in languages if got[t] < min(sample, counts[t])]
+    if few:  # a tag of copies: its different texts are counted, and the bound follows these
+        distinct = short.where(F.col("declared").isin(few)).select("declared", at.alias("h")).distinct().groupBy("declared").count().collect()
+        found = [r for r in found if r.declared not in few] + least({r.declared: r["count"] for r in distinct}) if distinct else found
+    found = sorted(found)
     return languages, fit([r.text for r in found], [r.declared for r in found], languages)
 
 
