@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from setweave.functions.session import forget, written
+
 
 #: Comparisons that one generated expression nests.
 _BRANCHES = 64
@@ -161,23 +163,34 @@ def pearson(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+def _settled(rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns written once: a mean of doubles can differ in its last digits whenever it is computed again, and rows would then miss the slices that were cut at it."""
+    return written(rows.select(*dict.fromkeys(columns)))
+
+
 def spearman(rows: DataFrame, by: list[str], x: str, y: str, tie: str) -> DataFrame:
     """(by, pearson, spearman, n): correlation of values and of ordinal ranks, ties by position."""
-    r = rank_within(rank_within(rows, by, x, tie, "_x"), by, y, tie, "_y")
+    held = _settled(rows, *by, x, y, tie)
+    r = rank_within(rank_within(held, by, x, tie, "_x"), by, y, tie, "_y")
     r = r.withColumn("_x", F.col("_x").cast("double")).withColumn("_y", F.col("_y").cast("double"))
-    return r.groupBy(*by).agg(pearson(x, y).alias("pearson"), pearson("_x", "_y").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    out = written(r.groupBy(*by).agg(pearson(x, y).alias("pearson"), pearson("_x", "_y").alias("spearman"), F.count(F.lit(1)).alias("n")))
+    forget(held)
+    return out
 
 
 def extreme_slices(rows: DataFrame, value: str, outcome: str, key: str, fraction: float) -> DataFrame:
     """(side, n, mean, members): the ceil(fraction n) lowest and highest rows by value (ties by key), their mean outcome and keys in order; a row on both sides is at the bottom. Null values take no part."""
+    rows = _settled(rows, value, outcome, key)
     n = rows.where(F.col(value).isNotNull()).count()
     take = math.ceil(n * fraction)
     if not take:
         return rows.limit(0).groupBy(F.lit("bottom").alias("side")).agg(F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean"), F.lit("").alias("members"))
     low = rows_at_ranks(rows, value, key, 1, take, n).withColumn("side", F.lit("bottom"))
     high = rows_at_ranks(rows, value, key, max(n - take, take) + 1, n, n).withColumn("side", F.lit("top")) if n > take else low.limit(0)
-    return low.unionByName(high).groupBy("side").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean"), F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",").alias("members"))
+    out = written(low.unionByName(high).groupBy("side").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean"), F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",").alias("members")))
+    forget(rows)
+    return out
 
 
 def top_share_or_count(rows: DataFrame, by: str, spec: str, value: str = "activation", tie: str = "example_id") -> DataFrame:
