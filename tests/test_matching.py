@@ -133,3 +133,17 @@ def test_compared_vectors(spark):
     s, mean = evaluation.vector_summary(compared).first(), [sum(x) / len(valid) for x in zip(*valid)]
     assert (s.n, s.n_valid, s.loss_a, s.loss_b, s.top1_a, s.top1_b, s.top1_match) == pytest.approx((8, 5, *mean))
     assert (s.loss_increase, s.top1_change) == pytest.approx((mean[1] - mean[0], mean[3] - mean[2]))
+
+
+def test_long_texts_move_by_digest(spark, monkeypatch):
+    """Texts cut into several parts, with letters of one to four bytes: pairs hold no text, and are those of a plain search."""
+    monkeypatch.setattr(matching, "PART", 500)
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdeé中𝄞 ") for _ in range(3000)) for _ in range(12)] * 2
+    patterns = sorted({t[i : i + n] for t in texts[:6] for i in (7, 490, 2990) for n in (1, 3, 4, 9)})
+    p, t = spark.createDataFrame([(x,) for x in patterns], "pattern string"), spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, text string")
+    met = matching._looked_up(p, t)
+    assert met.columns == ["pattern", "id"]
+    pairs, held = {(x.pattern, x.id) for x in met.collect()}, {(x, i) for x in patterns for i, y in enumerate(texts) if x in y}
+    assert held <= pairs and len(pairs) == met.count() < len(patterns) * len(texts)
+    assert {(x.pattern, x.text) for x in matching.occurrences(p, t).collect()} == {(x, texts[i]) for x, i in held}
