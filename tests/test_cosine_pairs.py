@@ -67,3 +67,24 @@ def test_overlap_counts(spark):
     got = {(x.a, x.b): x.n for x in similarity.overlap_counts(spark.createDataFrame(rows, "i long, s string"), "i", "s").collect()}
     sets = {s: {i for i, t in rows if t == s} for _, s in rows}
     assert got == {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if sets[a] & sets[b]}
+
+
+def test_few_pairs_go_on(monkeypatch):
+    """Of vectors that meet on a token, those only are compared whole whose fronts leave room for the cosine; none is lost, however small the chunks."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(similarity, "SUMS", 300)
+    r, least = np.random.default_rng(3), 0.7
+    dense = np.where(r.random((120, 60)) < np.linspace(0.9, 0.05, 60), r.random((120, 60)) + 0.1, 0.0) * np.linspace(0.2, 1, 60)
+    dense[60:70] = dense[:10] * (1 + 0.1 * r.random((10, 60)))
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    t = [np.flatnonzero(x) for x in dense]
+    n = [int((np.cumsum(x[i] ** 2) >= least * least - 1e-9).sum()) for x, i in zip(dense, t)]
+    block = similarity._Block(pa.table({"key": list(range(120)), "t": [i.astype(np.int32) for i in t], "v": [x[i] for x, i in zip(dense, t)], "n": n}))
+    i, j = similarity._may_reach(block, block, least, 0, 120)
+    cosine, went_on = dense @ dense.T, set(zip(i.tolist(), j.tolist()))
+    true = {(a, b) for a in range(120) for b in range(a + 1, 120) if cosine[a, b] > least}
+    looked_up = [set(k[-m:]) for k, m in zip(t, n)]
+    met = {(a, b) for a in range(120) for b in range(a + 1, 120) if looked_up[a] & looked_up[b]}
+    assert true and true <= went_on <= met and len(went_on) < 0.7 * len(met)
