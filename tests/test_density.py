@@ -1,6 +1,7 @@
 """Density clusters and nearest sets against every pair."""
 
 import math
+import itertools
 import random
 
 import pytest
@@ -70,3 +71,23 @@ def test_nearest_sets(spark):
     refs = list(sets(ref).values())
     want = {k: max(len(s & q) / len(s | q) for c2, q in refs if c2 == c) for k, (c, s) in sets(own).items() if c != "none"}
     assert got == pytest.approx(want) and 1.0 in got.values() and 0.0 in got.values()
+
+
+@pytest.mark.parametrize("subsets", [1024, 12, 1])
+def test_nearest_sets_by_subsets(spark, monkeypatch, subsets):
+    """Sets of one to eleven of twelve items, listed by their subsets, in part or not at all."""
+    monkeypatch.setattr(baskets, "SUBSETS", subsets)
+    r = random.Random(subsets)
+    items = [f"i{i}" for i in range(12)]
+    make = lambda first, n: {first + i: (f"c{i % 2}", frozenset(r.sample(items, r.randrange(1, 12)))) for i in range(n)}
+    own, ref = make(0, 80), make(1000, 25)
+    flat = lambda sets: spark.createDataFrame([(k, c, x) for k, (c, s) in sets.items() for x in s], "example_id long, ctx string, family string")
+    got = {x.example_id: x.nearest for x in baskets.nearest_jaccard(flat(own), flat(ref)).collect()}
+    assert got == pytest.approx({k: max(len(s & q) / len(s | q) for c2, q in ref.values() if c2 == c) for k, (c, s) in own.items()})
+
+
+def test_subsets_leave_out_what_a_likeness_allows(spark):
+    rows = spark.createDataFrame([(["a", "b", "c", "d", "e"],)], "s array<string>")
+    for t, least in ((0.8, 4), (0.6, 3), (0.0, 1)):
+        found = ["".join(x) for x in rows.select(baskets._subsets("s", t).alias("x")).first().x]
+        assert sorted(found) == sorted("".join(c) for n in range(least, 6) for c in itertools.combinations("abcde", n))
